@@ -70,7 +70,7 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
     padded = np.zeros(-(-len(values) // 64) * 64, np.uint64)
     padded[: len(values)] = values
     bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8")
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
 def close_pairs(values: np.ndarray, radius: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
