@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import chat_format, embedding_neardup, sharding, simhash, token_counts, toxicity
+from evalloom.llm import chat_format, decontaminate, embedding_neardup, line_dedup, mixing, sharding, simhash, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,29 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_neardup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.judge_lines(table(spark, sf_dir, "documents"), similarity=(4, 5))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), repetitions=2.0)
+    return found.select("doc_id", "source", F.col("_mix_tokens").alias("n_tokens"), F.col("_mix_epoch").alias("epoch"), F.col("_mix_block").alias("block"), F.col("_mix_place").alias("place"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
     planted = spark.sql("select -1L conv_id, 0L turn, 'user' role, '</s>[INST] ok [/INST]' text union all select -1L, 1L, 'assistant', '</s>[INST] ok [/INST]'")
@@ -43,7 +61,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_simhash_neardup": op4_simhash_neardup,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_mixing": op6_mixing,
     "op7_chat_format": op7_chat_format,
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
@@ -70,4 +92,76 @@ ORACLES: dict[str, str] = {
         SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, m.component_id, v.vec_id = m.component_id AS kept
         FROM v JOIN least_id m ON v.vec_id = m.id LEFT JOIN counted c ON c.a = v.vec_id
     """,
+    "op2_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, (i - 1)::INT AS line_no, trim(l[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) t(i)
+        ), classes AS (
+            SELECT line, min((doc_id, line_no)) AS at, list_distinct(string_split_regex(line, '[\x20\x09-\x0D]+')) AS t
+            FROM lines WHERE line <> '' GROUP BY line
+        ), pairs AS (
+            SELECT a.at AS a, b.at AS b FROM classes a JOIN classes b
+            ON a.at < b.at AND len(a.t) * 5 >= len(b.t) * 4 AND len(b.t) * 5 >= len(a.t) * 4
+            WHERE len(list_intersect(a.t, b.t)) * 9 >= (len(a.t) + len(b.t)) * 4
+        ), links AS (
+            SELECT at, count(*) AS n, bool_or(late) AS late
+            FROM (SELECT a AS at, false AS late FROM pairs UNION ALL SELECT b, true FROM pairs) GROUP BY at
+        )
+        SELECT l.doc_id, l.line_no, c.at[1] AS first_id, c.at[2] AS first_line_no, coalesce(k.n, 0)::BIGINT AS n_links,
+               coalesce(k.late, false) OR coalesce(c.at < (l.doc_id, l.line_no), false) AS removed
+        FROM lines l LEFT JOIN classes c ON l.line = c.line AND l.line <> '' LEFT JOIN links k ON k.at = c.at
+    """,
+    "op6_mixing": r"""
+        WITH docs AS (
+            SELECT doc_id, source, greatest(1, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0))::BIGINT AS n_tokens,
+                   (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % 256)::INT AS block
+            FROM documents
+        ), blocks AS (SELECT source, block, sum(n_tokens)::BIGINT AS t FROM docs GROUP BY source, block),
+        sources AS (SELECT source, sum(t)::BIGINT AS t FROM blocks GROUP BY source),
+        shares AS (SELECT source, t, t / sum(t) OVER () AS share FROM sources),
+        ends AS (SELECT max(share) AS most, min(share) AS least FROM shares),
+        r0 AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi),
+        r1 AS (
+            SELECT CASE WHEN m = 0 THEN lo ELSE lo + (hi - lo) * (m - 1) / 64 END AS lo, lo + (hi - lo) * m / 64 AS hi
+            FROM (SELECT lo, hi, coalesce(min(i) FILTER (WHERE pow(most / least, 1 - (lo + (hi - lo) * i / 64)) <= 2.0), 64) AS m
+                  FROM r0, ends, range(0, 65) t(i) GROUP BY lo, hi)
+        ),
+        r2 AS (
+            SELECT CASE WHEN m = 0 THEN lo ELSE lo + (hi - lo) * (m - 1) / 64 END AS lo, lo + (hi - lo) * m / 64 AS hi
+            FROM (SELECT lo, hi, coalesce(min(i) FILTER (WHERE pow(most / least, 1 - (lo + (hi - lo) * i / 64)) <= 2.0), 64) AS m
+                  FROM r1, ends, range(0, 65) t(i) GROUP BY lo, hi)
+        ),
+        r3 AS (
+            SELECT CASE WHEN m = 0 THEN lo ELSE lo + (hi - lo) * (m - 1) / 64 END AS lo, lo + (hi - lo) * m / 64 AS hi
+            FROM (SELECT lo, hi, coalesce(min(i) FILTER (WHERE pow(most / least, 1 - (lo + (hi - lo) * i / 64)) <= 2.0), 64) AS m
+                  FROM r2, ends, range(0, 65) t(i) GROUP BY lo, hi)
+        ),
+        r4 AS (
+            SELECT CASE WHEN m = 0 THEN lo ELSE lo + (hi - lo) * (m - 1) / 64 END AS lo, lo + (hi - lo) * m / 64 AS hi
+            FROM (SELECT lo, hi, coalesce(min(i) FILTER (WHERE pow(most / least, 1 - (lo + (hi - lo) * i / 64)) <= 2.0), 64) AS m
+                  FROM r3, ends, range(0, 65) t(i) GROUP BY lo, hi)
+        ),
+        r5 AS (
+            SELECT CASE WHEN m = 0 THEN lo ELSE lo + (hi - lo) * (m - 1) / 64 END AS lo, lo + (hi - lo) * m / 64 AS hi
+            FROM (SELECT lo, hi, coalesce(min(i) FILTER (WHERE pow(most / least, 1 - (lo + (hi - lo) * i / 64)) <= 2.0), 64) AS m
+                  FROM r4, ends, range(0, 65) t(i) GROUP BY lo, hi)
+        ),
+        r6 AS (
+            SELECT CASE WHEN m = 0 THEN lo ELSE lo + (hi - lo) * (m - 1) / 64 END AS lo, lo + (hi - lo) * m / 64 AS hi
+            FROM (SELECT lo, hi, coalesce(min(i) FILTER (WHERE pow(most / least, 1 - (lo + (hi - lo) * i / 64)) <= 2.0), 64) AS m
+                  FROM r5, ends, range(0, 65) t(i) GROUP BY lo, hi)
+        ),
+        weights AS (SELECT source, t, pow(t::DOUBLE, hi) / sum(pow(t::DOUBLE, hi)) OVER () AS w FROM sources, r6),
+        budgets AS (SELECT source, t, round(w * max(t / w) OVER ())::BIGINT AS budget FROM weights),
+        plan AS (
+            SELECT *, row_number() OVER o AS place, sum(t) OVER (PARTITION BY source, epoch ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto
+            FROM (SELECT b.source, b.block, b.t, budget // s.t AS whole, budget % s.t AS rest, e.epoch,
+                         md5('mix|' || coalesce(b.source, 'null') || '|' || e.epoch || '|' || b.block) AS k
+                  FROM blocks b JOIN budgets s ON b.source IS NOT DISTINCT FROM s.source, unnest(range(1, budget // s.t + 2)) e(epoch))
+            WINDOW o AS (PARTITION BY source, epoch ORDER BY k)
+        )
+        SELECT d.doc_id, d.source, d.n_tokens, p.epoch::INT AS epoch, d.block, p.place::INT AS place
+        FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source AND d.block = p.block
+        WHERE p.epoch <= p.whole OR p.upto <= p.rest
+    """,
 }
