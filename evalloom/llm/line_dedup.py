@@ -1,8 +1,8 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame operations alone.
 
 A line's tokens are its distinct words. Tokens are ordered by rarity: how many tokens of all distinct lines share their
-hash bucket, of BUCKETS buckets, so the table that is looked up has the same size at any scale; ties keep a fixed order
-by hash. Lines that are similar share a token among their rarest, so only those prefixes are joined, under a length and a
+hash bucket, of BUCKETS buckets, so the table that is looked up has the same size at any scale and reaches the tasks as a
+literal; ties keep a fixed order by hash. Lines that are similar share a token among their rarest, so only those prefixes are joined, under a length and a
 positional filter; candidates are verified on whole token sets. A line is removed if an earlier one (by id, then line
 number) equals it or reaches the similarity.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.shared import cut
 
-BUCKETS = 65_536
+BUCKETS = 16_384
 #: The similarity as a fraction, so that bounds are whole numbers.
 SIMILARITY = (4, 5)
 BLANKS = " \t\x0b\x0c\r"
@@ -49,19 +49,18 @@ def bucket(h: Column) -> Column:
     return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
-def token_counts(classes: DataFrame) -> DataFrame:
-    """One row with an array of BUCKETS counts."""
+def rarity_classes(classes: DataFrame) -> Column:
+    """An array literal of BUCKETS numbers: an eighth of a power of two for each bucket's tokens over all distinct lines."""
     each = classes.select(F.explode(tokens()).alias("t")).groupBy(bucket(F.xxhash64("t")).alias("b")).count()
-    full = classes.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(each, "b", "left")
-    pairs = F.sort_array(F.collect_list(F.struct("b", F.coalesce("count", F.lit(0)).alias("n"))))
-    return full.agg(F.transform(pairs, lambda x: F.least(x["n"], F.lit((1 << 29) - 1))).alias("counts"))
+    found = dict(each.select("b", F.floor(F.log2("count") * 8).cast("int")).collect())
+    return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<bigint>")
 
 
 def prefixes(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(key, place, at, n): the rarest tokens of each line, as many as similar lines must share one of."""
     num, den = similarity
-    counts = cut(token_counts(classes), "counts").scalar()
-    rank = lambda h: F.shiftleft(F.get(counts, bucket(h)).cast("long"), 34).bitwiseOR(F.shiftrightunsigned(h, 30))
+    rarity = rarity_classes(classes)
+    rank = lambda h: F.shiftleft(F.get(rarity, bucket(h)), 54).bitwiseOR(F.shiftrightunsigned(h, 10))
     keys = F.sort_array(F.transform(tokens(), lambda t: rank(F.xxhash64(t))))
     rows = classes.select("at", keys.alias("keys")).withColumn("n", F.size("keys").cast("long"))
     first = F.slice("keys", F.lit(1), (F.col("n") - ceil_div(F.col("n") * num, den) + 1).cast("int"))

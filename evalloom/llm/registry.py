@@ -97,19 +97,19 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, (i - 1)::INT AS line_no, trim(l[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
             FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) t(i)
         ), classes AS (
-            SELECT line, min((doc_id, line_no)) AS at, list_distinct(string_split_regex(line, '[\x20\x09-\x0D]+')) AS t
+            SELECT line, min((doc_id, line_no)) AS pos, list_distinct(string_split_regex(line, '[\x20\x09-\x0D]+')) AS t
             FROM lines WHERE line <> '' GROUP BY line
         ), pairs AS (
-            SELECT a.at AS a, b.at AS b FROM classes a JOIN classes b
-            ON a.at < b.at AND len(a.t) * 5 >= len(b.t) * 4 AND len(b.t) * 5 >= len(a.t) * 4
+            SELECT a.pos AS a, b.pos AS b FROM classes a JOIN classes b
+            ON a.pos < b.pos AND len(a.t) * 5 >= len(b.t) * 4 AND len(b.t) * 5 >= len(a.t) * 4
             WHERE len(list_intersect(a.t, b.t)) * 9 >= (len(a.t) + len(b.t)) * 4
         ), links AS (
-            SELECT at, count(*) AS n, bool_or(late) AS late
-            FROM (SELECT a AS at, false AS late FROM pairs UNION ALL SELECT b, true FROM pairs) GROUP BY at
+            SELECT pos, count(*) AS n, bool_or(late) AS late
+            FROM (SELECT a AS pos, false AS late FROM pairs UNION ALL SELECT b, true FROM pairs) GROUP BY pos
         )
-        SELECT l.doc_id, l.line_no, c.at[1] AS first_id, c.at[2] AS first_line_no, coalesce(k.n, 0)::BIGINT AS n_links,
-               coalesce(k.late, false) OR coalesce(c.at < (l.doc_id, l.line_no), false) AS removed
-        FROM lines l LEFT JOIN classes c ON l.line = c.line AND l.line <> '' LEFT JOIN links k ON k.at = c.at
+        SELECT l.doc_id, l.line_no, c.pos[1] AS first_id, c.pos[2] AS first_line_no, coalesce(k.n, 0)::BIGINT AS n_links,
+               coalesce(k.late, false) OR coalesce(c.pos < (l.doc_id, l.line_no), false) AS removed
+        FROM lines l LEFT JOIN classes c ON l.line = c.line AND l.line <> '' LEFT JOIN links k ON k.pos = c.pos
     """,
     "op6_mixing": r"""
         WITH docs AS (
