@@ -1,5 +1,61 @@
+"""The corpus pipeline: toxicity, near-duplicates, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and passes on the columns of
+documents; the last gives each document's shard. run() writes every stage to the shared folder and reads it again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evalloom.llm import decontaminate, mixing, sharding, simhash, toxicity
+from evalloom.llm.shared import cut
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score 0.7 or more."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of documents whose five-word shingles are at least 0.8 similar."""
+    return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold at least half of a benchmark item's words in runs of five or more."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents of smaller sources up to twice; every document stays at least once."""
+    return mixing.mix(docs, repetitions=2.0).select(*docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deals documents to 16 shards of nearly equal bytes."""
+    return sharding.shard_documents(docs, shards=16).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", "virtual_slot")
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("simhash near-dedup", without_near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing sources", mixed),
+    ("sharding", sharded),
+]
+
+#: The toxicity model can't be stated in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,27 +31,61 @@ PACK = 512
 #: Shingles whose bits are counted at once.
 CHUNK = 16_384
 SEED = 42
+#: For a given similarity: bins of a sketch, and how many of them make up a bucket's key.
+SKETCH, BAND = 120, 6
+#: Bits in which fingerprints of similar texts may differ; at similarity 0.8 about 8 do.
+WIDE = 20
 
 
-def fingerprint(text: bytes | None, words: int) -> int:
-    """Bits set in over half the hashes of the text's shingles, as an unsigned integer."""
+def shingle_hashes(text: bytes | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the text's shingles, some at a time."""
     tokens = (text or b"").lower().split()
     if not tokens:
-        return 0
+        return
     joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
     if n == 1:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        yield np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+        return
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
     ends = (starts + lengths)[words - 1 :].tolist()
-    starts, counts = starts[:n].tolist(), np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
+    starts, digest = starts[:n].tolist(), xxhash.xxh64_intdigest
     for k in range(0, n, CHUNK):
-        h = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[k : k + CHUNK], ends[k : k + CHUNK], strict=True)), np.uint64, min(CHUNK, n - k))
-        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[k : k + CHUNK], ends[k : k + CHUNK], strict=True)), np.uint64, min(CHUNK, n - k))
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, words: int) -> int:
+    """Bits set in over half the hashes of the text's shingles, as an unsigned integer."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, words):
+        counts += bit_counts(h)
+        n += len(h)
+    return majority(counts, n)
+
+
+def sketch(text: bytes | None, words: int) -> tuple[int, np.ndarray]:
+    """(fingerprint, SKETCH least hashes): the shingles are dealt to SKETCH bins; an empty bin borrows from the next that isn't."""
+    counts, n, least = np.zeros(64, np.int64), 0, np.full(SKETCH, ~np.uint64(0))
+    for h in shingle_hashes(text, words):
+        counts += bit_counts(h)
+        n += len(h)
+        np.minimum.at(least, (h % np.uint64(SKETCH)).astype(np.int64), h)
+    filled = np.flatnonzero(least != ~np.uint64(0))
+    if len(filled):
+        bins = np.arange(SKETCH)
+        at = filled[np.searchsorted(filled, bins) % len(filled)]
+        least = least[at] + ((at - bins) % SKETCH).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return majority(counts, n), least
+
+
 def fingerprints_udf(words: int):
     @F.pandas_udf("long")
     def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -74,29 +108,31 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(values: np.ndarray, radius: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of fingerprints that differ in at most `radius` bits; radius is 0 to 2.
+    """Index pairs i < j of fingerprints that differ in at most `radius` bits.
 
     A block is one query against one word, which is 64 fingerprints; it is abandoned once all 64 exceed the radius.
+    The counter has just the planes that hold the radius and starts so high that exceeding it overflows.
     """
     planes, n = bit_planes(values), len(values)
     words, full = planes.shape[1], ~np.uint64(0)
+    depth = max(1, radius.bit_length())
+    start = (1 << depth) - 1 - radius
+    place = np.arange(words * 64)
     for k in range(0, n, rows):
-        query, word = (x.ravel() for x in np.meshgrid(np.arange(k, min(k + rows, n)), np.arange(words), indexing="ij"))
-        place = np.arange(words * 64)
-        done = (place <= np.arange(k, min(k + rows, n))[:, None]) | (place >= n)
-        over = np.packbits(done, axis=1, bitorder="little").view("<u8").ravel()
-        once, twice = np.zeros_like(over), np.zeros_like(over)
+        own = np.arange(k, min(k + rows, n))
+        query, word = (x.ravel() for x in np.meshgrid(own, np.arange(words), indexing="ij"))
+        over = np.packbits((place <= own[:, None]) | (place >= n), axis=1, bitorder="little").view("<u8").ravel()
+        counter = [np.full(len(over), full if start >> p & 1 else 0, np.uint64) for p in range(depth)]
         for b in range(64):
             if b % 4 == 0 and not (alive := over != full).all():
-                query, word, once, twice, over = query[alive], word[alive], once[alive], twice[alive], over[alive]
+                query, word, over = query[alive], word[alive], over[alive]
+                counter = [c[alive] for c in counter]
             if not len(query):
                 break
-            differ = planes[b][word] ^ (np.uint64(0) - (values[query] >> np.uint64(b) & np.uint64(1)))
-            carry = once & differ
-            once ^= differ
-            over |= twice & carry
-            twice ^= carry
-            over |= twice & once if radius == 2 else twice if radius == 1 else twice | once
+            carry = planes[b][word] ^ (np.uint64(0) - (values[query] >> np.uint64(b) & np.uint64(1)))
+            for p in range(depth):
+                counter[p], carry = counter[p] ^ carry, counter[p] & carry
+            over |= carry
         near = np.unpackbits((~over).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         block, bit = np.nonzero(near)
         yield query[block], word[block] * 64 + bit
@@ -163,10 +199,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(groups, "fp", "left").select(F.col("id").alias(id_col), "fp", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2) -> DataFrame:
-    """docs without all but the smallest id of each group; all columns stay."""
-    found = near_duplicates(docs, id_col, text_col, words, radius)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    gone = cut(gone, "gone")
+def sketches_udf(words: int):
+    @F.pandas_udf("fp long, sketch binary, bands array<long>")
+    def sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            rows = []
+            for text in batch:
+                value, least = sketch(text, words)
+                bands = [xxhash.xxh64_intdigest(least[k : k + BAND].tobytes(), k) for k in range(0, SKETCH, BAND)]
+                rows.append((value, (least >> np.uint64(24)).astype(np.uint8).tobytes(), np.array(bands, np.uint64).view(np.int64)))
+            out = pd.DataFrame(rows, columns=["fp", "sketch", "bands"])
+            yield out.assign(fp=out["fp"].astype("uint64").astype("int64"))
+
+    return sketches
+
+
+def link_similar(similarity: float):
+    """Links of a pack: near fingerprints, bit-sliced, whose sketches agree in the share that the similarity calls for."""
+
+    def forest(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("rep").sort_values("rep", ignore_index=True)
+        rep, values = rows["rep"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), SKETCH)
+        root, least = np.arange(len(rep)), (similarity * 255 + 1) / 256 * SKETCH
+        for i, j in close_pairs(values, WIDE):
+            for k in range(0, len(i), CHUNK):
+                a, b = i[k : k + CHUNK], j[k : k + CHUNK]
+                same = (sketches[a] == sketches[b]).sum(axis=1) >= least
+                unite(root, a[same], b[same])
+        return pd.DataFrame({"a": rep, "b": rep[root]})[root != np.arange(len(rep))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, last = [], None
+        for pdf in batches:
+            for tile, part in pdf.groupby("_tile", sort=False):
+                if tile != last and sum(map(len, held)) >= PACK:
+                    yield forest(pd.concat(held))
+                    held = []
+                last = tile
+                held.append(part)
+        if held:
+            yield forest(pd.concat(held))
+
+    return run
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(id, component_id) over pairs whose shingle sets are similar, where the fingerprint's radius alone is too narrow.
+
+    Texts meet in a bucket if a band of their sketches agrees (0.998 of pairs at similarity 0.8, more above it); there
+    fingerprints are compared bit-sliced within WIDE bits and near ones by their sketches.
+    """
+    small_batches(docs.sparkSession)
+    made = docs.select(F.col(id_col).alias("id"), sketches_udf(words)(utf8(text_col)).alias("s"))
+    rows = cut(made.select("id", "s.fp", "s.sketch", "s.bands"), "sketches")
+    classes = rows.groupBy("fp", "sketch").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    classes = cut(classes.where("rep is not null"), "texts")
+    keys = classes.select("rep", "fp", "sketch", F.posexplode("bands").alias("band", "key"))
+    dealt = tiles(keys, ["band", "key"], F.xxhash64("rep"), block).select("_tile", "rep", "fp", "sketch")
+    edges = dealt.repartition("_tile").sortWithinPartitions("_tile").mapInPandas(link_similar(similarity), "a long, b long")
+    joined = components(edges)
+    groups = classes.join(joined, F.col("rep") == F.col("id"), "left").select("fp", "sketch", F.coalesce("component", "rep").alias("component_id"))
+    return rows.join(cut(groups, "groups"), ["fp", "sketch"], "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without all but the smallest id of each group of similar texts; all columns stay."""
+    found = similar_documents(docs, id_col, text_col, words, similarity)
+    gone = cut(found.where("id <> component_id").select(F.col("id").alias("_gone")).distinct(), "gone")
     kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
     return kept.dropDuplicates([id_col]) if has_repeated_ids(docs, id_col) else kept
