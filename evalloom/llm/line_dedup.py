@@ -2,8 +2,8 @@
 
 A line's tokens are its distinct words. Tokens are ordered by rarity: how many tokens of all distinct lines share their
 hash bucket, of BUCKETS buckets, so the table that is looked up has the same size at any scale and reaches the tasks as a
-literal; ties keep a fixed order by hash. Lines that are similar share a token among their rarest, so only those prefixes are joined, under a length and a
-positional filter; candidates are verified on whole token sets. A line is removed if an earlier one (by id, then line
+literal; ties keep a fixed order by hash. Lines that are similar share a token among their rarest, so only those prefixes are joined, under a length, a
+positional and a bit filter; candidates are verified on whole token sets. A line is removed if an earlier one (by id, then line
 number) equals it or reaches the similarity.
 
 Equal lines are one class before the join. Order keys may collide; that can add candidates but never lose one, and
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.shared import cut
 
-BUCKETS = 16_384
+BUCKETS = 1 << 18
 #: The similarity as a fraction, so that bounds are whole numbers.
 SIMILARITY = (4, 5)
 BLANKS = " \t\x0b\x0c\r"
@@ -49,36 +49,41 @@ def bucket(h: Column) -> Column:
     return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
-def rarity_classes(classes: DataFrame) -> Column:
-    """An array literal of BUCKETS numbers: an eighth of a power of two for each bucket's tokens over all distinct lines."""
+def rarity_table(classes: DataFrame) -> bytearray:
+    """One letter for each bucket, a third of a power of two of the tokens that all distinct lines have in it."""
     each = classes.select(F.explode(tokens()).alias("t")).groupBy(bucket(F.xxhash64("t")).alias("b")).count()
-    found = dict(each.select("b", F.floor(F.log2("count") * 8).cast("int")).collect())
-    return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<bigint>")
+    full = classes.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(each, "b", "left")
+    letter = F.char(F.lit(33) + F.least(F.lit(93), F.floor(F.log2(F.coalesce(F.col("count"), F.lit(0)) + 1) * 3)))
+    in_order = F.sort_array(F.collect_list(F.struct("b", letter.alias("c"))))
+    return bytearray(full.agg(F.array_join(F.transform(in_order, lambda x: x["c"]), "").alias("t")).first()[0].encode())
 
 
 def prefixes(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(key, place, at, n): the rarest tokens of each line, as many as similar lines must share one of."""
+    """(key, place, at, n, parity): the rarest tokens of each line, as many as similar lines must share one of."""
     num, den = similarity
-    rarity = rarity_classes(classes)
-    rank = lambda h: F.shiftleft(F.get(rarity, bucket(h)), 54).bitwiseOR(F.shiftrightunsigned(h, 10))
-    keys = F.sort_array(F.transform(tokens(), lambda t: rank(F.xxhash64(t))))
-    rows = classes.select("at", keys.alias("keys")).withColumn("n", F.size("keys").cast("long"))
+    table = F.lit(rarity_table(classes))
+    rank = lambda h: F.shiftleft(F.ascii(F.substring(table, bucket(h) + 1, F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    hashed = classes.select("at", F.transform(tokens(), lambda t: F.xxhash64(t)).alias("h"))
+    parity = F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))))
+    rows = hashed.select("at", F.sort_array(F.transform("h", rank)).alias("keys"), parity.alias("parity"), F.size("h").cast("long").alias("n"))
     first = F.slice("keys", F.lit(1), (F.col("n") - ceil_div(F.col("n") * num, den) + 1).cast("int"))
     alone = F.array(F.xxhash64("keys"))  # so short that only equal sets are similar
-    return rows.select("at", "n", F.posexplode(F.when(F.col("n") * den < (F.col("n") + 1) * num, alone).otherwise(first)).alias("place", "key"))
+    return rows.select("at", "n", "parity", F.posexplode(F.when(F.col("n") * den < (F.col("n") + 1) * num, alone).otherwise(first)).alias("place", "key"))
 
 
 def similar_lines(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(a, b): positions a < b of distinct lines whose token sets reach the similarity."""
     num, den = similarity
     rows = prefixes(classes, similarity)
-    a = rows.select("key", F.col("at").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    b = rows.select("key", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    a = rows.select("key", F.col("at").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("parity").alias("xa"))
+    b = rows.select("key", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("parity").alias("xb"))
     least = ceil_div((F.col("na") + F.col("nb")) * num, num + den)
     lengths = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     places = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least
+    #: Each token that only one line has flips one bit, so lines that share `least` tokens differ in few bits.
+    bits = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + 2 * least <= F.col("na") + F.col("nb")
     short = F.least("na", "nb") * den < (F.least("na", "nb") + 1) * num
-    pairs = cut(a.join(b, "key").where((F.col("a") < F.col("b")) & lengths & (places | short)).select("a", "b").distinct(), "pairs")
+    pairs = cut(a.join(b, "key").where((F.col("a") < F.col("b")) & lengths & bits & (places | short)).select("a", "b").distinct(), "pairs")
     left = classes.select(F.col("at").alias("a"), F.col("line").alias("line_a"))
     right = classes.select(F.col("at").alias("b"), F.col("line").alias("line_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", tokens("line_a").alias("x"), tokens("line_b").alias("y"))
