@@ -34,7 +34,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents of smaller sources up to twice; every document stays at least once."""
-    return mixing.mix(docs, repetitions=2.0).select(*docs.columns)
+    return mixing.mix(docs, repetitions=2.0, details=False)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.shared import cut, small_batches
+from evalloom.llm.shared import cut, free_name, small_batches
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -151,8 +151,8 @@ def leak_column(spark, text: Column, items: list[tuple], min_match: int, coverag
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS, into: str = "_leak") -> DataFrame:
-    """docs with a column `into`: struct(n_items, item_id, coverage)."""
-    spark = docs.sparkSession
+    """docs with a column `into`, a name that docs doesn't have: struct(n_items, item_id, coverage)."""
+    spark, second = docs.sparkSession, free_name(docs, f"{into}2")
     small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -163,11 +163,11 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         if b == 0:
             docs = docs.withColumn(into, one)
         else:
-            docs = cut(docs.withColumn(f"{into}2", one), "leaks")
-            old, new = F.col(into), F.col(f"{into}2")
+            docs = cut(docs.withColumn(second, one), "leaks")
+            old, new = F.col(into), F.col(second)
             better = (new["coverage"] > old["coverage"]) | ((new["coverage"] == old["coverage"]) & (new["item_id"] < old["item_id"]))
             best = F.when(better, new).otherwise(old)
-            docs = docs.withColumn(into, F.struct((old["n_items"] + new["n_items"]).alias("n_items"), best["item_id"].alias("item_id"), best["coverage"].alias("coverage"))).drop(f"{into}2")
+            docs = docs.withColumn(into, F.struct((old["n_items"] + new["n_items"]).alias("n_items"), best["item_id"].alias("item_id"), best["coverage"].alias("coverage"))).drop(second)
     return docs
 
 
@@ -179,4 +179,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """docs without those that hold a benchmark item; all columns stay."""
-    return with_leaks(docs, benchmark, text_col, **how).where("_leak.n_items = 0").drop("_leak")
+    leak = free_name(docs, "_leak")
+    return with_leaks(docs, benchmark, text_col, into=leak, **how).where(F.col(leak)["n_items"] == 0).drop(leak)

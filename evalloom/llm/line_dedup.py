@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.shared import cut
+from evalloom.llm.shared import cut, free_name
 
 BUCKETS = 1 << 18
 #: The similarity as a fraction, so that bounds are whole numbers.
@@ -113,8 +113,8 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """docs without the removed lines; all columns stay, ids must tell rows apart."""
-    gone = judge_lines(docs, id_col, text_col, similarity).where("removed").groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    lines = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
-    both = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    return both.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("_id", "_gone")
+    own, places = free_name(docs, "_id"), free_name(docs, "_gone")
+    gone = judge_lines(docs, id_col, text_col, similarity).where("removed").groupBy(F.col(id_col).alias(own)).agg(F.collect_set("line_no").alias(places))
+    kept = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x, i: ~F.array_contains(places, i))
+    both = docs.join(gone, F.col(id_col).eqNullSafe(F.col(own)), "left")
+    return both.withColumn(text_col, F.when(F.col(places).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop(own, places)

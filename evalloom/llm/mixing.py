@@ -7,7 +7,8 @@ fit. Without a budget the total is the least that takes every source in whole on
 
 Defined cases: a document counts as its words, at least 1. A null source is a source of its own and a null id hashes like
 any value. Rows that repeat an id share a block. One source gets weight 1. An empty table gives an empty result; other
-columns pass. Nothing but sources and their blocks is ever joined with the documents.
+columns pass. Nothing but sources
+and their blocks is ever joined with the documents.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.llm.shared import cut
+from evalloom.llm.shared import cut, free_name
 
 BLOCKS = 256
 #: Sections of the exponent's interval in a round, and rounds: (1/64)**6 is below 2e-11.
@@ -84,13 +85,18 @@ def permuted_blocks(blocks: DataFrame, shares: DataFrame) -> DataFrame:
     return rows.where("epoch <= full or upto <= rest").select("source", "block", "epoch", "place")
 
 
-def mix(docs: DataFrame, repetitions: float | None = None, entropy: float | None = None, total: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS) -> DataFrame:
-    """docs, each row once for every epoch that takes its block, with _mix_tokens, _mix_epoch, _mix_block and _mix_place."""
+def mix(docs: DataFrame, repetitions: float | None = None, entropy: float | None = None, total: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS, details: bool = True) -> DataFrame:
+    """docs, each row once for every epoch that takes its block.
+
+    With details _mix_tokens, _mix_epoch, _mix_block and _mix_place are added, in place of columns of these names.
+    """
     sized = docs.select(F.col(source_col).cast("string").alias("source"), block_of(id_col, blocks).alias("block"), doc_tokens(text_col).alias("tokens"))
     table = cut(sized.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
     sources = cut(table.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sources")
     plan = cut(permuted_blocks(table, budgets(sources, exponent(sources, repetitions, entropy), total)), "plan")
-    plan = plan.select(F.col("source").alias("_mix_source"), F.col("block").alias("_mix_block"), F.col("epoch").alias("_mix_epoch"), F.col("place").alias("_mix_place"))
-    rows = docs.withColumn("_mix_tokens", doc_tokens(text_col)).withColumn("_mix_own", block_of(id_col, blocks))
-    on = F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_own") == F.col("_mix_block"))
-    return rows.join(plan, on).drop("_mix_own", "_mix_source")
+    own, source, block, epoch, place = (free_name(docs, f"_mix_{x}") for x in ("own", "source", "block", "epoch", "place"))
+    plan = plan.select(F.col("source").alias(source), F.col("block").alias(block), F.col("epoch").alias(epoch), F.col("place").alias(place))
+    joined = docs.withColumn(own, block_of(id_col, blocks)).join(plan, F.col(source_col).cast("string").eqNullSafe(F.col(source)) & (F.col(own) == F.col(block))).drop(own, source)
+    if not details:
+        return joined.select(*docs.columns)
+    return joined.withColumns({"_mix_tokens": doc_tokens(text_col), "_mix_block": F.col(block), "_mix_epoch": F.col(epoch), "_mix_place": F.col(place)})

@@ -54,6 +54,14 @@ def utf8(column: str) -> Column:
     return F.col(column).cast("string").cast("binary")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """base, or base with a number if df has such a column."""
+    taken, name, k = {c.lower() for c in df.columns}, base, 0
+    while name.lower() in taken:
+        name, k = f"{base}{k}", k + 1
+    return name
+
+
 def has_repeated_ids(df: DataFrame, id_col: str) -> bool:
     """Whether ids are null or occur twice. Reads the id column alone."""
     odd = df.groupBy(F.col(id_col).alias("id")).count().where("count > 1 or id is null")

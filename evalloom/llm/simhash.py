@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.forest import unite
-from evalloom.llm.shared import components, cut, has_repeated_ids, small_batches, tiles, utf8
+from evalloom.llm.shared import components, cut, free_name, has_repeated_ids, small_batches, tiles, utf8
 
 #: Fingerprints in a tile's block, and in what a task compares at once at least.
 BLOCK = 256
@@ -266,6 +266,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but the smallest id of each group of similar texts; all columns stay."""
     found = similar_documents(docs, id_col, text_col, words, similarity)
-    gone = cut(found.where("id <> component_id").select(F.col("id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = cut(found.where("id <> component_id").select(F.col("id").alias(free_name(docs, "_gone"))).distinct(), "gone")
+    kept = docs.join(gone, F.col(id_col) == F.col(gone.columns[0]), "left_anti")
     return kept.dropDuplicates([id_col]) if has_repeated_ids(docs, id_col) else kept
