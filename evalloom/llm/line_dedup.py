@@ -84,11 +84,13 @@ def similar_lines(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     bits = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + 2 * least <= F.col("na") + F.col("nb")
     short = F.least("na", "nb") * den < (F.least("na", "nb") + 1) * num
     pairs = cut(a.join(b, "key").where((F.col("a") < F.col("b")) & lengths & bits & (places | short)).select("a", "b").distinct(), "pairs")
-    left = classes.select(F.col("at").alias("a"), F.col("line").alias("line_a"))
-    right = classes.select(F.col("at").alias("b"), F.col("line").alias("line_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", tokens("line_a").alias("x"), tokens("line_b").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * (num + den) >= (F.size("x") + F.size("y")) * num).select("a", "b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct()
+    wanted = cut(classes.select("at", "line").join(ends, "at", "left_semi"), "candidates")
+    left = wanted.select(F.col("at").alias("a"), F.col("line").alias("line_a"))
+    right = wanted.select(F.col("at").alias("b"), F.col("line").alias("line_b"))
+    sets = F.array(F.struct(tokens("line_a").alias("x"), tokens("line_b").alias("y")))  # bound once, so each line is split once
+    enough = F.transform(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) * (num + den) >= (F.size(s["x"]) + F.size(s["y"])) * num)
+    return pairs.join(left, "a").join(right, "b").where(F.get(enough, F.lit(0))).select("a", "b")
 
 
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
