@@ -66,10 +66,14 @@ def words(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Distinct runs of n tokens, joined by spaces."""
-    last = F.size(tokens) - n + 1
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(last > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of n tokens, joined by spaces. The tokens are bound once, so they aren't made anew for every run."""
+
+    def runs(t: Column) -> Column:
+        last = F.size(t) - n + 1
+        found = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(last > 0, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.array(tokens), runs))
 
 
 def jaccard(a: Column, b: Column) -> Column:
