@@ -49,48 +49,56 @@ def bucket(h: Column) -> Column:
     return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
-def rarity_table(classes: DataFrame) -> bytearray:
-    """One letter for each bucket, a third of a power of two of the tokens that all distinct lines have in it."""
+def rarity_table(classes: DataFrame) -> Column:
+    """A literal array: for each bucket, thirds of a power of two of the tokens that all distinct lines have in it."""
     each = classes.select(F.explode(tokens()).alias("t")).groupBy(bucket(F.xxhash64("t")).alias("b")).count()
     full = classes.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(each, "b", "left")
     letter = F.char(F.lit(33) + F.least(F.lit(93), F.floor(F.log2(F.coalesce(F.col("count"), F.lit(0)) + 1) * 3)))
     in_order = F.sort_array(F.collect_list(F.struct("b", letter.alias("c"))))
-    return bytearray(full.agg(F.array_join(F.transform(in_order, lambda x: x["c"]), "").alias("t")).first()[0].encode())
+    letters = full.agg(F.array_join(F.transform(in_order, lambda x: x["c"]), "").alias("t")).first()[0]
+    return F.from_json(F.lit("[" + ",".join(str(ord(c) - 33) for c in letters) + "]"), "array<bigint>")
 
 
 def prefixes(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(key, place, at, n, parity): the rarest tokens of each line, as many as similar lines must share one of."""
+    """(key, cid, spot, parity): the rarest tokens of each line, as many as similar lines must share one of.
+
+    spot holds the line's number of tokens and, in the lower 32 bits, the token's place among them.
+    """
     num, den = similarity
-    table = F.lit(rarity_table(classes))
-    rank = lambda h: F.shiftleft(F.ascii(F.substring(table, bucket(h) + 1, F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    hashed = classes.select("at", F.transform(tokens(), lambda t: F.xxhash64(t)).alias("h"))
-    parity = F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))))
-    rows = hashed.select("at", F.sort_array(F.transform("h", rank)).alias("keys"), parity.alias("parity"), F.size("h").cast("long").alias("n"))
+    table = rarity_table(classes)
+    rank = lambda h: F.shiftleft(F.get(table, bucket(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    ranked = classes.select("cid", F.sort_array(F.transform(F.transform(tokens(), lambda t: F.xxhash64(t)), rank)).alias("keys"))
+    flip = lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
+    #: Never null, so no filter for nulls in the join makes the tokens again.
+    parity = F.coalesce(F.aggregate("keys", F.lit(0).cast("long"), flip), F.lit(0).cast("long"))
+    rows = ranked.select("cid", "keys", parity.alias("parity"), F.size("keys").cast("long").alias("n"))
     first = F.slice("keys", F.lit(1), (F.col("n") - ceil_div(F.col("n") * num, den) + 1).cast("int"))
     alone = F.array(F.xxhash64("keys"))  # so short that only equal sets are similar
-    return rows.select("at", "n", "parity", F.posexplode(F.when(F.col("n") * den < (F.col("n") + 1) * num, alone).otherwise(first)).alias("place", "key"))
+    out = rows.select("cid", "n", "parity", F.posexplode(F.when(F.col("n") * den < (F.col("n") + 1) * num, alone).otherwise(first)).alias("place", "key"))
+    return out.select("key", "cid", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("spot"), "parity")
 
 
 def similar_lines(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b): positions a < b of distinct lines whose token sets reach the similarity."""
+    """(a, b, a_first): numbers of distinct lines whose token sets reach the similarity, and which comes first."""
     num, den = similarity
     rows = prefixes(classes, similarity)
-    a = rows.select("key", F.col("at").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("parity").alias("xa"))
-    b = rows.select("key", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("parity").alias("xb"))
-    least = ceil_div((F.col("na") + F.col("nb")) * num, num + den)
-    lengths = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-    places = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least
+    a = rows.select("key", F.col("cid").alias("a"), F.col("spot").alias("sa"), F.col("parity").alias("xa"))
+    b = rows.select("key", F.col("cid").alias("b"), F.col("spot").alias("sb"), F.col("parity").alias("xb"))
+    na, nb = F.shiftright("sa", 32), F.shiftright("sb", 32)
+    pa, pb = (F.col(c).bitwiseAND(F.lit(2**32 - 1)) for c in ("sa", "sb"))
+    least = ceil_div((na + nb) * num, num + den)
+    lengths = F.least(na, nb) * den >= F.greatest(na, nb) * num
+    places = F.least(na - pa, nb - pb) >= least
     #: Each token that only one line has flips one bit, so lines that share `least` tokens differ in few bits.
-    bits = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + 2 * least <= F.col("na") + F.col("nb")
-    short = F.least("na", "nb") * den < (F.least("na", "nb") + 1) * num
+    bits = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + 2 * least <= na + nb
+    short = F.least(na, nb) * den < (F.least(na, nb) + 1) * num
     pairs = cut(a.join(b, "key").where((F.col("a") < F.col("b")) & lengths & bits & (places | short)).select("a", "b").distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct()
-    wanted = cut(classes.select("at", "line").join(ends, "at", "left_semi"), "candidates")
-    left = wanted.select(F.col("at").alias("a"), F.col("line").alias("line_a"))
-    right = wanted.select(F.col("at").alias("b"), F.col("line").alias("line_b"))
+    #: Both sides read one shuffle of the lines.
+    left = classes.select(F.col("cid").alias("a"), F.col("line").alias("line_a"), F.col("at").alias("at_a"))
+    right = classes.select(F.col("cid").alias("b"), F.col("line").alias("line_b"), F.col("at").alias("at_b"))
     sets = F.array(F.struct(tokens("line_a").alias("x"), tokens("line_b").alias("y")))  # bound once, so each line is split once
     enough = F.transform(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) * (num + den) >= (F.size(s["x"]) + F.size(s["y"])) * num)
-    return pairs.join(left, "a").join(right, "b").where(F.get(enough, F.lit(0))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(F.get(enough, F.lit(0))).select("a", "b", (F.col("at_a") < F.col("at_b")).alias("a_first"))
 
 
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -100,11 +108,11 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lines = split_lines(docs, id_col, text_col)
     classes = lines.where("line <> ''").groupBy("line").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"))
-    classes = cut(classes, "lines")
-    links = cut(similar_lines(classes, similarity), "similar")
-    ends = links.select(F.col("a").alias("at"), F.lit(False).alias("late")).union(links.select(F.col("b").alias("at"), F.lit(True).alias("late")))
-    linked = ends.groupBy("at").agg(F.count(F.lit(1)).alias("n_links"), F.max("late").alias("late"))
-    known = classes.select("at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(9), "line").alias("h2"), "copies").join(linked, "at", "left").where("copies > 1 or n_links is not null")
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "lines", "zstd")
+    links = cut(similar_lines(classes, similarity), "similar", "zstd")
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), (~F.col("a_first")).alias("late")), F.struct(F.col("b").alias("cid"), F.col("a_first").alias("late")))).alias("end")).select("end.*")
+    linked = ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"), F.max("late").alias("late"))
+    known = classes.select("cid", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(9), "line").alias("h2"), "copies").join(linked, "cid", "left").where("copies > 1 or n_links is not null")
     known = cut(known.select("h1", "h2", F.col("at").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("late", F.lit(False)).alias("late")), "known")
     words = F.col("line") != ""
     plain = lines.select("id", "line_no", "at", "h1", "h2", words.alias("words"))
