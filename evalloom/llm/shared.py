@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold while texts are in it; bounds a Python worker's memory.
 TEXT_BATCH = 256
+#: Spark's setting that removes a query's shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dirs: dict[str, str] = {}
 
@@ -36,10 +38,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def cut(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """Writes df once to the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
-    path = new_path(df.sparkSession, tag)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df once to the shared folder and reads it back: lineage ends there and lost executors cost nothing.
+
+    Nothing reads the write's shuffle files once it has ended, so Spark is told to remove them then.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, tag), spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
