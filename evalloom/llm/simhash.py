@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,12 @@ PACK = 512
 #: Shingles whose bits are counted at once.
 CHUNK = 16_384
 SEED = 42
-#: For a given similarity: bins of a sketch, and how many of them make up a bucket's key.
-SKETCH, BAND = 120, 6
+#: For a given similarity: least hashes of a sketch, and how many of them make up a bucket's key.
+SKETCH, BAND = 120, 5
+#: Standard errors by which a candidate's sketches may agree less than the similarity calls for.
+MARGIN = 4.5
+#: Odd factors, one for each least hash of a sketch.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (SKETCH, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bits in which fingerprints of similar texts may differ; at similarity 0.8 about 8 do.
 WIDE = 20
 
@@ -71,19 +76,17 @@ def fingerprint(text: bytes | None, words: int) -> int:
     return majority(counts, n)
 
 
-def sketch(text: bytes | None, words: int) -> tuple[int, np.ndarray]:
-    """(fingerprint, SKETCH least hashes): the shingles are dealt to SKETCH bins; an empty bin borrows from the next that isn't."""
-    counts, n, least = np.zeros(64, np.int64), 0, np.full(SKETCH, ~np.uint64(0))
-    for h in shingle_hashes(text, words):
-        counts += bit_counts(h)
-        n += len(h)
-        np.minimum.at(least, (h % np.uint64(SKETCH)).astype(np.int64), h)
-    filled = np.flatnonzero(least != ~np.uint64(0))
-    if len(filled):
-        bins = np.arange(SKETCH)
-        at = filled[np.searchsorted(filled, bins) % len(filled)]
-        least = least[at] + ((at - bins) % SKETCH).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return majority(counts, n), least
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """The text's distinct shingle hashes in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
+def sketch(text: bytes | None, words: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(fingerprint, distinct shingle hashes, the least product of them with each of FACTORS)."""
+    own, least = shingle_set(text, words), np.full(SKETCH, ~np.uint64(0))
+    for k in range(0, len(own), CHUNK // 16):
+        least = np.minimum(least, (own[k : k + CHUNK // 16] * FACTORS).min(axis=1))
+    return fingerprint(text, words), own, least
 
 
 def fingerprints_udf(words: int):
@@ -200,34 +203,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def sketches_udf(words: int):
-    @F.pandas_udf("fp long, sketch binary, bands array<long>")
+    @F.pandas_udf("node long, fp long, sketch binary, bands array<long>")
     def sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows = []
             for text in batch:
-                value, least = sketch(text, words)
+                value, own, least = sketch(text, words)
                 bands = [xxhash.xxh64_intdigest(least[k : k + BAND].tobytes(), k) for k in range(0, SKETCH, BAND)]
-                rows.append((value, (least >> np.uint64(24)).astype(np.uint8).tobytes(), np.array(bands, np.uint64).view(np.int64)))
-            out = pd.DataFrame(rows, columns=["fp", "sketch", "bands"])
-            yield out.assign(fp=out["fp"].astype("uint64").astype("int64"))
+                node = xxhash.xxh3_64_intdigest(own.tobytes(), SEED)
+                rows.append((node, value, (least >> np.uint64(24)).astype(np.uint8).tobytes(), np.array(bands, np.uint64).view(np.int64)))
+            out = pd.DataFrame(rows, columns=["node", "fp", "sketch", "bands"])
+            yield out.assign(node=out["node"].astype("uint64").astype("int64"), fp=out["fp"].astype("uint64").astype("int64"))
 
     return sketches
 
 
-def link_similar(similarity: float):
-    """Links of a pack: near fingerprints, bit-sliced, whose sketches agree in the share that the similarity calls for."""
+def least_agreement(similarity: float) -> float:
+    """How many bytes of two sketches agree at least where texts are that similar, but for MARGIN standard errors."""
+    share = (similarity * 255 + 1) / 256
+    return share * SKETCH - MARGIN * (share * (1 - share) * SKETCH) ** 0.5
+
+
+def link_candidates(similarity: float):
+    """Candidate links of a pack: near fingerprints, bit-sliced, whose sketches agree in nearly the share that the similarity calls for."""
 
     def forest(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("rep").sort_values("rep", ignore_index=True)
-        rep, values = rows["rep"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
+        node, values = rows["node"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
         sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), SKETCH)
-        root, least = np.arange(len(rep)), (similarity * 255 + 1) / 256 * SKETCH
+        root, least = np.arange(len(node)), least_agreement(similarity)
         for i, j in close_pairs(values, WIDE):
             for k in range(0, len(i), CHUNK):
                 a, b = i[k : k + CHUNK], j[k : k + CHUNK]
                 same = (sketches[a] == sketches[b]).sum(axis=1) >= least
                 unite(root, a[same], b[same])
-        return pd.DataFrame({"a": rep, "b": rep[root]})[root != np.arange(len(rep))]
+        return pd.DataFrame({"a": node, "b": node[root]})[root != np.arange(len(node))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, last = [], None
@@ -244,28 +254,88 @@ def link_similar(similarity: float):
     return run
 
 
+def similar_sets(sets: list[np.ndarray], similarity: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of sets of hashes, none empty, whose exact Jaccard similarity is `similarity` or more."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, own = np.concatenate(([0], np.cumsum(sizes))), np.zeros(len(values), bool)
+    p, q = similarity.numerator, similarity.denominator
+    for i in range(len(sets) - 1):
+        mine = place[starts[i] : starts[i + 1]]
+        own[mine] = True
+        both = np.add.reduceat(own[place[starts[i + 1] :]], starts[i + 1 : -1] - starts[i + 1], dtype=np.int64)
+        own[mine] = False
+        j = np.flatnonzero(both * (p + q) >= p * (sizes[i] + sizes[i + 1 :])) + i + 1
+        yield np.full(len(j), i), j
+
+
+def link_verified(words: int, similarity: float):
+    """Links of each tile whose texts' whole shingle sets are similar enough, as a spanning forest."""
+    exact = Fraction(str(similarity))
+
+    def forest(nodes: list, texts: list) -> pd.DataFrame:
+        node, first = np.unique(np.array(nodes, np.int64), return_index=True)
+        root = np.arange(len(node))
+        if len(node) > 1:
+            for i, j in similar_sets([shingle_set(texts[k], words) for k in first], exact):
+                unite(root, i, j)
+        return pd.DataFrame({"a": node, "b": node[root]})[root != np.arange(len(node))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes, texts, last, made = [], [], None, []
+        for pdf in batches:
+            tile = pdf["_tile"].to_numpy()
+            cuts = np.flatnonzero(np.diff(tile)) + 1
+            for s, e in itertools.pairwise([0, *cuts.tolist(), len(tile)]):
+                if s == e:
+                    continue
+                if tile[s] != last and nodes:
+                    made.append(forest(nodes, texts))
+                    nodes, texts = [], []
+                last = tile[s]
+                for node, text in zip(pdf["node"].iloc[s:e], pdf["text"].iloc[s:e], strict=True):
+                    if not nodes or node != nodes[-1]:  # rows that repeat an id and a text come once
+                        nodes.append(node)
+                        texts.append(text)
+            if made:
+                yield pd.concat(made)
+                made = []
+        if nodes:
+            yield forest(nodes, texts)
+
+    return run
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """(id, component_id) over pairs whose shingle sets are similar, where the fingerprint's radius alone is too narrow.
+    """(id, text_hash, group) of each row: rows of one group are joined by pairs whose distinct shingles are similar.
 
-    Texts meet in a bucket if a band of their sketches agrees (0.998 of pairs at similarity 0.8, more above it); there
-    fingerprints are compared bit-sliced within WIDE bits and near ones by their sketches.
+    Texts with one set of shingles are a node, the hash of that set. Nodes meet in a bucket if a band of their sketches
+    agrees (0.9999 of pairs at similarity 0.8, more above it); there fingerprints are compared bit-sliced within WIDE bits
+    and near ones by their sketches, MARGIN standard errors below the similarity. That only finds candidates: all pairs
+    of nodes joined by them are then judged on their whole sets of shingles, and only true pairs are links.
     """
     small_batches(docs.sparkSession)
-    made = docs.select(F.col(id_col).alias("id"), sketches_udf(words)(utf8(text_col)).alias("s"))
-    rows = cut(made.select("id", "s.fp", "s.sketch", "s.bands"), "sketches")
-    classes = rows.groupBy("fp", "sketch").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    classes = cut(classes.where("rep is not null"), "texts")
-    keys = classes.select("rep", "fp", "sketch", F.posexplode("bands").alias("band", "key"))
-    dealt = tiles(keys, ["band", "key"], F.xxhash64("rep"), block).select("_tile", "rep", "fp", "sketch")
-    edges = dealt.repartition("_tile").sortWithinPartitions("_tile").mapInPandas(link_similar(similarity), "a long, b long")
-    joined = components(edges)
-    groups = classes.join(joined, F.col("rep") == F.col("id"), "left").select("fp", "sketch", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(cut(groups, "groups"), ["fp", "sketch"], "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), utf8(text_col).alias("text"))
+    made = own.select("id", "text_hash", sketches_udf(words)("text").alias("s"))
+    rows = cut(made.select("id", "text_hash", "s.node", "s.fp", "s.sketch", "s.bands"), "sketches")
+    classes = rows.groupBy("node").agg(F.min(F.struct("text_hash", "id")).alias("rep"), *[F.first(c).alias(c) for c in ("fp", "sketch", "bands")])
+    classes = cut(classes, "texts")
+    keys = classes.select("node", "fp", "sketch", F.posexplode("bands").alias("band", "key"))
+    dealt = tiles(keys, ["band", "key"], F.xxhash64("node"), block).select("_tile", "node", "fp", "sketch")
+    edges = dealt.repartition("_tile").sortWithinPartitions("_tile").mapInPandas(link_candidates(similarity), "a long, b long")
+    joined = cut(components(edges), "candidates").withColumnRenamed("id", "node")
+    asked = joined.join(classes.select("node", "rep"), "node")
+    dealt = cut(tiles(asked, ["component"], F.xxhash64("node"), block).select("_tile", "node", F.col("rep.id").alias("_id"), F.col("rep.text_hash").alias("_hash")), "asked")
+    texts = own.join(dealt, (F.col("text_hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("_tile", "node", "text")
+    edges = texts.repartition("_tile").sortWithinPartitions("_tile", "node").mapInPandas(link_verified(words, similarity), "a long, b long")
+    groups = components(edges).withColumnRenamed("id", "node")
+    return rows.select("id", "text_hash", "node").join(groups, "node", "left").select("id", "text_hash", F.coalesce("component", "node").alias("group"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but the smallest id of each group of similar texts; all columns stay."""
-    found = similar_documents(docs, id_col, text_col, words, similarity)
-    gone = cut(found.where("id <> component_id").select(F.col("id").alias(free_name(docs, "_gone"))).distinct(), "gone")
+    found = cut(similar_documents(docs, id_col, text_col, words, similarity), "groups")
+    least = found.groupBy("group").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    gone = cut(found.join(least, "group").where("id <> least").select(F.col("id").alias(free_name(docs, "_gone"))).distinct(), "gone")
     kept = docs.join(gone, F.col(id_col) == F.col(gone.columns[0]), "left_anti")
     return kept.dropDuplicates([id_col]) if has_repeated_ids(docs, id_col) else kept

@@ -213,6 +213,40 @@ def test_similar_texts_go_and_others_stay(spark):
     assert kept == {2 * k for k in range(40)} | {1000 + k for k in range(40)}
 
 
+def five_shingles(text):
+    w = (text or "").split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def groups_by_brute_force(rows):
+    """Smallest id over links of pairs with Jaccard 0.8 or more, in whole numbers."""
+    sets, root = {k: five_shingles(x) for k, x in rows}, {k: k for k, _ in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
+                x, y = root[a], root[b]
+                root = {k: min(x, y) if r in (x, y) else r for k, r in root.items()}
+    return root
+
+
+def test_near_duplicates_are_verified_on_whole_sets(spark):
+    rng = np.random.default_rng(5)
+    words, rows = [f"w{k}" for k in range(20_000)], []
+    for n, shared in [(100, m) for m in range(76, 91)] * 4 + [(10, m) for m in (6, 7, 8, 9)] * 8 + [(5, 4), (5, 3)] * 4:
+        text = rng.choice(words, n + 4, replace=False).tolist()
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text[: shared + 4]))]
+    text = rng.choice(words, 204, replace=False).tolist()
+    rows += [(len(rows) + k, " ".join(text[12 * k : 12 * k + 104])) for k in range(8)]  # a chain of pairs under the threshold
+    rows += [(len(rows) + k, " ".join(text[9 * k : 9 * k + 104])) for k in range(8)]  # and one of pairs above it
+    root = groups_by_brute_force(rows)
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {k for k in root if root[k] == k}
+    few = [(k, x) for k, x in rows if k < 40]
+    found = simhash.similar_documents(spark.createDataFrame(few + [(1000, rows[0][1])], "doc_id long, text string"), block=1)
+    group = {r["id"]: r["group"] for r in found.collect()}
+    assert group[1000] == group[0] and all((group[a] == group[b]) == (root[a] == root[b]) for a, _ in few for b, _ in few)
+
+
 # 5
 
 
