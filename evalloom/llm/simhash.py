@@ -29,8 +29,9 @@ from evalloom.llm.shared import components, cut, free_name, has_repeated_ids, sm
 #: Fingerprints in a tile's block, and in what a task compares at once at least.
 BLOCK = 256
 PACK = 512
-#: Shingles whose bits are counted at once.
+#: Shingles whose bits are counted at once, and those that a sketch takes at once.
 CHUNK = 16_384
+PART = 1024
 SEED = 42
 #: For a given similarity: least hashes of a sketch, and how many of them make up a bucket's key.
 SKETCH, BAND = 120, 5
@@ -38,8 +39,8 @@ SKETCH, BAND = 120, 5
 MARGIN = 4.5
 #: Odd factors, one for each least hash of a sketch.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (SKETCH, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bits in which fingerprints of similar texts may differ; at similarity 0.8 about 8 do.
-WIDE = 20
+#: Bits in which fingerprints of distinct shingles may differ; at similarity 0.8 about 10 do, with a standard error of 3.
+WIDE = 26
 
 
 def shingle_hashes(text: bytes | None, words: int) -> Iterator[np.ndarray]:
@@ -82,11 +83,13 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
 
 
 def sketch(text: bytes | None, words: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(fingerprint, distinct shingle hashes, the least product of them with each of FACTORS)."""
-    own, least = shingle_set(text, words), np.full(SKETCH, ~np.uint64(0))
-    for k in range(0, len(own), CHUNK // 16):
-        least = np.minimum(least, (own[k : k + CHUNK // 16] * FACTORS).min(axis=1))
-    return fingerprint(text, words), own, least
+    """(fingerprint of the distinct shingles, their hashes, the least product of them with each of FACTORS)."""
+    own, least, counts = shingle_set(text, words), np.full(SKETCH, ~np.uint64(0)), np.zeros(64, np.int64)
+    for k in range(0, len(own), PART):
+        part = own[k : k + PART]
+        counts += bit_counts(part)
+        least = np.minimum(least, (part * FACTORS).min(axis=1))
+    return majority(counts, len(own)), own, least
 
 
 def fingerprints_udf(words: int):

@@ -247,6 +247,21 @@ def test_near_duplicates_are_verified_on_whole_sets(spark):
     assert group[1000] == group[0] and all((group[a] == group[b]) == (root[a] == root[b]) for a, _ in few for b, _ in few)
 
 
+def test_repeated_lines_do_not_part_texts_with_one_set_of_shingles(spark):
+    rng = np.random.default_rng(6)
+    words, rows, far = [f"w{k}" for k in range(20_000)], [], []
+    for k in range(40):
+        text = rng.choice(words, 200, replace=False).tolist()
+        many = text[:19] * 20 + text[19:]
+        assert len(five_shingles(" ".join(text)) ^ five_shingles(" ".join(many))) == 4
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(many))]
+        a, b = (simhash.sketch(x.encode(), 5)[0] for _, x in rows[-2:])
+        far.append(bin(a ^ b).count("1"))
+    assert max(far) <= simhash.WIDE
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {2 * k for k in range(40)}
+
+
 # 5
 
 
