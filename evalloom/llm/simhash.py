@@ -8,7 +8,8 @@ comparisons is abandoned as soon as all its words have exceeded the radius. What
 
 Defined cases: a null, empty or blank text has fingerprint zero and links like any other; a text of fewer words than a
 shingle is one shingle. Equal fingerprints are one class before the comparison. A null id never represents a group that
-has another id. Rows that repeat an id keep one row of it. An empty table gives an empty result; other columns pass.
+has another id. Where near copies are dropped, rows with a null or repeated id are rows of their own, judged by their
+texts. An empty table gives an empty result; other columns pass.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.forest import unite
-from evalloom.llm.shared import components, cut, free_name, has_repeated_ids, small_batches, tiles, utf8
+from evalloom.llm.shared import components, cut, free_name, small_batches, tiles, utf8
 
 #: Fingerprints in a tile's block, and in what a task compares at once at least.
 BLOCK = 256
@@ -336,9 +337,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without all but the smallest id of each group of similar texts; all columns stay."""
+    """docs without all but one row of each group of similar texts: the smallest id, nulls last, then the smallest hash
+    of the text, and any one of rows that repeat both. Rows without a similar text all stay, as do all columns.
+    """
     found = cut(similar_documents(docs, id_col, text_col, words, similarity), "groups")
-    least = found.groupBy("group").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    gone = cut(found.join(least, "group").where("id <> least").select(F.col("id").alias(free_name(docs, "_gone"))).distinct(), "gone")
-    kept = docs.join(gone, F.col(id_col) == F.col(gone.columns[0]), "left_anti")
-    return kept.dropDuplicates([id_col]) if has_repeated_ids(docs, id_col) else kept
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
+    least = found.groupBy("group").agg(first.alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    gone = found.join(least, "group").where(~stays).select(F.col("id").alias(free_name(docs, "_gone")), F.col("text_hash").alias(free_name(docs, "_gone_text")))
+    gone, at = cut(gone.distinct(), "gone"), free_name(docs, "_text_hash")
+    own = docs.withColumn(at, F.xxhash64(F.col(text_col).cast("string")))
+    kept = own.join(gone, F.col(id_col).eqNullSafe(F.col(gone.columns[0])) & (F.col(at) == F.col(gone.columns[1])), "left_anti")
+    repeated = found.groupBy("id", "text_hash").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates([id_col, at]) if repeated else kept).drop(at)

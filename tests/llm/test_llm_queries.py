@@ -262,6 +262,16 @@ def test_repeated_lines_do_not_part_texts_with_one_set_of_shingles(spark):
     assert {r["doc_id"] for r in kept.collect()} == {2 * k for k in range(40)}
 
 
+def test_rows_with_null_or_repeated_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(7)
+    text = [" ".join(rng.choice([f"w{k}" for k in range(5000)], 50)) for _ in range(12)]
+    rows = [(None, t, str(k)) for k, t in enumerate(text[:6])] + [(None, text[0], "0"), (1, text[1], "near"), (2, text[6], "a"), (2, text[7], "b"), (2, text[7], "b"), (3, text[8], "c"), (3, text[7] + " more", "d"), (4, None, "e"), (None, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text_hash string")
+    kept = simhash.drop_near_duplicates(df)
+    want = [(None, text[k], str(k)) for k in (0, 2, 3, 4, 5)] + [(1, text[1], "near"), (2, text[6], "a"), (2, text[7], "b"), (3, text[8], "c"), (4, None, "e")]
+    assert kept.columns == df.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+
+
 # 5
 
 
