@@ -324,13 +324,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = cut(made.select("id", "text_hash", "s.node", "s.fp", "s.sketch", "s.bands"), "sketches")
     classes = rows.groupBy("node").agg(F.min(F.struct("text_hash", "id")).alias("rep"), *[F.first(c).alias(c) for c in ("fp", "sketch", "bands")])
     classes = cut(classes, "texts")
-    keys = classes.select("node", "fp", "sketch", F.posexplode("bands").alias("band", "key"))
-    dealt = tiles(keys, ["band", "key"], F.xxhash64("node"), block).select("_tile", "node", "fp", "sketch")
+    keys = classes.select("node", F.explode("bands").alias("key"))
+    dealt = tiles(keys, ["key"], F.xxhash64("node"), block).select("_tile", "node")
+    dealt = dealt.join(classes.select("node", "fp", "sketch"), "node").select("_tile", "node", "fp", "sketch")
     edges = dealt.repartition("_tile").sortWithinPartitions("_tile").mapInPandas(link_candidates(similarity), "a long, b long")
     joined = cut(components(edges), "candidates").withColumnRenamed("id", "node")
     asked = joined.join(classes.select("node", "rep"), "node")
     dealt = cut(tiles(asked, ["component"], F.xxhash64("node"), block).select("_tile", "node", F.col("rep.id").alias("_id"), F.col("rep.text_hash").alias("_hash")), "asked")
-    texts = own.join(dealt, (F.col("text_hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("_tile", "node", "text")
+    texts = own.join(dealt.hint("merge"), (F.col("text_hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("_tile", "node", "text")
     edges = texts.repartition("_tile").sortWithinPartitions("_tile", "node").mapInPandas(link_verified(words, similarity), "a long, b long")
     groups = components(edges).withColumnRenamed("id", "node")
     return rows.select("id", "text_hash", "node").join(groups, "node", "left").select("id", "text_hash", F.coalesce("component", "node").alias("group"))
@@ -342,11 +343,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = cut(similar_documents(docs, id_col, text_col, words, similarity), "groups")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
-    least = found.groupBy("group").agg(first.alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    least = cut(found.groupBy("group").agg(first.alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "least")
     stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("text_hash") == F.col("least.text_hash"))
     gone = found.join(least, "group").where(~stays).select(F.col("id").alias(free_name(docs, "_gone")), F.col("text_hash").alias(free_name(docs, "_gone_text")))
     gone, at = cut(gone.distinct(), "gone"), free_name(docs, "_text_hash")
     own = docs.withColumn(at, F.xxhash64(F.col(text_col).cast("string")))
-    kept = own.join(gone, F.col(id_col).eqNullSafe(F.col(gone.columns[0])) & (F.col(at) == F.col(gone.columns[1])), "left_anti")
+    kept = own.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(gone.columns[0])) & (F.col(at) == F.col(gone.columns[1])), "left_anti")
     repeated = found.groupBy("id", "text_hash").count().where("count > 1").limit(1).count()
     return (kept.dropDuplicates([id_col, at]) if repeated else kept).drop(at)
