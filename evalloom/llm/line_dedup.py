@@ -2,31 +2,42 @@
 
 A line's tokens are its distinct words. Tokens are ordered by rarity: how many tokens of all distinct lines share their
 hash bucket, of BUCKETS buckets, so the table that is looked up has the same size at any scale and reaches the tasks as a
-literal; ties keep a fixed order by hash. Lines that are similar share a token among their rarest, so only those prefixes are joined, under a length, a
-positional and a bit filter; candidates are verified on whole token sets. A line is removed if an earlier one (by id, then line
+literal; ties keep a fixed order by hash. Lines that are similar share a token among their rarest, so only those prefixes
+meet. A semi join under a length, a positional and a bit filter leaves the lines that have a candidate at a token; it
+makes at most a row for each token of a prefix. These lines are dealt to tiles by token (a hot token to many tiles), and a
+tile counts each line's links in its own arrays: a pair is verified on its whole sets of words, at the first token that
+both prefixes share and nowhere else. No pair is ever a row. A line is removed if an earlier one (by id, then line
 number) equals it or reaches the similarity.
 
 Equal lines are one class before the join. Order keys may collide; that can add candidates but never lose one, and
 verification compares the words themselves.
 
 Defined cases: a null text has no lines; lines without words are kept and linked with nothing. A null id comes after all
-others. Rows that repeat an id are ordered by id and line number only. Lines of any length take part whole. An empty
-table gives an empty result; other columns are ignored.
+others. Rows that repeat an id are ordered by id and line number only: nothing else tells an earlier row from a later
+one, so of lines with one id, number and text none goes. Lines of any length take part whole. An empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.shared import cut, free_name
+from evalloom.llm.shared import cut, free_name, tiles
 
 BUCKETS = 1 << 18
 #: The similarity as a fraction, so that bounds are whole numbers.
 SIMILARITY = (4, 5)
 BLANKS = " \t\x0b\x0c\r"
-#: Line numbers stay below this in the order of lines.
+#: Blanks that part words besides a single space.
+ODD = ("  ", "\t", "\x0b", "\x0c", "\r")
+#: Line numbers stay below this in the order of lines, which starts from the smallest id there can be.
 LINES = 1 << 31
+LOWEST = 1 << 63
+#: Lines of a tile's block.
+BLOCK = 512
 
 
 def ceil_div(a: Column, b: int) -> Column:
@@ -37,12 +48,19 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, line, h1, h2, at): at orders lines by id and number; the two hashes stand for the line, 128 bits."""
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
     out = out.withColumn("line", F.btrim("line", F.lit(BLANKS)))
-    last = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
-    return out.select("id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(9), "line").alias("h2"), (last * F.lit(LINES).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)").alias("at"))
+    place = F.coalesce(F.col("id").cast("decimal(20,0)"), number(LOWEST)) + number(LOWEST)
+    return out.select("id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(9), "line").alias("h2"), (place * number(LINES) + F.col("line_no")).cast("decimal(38,0)").alias("at"))
+
+
+def number(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(20,0)")
 
 
-def tokens(line: str = "line") -> Column:
-    return F.array_distinct(F.split(F.col(line), r"[\x20\x09-\x0D]+"))
+def words(line: str = "line") -> Column:
+    """A trimmed line's words. Splitting at single spaces is cheaper than at a pattern, so lines with other blanks go apart."""
+    text = F.col(line)
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in ODD])
+    return F.when(odd, F.split(text, r"[\x20\x09-\x0D]+")).otherwise(F.split(text, " "))
 
 
 def bucket(h: Column) -> Column:
@@ -50,8 +68,8 @@ def bucket(h: Column) -> Column:
 
 
 def rarity_table(classes: DataFrame) -> Column:
-    """A literal array: for each bucket, thirds of a power of two of the tokens that all distinct lines have in it."""
-    each = classes.select(F.explode(tokens()).alias("t")).groupBy(bucket(F.xxhash64("t")).alias("b")).count()
+    """A literal array: for each bucket, thirds of a power of two of the words that all distinct lines have in it."""
+    each = classes.select(F.explode(words()).alias("t")).groupBy(bucket(F.xxhash64("t")).alias("b")).count()
     full = classes.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(each, "b", "left")
     letter = F.char(F.lit(33) + F.least(F.lit(93), F.floor(F.log2(F.coalesce(F.col("count"), F.lit(0)) + 1) * 3)))
     in_order = F.sort_array(F.collect_list(F.struct("b", letter.alias("c"))))
@@ -59,17 +77,21 @@ def rarity_table(classes: DataFrame) -> Column:
     return F.from_json(F.lit("[" + ",".join(str(ord(c) - 33) for c in letters) + "]"), "array<bigint>")
 
 
-def prefixes(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(key, cid, spot, parity): the rarest tokens of each line, as many as similar lines must share one of.
+def order_key(table: Column, h: Column) -> Column:
+    """A word's place in the order of rarity, from its hash."""
+    return F.shiftleft(F.get(table, bucket(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+
+def prefixes(classes: DataFrame, table: Column, similarity: tuple[int, int]) -> DataFrame:
+    """(key, cid, spot, parity): the rarest words of each line, as many as similar lines must share one of.
 
-    spot holds the line's number of tokens and, in the lower 32 bits, the token's place among them.
+    spot holds the line's number of words and, in the lower 32 bits, the word's place among them.
     """
     num, den = similarity
-    table = rarity_table(classes)
-    rank = lambda h: F.shiftleft(F.get(table, bucket(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    ranked = classes.select("cid", F.sort_array(F.transform(F.transform(tokens(), lambda t: F.xxhash64(t)), rank)).alias("keys"))
+    hashes = F.array_distinct(F.transform(words(), lambda t: F.xxhash64(t)))
+    ranked = classes.select("cid", F.sort_array(F.transform(hashes, lambda h: order_key(table, h))).alias("keys"))
     flip = lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
-    #: Never null, so no filter for nulls in the join makes the tokens again.
+    #: Never null, so no filter for nulls in the join makes the words again.
     parity = F.coalesce(F.aggregate("keys", F.lit(0).cast("long"), flip), F.lit(0).cast("long"))
     rows = ranked.select("cid", "keys", parity.alias("parity"), F.size("keys").cast("long").alias("n"))
     first = F.slice("keys", F.lit(1), (F.col("n") - ceil_div(F.col("n") * num, den) + 1).cast("int"))
@@ -78,27 +100,65 @@ def prefixes(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return out.select("key", "cid", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("spot"), "parity")
 
 
-def similar_lines(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b, a_first): numbers of distinct lines whose token sets reach the similarity, and which comes first."""
+def may_link(spot_a: Column, spot_b: Column, parity_a: Column, parity_b: Column, similarity: tuple[int, int]) -> Column:
+    """The length, positional and bit filters of two lines that meet at a word."""
     num, den = similarity
-    rows = prefixes(classes, similarity)
-    a = rows.select("key", F.col("cid").alias("a"), F.col("spot").alias("sa"), F.col("parity").alias("xa"))
-    b = rows.select("key", F.col("cid").alias("b"), F.col("spot").alias("sb"), F.col("parity").alias("xb"))
-    na, nb = F.shiftright("sa", 32), F.shiftright("sb", 32)
-    pa, pb = (F.col(c).bitwiseAND(F.lit(2**32 - 1)) for c in ("sa", "sb"))
+    na, nb = F.shiftright(spot_a, 32), F.shiftright(spot_b, 32)
+    pa, pb = (x.bitwiseAND(F.lit(2**32 - 1)) for x in (spot_a, spot_b))
     least = ceil_div((na + nb) * num, num + den)
     lengths = F.least(na, nb) * den >= F.greatest(na, nb) * num
-    places = F.least(na - pa, nb - pb) >= least
-    #: Each token that only one line has flips one bit, so lines that share `least` tokens differ in few bits.
-    bits = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + 2 * least <= na + nb
     short = F.least(na, nb) * den < (F.least(na, nb) + 1) * num
-    pairs = cut(a.join(b, "key").where((F.col("a") < F.col("b")) & lengths & bits & (places | short)).select("a", "b").distinct(), "pairs")
-    #: Both sides read one shuffle of the lines.
-    left = classes.select(F.col("cid").alias("a"), F.col("line").alias("line_a"), F.col("at").alias("at_a"))
-    right = classes.select(F.col("cid").alias("b"), F.col("line").alias("line_b"), F.col("at").alias("at_b"))
-    sets = F.array(F.struct(tokens("line_a").alias("x"), tokens("line_b").alias("y")))  # bound once, so each line is split once
-    enough = F.transform(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) * (num + den) >= (F.size(s["x"]) + F.size(s["y"])) * num)
-    return pairs.join(left, "a").join(right, "b").where(F.get(enough, F.lit(0))).select("a", "b", (F.col("at_a") < F.col("at_b")).alias("a_first"))
+    #: Each word that only one line has flips one bit, so lines that share `least` words differ in few bits.
+    bits = F.bit_count(parity_a.bitwiseXOR(parity_b)) + 2 * least <= na + nb
+    return lengths & bits & ((F.least(na - pa, nb - pb) >= least) | short)
+
+
+def with_candidates(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The rows of prefixes that another line's row passes all filters with, at the same key."""
+    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "spot", "parity")])
+    near = (F.col("cid") != F.col("cid_b")) & may_link(F.col("spot"), F.col("spot_b"), F.col("parity"), F.col("parity_b"), similarity)
+    return rows.join(other.hint("merge"), (rows["key"] == other["key"]) & near, "left_semi")
+
+
+def count_links(members: Column, others: Column, similarity: tuple[int, int]) -> Column:
+    """array<struct<cid, n, late>>: how many of `others` each member is similar to, and whether one of them is earlier."""
+    num, den = similarity
+
+    def similar(x: Column, y: Column) -> Column:
+        near = (x["cid"] != y["cid"]) & may_link(x["spot"], y["spot"], x["parity"], y["parity"], similarity)
+        first = ~F.arrays_overlap(x["before"], y["before"])  # else the pair has met at a rarer word
+        return near & first & (F.size(F.array_intersect(x["words"], y["words"])) * (num + den) >= (F.size(x["words"]) + F.size(y["words"])) * num)
+
+    def links(x: Column) -> Column:
+        none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(False).alias("late"))
+        step = lambda acc, y: F.when(similar(x, y), F.struct((acc["n"] + 1).alias("n"), (acc["late"] | (y["at"] < x["at"])).alias("late"))).otherwise(acc)
+        return F.struct(x["cid"].alias("cid"), F.aggregate(others, none, step).alias("found"))
+
+    return F.filter(F.transform(members, links), lambda x: x["found"]["n"] > 0)
+
+
+def similar_lines(classes: DataFrame, similarity: tuple[int, int], block: int = BLOCK) -> DataFrame:
+    """(cid, n_links, late): how many distinct lines reach the similarity with each line, and whether one of them comes first."""
+    table = rarity_table(classes)
+    live = cut(with_candidates(prefixes(classes, table, similarity), similarity), "candidates")
+    dealt = tiles(live, ["key"], F.xxhash64("cid"), block).select("cid", F.struct("key", "spot", "parity", "_lo", "_hi", "_block").alias("seat"))
+    asked = dealt.groupBy("cid").agg(F.collect_list("seat").alias("seats"))
+    #: A line's words once, the rarest first, as a text whose words are parted by single spaces.
+    by_rarity = F.sort_array(F.transform(F.array_distinct(words()), lambda w: F.struct(order_key(table, F.xxhash64(w)).alias("key"), w.alias("word"))))
+    lines = asked.hint("merge").join(classes.select("cid", "line", "at"), "cid").select("cid", "at", "seats", F.array_join(F.transform(by_rarity, lambda x: x["word"]), " ").alias("text"))
+    seats = lines.select("cid", "at", "text", F.explode("seats").alias("seat")).select("seat.*", F.struct("cid", "at", "text", "seat.spot", "seat.parity").alias("m"))
+    left, right = F.when(F.col("_block") == F.col("_lo"), F.col("m")), F.when((F.col("_block") == F.col("_hi")) & (F.col("_lo") < F.col("_hi")), F.col("m"))
+    held = seats.groupBy("key", "_lo", "_hi").agg(F.collect_list(left).alias("left"), F.collect_list(right).alias("right"))
+
+    def split(m: Column) -> Column:
+        own = F.split(m["text"], " ")
+        return F.struct(m["cid"].alias("cid"), m["at"].alias("at"), m["spot"].alias("spot"), m["parity"].alias("parity"), own.alias("words"), F.slice(own, F.lit(1), m["spot"].bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias("before"))
+
+    #: Bound once, so that each line is split once in a tile.
+    tile = F.array(F.struct(F.transform("left", split).alias("a"), F.transform("right", split).alias("b")))
+    counted = F.flatten(F.transform(tile, lambda t: F.when(F.size(t["b"]) > 0, F.concat(count_links(t["a"], t["b"], similarity), count_links(t["b"], t["a"], similarity))).otherwise(count_links(t["a"], t["a"], similarity))))
+    found = held.select(F.explode(counted).alias("x")).select("x.cid", "x.found.n", "x.found.late")
+    return found.groupBy("cid").agg(F.sum("n").alias("n_links"), F.max("late").alias("late"))
 
 
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -109,16 +169,16 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = split_lines(docs, id_col, text_col)
     classes = lines.where("line <> ''").groupBy("line").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "lines", "zstd")
-    links = cut(similar_lines(classes, similarity), "similar", "zstd")
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), (~F.col("a_first")).alias("late")), F.struct(F.col("b").alias("cid"), F.col("a_first").alias("late")))).alias("end")).select("end.*")
-    linked = ends.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"), F.max("late").alias("late"))
+    linked = cut(similar_lines(classes, similarity), "linked", "zstd")
     known = classes.select("cid", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(9), "line").alias("h2"), "copies").join(linked, "cid", "left").where("copies > 1 or n_links is not null")
     known = cut(known.select("h1", "h2", F.col("at").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("late", F.lit(False)).alias("late")), "known")
     words = F.col("line") != ""
     plain = lines.select("id", "line_no", "at", "h1", "h2", words.alias("words"))
     out = plain.join(known, ["h1", "h2"], "left").withColumn("first", F.when(F.col("words"), F.coalesce("first", "at")))
-    whole = F.floor(F.col("first") / F.lit(LINES)).cast("decimal(20,0)")
-    return out.select(F.col("id").alias(id_col), "line_no", F.when(whole < F.lit(str(2**63)).cast("decimal(20,0)"), whole).cast("long").alias("first_id"), (F.col("first") % F.lit(LINES)).cast("int").alias("first_line_no"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("late") | (F.col("first") < F.col("at")), F.lit(False)).alias("removed"))
+    place = F.col("first") % number(LINES)
+    whole = ((F.col("first") - place) / number(LINES)).cast("decimal(20,0)") - number(LOWEST)
+    first_id = F.when(whole < number(LOWEST), whole).cast("long")
+    return out.select(F.col("id").alias(id_col), "line_no", first_id.alias("first_id"), place.cast("int").alias("first_line_no"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("late") | (F.col("first") < F.col("at")), F.lit(False)).alias("removed"))
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
