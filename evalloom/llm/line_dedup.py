@@ -83,82 +83,101 @@ def order_key(table: Column, h: Column) -> Column:
 
 
 def prefixes(classes: DataFrame, table: Column, similarity: tuple[int, int]) -> DataFrame:
-    """(key, cid, spot, parity): the rarest words of each line, as many as similar lines must share one of.
+    """(key, cid, spot, parity, prev): the rarest words of each line, as many as similar lines must share one of.
 
-    spot holds the line's number of words and, in the lower 32 bits, the word's place among them.
+    spot holds the line's number of words and, in the lower 32 bits, the word's place among them; prev is the key before it.
     """
     num, den = similarity
     hashes = F.array_distinct(F.transform(words(), lambda t: F.xxhash64(t)))
     ranked = classes.select("cid", F.sort_array(F.transform(hashes, lambda h: order_key(table, h))).alias("keys"))
     flip = lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
-    #: Never null, so no filter for nulls in the join makes the words again.
-    parity = F.coalesce(F.aggregate("keys", F.lit(0).cast("long"), flip), F.lit(0).cast("long"))
+    parity = F.aggregate("keys", F.lit(0).cast("long"), flip)
     rows = ranked.select("cid", "keys", parity.alias("parity"), F.size("keys").cast("long").alias("n"))
     first = F.slice("keys", F.lit(1), (F.col("n") - ceil_div(F.col("n") * num, den) + 1).cast("int"))
     alone = F.array(F.xxhash64("keys"))  # so short that only equal sets are similar
-    out = rows.select("cid", "n", "parity", F.posexplode(F.when(F.col("n") * den < (F.col("n") + 1) * num, alone).otherwise(first)).alias("place", "key"))
-    return out.select("key", "cid", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("spot"), "parity")
+    chosen = rows.select("cid", "n", "parity", F.when(F.col("n") * den < (F.col("n") + 1) * num, alone).otherwise(first).alias("keys"))
+    out = chosen.select("cid", "n", "parity", F.posexplode(F.arrays_zip("keys", F.concat(F.array(F.lit(0).cast("long")), "keys").alias("prev"))).alias("place", "at")).where("at.keys is not null")
+    #: cid and parity as expressions, so that both sides of a self-join have one plan and read one shuffle, and never null,
+    #: so that no filter for nulls makes the words again.
+    return out.select(F.col("at.keys").alias("key"), F.coalesce("cid", F.lit(-1)).alias("cid"), F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("spot"), F.coalesce("parity", F.lit(0)).alias("parity"), F.col("at.prev").alias("prev"))
 
 
-def may_link(spot_a: Column, spot_b: Column, parity_a: Column, parity_b: Column, similarity: tuple[int, int]) -> Column:
-    """The length, positional and bit filters of two lines that meet at a word."""
+def place_of(spot: Column) -> Column:
+    return spot.bitwiseAND(F.lit(2**32 - 1))
+
+
+def may_link(a: dict[str, Column], b: dict[str, Column], similarity: tuple[int, int]) -> Column:
+    """The filters of two lines that meet at a word: not met at the word before it in both, length, bits, position."""
     num, den = similarity
-    na, nb = F.shiftright(spot_a, 32), F.shiftright(spot_b, 32)
-    pa, pb = (x.bitwiseAND(F.lit(2**32 - 1)) for x in (spot_a, spot_b))
-    least = ceil_div((na + nb) * num, num + den)
-    lengths = F.least(na, nb) * den >= F.greatest(na, nb) * num
+    na, nb = F.shiftright(a["spot"], 32), F.shiftright(b["spot"], 32)
+    pa, pb = place_of(a["spot"]), place_of(b["spot"])
+    new = (a["prev"] != b["prev"]) | (pa == 0) | (pb == 0)
+    lengths = (na * den >= nb * num) & (nb * den >= na * num)
+    #: Each word that only one line has flips one bit, so lines that share many words differ in few bits.
+    bits = (na + nb - F.bit_count(a["parity"].bitwiseXOR(b["parity"]))) * (num + den) >= (na + nb) * (2 * num)
     short = F.least(na, nb) * den < (F.least(na, nb) + 1) * num
-    #: Each word that only one line has flips one bit, so lines that share `least` words differ in few bits.
-    bits = F.bit_count(parity_a.bitwiseXOR(parity_b)) + 2 * least <= na + nb
-    return lengths & bits & ((F.least(na - pa, nb - pb) >= least) | short)
+    return new & lengths & bits & ((F.least(na - pa, nb - pb) * (num + den) >= (na + nb) * num) | short)
 
 
 def with_candidates(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The rows of prefixes that another line's row passes all filters with, at the same key."""
-    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "spot", "parity")])
-    near = (F.col("cid") != F.col("cid_b")) & may_link(F.col("spot"), F.col("spot_b"), F.col("parity"), F.col("parity_b"), similarity)
-    return rows.join(other.hint("merge"), (rows["key"] == other["key"]) & near, "left_semi")
+    seat = ("cid", "spot", "parity", "prev")
+    one, other = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in seat]) for side in "ab")
+    a, b = ({c: F.col(f"{c}_{side}") for c in seat} for side in "ab")
+    found = one.join(other.hint("merge"), (one["key"] == other["key"]) & (a["cid"] != b["cid"]) & may_link(a, b, similarity), "left_semi")
+    return found.select("key", *[F.col(f"{c}_a").alias(c) for c in seat])
+
 
+def count_links(tile: Column, similarity: tuple[int, int]) -> Column:
+    """array<struct<cid, n, late>> of a tile's lines with links: how many each has, and whether one leads to an earlier line.
 
-def count_links(members: Column, others: Column, similarity: tuple[int, int]) -> Column:
-    """array<struct<cid, n, late>>: how many of `others` each member is similar to, and whether one of them is earlier."""
+    A tile has lines a and b, which are all compared across, or lines a alone, which are compared among themselves.
+    """
     num, den = similarity
+    across = F.size(tile["b"]) > 0
 
-    def similar(x: Column, y: Column) -> Column:
-        near = (x["cid"] != y["cid"]) & may_link(x["spot"], y["spot"], x["parity"], y["parity"], similarity)
+    def link(x: Column, y: Column) -> Column:
+        """0 for none, 1 if y is earlier, 2 if x is."""
         first = ~F.arrays_overlap(x["before"], y["before"])  # else the pair has met at a rarer word
-        return near & first & (F.size(F.array_intersect(x["words"], y["words"])) * (num + den) >= (F.size(x["words"]) + F.size(y["words"])) * num)
+        enough = F.size(F.array_intersect(x["words"], y["words"])) * (num + den) >= (F.size(x["words"]) + F.size(y["words"])) * num
+        return F.when(may_link(x, y, similarity) & (x["cid"] != y["cid"]) & first & enough, F.when(y["at"] < x["at"], 1).otherwise(2)).otherwise(0)
+
+    def counted(x: Column, own: Column, late: int) -> Column:
+        return F.struct(x["cid"].alias("cid"), F.size(F.array_remove(own, 0)).alias("n"), F.array_contains(own, late).alias("late"))
+
+    def compare(t: Column) -> Column:
+        rows = F.transform(t["a"], lambda x, i: F.transform(t["b"], lambda y, j: F.when(across | (i < j), link(x, y)).otherwise(0)))
+        return F.transform(F.array(F.struct(t["a"].alias("a"), t["b"].alias("b"), rows.alias("rows"))), ends)[0]
 
-    def links(x: Column) -> Column:
-        none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(False).alias("late"))
-        step = lambda acc, y: F.when(similar(x, y), F.struct((acc["n"] + 1).alias("n"), (acc["late"] | (y["at"] < x["at"])).alias("late"))).otherwise(acc)
-        return F.struct(x["cid"].alias("cid"), F.aggregate(others, none, step).alias("found"))
+    def ends(t: Column) -> Column:
+        left = F.transform(t["a"], lambda x, i: counted(x, F.get(t["rows"], i), 1))
+        right = F.transform(t["b"], lambda y, j: counted(y, F.transform(t["rows"], lambda row: F.get(row, j)), 2))
+        return F.filter(F.concat(left, right), lambda x: x["n"] > 0)
 
-    return F.filter(F.transform(members, links), lambda x: x["found"]["n"] > 0)
+    return compare({"a": tile["a"], "b": F.when(across, tile["b"]).otherwise(tile["a"])})
 
 
 def similar_lines(classes: DataFrame, similarity: tuple[int, int], block: int = BLOCK) -> DataFrame:
     """(cid, n_links, late): how many distinct lines reach the similarity with each line, and whether one of them comes first."""
     table = rarity_table(classes)
     live = cut(with_candidates(prefixes(classes, table, similarity), similarity), "candidates")
-    dealt = tiles(live, ["key"], F.xxhash64("cid"), block).select("cid", F.struct("key", "spot", "parity", "_lo", "_hi", "_block").alias("seat"))
+    dealt = tiles(live, ["key"], F.xxhash64("cid"), block).select("cid", F.struct("key", "spot", "parity", "prev", "_lo", "_hi", "_block").alias("seat"))
     asked = dealt.groupBy("cid").agg(F.collect_list("seat").alias("seats"))
     #: A line's words once, the rarest first, as a text whose words are parted by single spaces.
     by_rarity = F.sort_array(F.transform(F.array_distinct(words()), lambda w: F.struct(order_key(table, F.xxhash64(w)).alias("key"), w.alias("word"))))
     lines = asked.hint("merge").join(classes.select("cid", "line", "at"), "cid").select("cid", "at", "seats", F.array_join(F.transform(by_rarity, lambda x: x["word"]), " ").alias("text"))
-    seats = lines.select("cid", "at", "text", F.explode("seats").alias("seat")).select("seat.*", F.struct("cid", "at", "text", "seat.spot", "seat.parity").alias("m"))
+    seats = lines.select("cid", "at", "text", F.explode("seats").alias("seat")).select("seat.*", F.struct("cid", "at", "text", "seat.spot", "seat.parity", "seat.prev").alias("m"))
     left, right = F.when(F.col("_block") == F.col("_lo"), F.col("m")), F.when((F.col("_block") == F.col("_hi")) & (F.col("_lo") < F.col("_hi")), F.col("m"))
     held = seats.groupBy("key", "_lo", "_hi").agg(F.collect_list(left).alias("left"), F.collect_list(right).alias("right"))
 
     def split(m: Column) -> Column:
         own = F.split(m["text"], " ")
-        return F.struct(m["cid"].alias("cid"), m["at"].alias("at"), m["spot"].alias("spot"), m["parity"].alias("parity"), own.alias("words"), F.slice(own, F.lit(1), m["spot"].bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias("before"))
+        return F.struct(m["cid"].alias("cid"), m["at"].alias("at"), m["spot"].alias("spot"), m["parity"].alias("parity"), m["prev"].alias("prev"), own.alias("words"), F.slice(own, F.lit(1), place_of(m["spot"]).cast("int")).alias("before"))
 
     #: Bound once, so that each line is split once in a tile.
     tile = F.array(F.struct(F.transform("left", split).alias("a"), F.transform("right", split).alias("b")))
-    counted = F.flatten(F.transform(tile, lambda t: F.when(F.size(t["b"]) > 0, F.concat(count_links(t["a"], t["b"], similarity), count_links(t["b"], t["a"], similarity))).otherwise(count_links(t["a"], t["a"], similarity))))
-    found = held.select(F.explode(counted).alias("x")).select("x.cid", "x.found.n", "x.found.late")
-    return found.groupBy("cid").agg(F.sum("n").alias("n_links"), F.max("late").alias("late"))
+    found = held.select(F.explode(F.flatten(F.transform(tile, lambda t: count_links(t, similarity)))).alias("x")).select("x.*")
+    return found.groupBy("cid").agg(F.sum("n").cast("long").alias("n_links"), F.max("late").alias("late"))
 
 
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
