@@ -52,6 +52,11 @@ def cut(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lowers the rows in an Arrow batch, since a row can be a very long text. Leaves a lower setting alone."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

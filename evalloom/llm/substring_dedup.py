@@ -1,21 +1,25 @@
 """Substring dedup: words covered by a window of WIDTH words that also starts elsewhere are removed.
 
-A window's anchor is its smallest hash of GRAM consecutive words, the first one on ties, so equal windows have equal
-anchors. Windows that follow each other with one anchor are a segment; an entry is (anchor, hash of all the segment's
-words), which is 128 bits. The index is log-structured: a batch of documents becomes an immutable run of entries sorted
-by (anchor, hash) with their counts; two runs of one level are merged to one of the next; documents are merge-joined
-with the runs. A segment that occurs twice settles all its windows. Where an anchor has different segments, the windows
-themselves are compared, one copy of each segment, by (anchor, hash of the window's words).
+A window's fingerprint is its anchor: its smallest hash of GRAM consecutive words, the first one on ties, so equal windows
+have equal anchors. Windows that follow each other with one anchor are a segment, and a segment is an entry of the index:
+(anchor, 128-bit digest of the segment's words). The index is log-structured. A batch of documents is cut into segments
+once; they are merge-joined with the immutable runs of history, which lie in order of (anchor, digest), and matches are
+verified: two segments are the same only if the digests of their words agree, and where an anchor has different segments
+the windows themselves are compared, one copy of each segment, by the digest of their words. What a batch repeats is
+marked in the batch and, where it is news to them, in documents of history. Then the batch becomes a run, and two runs of
+one level are merged to one of the next. Judging batches one by one marks the same windows as judging all at once.
 
 Defined cases: words are runs of anything but space and U+0009 to U+000D; a null text has none, and texts of fewer words
-than WIDTH lose nothing. Rows that repeat, exact copies too, are occurrences of their own. Ids may be null or repeat; a
-row is then known by its id and text. Other columns are ignored; an empty table gives an empty result. A text is read
-whole; a worker holds the word numbers of one batch of texts.
+than WIDTH lose nothing. Rows that repeat, exact copies too, are occurrences of their own. Ids may be null, repeat or be
+no whole numbers; rows are then numbered in a written copy. Other columns are ignored; an empty table gives an empty
+result. A text is read whole; besides one text a worker holds the word numbers of PACK bytes of texts.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,14 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.shared import cut, has_repeated_ids, new_path, small_batches, utf8
+from evalloom.llm.shared import cut, exists, has_repeated_ids, new_path, small_batches, utf8
 
 WIDTH = 35
 GRAM = 6
 #: Batches that a whole table is indexed in.
 BATCHES = 2
-#: Entries in a worker's dictionary of words.
+#: Entries in a worker's dictionary of words, and bytes of texts whose words are numbered at once.
 CACHE = 400_000
+PACK = 1 << 22
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
 
@@ -53,10 +58,12 @@ class Windows:
 
     def __init__(self, texts: list[bytes | None], words: WordIds, width: int, gram: int):
         split = [(x or b"").split() for x in texts]
+        self.joined = b" ".join(w for x in split for w in x)
         self.width, self.lengths = width, np.array([len(x) for x in split], np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.lengths)))
         n = int(self.first[-1])
         ids = np.fromiter((words[w] for x in split for w in x), np.uint64, n)
+        self.bytes = np.concatenate(([0], np.cumsum(np.fromiter((len(w) + 1 for x in split for w in x), np.int64, n))))
         self.down = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, UNBASE, np.uint64))))
         up = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, BASE, np.uint64))))[:n]
         self.sums = np.concatenate(([np.uint64(0)], np.cumsum(ids * up, dtype=np.uint64)))
@@ -77,116 +84,175 @@ class Windows:
         """Hash of `length` words from each start, the same wherever they stand."""
         return (self.sums[start + length] - self.sums[start]) * self.down[start]
 
-    def segments(self) -> tuple[np.ndarray, ...]:
-        """(doc, first window in it, windows, anchor's hash, hash of the words) of each segment."""
+    def digests(self, start: np.ndarray, length) -> np.ndarray:
+        """128-bit digests of `length` words from each start, as rows of two numbers."""
+        joined, digest = self.joined, xxhash.xxh3_128_digest
+        spans = zip(self.bytes[start].tolist(), (self.bytes[start + length] - 1).tolist(), strict=True)
+        return np.frombuffer(b"".join([digest(joined[s:e]) for s, e in spans]), np.int64).reshape(-1, 2)
+
+    def segments(self) -> pd.DataFrame:
+        """(doc, start, n, a, d1, d2): first window and number of windows of each segment, the anchor's hash, the words' digest."""
         at = np.flatnonzero(self.whole)
-        if not len(at):
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-        new = np.concatenate(([True], (np.diff(at) != 1) | (self.anchor[at[1:]] != self.anchor[at[:-1]])))
+        new = np.concatenate(([True], (np.diff(at) != 1) | (self.anchor[at[1:]] != self.anchor[at[:-1]]))) if len(at) else np.zeros(0, bool)
         start = at[new]
         count = np.diff(np.concatenate((np.flatnonzero(new), [len(at)])))
-        words = mixed(self.run(start, count + self.width - 1) + count.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        doc = self.doc[start]
-        return doc, start - self.first[doc], count, self.grams[self.anchor[start]], words
+        return self.rows(start, count + self.width - 1).assign(n=count)
+
+    def rows(self, place: np.ndarray, length) -> pd.DataFrame:
+        doc = self.doc[place]
+        d = self.digests(place, length)
+        anchor = self.grams[self.anchor[place]].view(np.int64) if len(place) else np.zeros(0, np.int64)
+        return pd.DataFrame({"doc": doc, "start": place - self.first[doc], "a": anchor, "d1": d[:, 0], "d2": d[:, 1]})
+
 
-    def window_hashes(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(anchor's hash, hash of the words) of windows."""
-        return self.grams[self.anchor[place]], mixed(self.run(place, self.width))
+def packs(texts: list[bytes | None]) -> Iterator[slice]:
+    """Slices of texts of about PACK bytes, or of one longer text."""
+    first = held = 0
+    for k, text in enumerate(texts):
+        if held and held + len(text or b"") > PACK:
+            yield slice(first, k)
+            first, held = k, 0
+        held += len(text or b"")
+    if len(texts) > first:
+        yield slice(first, len(texts))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, text as bytes): key is the id if ids tell rows apart, else a hash of id and text."""
-    key = F.xxhash64(id_col, text_col) if has_repeated_ids(docs, id_col) else F.col(id_col).cast("long")
-    return docs.select(key.alias("key"), F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    """(key, id, text as bytes): key is the id if ids are whole numbers that tell rows apart, else a number in a written copy."""
+    own = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    if dict(own.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint") and not has_repeated_ids(docs, id_col):
+        return own.select(F.col("id").cast("long").alias("key"), "id", "text")
+    return cut(own.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed")
 
 
 def segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(key, start, n, a, h) of each segment of keyed documents."""
+    """(key, span, a, d1, d2) of each segment of keyed documents; span is 64 * start + windows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordIds()
         for pdf in batches:
-            doc, start, n, a, h = Windows(pdf["text"].tolist(), words, width, gram).segments()
-            yield pd.DataFrame({"key": pdf["key"].to_numpy()[doc], "start": start, "n": n, "a": a.view(np.int64), "h": h.view(np.int64)})
+            key, texts = pdf["key"].to_numpy(), pdf["text"].tolist()
+            for part in packs(texts):
+                found = Windows(texts[part], words, width, gram).segments()
+                yield pd.DataFrame({"key": key[part][found["doc"]], "span": found["start"] * 64 + found["n"]}).join(found[["a", "d1", "d2"]])
 
-    return docs.select("key", "text").mapInPandas(run, "key long, start int, n int, a long, h long")
+    return docs.select("key", "text").mapInPandas(run, "key long, span long, a long, d1 long, d2 long")
 
 
 def chosen_windows(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(key, start, a, h) of the windows of keyed documents that spans (64 * start + windows) name."""
+    """(key, span, a, d1, d2) of the windows of keyed documents that their column `spans` names."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordIds()
         for pdf in batches:
-            found, spans = Windows(pdf["text"].tolist(), words, width, gram), [np.asarray(x) for x in pdf["spans"]]
-            doc = np.repeat(np.arange(len(pdf)), [len(x) for x in spans])
-            packed = np.concatenate(spans)
-            count = packed % 64
-            doc = np.repeat(doc, count)
-            start = np.repeat(packed // 64, count) + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-            a, h = found.window_hashes(start + found.first[doc])
-            yield pd.DataFrame({"key": pdf["key"].to_numpy()[doc], "start": start, "a": a.view(np.int64), "h": h.view(np.int64)})
+            key, texts, asked = pdf["key"].to_numpy(), pdf["text"].tolist(), [np.asarray(x) for x in pdf["spans"]]
+            for part in packs(texts):
+                found, own = Windows(texts[part], words, width, gram), asked[part]
+                doc, packed = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
+                count = packed % 64
+                doc = np.repeat(doc, count)
+                start = np.repeat(packed // 64, count) + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                rows = found.rows(start + found.first[doc], width)
+                yield pd.DataFrame({"key": key[part][doc], "span": start * 64 + 1}).join(rows[["a", "d1", "d2"]])
+
+    return docs.select("key", "text", "spans").mapInPandas(run, "key long, span long, a long, d1 long, d2 long")
+
+
+ENTRY = ["a", "d1", "d2"]
 
-    return docs.select("key", "text", "spans").mapInPandas(run, "key long, start int, a long, h long")
+
+def merged(entries: DataFrame) -> DataFrame:
+    """One row for each entry: how often it occurs, and the smallest document with it and a place there."""
+    return entries.groupBy(*ENTRY).agg(F.sum("n").alias("n"), F.min_by("span", "key").alias("span"), F.min("key").alias("key"))
 
 
 class FingerprintIndex:
-    """Immutable runs (a, h, n, key): entries in order of (a, h), how often each occurs and the smallest document with it."""
+    """Immutable runs (a, d1, d2, n, span, key) in order of (a, d1, d2), listed in a manifest under `path`.
+
+    An index is opened again by its path; `documents` must then give the keyed documents of history, whose windows are
+    looked up where a new batch has an anchor of theirs in other words.
+    """
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM):
+    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, path: str | None = None, documents: DataFrame | None = None):
         if width - gram + 1 > 63:
             raise ValueError("a segment may have at most 63 windows: width - gram must be below 63")
-        self.spark, self.width, self.gram, self.runs = spark, width, gram, []
+        self.spark, self.width, self.gram, self.path = spark, width, gram, path or new_path(spark, "index")
+        self.runs, self.version, self.documents = [], 0, documents
+        if path and exists(spark, f"{path}/manifest"):
+            stored = spark.read.parquet(f"{path}/manifest")
+            self.version = stored.agg(F.max("version")).first()[0]
+            rows = stored.where(F.col("version") == self.version).orderBy("place").collect()
+            if any((r["width"], r["gram"]) != (width, gram) for r in rows):
+                raise ValueError("the stored index has another width or gram")
+            self.runs = [(r["level"], r["run"]) for r in rows]
+
+    def save(self) -> None:
+        """Adds a version of the manifest: which runs there are."""
+        self.version += 1
+        rows = [(self.version, k, level, run, self.width, self.gram) for k, (level, run) in enumerate(self.runs)]
+        listed = self.spark.createDataFrame(rows, "version int, place int, level int, run string, width int, gram int")
+        listed.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def write(self, entries: DataFrame, level: int) -> None:
-        path = new_path(self.spark, "run")
-        entries.sortWithinPartitions("a", "h").write.parquet(path)
-        self.runs.append((level, path))
+        run = f"{self.path}/run-{uuid.uuid4().hex}"
+        entries.select(*ENTRY, "n", "span", "key").sortWithinPartitions(*ENTRY).write.parquet(run)
+        self.runs.append((level, run))
 
     def entries(self) -> DataFrame:
         """All entries; those of several runs are merged."""
         if not self.runs:
-            return self.spark.createDataFrame([], "a long, h long, n long, key long")
+            return self.spark.createDataFrame([], "a long, d1 long, d2 long, n long, span long, key long")
         found = self.spark.read.parquet(*[p for _, p in self.runs])
         return found if len(self.runs) == 1 else merged(found)
 
-    def add(self, docs: DataFrame) -> None:
-        """Appends a batch of keyed documents as a run, then compacts."""
-        made = segments(docs, self.width, self.gram)
-        self.write(made.groupBy("a", "h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")), 0)
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Judges a batch of keyed documents, new ones, against themselves and history, then makes it a run and compacts.
+
+        Gives (key, span) of windows that start at least twice: those of the batch, and those of history that the batch
+        is the first to repeat.
+        """
+        own = cut(segments(docs, self.width, self.gram), "segments")
+        fresh = cut(merged(own.withColumn("n", F.lit(1).cast("long"))), "fresh")
+        marks = self.judge(docs, own, fresh)
+        self.write(fresh, 0)
+        self.documents = docs if self.documents is None else self.documents.unionByName(docs)
         while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
             self.compact(2)
+        self.save()
+        return marks
+
+    def judge(self, docs: DataFrame, own: DataFrame, fresh: DataFrame) -> DataFrame:
+        if self.runs:
+            history = self.entries().select(*ENTRY, F.col("n").alias("old_n"), F.col("span").alias("old_span"), F.col("key").alias("old_key"))
+            #: A full join, so that anchors of the batch see all that history has at them; other anchors of history go.
+            both = fresh.hint("merge").join(history, ENTRY, "full")
+        else:
+            both = fresh.select("*", *[F.lit(None).cast("long").alias(c) for c in ("old_n", "old_span", "old_key")])
+        touched = fresh.select("a").distinct() if self.runs else None
+        both = cut(both if touched is None else both.hint("merge").join(touched, "a", "left_semi"), "matches")
+        several = cut(both.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", F.lit(True).alias("several")), "anchors")
+        known = both.hint("merge").join(several, "a", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+        known = known.withColumn("total", F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))).where("total > 1 or several")
+        known = cut(known, "known")
+        repeated = known.where("n is not null and total > 1").select(*ENTRY)
+        marks = own.join(repeated.hint("merge"), ENTRY, "left_semi").select("key", "span")
+        old = known.where("n is not null and old_n = 1").select(F.col("old_key").alias("key"), F.col("old_span").alias("span"))
+        #: One copy of each segment is asked for its windows, from history where history has it.
+        place = F.when(F.col("old_n").isNotNull(), F.struct(F.col("old_key").alias("key"), F.col("old_span").alias("span"))).otherwise(F.struct("key", "span"))
+        asked = known.where("several").select(place.alias("at")).groupBy("at.key").agg(F.collect_set("at.span").alias("spans"))
+        texts = docs if self.documents is None else self.documents.unionByName(docs)
+        windows = cut(chosen_windows(texts.join(asked.hint("merge"), "key"), self.width, self.gram), "windows")
+        twice = cut(windows.groupBy(*ENTRY).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*ENTRY), "twice")
+        found = windows.join(twice.hint("merge"), ENTRY, "left_semi").select("key", "span")
+        return cut(marks.union(old).union(found), "marks")
 
     def compact(self, last: int | None = None) -> None:
-        """Merges the last runs, or all, to one and deletes them."""
+        """Merges the last runs, or all, to one. Older versions of the manifest still name the merged runs, so their files stay."""
         old = self.runs[-last:] if last else self.runs[:]
         if len(old) < 2:
             return
         self.runs = self.runs[: len(self.runs) - len(old)]
         self.write(merged(self.spark.read.parquet(*[p for _, p in old])), max(level for level, _ in old) + 1)
-        for _, path in old:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-    def repeats(self, docs: DataFrame) -> DataFrame:
-        """(key, span): windows of keyed documents, all of them indexed, that start at least twice; span is 64 * start + windows."""
-        entries = self.entries()
-        mixed_anchors = cut(entries.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", F.lit(True).alias("several")), "anchors")
-        known = entries.join(mixed_anchors, "a", "left").withColumn("several", F.coalesce("several", F.lit(False))).where("n > 1 or several")
-        known = known.withColumnRenamed("key", "first")
-        rows = segments(docs, self.width, self.gram)
-        marks = rows.withColumnRenamed("n", "windows").join(known.hint("merge"), ["a", "h"])
-        marks = marks.select("key", (F.col("start").cast("long") * 64 + F.col("windows")).alias("span"), (F.col("n") > 1).alias("known"), (F.col("several") & ((F.col("n") == 1) | (F.col("key") == F.col("first")))).alias("ask"))
-        marks = cut(marks.where("known or ask"), "marks")
-        asked = marks.where("ask").groupBy("key").agg(F.collect_set("span").alias("spans"))
-        windows = cut(chosen_windows(docs.join(asked, "key"), self.width, self.gram), "windows")
-        twice = cut(windows.groupBy("a", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", "h"), "twice")
-        found = windows.join(twice, ["a", "h"]).select("key", (F.col("start").cast("long") * 64 + 1).alias("span"))
-        return marks.where("known").select("key", "span").union(found)
-
-
-def merged(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("a", "h").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
 
 
 def kept_udf(width: int):
@@ -214,10 +280,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     small_batches(spark)
     rows, index = keyed(docs, id_col, text_col), FingerprintIndex(spark, width, gram)
-    for b in range(batches):
-        index.add(rows.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == b))
-    index.compact()
-    spans = cut(index.repeats(rows).groupBy("key").agg(F.collect_set("span").alias("spans")), "spans")
+    marks = [index.add(rows.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == b)) for b in range(batches)]
+    spans = cut(reduce(DataFrame.union, marks).groupBy("key").agg(F.collect_set("span").alias("spans")), "spans")
     result: Column = kept_udf(width)("text", "spans")
     out = rows.join(spans, "key", "left").select(F.col("id").alias(id_col), result.alias("r"))
     return out.select(id_col, "r.kept", "r.n_words", "r.n_removed")
