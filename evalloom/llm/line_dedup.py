@@ -56,9 +56,8 @@ def number(n: int) -> Column:
     return F.lit(str(n)).cast("decimal(20,0)")
 
 
-def words(line: str = "line") -> Column:
+def words(text: Column) -> Column:
     """A trimmed line's words. Splitting at single spaces is cheaper than at a pattern, so lines with other blanks go apart."""
-    text = F.col(line)
     odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in ODD])
     return F.when(odd, F.split(text, r"[\x20\x09-\x0D]+")).otherwise(F.split(text, " "))
 
@@ -68,8 +67,11 @@ def bucket(h: Column) -> Column:
 
 
 def rarity_table(classes: DataFrame) -> Column:
-    """A literal array: for each bucket, thirds of a power of two of the words that all distinct lines have in it."""
-    each = classes.select(F.explode(words()).alias("t")).groupBy(bucket(F.xxhash64("t")).alias("b")).count()
+    """A literal array: for each bucket, thirds of a power of two of the words that all distinct lines have in it.
+
+    Words are what single spaces part here; the few that other blanks part only lose their place in the order.
+    """
+    each = classes.select(F.explode(F.split("line", " ")).alias("t")).groupBy(bucket(F.xxhash64("t")).alias("b")).count()
     full = classes.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(each, "b", "left")
     letter = F.char(F.lit(33) + F.least(F.lit(93), F.floor(F.log2(F.coalesce(F.col("count"), F.lit(0)) + 1) * 3)))
     in_order = F.sort_array(F.collect_list(F.struct("b", letter.alias("c"))))
@@ -88,18 +90,19 @@ def prefixes(classes: DataFrame, table: Column, similarity: tuple[int, int]) ->
     spot holds the line's number of words and, in the lower 32 bits, the word's place among them; prev is the key before it.
     """
     num, den = similarity
-    hashes = F.array_distinct(F.transform(words(), lambda t: F.xxhash64(t)))
+    hashes = F.array_distinct(F.transform(words(F.col("line")), lambda t: F.xxhash64(t)))
     ranked = classes.select("cid", F.sort_array(F.transform(hashes, lambda h: order_key(table, h))).alias("keys"))
     flip = lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
     parity = F.aggregate("keys", F.lit(0).cast("long"), flip)
     rows = ranked.select("cid", "keys", parity.alias("parity"), F.size("keys").cast("long").alias("n"))
     first = F.slice("keys", F.lit(1), (F.col("n") - ceil_div(F.col("n") * num, den) + 1).cast("int"))
     alone = F.array(F.xxhash64("keys"))  # so short that only equal sets are similar
-    chosen = rows.select("cid", "n", "parity", F.when(F.col("n") * den < (F.col("n") + 1) * num, alone).otherwise(first).alias("keys"))
-    out = chosen.select("cid", "n", "parity", F.posexplode(F.arrays_zip("keys", F.concat(F.array(F.lit(0).cast("long")), "keys").alias("prev"))).alias("place", "at")).where("at.keys is not null")
+    chosen = F.when(F.col("n") * den < (F.col("n") + 1) * num, alone).otherwise(first)
+    out = rows.select("cid", "n", "parity", chosen.alias("keys")).select("cid", "n", "parity", "keys", F.posexplode("keys").alias("place", "key"))
     #: cid and parity as expressions, so that both sides of a self-join have one plan and read one shuffle, and never null,
     #: so that no filter for nulls makes the words again.
-    return out.select(F.col("at.keys").alias("key"), F.coalesce("cid", F.lit(-1)).alias("cid"), F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("spot"), F.coalesce("parity", F.lit(0)).alias("parity"), F.col("at.prev").alias("prev"))
+    prev = F.coalesce(F.get("keys", F.col("place") - 1), F.lit(0))
+    return out.select("key", F.coalesce("cid", F.lit(-1)).alias("cid"), F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("spot"), F.coalesce("parity", F.lit(0)).alias("parity"), prev.alias("prev"))
 
 
 def place_of(spot: Column) -> Column:
@@ -138,7 +141,7 @@ def count_links(tile: Column, similarity: tuple[int, int]) -> Column:
 
     def link(x: Column, y: Column) -> Column:
         """0 for none, 1 if y is earlier, 2 if x is."""
-        first = ~F.arrays_overlap(x["before"], y["before"])  # else the pair has met at a rarer word
+        first = ~F.arrays_overlap(x["before"], y["before"])  # else the pair has met at a rarer key
         enough = F.size(F.array_intersect(x["words"], y["words"])) * (num + den) >= (F.size(x["words"]) + F.size(y["words"])) * num
         return F.when(may_link(x, y, similarity) & (x["cid"] != y["cid"]) & first & enough, F.when(y["at"] < x["at"], 1).otherwise(2)).otherwise(0)
 
@@ -162,17 +165,17 @@ def similar_lines(classes: DataFrame, similarity: tuple[int, int], block: int =
     table = rarity_table(classes)
     live = cut(with_candidates(prefixes(classes, table, similarity), similarity), "candidates")
     dealt = tiles(live, ["key"], F.xxhash64("cid"), block).select("cid", F.struct("key", "spot", "parity", "prev", "_lo", "_hi", "_block").alias("seat"))
-    asked = dealt.groupBy("cid").agg(F.collect_list("seat").alias("seats"))
-    #: A line's words once, the rarest first, as a text whose words are parted by single spaces.
-    by_rarity = F.sort_array(F.transform(F.array_distinct(words()), lambda w: F.struct(order_key(table, F.xxhash64(w)).alias("key"), w.alias("word"))))
-    lines = asked.hint("merge").join(classes.select("cid", "line", "at"), "cid").select("cid", "at", "seats", F.array_join(F.transform(by_rarity, lambda x: x["word"]), " ").alias("text"))
-    seats = lines.select("cid", "at", "text", F.explode("seats").alias("seat")).select("seat.*", F.struct("cid", "at", "text", "seat.spot", "seat.parity", "seat.prev").alias("m"))
+    seats = dealt.groupBy("cid").agg(F.collect_list("seat").alias("seats"))
+    asked = cut(seats.hint("merge").join(classes.select("cid", "line", "at"), "cid"), "asked", "zstd")
+    seats = asked.select("cid", "at", "line", F.explode("seats").alias("seat"), F.transform("seats", lambda x: x["key"]).alias("keys"))
+    #: A line's own rarer keys at which it has a candidate. A similar pair's first common key is among both lines' keys.
+    before = F.filter("keys", lambda k: k < F.col("seat.key"))
+    seats = seats.select("seat.*", F.struct("cid", "at", "line", "seat.spot", "seat.parity", "seat.prev", before.alias("before")).alias("m"))
     left, right = F.when(F.col("_block") == F.col("_lo"), F.col("m")), F.when((F.col("_block") == F.col("_hi")) & (F.col("_lo") < F.col("_hi")), F.col("m"))
     held = seats.groupBy("key", "_lo", "_hi").agg(F.collect_list(left).alias("left"), F.collect_list(right).alias("right"))
 
     def split(m: Column) -> Column:
-        own = F.split(m["text"], " ")
-        return F.struct(m["cid"].alias("cid"), m["at"].alias("at"), m["spot"].alias("spot"), m["parity"].alias("parity"), m["prev"].alias("prev"), own.alias("words"), F.slice(own, F.lit(1), place_of(m["spot"]).cast("int")).alias("before"))
+        return F.struct(*[m[c].alias(c) for c in ("cid", "at", "spot", "parity", "prev", "before")], F.array_distinct(words(m["line"])).alias("words"))
 
     #: Bound once, so that each line is split once in a tile.
     tile = F.array(F.struct(F.transform("left", split).alias("a"), F.transform("right", split).alias("b")))
