@@ -1,8 +1,8 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame operations alone.
 
 A line's tokens are its distinct words. Tokens are ordered by rarity: how many tokens of all distinct lines share their
-hash bucket, of BUCKETS buckets, so the table that is looked up has the same size at any scale and reaches the tasks as a
-literal; ties keep a fixed order by hash. Lines that are similar share a token among their rarest, so only those prefixes
+hash bucket, of 2**18 buckets, so the table that is looked up has the same size at any scale and reaches the tasks as a
+literal of 16,384 numbers; ties keep a fixed order by hash. Lines that are similar share a token among their rarest, so only those prefixes
 meet. A semi join under a length, a positional and a bit filter leaves the lines that have a candidate at a token; it
 makes at most a row for each token of a prefix. These lines are dealt to tiles by token (a hot token to many tiles), and a
 tile counts each line's links in its own arrays: a pair is verified on its whole sets of words, at the first token that
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.shared import cut, free_name, tiles
 
-BUCKETS = 1 << 18
+#: Buckets of the rarity table, as a power of two.
+BUCKET_BITS = 18
 #: The similarity as a fraction, so that bounds are whole numbers.
 SIMILARITY = (4, 5)
 BLANKS = " \t\x0b\x0c\r"
@@ -63,25 +64,31 @@ def words(text: Column) -> Column:
 
 
 def bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+    return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
 def rarity_table(classes: DataFrame) -> Column:
-    """A literal array: for each bucket, thirds of a power of two of the words that all distinct lines have in it.
+    """A literal array of longs with a level of 0 to 15 for each bucket, 16 to a long: how many words all distinct lines have in it,
+    on a scale of logarithms up to the fullest bucket.
 
     Words are what single spaces part here; the few that other blanks part only lose their place in the order.
     """
     each = classes.select(F.explode(F.split("line", " ")).alias("t")).groupBy(bucket(F.xxhash64("t")).alias("b")).count()
-    full = classes.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(each, "b", "left")
+    full = classes.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("b")).join(each, "b", "left")
     letter = F.char(F.lit(33) + F.least(F.lit(93), F.floor(F.log2(F.coalesce(F.col("count"), F.lit(0)) + 1) * 3)))
     in_order = F.sort_array(F.collect_list(F.struct("b", letter.alias("c"))))
     letters = full.agg(F.array_join(F.transform(in_order, lambda x: x["c"]), "").alias("t")).first()[0]
-    return F.from_json(F.lit("[" + ",".join(str(ord(c) - 33) for c in letters) + "]"), "array<bigint>")
+    sizes = [ord(c) - 33 for c in letters]
+    levels = [x * 16 // (max(sizes) + 1) for x in sizes]
+    packed = [sum(x << 4 * k for k, x in enumerate(levels[at : at + 16])) for at in range(0, len(levels), 16)]
+    return F.from_json(F.lit("[" + ",".join(str(x - (x >> 63 << 64)) for x in packed) + "]"), "array<bigint>")
 
 
 def order_key(table: Column, h: Column) -> Column:
-    """A word's place in the order of rarity, from its hash."""
-    return F.shiftleft(F.get(table, bucket(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    """A word's place in the order of rarity, from its hash: its bucket's level, then the hash."""
+    packed = F.get(table, F.shiftrightunsigned(h, 68 - BUCKET_BITS).cast("int"))
+    nibble = F.shiftrightunsigned(h, 62 - BUCKET_BITS).bitwiseAND(F.lit(60)).cast("int")
+    return F.shiftleft(F.call_function("shiftrightunsigned", packed, nibble).bitwiseAND(F.lit(15)), 59).bitwiseOR(F.shiftrightunsigned(h, 5))
 
 
 def prefixes(classes: DataFrame, table: Column, similarity: tuple[int, int]) -> DataFrame:
