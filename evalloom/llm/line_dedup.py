@@ -79,7 +79,8 @@ def rarity_table(classes: DataFrame) -> Column:
     in_order = F.sort_array(F.collect_list(F.struct("b", letter.alias("c"))))
     letters = full.agg(F.array_join(F.transform(in_order, lambda x: x["c"]), "").alias("t")).first()[0]
     sizes = [ord(c) - 33 for c in letters]
-    levels = [x * 16 // (max(sizes) + 1) for x in sizes]
+    top = max(sizes) + 1
+    levels = [x * 16 // top for x in sizes]
     packed = [sum(x << 4 * k for k, x in enumerate(levels[at : at + 16])) for at in range(0, len(levels), 16)]
     return F.from_json(F.lit("[" + ",".join(str(x - (x >> 63 << 64)) for x in packed) + "]"), "array<bigint>")
 
