@@ -142,10 +142,10 @@ def with_candidates(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 def count_links(tile: Column, similarity: tuple[int, int]) -> Column:
     """array<struct<cid, n, late>> of a tile's lines with links: how many each has, and whether one leads to an earlier line.
 
-    A tile has lines a and b, which are all compared across, or lines a alone, which are compared among themselves.
+    Lines a and b of a tile of two blocks are compared across, lines a of a tile of one block among themselves.
     """
     num, den = similarity
-    across = F.size(tile["b"]) > 0
+    across = tile["across"]
 
     def link(x: Column, y: Column) -> Column:
         """0 for none, 1 if y is earlier, 2 if x is."""
@@ -186,7 +186,7 @@ def similar_lines(classes: DataFrame, similarity: tuple[int, int], block: int =
         return F.struct(*[m[c].alias(c) for c in ("cid", "at", "spot", "parity", "prev", "before")], F.array_distinct(words(m["line"])).alias("words"))
 
     #: Bound once, so that each line is split once in a tile.
-    tile = F.array(F.struct(F.transform("left", split).alias("a"), F.transform("right", split).alias("b")))
+    tile = F.array(F.struct((F.col("_lo") < F.col("_hi")).alias("across"), F.transform("left", split).alias("a"), F.transform("right", split).alias("b")))
     found = held.select(F.explode(F.flatten(F.transform(tile, lambda t: count_links(t, similarity)))).alias("x")).select("x.*")
     return found.groupBy("cid").agg(F.sum("n").cast("long").alias("n_links"), F.max("late").alias("late"))
 
