@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ast
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Months in a unit, by the unit's first letters, tried in this order.
 UNITS = [("Year", 12.0), ("Month", 1.0), ("Week", 1 / 4.286), ("Day", 1 / 30), ("Hour", 1 / 720), ("Minute", 1 / 43200)]
@@ -50,6 +54,14 @@ def mask_phrases(text: Column, phrases: list[str], mask: str = "[MASK]") -> Colu
     return text
 
 
+def mask_phrases_of(text: Column, phrases: Column, mask: str = "[MASK]") -> Column:
+    """Every phrase of an array column replaced wherever it stands, in any case, the longest first."""
+    plain = F.array_distinct(F.filter(F.transform(phrases, lambda p: F.lower(F.trim(p))), lambda p: p != ""))
+    order = F.array_sort(F.transform(plain, lambda p: F.struct((-F.length(p)).alias("less"), p.alias("p"))))
+    quoted = lambda p: F.concat(F.lit(r"(?iu)\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.aggregate(F.coalesce(order, F.array().cast("array<struct<less:int,p:string>>")), text, lambda acc, x: F.regexp_replace(acc, quoted(x["p"]), F.lit(mask)))
+
+
 def shown(value: Column) -> Column:
     """A value for a rendered line; missing marks read unknown."""
     text = F.trim(value.cast("string"))
@@ -117,3 +129,80 @@ def hash_draw(seed: str, *parts: Column, n: Column) -> Column:
 
 def hash_order(seed: str, key: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), key.cast("string")), 256)
+
+
+def parse_terms(value: object) -> list[str]:
+    """Texts of a list literal that may be nested or quoted again; a text that is no literal is a term itself."""
+    if value is None or value != value:
+        return []
+    if isinstance(value, (list, tuple)):
+        return [t for x in value for t in parse_terms(x)]
+    text = str(value).strip()
+    if text.startswith("[") and text.endswith("]"):
+        try:
+            return parse_terms(ast.literal_eval(text))
+        except (ValueError, SyntaxError, RecursionError):
+            pass
+    return [text] if text and text.lower() not in ("nan", "none") else []
+
+
+def nested_terms(text: Column) -> Column:
+    """`parse_terms` of a column, in Arrow batches: brackets nest, so no pattern can take them apart."""
+
+    def parsed(texts: pd.Series) -> pd.Series:
+        return texts.map(parse_terms)
+
+    return F.pandas_udf(parsed, ArrayType(StringType()))(text)
+
+
+def sorted_set(terms: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.coalesce(terms, F.array().cast("array<string>"))))
+
+
+def code_set(codes: Column) -> Column:
+    """Distinct codes in order, trimmed and upper-cased, empty ones left out."""
+    return sorted_set(F.filter(F.transform(codes, lambda c: F.upper(F.trim(c))), lambda c: c != ""))
+
+
+def identity_text(text: Column) -> Column:
+    """A text for comparing two copies: line marks and runs of white space are one space, ends are bare, case goes."""
+    return F.lower(F.trim(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("~"), F.lit(" ")), r"\s+", " ")))
+
+
+def refused(text: Column, marks: list[str]) -> Column:
+    """Whether a reply holds one of the marks, in any case."""
+    out = F.lit(False)
+    for m in marks:
+        out = out | F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(m.lower()))
+    return out
+
+
+def path_safe(text: Column) -> Column:
+    return F.regexp_replace(text, "[^A-Za-z0-9._-]", "_")
+
+
+def closeness(given: Column, true: Column) -> Column:
+    """1 less the relative error, at least 0; null where the true value is null or 0."""
+    return F.greatest(F.lit(0.0), 1 - F.try_divide(F.abs(given - true), F.nullif(F.abs(true), F.lit(0))))
+
+
+def finite(x: Column) -> Column:
+    """x, or 0 where it is null, not a number or infinite."""
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+
+
+def coerced_date(text: Column, pattern: str = "yyyy-MM-dd") -> Column:
+    """A date, the last day of the month where the text gives year and month alone; null where it is neither."""
+    day = F.try_to_timestamp(text, F.lit(pattern)).cast("date")
+    month = F.last_day(F.try_to_timestamp(text, F.lit(pattern[:7])).cast("date"))
+    return F.when(F.length(text) == 7, month).otherwise(day)
+
+
+def reply_text(body: Column, paths: list[str]) -> Column:
+    """The reply in a JSON body: the first of the paths that is there."""
+    return F.coalesce(*[F.get_json_object(body, p) for p in paths])
+
+
+def reading(lo: Column, hi: Column, margin: float) -> Column:
+    """How an interval of differences reads against 0 and a margin."""
+    return F.when(hi < 0, "BELOW").when(lo > 0, "ABOVE").when((lo >= -margin) & (hi <= margin), "EQUIVALENT").otherwise("UNRESOLVED")

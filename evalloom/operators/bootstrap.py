@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions.scalars import hash_draw
 from evalloom.operators.ranking import ranking_metrics
+from evalloom.operators.splits import hash_rank
 
 
 def numbered(df: DataFrame, unit: str) -> DataFrame:
-    """(unit, k): the distinct units numbered from 0 in order."""
-    return df.select(unit).distinct().select(unit, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(unit)) - 1).cast("bigint").alias("k"))
+    """(unit, k): the distinct units numbered from 0 in the order of their hashes, without one task for all of them."""
+    return hash_rank(df.select(unit).distinct(), [], "unit", unit).select(unit, (F.col("_rank") - 1).cast("bigint").alias("k"))
 
 
 def draw_weights(df: DataFrame, unit: str, draws: int, seed: str) -> DataFrame:
@@ -24,11 +25,12 @@ def draw_weights(df: DataFrame, unit: str, draws: int, seed: str) -> DataFrame:
 
 
 def resampled(df: DataFrame, unit: str, score: str, label: str, draws: int, seed: str, by: list[str] | None = None) -> DataFrame:
-    """(by, draw, ap, auroc). Rows are pre-aggregated to (unit, score, label) before the draws multiply them."""
+    """(by, draw, ap, auroc), null for draws of one class. Rows are counted by (unit, score, label) before the draws multiply them."""
     by = by or []
     small = df.groupBy(*by, unit, score, label).agg(F.count(F.lit(1)).alias("c"))
     weighted = small.join(draw_weights(df, unit, draws, seed), unit)
-    return ranking_metrics(weighted, [*by, "draw"], score, label, F.col("w") * F.col("c"))
+    found = ranking_metrics(weighted, [*by, "draw"], score, label, F.col("w") * F.col("c"), sections=0)
+    return found.withColumn("ap", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("ap")))
 
 
 def interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:
@@ -45,10 +47,11 @@ def interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:
 
 
 def paired(df: DataFrame, unit: str, a: str, b: str, label: str, draws: int, seed: str, metric: str = "ap") -> DataFrame:
-    """(draw, a, b, delta): both scores on the same draws."""
-    left = resampled(df, unit, a, label, draws, seed).select("draw", F.col(metric).alias("a"))
-    right = resampled(df, unit, b, label, draws, seed).select("draw", F.col(metric).alias("b"))
-    return left.join(right, "draw").withColumn("delta", F.col("a") - F.col("b"))
+    """(draw, a, b, delta): both scores on the same draws, which are joined with the rows once."""
+    arms = df.select(unit, F.col(label).alias("_y"), F.explode(F.array(*[F.struct(F.lit(k).alias("arm"), F.col(s).cast("double").alias("_s")) for k, s in enumerate((a, b))])).alias("e")).select(unit, "_y", "e.arm", "e._s")
+    found = resampled(arms, unit, "_s", "_y", draws, seed, ["arm"])
+    pick = lambda k: F.max(F.when(F.col("arm") == k, F.col(metric)))
+    return found.groupBy("draw").agg(pick(0).alias("a"), pick(1).alias("b")).withColumn("delta", F.col("a") - F.col("b"))
 
 
 def two_sample(first: DataFrame, second: DataFrame, unit: str, score: str, label: str, draws: int, seeds: tuple[str, str], metric: str = "ap") -> DataFrame:
@@ -69,3 +72,33 @@ def slope_draws(points: DataFrame, key: str, x: str, y: str, draws: int, seed: s
 def permutation_p(observed: Column, null: Column) -> Column:
     """(k + 1) / (n + 1) with k null values at or above the observed one."""
     return (F.sum((null >= observed).cast("int")) + 1) / (F.count(null) + 1)
+
+
+def macro_paired(df: DataFrame, cell: str, unit: str, a: str, b: str, label: str, draws: int, seed: str, metric: str = "ap") -> DataFrame:
+    """(draw, delta): the mean over cells of the paired difference; each cell is drawn by itself, both scores on the same draws."""
+    arms = df.select(cell, unit, F.col(label).alias("_y"), F.explode(F.array(*[F.struct(F.lit(k).alias("arm"), F.col(s).cast("double").alias("_s")) for k, s in enumerate((a, b))])).alias("e")).select(cell, F.concat_ws("|", cell, unit).alias("_u"), "_y", "e.arm", "e._s")
+    units = hash_rank(arms.select(cell, "_u").distinct(), [cell], "unit", "_u")
+    sizes = units.groupBy(cell).agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
+    slots = units.join(F.broadcast(sizes), cell).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))  # a row a cell
+    drawn = slots.select(cell, "draw", (hash_draw(seed, F.col(cell), F.col("draw"), F.col("_rank"), n=F.col("_n")) + 1).alias("_rank")).groupBy(cell, "draw", "_rank").agg(F.count(F.lit(1)).alias("w"))
+    weights = drawn.join(units, [cell, "_rank"]).select("draw", "_u", "w")
+    small = arms.groupBy(cell, "arm", "_u", "_s", "_y").agg(F.count(F.lit(1)).alias("c")).join(weights, "_u")
+    found = ranking_metrics(small, [cell, "arm", "draw"], "_s", "_y", F.col("w") * F.col("c"), sections=0)
+    value = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col(metric))
+    pick = lambda k: F.max(F.when(F.col("arm") == k, value))
+    cells = found.groupBy(cell, "draw").agg((pick(0) - pick(1)).alias("d"))
+    return cells.groupBy("draw").agg(F.avg("d").alias("delta"))
+
+
+def mean_draws(df: DataFrame, unit: str, value: str, draws: int, seed: str) -> DataFrame:
+    """(draw, mean) of a column over units drawn with replacement."""
+    w = df.select(unit, value).join(draw_weights(df, unit, draws, seed), unit)
+    return w.groupBy("draw").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
+
+
+def permuted_labels(df: DataFrame, key: str, label: str, draws: int, seed: str) -> DataFrame:
+    """(draw, key, label): in each draw the labels are dealt again by the order of hashes, every row's label once."""
+    each = df.select(key, label).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    placed = hash_rank(each.withColumn("_dk", F.concat_ws("|", "draw", key)), ["draw"], seed, "_dk").select("draw", key, "_rank")
+    source = hash_rank(df.select(F.col(key).alias("_from"), F.col(label).alias("permuted")), [], "unit", "_from").select("permuted", "_rank")
+    return placed.join(source, "_rank").select("draw", key, "permuted")

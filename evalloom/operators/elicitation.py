@@ -1,0 +1,92 @@
+"""Records rendered for a language model, in arms that differ in one slot, and what comes back. No client is called here."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from evalloom.functions.scalars import mask_phrases_of, shown
+
+#: What a slot without content shows, terms that name no condition, and marks of a refusal.
+MASKED = "[condition withheld]"
+GENERIC = ["healthy", "healthy volunteer", "healthy volunteers", "normal", "normal volunteers", "n/a", "na", "none", "unknown"]
+REFUSALS = ["i cannot", "i can't", "i'm unable", "as an ai", "i won't", "i will not"]
+ARMS = ("L0", "L1", "L2", "L3", "L4", "L5", "L7")
+
+
+def listed(terms: Column, masked: str = MASKED) -> Column:
+    return F.when(F.size(terms) > 0, F.array_join(terms, "; ")).otherwise(F.lit(masked))
+
+
+def slot(arm: str, names: Column, codes: Column, headings: Column, described: Column, categories: Column, summary: Column, masked: str = MASKED) -> Column:
+    """What an arm shows in the slot. L0 nothing, L1 names, L2 codes, L3 described codes, L4 headings, L5 categories, L7 names and summary.
+
+    L6 has no source of descriptions and is refused, as is an arm of another name.
+    """
+    if arm not in ARMS:
+        raise ValueError(f"no arm {arm!r}, there are {', '.join(ARMS)}")
+    text = F.when(shown(summary) != "unknown", F.concat_ws(". ", listed(names, masked), shown(summary))).otherwise(listed(names, masked))
+    return {"L0": F.lit(masked), "L1": listed(names, masked), "L2": listed(codes, masked), "L3": listed(described, masked), "L4": listed(headings, masked), "L5": listed(categories, masked), "L7": text}[arm]
+
+
+def body(fields: dict[str, Column], scrubbed: set[str], phrases: Column, slot_label: str = "Condition") -> Column:
+    """"label: value" lines up to the slot, which comes last; the scrubbed fields have the record's own phrases masked."""
+    lines = [F.concat(F.lit(f"{label}: "), mask_phrases_of(shown(value), phrases) if label in scrubbed else shown(value)) for label, value in fields.items()]
+    return F.concat(F.concat_ws("\n", *lines), F.lit(f"\n{slot_label}: "))
+
+
+def prompt(question: Column, record: Column, contract: str) -> Column:
+    return F.concat_ws("\n\n", question, record, F.lit(contract))
+
+
+def broken_bodies(df: DataFrame, key: str, texts: dict[str, Column], slots: dict[str, Column]) -> DataFrame:
+    """(key, arms): records whose text without the slot at its end isn't the same in all arms, or doesn't end with its slot. Empty if all is well."""
+    rest = {a: F.when(F.endswith(t, slots[a]), F.substring(t, F.lit(1), F.length(t) - F.length(slots[a]))) for a, t in texts.items()}
+    arms = F.array(*[F.struct(F.lit(a).alias("arm"), r.alias("rest")) for a, r in rest.items()])
+    first = next(iter(rest.values()))
+    odd = F.transform(F.filter(arms, lambda x: ~x["rest"].eqNullSafe(first) | x["rest"].isNull()), lambda x: x["arm"])
+    return df.select(key, odd.alias("arms")).where(F.size("arms") > 0)
+
+
+def leaks(df: DataFrame, key: str, text: Column, terms: Column, generic: list[str] = GENERIC) -> DataFrame:
+    """(key, term): terms of a record that its masked text still holds; generic words don't count."""
+    each = df.select(key, text.alias("_text"), F.explode(F.array_distinct(terms)).alias("term"))
+    return each.where((F.col("term") != "") & ~F.lower("term").isin(generic) & F.contains("_text", F.col("term"))).select(key, "term")
+
+
+def reassembled(asked: DataFrame, records: DataFrame, key: str, body_col: str, error_col: str, fallback: float = 0.5) -> DataFrame:
+    """(key, status, proba): every asked row with its record's reply; a missing or failed record and a reply without a probability count as the fallback."""
+    joined = asked.select(key).join(records.select(key, body_col, error_col), key, "left")
+    value = F.get_json_object(body_col, "$.probability").try_cast("double")
+    fine = value.between(0, 100)
+    status = F.when(F.col(error_col).isNotNull(), "error").when(F.col(body_col).isNull(), "missing").when(fine, "ok").otherwise("unparsed")
+    return joined.select(key, status.alias("status"), F.when((status == "ok"), value / 100).otherwise(F.lit(fallback)).alias("proba"))
+
+
+def cached_or_asked(prompts: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """prompts with reply and cached: the cache's reply where it has the key; the others are what is left to ask."""
+    known = cache.select(key, F.col("reply")).dropDuplicates([key])
+    return prompts.join(known, key, "left").withColumn("cached", F.col("reply").isNotNull())
+
+
+def unregistered(grid: DataFrame, plan: DataFrame, keys: list[str], repeats: str) -> DataFrame:
+    """Rows of the grid that the plan doesn't name, or that ask for more repeats than it allows. Empty if all is well."""
+    allowed = plan.select(*keys, F.col(repeats).alias("_allowed"))
+    return grid.join(allowed, keys, "left").where(F.col("_allowed").isNull() | (F.col(repeats) > F.col("_allowed"))).select(*grid.columns)
+
+
+def unattributed(calls: DataFrame, wanted: str, served: str) -> DataFrame:
+    """Calls that weren't served by the model that was asked for."""
+    return calls.where(~F.col(wanted).eqNullSafe(F.col(served)))
+
+
+def rotated_choices(options: DataFrame, key: str, place: str, rotations: int) -> DataFrame:
+    """(key, rotation, place, option place): the option at each place in every rotation; an option meets each place once."""
+    return options.withColumn("rotation", F.explode(F.sequence(F.lit(0), F.lit(rotations - 1)))).withColumn("shown_at", F.pmod(F.col(place) + F.col("rotation"), F.lit(rotations)).cast("int"))
+
+
+def unrotated(replies: DataFrame, key: str, place: str) -> DataFrame:
+    """(key, place, p, top): mean probability of each option over the rotations, and whether it is the highest (first on ties)."""
+    means = replies.groupBy(key, place).agg(F.avg("p").alias("p"))
+    best = means.groupBy(key).agg(F.max(F.struct(F.col("p"), (-F.col(place)).alias("less"))).alias("b"))
+    return means.join(best, key).select(key, place, "p", (-F.col(place) == F.col("b.less")).alias("top"))

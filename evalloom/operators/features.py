@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.functions.scalars import to_number, words
+from evalloom.functions.scalars import months, to_number, words
 
 #: A null category is a level of its own.
 MISSING = "__nan__"
@@ -56,7 +56,14 @@ def onehot_levels(train: DataFrame, columns: list[str], most: int = 40) -> DataF
 def vocabulary(terms: DataFrame, key: str, term: str, min_df: int = 10) -> DataFrame:
     """(term, df, place): terms of at least min_df keys, placed in order of the term."""
     found = terms.select(key, term).distinct().groupBy(term).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    return found.withColumn("place", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(term)) - 1).cast("bigint"))
+    #: Numbered within each beginning of three bytes, from the count of the terms before it.
+    head = F.substring(F.col(term).cast("binary"), 1, 3)
+    sizes = found.groupBy(head.alias("_own")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)  # a row a beginning
+    starts = sizes.select("_own", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_head").orderBy(F.col(term).cast("binary")))
+    placed = found.withColumn("_head", head).withColumn("_place", own).join(starts, F.col("_head") == F.col("_own"))
+    return placed.select(term, "df", (F.col("_before") + F.col("_place") - 1).cast("bigint").alias("place"))
 
 
 def multi_hot(terms: DataFrame, vocab: DataFrame, key: str, term: str) -> DataFrame:
@@ -71,9 +78,18 @@ def presence(df: DataFrame, key: str, terms: str) -> DataFrame:
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf) of all words, single letters too."""
     return df.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def gram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf) of words of two characters or more and of their pairs, as the usual text vectoriser counts them."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    pairs = lambda t: F.when(F.size(t) > 1, F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    both = F.flatten(F.transform(F.array(tokens), lambda t: F.concat(t, pairs(t))))
+    return df.select(key, F.explode(both).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def fit_idf(counts: DataFrame, n_docs: int, min_df: int = 2, most: int | None = None) -> DataFrame:
     """(term, idf) with ln((1 + n) / (1 + df)) + 1; `most` keeps the most frequent terms of the corpus."""
     found = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
@@ -85,8 +101,8 @@ def fit_idf(counts: DataFrame, n_docs: int, min_df: int = 2, most: int | None =
 def tfidf(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * idf, rows scaled to length 1."""
     raw = counts.join(idf, "term").withColumn("x", (1 + F.log("tf")) * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("x") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("x") / norm).alias("weight"))
 
 
 def pooled_vectors(df: DataFrame, by: str, vector: str, how: str = "mean") -> DataFrame:
@@ -94,3 +110,72 @@ def pooled_vectors(df: DataFrame, by: str, vector: str, how: str = "mean") -> Da
     each = df.select(by, F.posexplode(vector).alias("pos", "x"))
     value = F.avg(F.col("x").cast("double")) if how == "mean" else F.max(F.col("x").cast("double"))
     return each.groupBy(by, "pos").agg(value.alias("value"))
+
+
+def column_scales(train: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, median, mean, std): the median, then mean and population deviation of the filled column; a deviation of 0 is 1."""
+    fitted = medians(train, columns)
+    filled = impute(train, fitted, columns)
+    stats = filled.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns])
+    long = stats.unpivot([], columns, "column", "s").join(fitted.unpivot([], columns, "column", "median"), "column")
+    return long.select("column", "median", "s.mean", F.when(F.col("s.std") > 0, F.col("s.std")).otherwise(1.0).alias("std"))
+
+
+class Featurizer:
+    """Feature views fitted on training rows: durations in months, numbers with medians, multi-hot flags, small categories as
+    one-hot columns and large ones as smoothed target means. What is fitted stays a small frame; transform is one projection and
+    joins with the frames of large categories.
+    """
+
+    def __init__(self, key: str, label: str, durations: tuple[str, ...] = (), flags: str = "", most_levels: int = 40, smoothing: float = 20.0):
+        self.key, self.label, self.durations, self.flags, self.most, self.smoothing = key, label, durations, flags, most_levels, smoothing
+
+    def plain(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: months(F.col(c)) for c in self.durations})
+
+    def fit(self, train: DataFrame) -> Featurizer:
+        rows = self.plain(train)
+        columns = [c for c in rows.columns if c not in (self.key, self.label)]
+        self.hot = [c for c in columns if self.flags and c.startswith(self.flags)]
+        kinds = {r["column"]: r["kind"] for r in column_kinds(rows, [c for c in columns if c not in self.hot]).collect()}
+        self.numbers = [c for c in columns if kinds.get(c) == "numeric"]
+        categories = [c for c in columns if kinds.get(c) == "categorical"]
+        numeric = rows.withColumns({c: to_number(F.col(c).cast("string")) for c in self.numbers})
+        self.medians = medians(numeric, self.numbers).first().asDict() if self.numbers else {}
+        levels = onehot_levels(rows, categories, self.most).collect() if categories else []
+        self.levels = {c: sorted(r["level"] for r in levels if r["column"] == c) for c in categories}
+        self.encodings = {c: fit_target_encoding(rows, c, self.label, self.smoothing) for c in categories if not self.levels[c]}
+        self.mean = rows.agg(F.avg(self.label)).first()[0]
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """(key, one double column for each feature). An unseen level of a small category has no column set; of a large one, the mean."""
+        rows = self.plain(df)
+        out = [F.coalesce(to_number(F.col(c).cast("string")), F.lit(self.medians[c])).alias(c) for c in self.numbers]
+        out += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in self.hot]
+        for c, known in self.levels.items():
+            level = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+            out += [(level == x).cast("double").alias(f"{c}={x}") for x in known]
+        for c, fitted in self.encodings.items():
+            small = fitted.select(F.col("level").alias(f"_l_{c}"), F.col("encoding").alias(f"_e_{c}"))
+            rows = rows.join(small, F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) == F.col(f"_l_{c}"), "left")
+            out.append(F.coalesce(F.col(f"_e_{c}"), F.lit(self.mean)).alias(f"{c}_te"))
+        return rows.select(self.key, *out)
+
+
+def truncated(text: str, most: int = 256) -> tuple[Column, Column]:
+    """The first `most` words of a text and the share of its words that they are."""
+    tokens = words(F.col(text))
+    n = F.size(tokens)
+    return F.array_join(F.slice(tokens, 1, most), " "), F.when(n > 0, F.least(n, F.lit(most)) / n).otherwise(1.0)
+
+
+def anova_f(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """(column, f): between-class variance over within-class variance of each column; null where nothing varies within."""
+    long = df.unpivot([label], columns, "column", "x")
+    each = long.groupBy("column", label).agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+    total = Window.partitionBy("column")
+    each = each.withColumn("_all", F.sum(F.col("n") * F.col("m")).over(total) / F.sum("n").over(total))
+    between, within = F.sum(F.col("n") * F.pow(F.col("m") - F.col("_all"), 2)), F.sum(F.col("n") * F.col("v"))
+    k, n = F.count(F.lit(1)), F.sum("n")
+    return each.groupBy("column").agg(F.try_divide(between / (k - 1), F.nullif(within / (n - k), F.lit(0.0))).alias("f"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,41 +11,49 @@ from pyspark.sql import functions as F
 def tie_groups(df: DataFrame, by: list[str], score: str, label: str, weight: Column | None = None) -> DataFrame:
     """(by, score, pos, neg): weight of positives and negatives at each score."""
     w = F.lit(1) if weight is None else weight
-    return df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(w * F.col(label)).alias("pos"), F.sum(w * (1 - F.col(label))).alias("neg"))
+    return df.groupBy(*by, F.col(score).alias("score")).agg(F.sum((w * F.col(label)).cast("double")).alias("pos"), F.sum((w * (1 - F.col(label))).cast("double")).alias("neg"))
 
 
 def running(groups: DataFrame, by: list[str], sections: int = 64) -> DataFrame:
     """groups with tp and fp, running totals by falling score.
 
-    Without keys the scores are cut at quantiles first: each section is summed by itself and starts from the totals
-    of those above it, so no task sorts all groups.
+    Each key's scores are cut at quantiles first: a section is summed by itself and starts from the totals of those above
+    it, so no task sorts all scores of a key. With sections = 0 a key is one task, for many keys with few scores each.
     """
-    if by:
+    if not sections:
         down = Window.partitionBy(*by).orderBy(F.desc("score"))
         return groups.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    edges = groups.agg(F.percentile_approx("score", [k / sections for k in range(1, sections)], 1000)).first()[0] or []
-    placed = groups.withColumn("part", F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>"), lambda e: e < F.col("score"))))
-    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    starts = totals.select("part", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n"))
-    down = Window.partitionBy("part").orderBy(F.desc("score"))
+    at = [k / sections for k in range(1, sections)]
+    edges = groups.groupBy(*by).agg(F.percentile_approx(F.col("score").cast("double"), at, 1000).alias("_edges"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e{k}")) for k, c in enumerate(by)], F.lit(True))
+    placed = groups.join(F.broadcast(edges.select(*[F.col(c).alias(f"_e{k}") for k, c in enumerate(by)], "_edges")), same)
+    placed = placed.withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("score")))).select(*groups.columns, "_part")
+    above = Window.partitionBy(*by).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "_part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    starts = totals.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(by)], F.col("_part").alias("_own"), F.coalesce(F.sum("p").over(above), F.lit(0.0)).alias("_p"), F.coalesce(F.sum("n").over(above), F.lit(0.0)).alias("_n"))
+    down = Window.partitionBy(*by, "_part").orderBy(F.desc("score"))
     own = placed.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    return own.join(F.broadcast(starts), "part").withColumn("tp", F.col("tp") + F.col("p")).withColumn("fp", F.col("fp") + F.col("n")).drop("part", "p", "n")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s{k}")) for k, c in enumerate(by)], F.col("_part") == F.col("_own"))
+    both = own.join(F.broadcast(starts), on)
+    return both.withColumn("tp", F.col("tp") + F.col("_p")).withColumn("fp", F.col("fp") + F.col("_n")).select(*groups.columns, "tp", "fp")
+
 
+def ranking_metrics(df: DataFrame, by: list[str], score: str, label: str, weight: Column | None = None, sections: int = 64) -> DataFrame:
+    """(by, ap, auroc, n_pos, n_neg): step average precision and tie-aware AUROC.
 
-def ranking_metrics(df: DataFrame, by: list[str], score: str, label: str, weight: Column | None = None) -> DataFrame:
-    """(by, ap, auroc, n_pos, n_neg): step average precision and tie-aware AUROC; null where a class is missing."""
-    walked = running(tie_groups(df, by, score, label, weight), by)
+    Of one class alone AP is 1 (no negatives) or 0 (no positives) and AUROC is null. Sections are joined by broadcast,
+    64 rows a key: give sections = 0 where there are many keys.
+    """
+    walked = running(tie_groups(df, by, score, label, weight), by, sections)
     sums = walked.groupBy(*by).agg(
         F.sum(F.try_divide(F.col("pos") * F.col("tp"), F.col("tp") + F.col("fp"))).alias("s"),
         F.sum(F.col("pos") * (F.col("neg") / 2 - F.col("fp"))).alias("u"),
         F.sum("pos").alias("n_pos"),
         F.sum("neg").alias("n_neg"),
     )
-    ap = F.try_divide("s", F.nullif(F.col("n_pos"), F.lit(0)))
+    ap = F.when(F.col("n_pos") > 0, F.try_divide("s", F.col("n_pos"))).when(F.col("n_neg") > 0, 0.0)
     auroc = F.try_divide(F.col("u") + F.col("n_pos") * F.col("n_neg"), F.col("n_pos") * F.col("n_neg"))
-    both = F.col("n_neg") > 0
-    return sums.select(*by, F.when(both, ap).alias("ap"), auroc.alias("auroc"), F.col("n_pos").cast("bigint").alias("n_pos"), F.col("n_neg").cast("bigint").alias("n_neg"))
+    return sums.select(*by, ap.alias("ap"), auroc.alias("auroc"), F.col("n_pos").cast("bigint").alias("n_pos"), F.col("n_neg").cast("bigint").alias("n_neg"))
 
 
 def threshold_metrics(df: DataFrame, by: list[str], predicted: Column, label: str) -> DataFrame:
@@ -73,14 +83,40 @@ def rank_percentile(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def blend_curve(df: DataFrame, a: str, b: str, label: str, steps: int = 100) -> DataFrame:
-    """(w, ap) of w * a + (1 - w) * b for w = 0, 1/steps, ..., 1."""
-    each = df.select(a, b, label, F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
+    """(w, ap) of w * a + (1 - w) * b for w = 0, 1/steps, ..., 1. Equal rows are counted before the weights multiply them."""
+    each = df.groupBy(a, b, label).agg(F.count(F.lit(1)).alias("_c")).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     blended = each.withColumn("blend", F.round((F.col("step") * F.col(a) + (steps - F.col("step")) * F.col(b)) / steps, 9))
-    return ranking_metrics(blended, ["step"], "blend", label).select((F.col("step") / steps).alias("w"), "ap")
+    return ranking_metrics(blended, ["step"], "blend", label, F.col("_c")).select((F.col("step") / steps).alias("w"), "ap")
+
+
+def best_weight(valid: DataFrame, test: DataFrame, a: str, b: str, label: str, steps: int = 100, slack: float = 0.001) -> DataFrame:
+    """(best_w, valid_ap, width, test_ap): the smallest weight with the highest AP on `valid`, the span of weights within `slack`
+    of it, and its AP on `test`."""
+    curve = blend_curve(valid, a, b, label, steps).select("w", F.round("ap", 9).alias("ap"))
+    top = curve.agg(F.max("ap").alias("valid_ap"))
+    near = F.when(F.col("ap") >= F.col("valid_ap") - slack, F.col("w"))
+    chosen = curve.crossJoin(F.broadcast(top)).groupBy("valid_ap").agg(F.min(F.when(F.col("ap") == F.col("valid_ap"), F.col("w"))).alias("best_w"), (F.max(near) - F.min(near)).alias("width"))
+    tested = blend_curve(test, a, b, label, steps).select("w", F.col("ap").alias("test_ap"))
+    return chosen.join(tested, F.col("best_w") == F.col("w")).select("best_w", "valid_ap", "width", "test_ap")
 
 
 def macro_ovr(df: DataFrame, klass: str, scores: list[str]) -> DataFrame:
-    """Mean one-against-the-rest AUROC and AP over the classes 0, 1, ... that the score columns stand for."""
+    """Mean one-against-the-rest AUROC and AP over the classes 0, 1, ... that the score columns stand for.
+
+    AP leaves out classes that no row has; AUROC is null if there is one.
+    """
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(s).alias("score")) for k, s in enumerate(scores)])
     long = df.select(F.col(klass).alias("klass"), F.explode(pairs).alias("e")).select("e.k", "e.score", (F.col("klass") == F.col("e.k")).cast("int").alias("y"))
-    return ranking_metrics(long, ["k"], "score", "y").where("n_pos > 0").agg(F.avg("ap").alias("macro_ap"), F.avg("auroc").alias("macro_auroc"), F.count(F.lit(1)).alias("n_classes"))
+    each = ranking_metrics(long, ["k"], "score", "y")
+    there = F.col("n_pos") > 0
+    return each.agg(F.avg(F.when(there, F.col("ap"))).alias("macro_ap"), F.when(F.bool_and(there), F.avg("auroc")).alias("macro_auroc"), F.count(F.when(there, 1)).alias("n_classes"))
+
+
+def macro_labels(df: DataFrame, klass: str, scores: list[str]) -> DataFrame:
+    """(accuracy, macro_f1): the predicted class is the first of the highest score; a class without rows has F1 0."""
+    values = F.array(*scores)
+    said = df.select(F.col(klass).alias("klass"), (F.array_position(values, F.array_max(values)) - 1).cast("int").alias("said"))
+    pairs = F.explode(F.array(*[F.lit(k) for k in range(len(scores))])).alias("k")
+    tp, either = F.sum(((F.col("klass") == F.col("k")) & (F.col("said") == F.col("k"))).cast("long")), F.sum((F.col("klass") == F.col("k")).cast("long") + (F.col("said") == F.col("k")).cast("long"))
+    each = said.select("klass", "said", pairs).groupBy("k").agg(tp.alias("tp"), F.coalesce(F.try_divide(2 * tp, either), F.lit(0.0)).alias("f1"), F.count(F.lit(1)).alias("n"))
+    return each.agg((F.sum("tp") / F.max("n")).alias("accuracy"), F.avg("f1").alias("macro_f1"))

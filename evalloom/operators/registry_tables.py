@@ -12,6 +12,12 @@ def pooled_rate(df: DataFrame, key: str, part: Column, whole: Column) -> DataFra
     return df.groupBy(key).agg(F.try_divide(a.cast("double"), b.cast("double")).alias("rate"))
 
 
+def class_codes(train: DataFrame, label: str, name: str) -> DataFrame:
+    """(label, name): the training rows' classes numbered from 0 in order."""
+    order = Window.partitionBy(F.lit(0)).orderBy(label)  # a row a class
+    return train.select(label).distinct().withColumn(name, F.row_number().over(order) - 1)
+
+
 def any_event(df: DataFrame, key: str, count: Column) -> DataFrame:
     return df.groupBy(key).agg((F.coalesce(F.sum(count), F.lit(0)) > 0).cast("int").alias("label"))
 

@@ -71,3 +71,32 @@ def to_run(grid: DataFrame, runs: DataFrame, keys: list[str], config: str) -> Da
     clash = F.col("_old").isNotNull() & (F.col("_old") != F.col(config))
     error = F.raise_error(F.lit("a run of this cell has another configuration")).cast("boolean")
     return joined.where(F.when(clash, error).otherwise(F.col("_ran").isNull())).select(*grid.columns)
+
+
+def tier_cost(calls: DataFrame, prices: DataFrame, model: str, tier: str) -> DataFrame:
+    """(model, usd, sync_usd, mixed): cost at each call's own tier, at the full price, and whether tiers were mixed. `batch` is what share
+    of the full price the tier "batch" costs; a call without a price is an error."""
+    joined = calls.join(prices, model, "left")
+    full = F.col("tokens_in") * F.coalesce(F.col("usd_in"), F.raise_error(F.concat(F.lit("no price for "), F.col(model))).cast("double")) + F.col("tokens_out") * F.col("usd_out")
+    own = full * F.when(F.col(tier) == "batch", F.col("batch")).otherwise(1.0)
+    return joined.groupBy(model).agg((F.sum(own) / 1e6).alias("usd"), (F.sum(full) / 1e6).alias("sync_usd"), (F.countDistinct(tier) > 1).alias("mixed"))
+
+
+def family_rollup(gains: DataFrame, family: str, gain: str, delta: float) -> DataFrame:
+    """(family, mean, n, exceeds, one_sign): mean gain, cells beyond +-delta, and whether all gains have one sign."""
+    sign = F.signum(F.col(gain))
+    return gains.groupBy(family).agg(F.avg(gain).alias("mean"), F.count(F.lit(1)).alias("n"), F.sum((F.abs(gain) > delta).cast("long")).alias("exceeds"), (F.min(sign) == F.max(sign)).alias("one_sign"))
+
+
+def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(line): a Markdown table of a small frame, head first, in order of the first column."""
+    head = df.sparkSession.createDataFrame([(0, None, "| " + " | ".join(columns) + " |"), (1, None, "|" + "-|" * len(columns))], "at int, first string, line string")
+    cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    rows = df.select(F.lit(2).alias("at"), F.col(columns[0]).cast("string").alias("first"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    return head.unionByName(rows).orderBy("at", "first").select("line")
+
+
+def class_shares(df: DataFrame, klass: str) -> DataFrame:
+    """(class, share) of the classes that rows have; their mean is the chance level of macro AP."""
+    counts = df.groupBy(klass).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.select(klass, (F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(0)))).alias("share"))  # a row a class

@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from evalloom.functions.scalars import hash_order
 
 
+def hash_rank(df: DataFrame, by: list[str], seed: str, key: str) -> DataFrame:
+    """df with _rank, 1 to n in hash order within `by`.
+
+    Rows are cut into 256 sections by the first byte of the hash, each numbered by itself from the count of those before
+    it, so that neither all rows nor a hot stratum are one task. Rows that repeat a key are in no fixed order.
+    """
+    order = hash_order(seed, F.col(key))
+    cut = df.withColumn("_h", order).withColumn("_section", F.substring("_h", 1, 2))
+    sizes = cut.groupBy(*by, "_section").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_section").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows a stratum
+    starts = sizes.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_section").alias("_own"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    on = F.col("_section") == F.col("_own")
+    for k, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    own = F.row_number().over(Window.partitionBy(*by, "_section").orderBy("_h", key))
+    return cut.withColumn("_place", own).join(starts, on).withColumn("_rank", F.col("_before") + F.col("_place")).select(*df.columns, "_rank")
+
+
 def largest_remainder(strata: DataFrame, name: str, count: str, total: int) -> DataFrame:
     """(name, count, quota): `total` dealt in proportion, the largest remainders first, then by name."""
     everything = Window.partitionBy(F.lit(0))
@@ -23,22 +41,38 @@ def stratified_subset(df: DataFrame, key: str, stratum: str, total: int, seed: s
     """(key, stratum): exactly `total` rows, in proportion to the strata, chosen by hash order."""
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
     quotas = largest_remainder(counts, stratum, "n", total).select(stratum, "quota")
-    placed = df.select(key, stratum, F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(seed, F.col(key)), key)).alias("_r"))
-    return placed.join(quotas, stratum).where("_r <= quota").select(key, stratum)
+    placed = hash_rank(df.select(key, stratum), [stratum], seed, key)
+    return placed.join(F.broadcast(quotas), stratum).where("_rank <= quota").select(key, stratum)  # a row a stratum
 
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float, seed: str) -> DataFrame:
     """df with split: the first share of each label in hash order, rounded up, is valid."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(hash_order(seed, F.col(key)), key))
-    most = F.ceil(F.count(F.lit(1)).over(w) * share)
-    return df.withColumn("split", F.when(rank <= most, "valid").otherwise("train"))
+    most = df.groupBy(F.col(label).alias("_label")).agg(F.ceil(F.count(F.lit(1)) * share).alias("_most"))
+    placed = hash_rank(df, [label], seed, key).join(F.broadcast(most), F.col(label).eqNullSafe(F.col("_label")))  # a row a label
+    return placed.withColumn("split", F.when(F.col("_rank") <= F.col("_most"), "valid").otherwise("train")).drop("_label", "_most", "_rank")
 
 
 def random_folds(df: DataFrame, key: str, folds: int, seed: str) -> DataFrame:
     """df with fold: positions in hash order dealt in turn, so sizes differ by one at most."""
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(hash_order(seed, F.col(key)), key))
-    return df.withColumn("fold", ((rank - 1) % folds).cast("int"))
+    return hash_rank(df, [], seed, key).withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank")
+
+
+def sized_folds(df: DataFrame, key: str, sizes: list[int], seed: str) -> DataFrame:
+    """df with fold: hash order cut at the running totals of `sizes`; rows beyond them have no fold."""
+    ends, total = [], 0
+    for n in sizes:
+        total += n
+        ends.append(total)
+    fold = F.when(F.col("_rank") <= total, F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("_rank"))))
+    return hash_rank(df, [], seed, key).withColumn("fold", fold).drop("_rank")
+
+
+def derangement(df: DataFrame, key: str, seed: str) -> DataFrame:
+    """(key, other): each key's successor in hash order, the first for the last, so no key meets itself where there are two."""
+    placed = hash_rank(df.select(key).distinct(), [], seed, key)
+    n = placed.agg(F.count(F.lit(1)).alias("_n"))
+    wanted = placed.crossJoin(F.broadcast(n)).select(key, (F.col("_rank") % F.col("_n") + 1).alias("_to"))
+    return wanted.join(placed.select(F.col(key).alias("other"), F.col("_rank").alias("_to")), "_to").select(key, "other")
 
 
 def family_folds(df: DataFrame, family: str, folds: int, most: int = 100_000) -> DataFrame:
@@ -58,10 +92,16 @@ def family_folds(df: DataFrame, family: str, folds: int, most: int = 100_000) ->
     return df.sparkSession.createDataFrame(rows, f"`{family}` {kind}, n bigint, fold int")
 
 
+def holdout_rows(df: DataFrame, key: str, family: str, folds: DataFrame, k: int) -> DataFrame:
+    """df with part: eval for families of fold k, train for all others; rows without a family are never evaluated."""
+    fold = folds.where(F.col("fold") == k).select(F.col(family).alias("_family"))
+    return df.join(fold, F.col(family) == F.col("_family"), "left").withColumn("part", F.when(F.col("_family").isNotNull(), "eval").otherwise("train")).drop("_family")
+
+
 def capped_sample(df: DataFrame, key: str, label: str, most: int, seed: str) -> DataFrame:
     """At most about `most` rows, at least one of each label, in hash order."""
-    w = Window.partitionBy(label)
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    quota = F.greatest(F.lit(1), F.round(F.count(F.lit(1)).over(w) * F.least(F.lit(1.0), most / n)))
-    rank = F.row_number().over(w.orderBy(hash_order(seed, F.col(key)), key))
-    return df.withColumn("_r", rank).withColumn("_q", quota).where("_r <= _q").drop("_r", "_q")
+    counts = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_c"))
+    total = F.sum("_c").over(Window.partitionBy(F.lit(0)))  # a row a label
+    quotas = counts.select("_label", F.greatest(F.lit(1), F.round(F.col("_c") * F.least(F.lit(1.0), most / total))).alias("_q"))
+    placed = hash_rank(df, [label], seed, key).join(F.broadcast(quotas), F.col(label).eqNullSafe(F.col("_label")))
+    return placed.where("_rank <= _q").drop("_label", "_q", "_rank")

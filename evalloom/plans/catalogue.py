@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.functions import scalars as C
 from evalloom.operators import audit, bootstrap, features, ranking, registry_tables, runs, splits
-from evalloom.plans import frames, methods
+from evalloom.plans import (
+    extended,  # noqa: F401  registers its queries
+    frames,
+    methods,
+)
 from evalloom.plans.frames import DRAWS, RUNS, SCORED, ranking_sql, table
+from evalloom.plans.registry import ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def r9(*names: str) -> list:
@@ -57,7 +49,7 @@ def label_resolve_clip(spark, sf_dir):
     SELECT o_orderkey, code FROM orders JOIN c USING (o_orderpriority) WHERE o_orderkey % 5 = 0""")
 def class_codes_sorted(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    codes = bootstrap.numbered(o.where("o_orderkey % 5 <> 0"), "o_orderpriority").select("o_orderpriority", F.col("k").cast("int").alias("code"))
+    codes = registry_tables.class_codes(o.where("o_orderkey % 5 <> 0"), "o_orderpriority", "code")
     return o.where("o_orderkey % 5 = 0").join(codes, "o_orderpriority").select("o_orderkey", "code")
 
 
@@ -284,7 +276,7 @@ def median_impute(spark, sf_dir):
 
 TE = """t AS (SELECT o_orderkey, coalesce(nullif(c_mktsegment, 'BUILDING'), '__nan__') AS level, (o_orderstatus = 'F')::INT AS y FROM orders JOIN customer ON o_custkey = c_custkey),
     tr AS (SELECT * FROM t WHERE o_orderkey % 4 <> 0),
-    te AS (SELECT level, count(*) AS n, (sum(y) + 20 * (SELECT avg(y) FROM tr)) / (count(*) + 20) AS encoding FROM tr WHERE level <> 'MACHINERY' GROUP BY 1)"""
+    te AS (SELECT level, count(*) AS n, (sum(y) + 20 * (SELECT avg(y) FROM tr)) / (count(*) + 20) AS encoding FROM tr GROUP BY 1)"""
 
 
 def encoding_frame(spark, sf_dir):
@@ -292,12 +284,12 @@ def encoding_frame(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(c, "o_custkey").select("o_orderkey", "segment", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
 
 
-@query(f"WITH {TE.replace(chr(39) + 'MACHINERY' + chr(39), chr(39) + chr(39))} SELECT level, n, round(encoding, 9) AS encoding FROM te")
+@query(f"WITH {TE} SELECT level, n, round(encoding, 9) AS encoding FROM te")
 def target_encode_fit(spark, sf_dir):
     return features.fit_target_encoding(encoding_frame(spark, sf_dir).where("o_orderkey % 4 <> 0"), "segment", "y").select("level", "n", *r9("encoding"))
 
 
-@query(f"WITH {TE.replace('WHERE level <> ' + chr(39) + 'MACHINERY' + chr(39), '')} SELECT o_orderkey, round(coalesce(encoding, (SELECT avg(y) FROM tr)), 9) AS encoding FROM t LEFT JOIN te USING (level) WHERE o_orderkey % 4 = 0")
+@query(f"WITH {TE} SELECT o_orderkey, round(coalesce(encoding, (SELECT avg(y) FROM tr)), 9) AS encoding FROM t LEFT JOIN te USING (level) WHERE o_orderkey % 4 = 0")
 def target_encode_apply(spark, sf_dir):
     df = encoding_frame(spark, sf_dir)
     fitted = features.fit_target_encoding(df.where("o_orderkey % 4 <> 0"), "segment", "y")
@@ -396,9 +388,9 @@ SIMS = f"""{TFIDF}, dots AS (SELECT a.doc_id, b.doc_id AS other, sum(a.weight *
     sims AS (SELECT q.doc_id, coalesce(max(dot), 0) AS sim FROM (SELECT DISTINCT doc_id FROM w WHERE doc_id % 5 = 0) q LEFT JOIN dots USING (doc_id) GROUP BY 1)"""
 
 
-def similarities(spark, sf_dir):
+def similarities(spark, sf_dir, floor=0.0):
     w = tfidf_frame(spark, sf_dir)
-    return audit.max_cosine(w.where("doc_id % 5 = 0"), w.where("doc_id % 5 <> 0"), "doc_id")
+    return audit.max_cosine(w.where("doc_id % 5 = 0"), w.where("doc_id % 5 <> 0"), "doc_id", floor)
 
 
 @query(f"WITH {SIMS} SELECT doc_id, round(sim, 6) AS sim FROM sims")
@@ -408,7 +400,8 @@ def neardup_max_cosine(spark, sf_dir):
 
 @query(f"WITH {SIMS} SELECT th::DOUBLE AS threshold, count(*) FILTER (WHERE sim > th) AS dropped, round(avg((sim > th)::INT), 9) AS rate FROM sims, (VALUES (0.85), (0.9), (0.95), (0.99)) t(th) GROUP BY 1")
 def dup_rate_by_threshold(spark, sf_dir):
-    each = similarities(spark, sf_dir).withColumn("threshold", F.explode(F.array(*map(F.lit, (0.85, 0.9, 0.95, 0.99)))))
+    at = (0.85, 0.9, 0.95, 0.99)
+    each = similarities(spark, sf_dir, min(at)).withColumn("threshold", F.explode(F.array(*map(F.lit, at))))
     above = (F.col("sim") > F.col("threshold")).cast("int")
     return each.groupBy("threshold").agg(F.sum(above).alias("dropped"), F.round(F.avg(above), 9).alias("rate"))
 
@@ -446,7 +439,7 @@ def binary_threshold_metrics(spark, sf_dir):
 
 
 @query(f"""WITH e AS (SELECT label % 3 AS klass, embedding::DOUBLE[] AS e FROM embeddings), long AS (SELECT k, e[k + 1] AS s, (klass = k)::INT AS y FROM e, range(0, 3) t(k)),
-    {ranking_sql('long', 'k', 's')} SELECT round(avg(ap), 9) AS macro_ap, round(avg(auroc), 9) AS macro_auroc, count(*) AS n_classes FROM ranked WHERE n_pos > 0""")
+    {ranking_sql('long', 'k', 's')} SELECT round(avg(ap) FILTER (WHERE n_pos > 0), 9) AS macro_ap, CASE WHEN bool_and(n_pos > 0) THEN round(avg(auroc), 9) END AS macro_auroc, count(*) FILTER (WHERE n_pos > 0) AS n_classes FROM ranked""")
 def macro_ovr(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select((F.col("label") % 3).alias("klass"), *[F.col("embedding")[k].cast("double").alias(f"s{k}") for k in range(3)])
     return ranking.macro_ovr(e, "klass", ["s0", "s1", "s2"]).select(*r9("macro_ap", "macro_auroc"), "n_classes")
@@ -475,18 +468,21 @@ def spearman_rank_shift(spark, sf_dir):
     return both.groupBy("lang").agg(F.round(F.corr("x", "pct"), 9).alias("spearman"), F.round(F.avg(F.abs(F.col("x") - F.col("pct"))), 9).alias("rank_shift"))
 
 
-@query(f"WITH {SCORED}, each AS (SELECT i, round((i * a + (20 - i) * b) / 20, 9) AS s, y FROM scored, range(0, 21) t(i)), {ranking_sql('each', 'i', 's')} SELECT i / 20 AS w, round(ap, 9) AS ap FROM ranked")
+EACH = "SELECT i, round((i * a + (100 - i) * b) / 100, 9) AS s, y FROM scored, range(0, 101) t(i)"
+
+
+@query(f"WITH {SCORED}, each AS ({EACH}), {ranking_sql('each', 'i', 's')} SELECT i / 100 AS w, round(ap, 9) AS ap FROM ranked")
 def blend_curve(spark, sf_dir):
-    return ranking.blend_curve(frames.scored(spark, sf_dir), "a", "b", "y", 20).select("w", *r9("ap"))
+    return ranking.blend_curve(frames.scored(spark, sf_dir), "a", "b", "y").select("w", *r9("ap"))
 
 
-@query(f"""WITH {SCORED}, each AS (SELECT i, round((i * a + (20 - i) * b) / 20, 9) AS s, y FROM scored, range(0, 21) t(i)), {ranking_sql('each', 'i', 's')},
-    c AS (SELECT i / 20 AS w, round(ap, 9) AS ap FROM ranked) SELECT min(w) FILTER (WHERE ap = top) AS best_w, max(ap) AS peak, max(w) FILTER (WHERE ap >= top - 0.001) - min(w) FILTER (WHERE ap >= top - 0.001) AS width FROM c, (SELECT max(ap) AS top FROM c)""")
+@query(f"""WITH {SCORED}, v AS ({EACH} WHERE id % 5 = 1), s AS ({EACH} WHERE id % 5 = 0), {ranking_sql('v', 'i', 's', name='rv')}, {ranking_sql('s', 'i', 's', name='rs')},
+    c AS (SELECT i, round(ap, 9) AS ap FROM rv), p AS (SELECT min(i) FILTER (WHERE ap = top) AS i, max(top) AS valid_ap, (max(i) FILTER (WHERE ap >= top - 0.001) - min(i) FILTER (WHERE ap >= top - 0.001)) / 100 AS width FROM c, (SELECT max(ap) AS top FROM c))
+    SELECT i / 100 AS best_w, valid_ap, round(width, 9) AS width, round(rs.ap, 9) AS test_ap FROM p JOIN rs USING (i)""")
 def blend_best_weight(spark, sf_dir):
-    c = ranking.blend_curve(frames.scored(spark, sf_dir), "a", "b", "y", 20).select("w", *r9("ap"))
-    top = c.agg(F.max("ap").alias("top"))
-    near = F.when(F.col("ap") >= F.col("top") - 0.001, F.col("w"))
-    return c.crossJoin(F.broadcast(top)).agg(F.min(F.when(F.col("ap") == F.col("top"), F.col("w"))).alias("best_w"), F.max("ap").alias("peak"), (F.max(near) - F.min(near)).alias("width"))
+    df = frames.scored(spark, sf_dir)
+    best = ranking.best_weight(df.where("id % 5 = 1"), df.where("id % 5 = 0"), "a", "b", "y")
+    return best.select("best_w", "valid_ap", *r9("width", "test_ap"))
 
 
 BINS = "edges AS (SELECT list_distinct(list_sort(quantile_cont(a, [0.2, 0.4, 0.6, 0.8]))) AS e FROM scored WHERE id % 5 <> 0), binned AS (SELECT s.*, len(list_filter(e, lambda x: x <= a))::INT AS bin FROM scored s, edges)"
@@ -532,7 +528,10 @@ def random_folds(spark, sf_dir):
     return splits.random_folds(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", 5, "folds")
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT p_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_type) AS k FROM part WHERE p_type IS NOT NULL GROUP BY 1),
+    deal AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS loads, NULL::VARCHAR AS p_type, NULL::BIGINT AS n, NULL::BIGINT AS fold
+        UNION ALL SELECT f.k, list_transform(d.loads, lambda x, i: CASE WHEN i = list_position(d.loads, list_min(d.loads)) THEN x + f.n ELSE x END), f.p_type, f.n, list_position(d.loads, list_min(d.loads)) - 1 FROM deal d JOIN f ON f.k = d.k + 1)
+    SELECT p_type, n, fold::INT AS fold FROM deal WHERE k > 0""")
 def family_holdout_folds(spark, sf_dir):
     return splits.family_folds(table(spark, sf_dir, "part"), "p_type", 5)
 
@@ -574,7 +573,7 @@ def bootstrap_ratio(spark, sf_dir):
 
 
 def half(name: str, source: str, even: int, seed: str, score: str = "a") -> str:
-    return f"""{name}u AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS k FROM (SELECT DISTINCT cluster FROM {source} WHERE id % 2 = {even})),
+    return f"""{name}u AS (SELECT cluster, row_number() OVER (ORDER BY sha256('unit|' || cluster)) - 1 AS k FROM (SELECT DISTINCT cluster FROM {source} WHERE id % 2 = {even})),
     {name}d AS (SELECT draw, ('0x' || substr(sha256('{seed}|' || draw || '|' || u.k), 1, 8))::BIGINT % (SELECT count(*) FROM {name}u) AS k FROM {name}u u, range(1, 51) t(draw)),
     {name}w AS (SELECT d.draw, u.cluster, count(*) AS w FROM {name}d d JOIN {name}u u ON d.k = u.k GROUP BY ALL),
     {name}s AS (SELECT w.draw, w.w, s.* FROM {source} s JOIN {name}w w ON s.cluster = w.cluster WHERE s.id % 2 = {even})"""
@@ -671,11 +670,12 @@ def grid_cross_resume(spark, sf_dir):
 # Pairing and mapping
 
 
-@query("""WITH p AS (SELECT a.p_partkey, b.p_partkey AS other, abs(a.p_partkey - b.p_partkey) AS gap FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND a.p_brand <> b.p_brand AND abs(a.p_partkey - b.p_partkey) <= 20)
-    SELECT p_partkey, other, gap, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY gap, other) AS rank FROM p) WHERE rank <= 5""")
+@query("""WITH p AS (SELECT a.p_partkey, b.p_partkey AS other, abs(a.p_partkey - b.p_partkey) AS gap, row_number() OVER (PARTITION BY a.p_partkey, lower(trim(b.p_name)) ORDER BY abs(a.p_partkey - b.p_partkey), b.p_partkey) AS of_title
+    FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND lower(trim(a.p_name)) <> lower(trim(b.p_name)))
+    SELECT p_partkey, other, gap, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY gap, other) AS rank FROM p WHERE of_title = 1) WHERE rank <= 5""")
 def nearest_by_number(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("num"), "p_brand")
-    return audit.nearest_by_number(p, "p_partkey", "num", "p_brand", 5, 20)
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("num"), "p_name")
+    return audit.nearest_by_number(p, "p_partkey", "num", "p_name", 5, 8)
 
 
 @query("""WITH a AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS j FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS j FROM orders WHERE o_orderstatus = 'O')
@@ -686,9 +686,13 @@ def occurrence_pairing(spark, sf_dir):
     return audit.pair_occurrences(side("F", "left_key"), side("O", "right_key"), "o_custkey", ["left_key"], ["right_key"]).select("o_custkey", "occurrence", "left_key", "right_key")
 
 
-@query("""WITH g AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), r AS (SELECT p_brand, coalesce(lead(p_brand) OVER (ORDER BY p_brand), (SELECT min(p_brand) FROM g)) AS nxt FROM g),
-    p AS (SELECT p_partkey, p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('donor|' || p_partkey), p_partkey) - 1 AS at_place FROM part)
-    SELECT p.p_partkey, d.p_partkey AS donor, d.p_brand AS donor_group, d.p_name AS donor_name FROM p JOIN r USING (p_brand) JOIN g ON g.p_brand = r.nxt JOIN p d ON d.p_brand = r.nxt AND d.at_place = p.at_place % g.n WHERE d.p_name <> p.p_name""")
+@query("""WITH h AS (SELECT p_partkey, p_brand, p_name, lower(trim(p_name)) AS t FROM part), g AS (SELECT p_brand, count(*) AS size, row_number() OVER (ORDER BY p_brand) - 1 AS k, count(*) OVER () AS groups FROM h GROUP BY 1),
+    placed AS (SELECT p_partkey AS donor, p_brand AS donor_group, p_name AS donor_name, t, row_number() OVER (PARTITION BY p_brand ORDER BY t, sha256('donor|' || p_partkey)) - 1 AS pos FROM h),
+    blocks AS (SELECT donor_group, t, min(pos) AS start, count(*) AS c FROM placed GROUP BY 1, 2),
+    d AS (SELECT h.*, g.k, ('0x' || substr(sha256('donor|group|' || p_partkey), 1, 8))::BIGINT % (g.groups - 1) AS d FROM h JOIN g USING (p_brand)),
+    w AS (SELECT d.p_partkey, g.p_brand AS goal, d.t, coalesce(b.start, 1000000000) AS start, coalesce(b.c, 0) AS c, ('0x' || substr(sha256('donor|row|' || p_partkey), 1, 8))::BIGINT % nullif(g.size - coalesce(b.c, 0), 0) AS p
+          FROM d JOIN g ON g.k = d.d + (d.d >= d.k)::INT LEFT JOIN blocks b ON b.donor_group = g.p_brand AND b.t = d.t)
+    SELECT w.p_partkey, x.donor, x.donor_group, x.donor_name FROM w LEFT JOIN placed x ON x.donor_group = w.goal AND x.pos = w.p + CASE WHEN w.p >= w.start THEN w.c ELSE 0 END""")
 def donor_swap(spark, sf_dir):
     return audit.donors(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "p_name", "donor")
 
@@ -713,5 +717,10 @@ def scores_of(name):
     return run
 
 
-for _name in ("majority", "logreg_l2", "logreg_l1", "random_forest", "hist_gbm", "svm_linear"):
+@query(f"WITH {SCORED} SELECT id, (SELECT avg(y) FROM scored WHERE id % 5 <> 0) AS proba FROM scored WHERE id % 5 = 0")
+def majority_scores(spark, sf_dir):
+    return methods.scores("majority", frames.scored(spark, sf_dir))
+
+
+for _name in ("logreg_l2", "logreg_l1", "random_forest", "hist_gbm", "svm_linear"):
     query()(scores_of(_name))

@@ -13,7 +13,7 @@ RUNS = """runs AS (
            round(avg(l_discount) * 10, 9) AS value, round(avg(l_tax), 9) AS half
     FROM lineitem WHERE l_suppkey % 7 <> 3 OR l_partkey % 9 <> 4 GROUP BY ALL)"""
 #: Draws of SQL oracles: w is how often unit k of n comes up in each draw.
-DRAWS = """units AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS k FROM (SELECT DISTINCT cluster FROM scored)),
+DRAWS = """units AS (SELECT cluster, row_number() OVER (ORDER BY sha256('unit|' || cluster)) - 1 AS k FROM (SELECT DISTINCT cluster FROM scored)),
     drawn AS (SELECT draw, ('0x' || substr(sha256('{seed}|' || draw || '|' || u.k), 1, 8))::BIGINT % (SELECT count(*) FROM units) AS k
               FROM units u, range(1, {draws} + 1) t(draw)),
     weights AS (SELECT d.draw, u.cluster, count(*) AS w FROM drawn d JOIN units u ON d.k = u.k GROUP BY ALL)"""
@@ -36,11 +36,11 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranking_sql(source: str, by: str, score: str, label: str = "y", weight: str = "1", name: str = "ranked") -> str:
-    """CTE `name`: by, ap, auroc, n_pos, n_neg of the rows of `source`."""
+    """CTE `name`: by, ap, auroc, n_pos, n_neg of the rows of `source`. Weighted rows are draws, where AP of one class is null."""
     keys = f"{by}, " if by else ""
     part = f"PARTITION BY {by} " if by else ""
     group = f"GROUP BY {by}" if by else ""
     return f"""{name}_g AS (SELECT {keys}{score} AS s, sum({weight} * {label}) AS pos, sum({weight} * (1 - {label})) AS neg FROM {source} GROUP BY {keys}{score}),
     {name}_r AS (SELECT *, sum(pos) OVER ({part}ORDER BY s DESC) AS tp, sum(neg) OVER ({part}ORDER BY s DESC) AS fp FROM {name}_g),
-    {name} AS (SELECT {keys}CASE WHEN sum(neg) > 0 THEN sum(pos * tp / nullif(tp + fp, 0)) / nullif(sum(pos), 0) END AS ap,
+    {name} AS (SELECT {keys}CASE WHEN sum(pos) > 0 {"" if weight == "1" else "AND sum(neg) > 0 "}THEN sum(pos * tp / nullif(tp + fp, 0)) / sum(pos) {"WHEN sum(neg) > 0 THEN 0 " if weight == "1" else ""}END AS ap,
                (sum(pos * (neg / 2 - fp)) + sum(pos) * sum(neg)) / nullif(sum(pos) * sum(neg), 0) AS auroc, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg FROM {name}_r {group})"""

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.operators.features import fit_idf, gram_counts, tfidf
+from evalloom.operators.splits import hash_rank
+
 METHODS: dict[str, Callable[[float], object]] = {}
 
 
@@ -45,17 +50,17 @@ def logreg_l1(weight: float):
 
 @register("random_forest")
 def random_forest(weight: float):
-    return RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=50, seed=0)
+    return RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=400, seed=0)
 
 
 @register("hist_gbm")
 def hist_gbm(weight: float):
-    return GBTClassifier(labelCol="y", weightCol="weight", maxIter=20, stepSize=0.1, seed=0)
+    return GBTClassifier(labelCol="y", maxIter=300, stepSize=0.1, seed=0)
 
 
 @register("svm_linear")
 def svm_linear(weight: float):
-    return LinearSVC(labelCol="y", weightCol="weight", regParam=1 / weight, maxIter=20)
+    return LinearSVC(labelCol="y", weightCol="weight", regParam=1 / weight, maxIter=100)
 
 
 for _absent in ("extra_trees", "xgboost", "lightgbm", "catboost", "tabnet", "ft_transformer", "tabpfn", "clinical_bert_finetuned", "clinical_embeddings"):
@@ -73,21 +78,47 @@ def balanced(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(weights), "y")  # two rows
 
 
+def platt(train: DataFrame, margin_stages: Callable[[DataFrame], Pipeline], folds: int = 3):
+    """A logistic fit of y on margins that each row got from a model of the other folds."""
+    dealt = hash_rank(train, ["y"], "platt", "id").withColumn("_fold", F.col("_rank") % folds).drop("_rank")
+    rows = [margins(margin_stages(balanced(part)).transform(dealt.where(F.col("_fold") == k))) for k in range(folds) for part in [dealt.where(F.col("_fold") != k)]]
+    stages = [VectorAssembler(inputCols=["m"], outputCol="margin"), LogisticRegression(labelCol="y", featuresCol="margin", rawPredictionCol="r", probabilityCol="p", predictionCol="q")]
+    return Pipeline(stages=stages).fit(reduce(DataFrame.unionByName, [r.select("m", "y") for r in rows]))
+
+
+def margins(df: DataFrame) -> DataFrame:
+    return df.withColumn("m", vector_to_array("rawPrediction")[1])
+
+
 def scores(name: str, df: DataFrame, inputs: tuple[str, ...] = ("a", "b")) -> DataFrame:
-    """(id, proba) of the rows that aren't trained on: every fifth id. An SVM's margins are calibrated on training rows."""
+    """(id, proba) of the rows that aren't trained on: every fifth id. An SVM's margins are calibrated out of fold."""
     train, test = df.where("id % 5 <> 0"), df.where("id % 5 = 0")
     make = METHODS[name]
-    n = train.count()
-    learner = make(float(max(1, n)))
+    learner = make(float(max(1, train.count())))
     if learner is None:
         prior = train.agg(F.avg("y").alias("proba"))
-        return test.select("id").crossJoin(F.broadcast(prior))
-    stages = [VectorAssembler(inputCols=list(inputs), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-    model = Pipeline(stages=[*stages, learner]).fit(balanced(train))
-    out = model.transform(test)
+        return test.select("id").crossJoin(F.broadcast(prior))  # one row
+    stages = [VectorAssembler(inputCols=list(inputs), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), learner]
+    fit = Pipeline(stages=stages).fit
+    model = fit(balanced(train))
     if name != "svm_linear":
-        return out.select("id", vector_to_array("probability")[1].alias("proba"))
-    margin = lambda d: d.withColumn("m", vector_to_array("rawPrediction")[1])
-    platt = Pipeline(stages=[VectorAssembler(inputCols=["m"], outputCol="margin"), LogisticRegression(labelCol="y", featuresCol="margin", rawPredictionCol="r", probabilityCol="p", predictionCol="q")])
-    fitted = platt.fit(margin(model.transform(train)))
-    return fitted.transform(margin(out)).select("id", vector_to_array("p")[1].alias("proba"))
+        return model.transform(test).select("id", vector_to_array("probability")[1].alias("proba"))
+    fitted = platt(train, fit)
+    return fitted.transform(margins(model.transform(test)).select("id", "m")).select("id", vector_to_array("p")[1].alias("proba"))
+
+
+def text_scores(df: DataFrame, key: str, text: str, label: str, terms: int = 50_000) -> DataFrame:
+    """(key, proba) of every fifth key by a balanced logistic fit on the others' word and word-pair weights."""
+    counts = gram_counts(df, key, text)
+    train = df.where(F.col(key) % 5 != 0).select(key, F.col(label).alias("y"))
+    idf = fit_idf(counts.where(F.col(key) % 5 != 0), train.count(), most=terms)
+    #: The vocabulary's size is bounded by `terms`; it is numbered once.
+    numbered = idf.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1)
+    weights = tfidf(counts, numbered.select("term", "idf"), key).join(F.broadcast(numbered.select("term", "place")), "term")
+    pairs = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("w"))
+    sparse = F.udf(lambda w: Vectors.sparse(terms, [x[0] for x in w or []], [x[1] for x in w or []]), VectorUDT())
+    rows = df.select(key).join(pairs, key, "left").select(key, sparse("w").alias("features"))
+    both = balanced(rows.join(train, key))
+    n = float(max(1, train.count()))
+    model = LogisticRegression(labelCol="y", weightCol="weight", elasticNetParam=0.0, regParam=1 / n, standardization=False).fit(both)
+    return model.transform(rows.where(F.col(key) % 5 == 0)).select(key, vector_to_array("probability")[1].alias("proba"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalloom.operators.runs import markdown
+
 RUN_RECORD = """task string, phase string, method string, seed int, task_type string, num_classes int, n_train bigint, n_test bigint,
     n_features bigint, fit_secs double, headline string, point map<string,double>,
     bootstrap map<string,struct<mean:double,lo:double,hi:double,std:double>>, status string, reason string"""
@@ -64,3 +66,59 @@ def predictions(spark: SparkSession, path: str, split: str | None = None) -> Dat
 def write_batches(df: DataFrame, path: str, most: int = 10_000) -> None:
     """JSON lines, at most `most` records in a file."""
     df.write.mode("overwrite").option("maxRecordsPerFile", most).json(path)
+
+
+def id_list(spark: SparkSession, path: str) -> DataFrame:
+    """(id): a text file of ids, one a line, trimmed; empty lines are left out."""
+    return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''")
+
+
+def write_subset(df: DataFrame, key: str, path: str) -> str:
+    """Writes the ids in order, one a line, and gives the SHA-256 of the sorted ids' digests, which names the subset at any partitioning."""
+    df.select(F.col(key).cast("string").alias("value")).orderBy("value").write.mode("overwrite").text(path)
+    return subset_digest(df, key)
+
+
+def subset_digest(df: DataFrame, key: str) -> str:
+    """A digest of a set of ids: their SHA-256 digests are summed in four parts, so no task holds them all."""
+    h = F.sha2(F.col(key).cast("string"), 256)
+    part = lambda k: F.sum(F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)"))
+    sums = df.select(key).distinct().agg(F.concat_ws("|", *[F.coalesce(part(k).cast("string"), F.lit("0")) for k in range(4)]).alias("s"))
+    return sums.select(F.sha2("s", 256)).first()[0]
+
+
+def hierarchy(spark: SparkSession, path: str, row_tag: str = "chapter") -> DataFrame:
+    """(char3, block, chapter) of an XML code list: chapters hold sections, sections hold diagnoses, each with a name or id."""
+    rows = spark.read.format("xml").option("rowTag", row_tag).schema("name string, section array<struct<_id:string,diag:array<struct<name:string>>>>").load(path)
+    blocks = rows.select(F.col("name").alias("chapter"), F.explode("section").alias("s")).select("chapter", F.col("s._id").alias("block"), F.explode("s.diag").alias("d"))
+    return blocks.select(F.upper(F.substring(F.trim("d.name"), 1, 3)).alias("char3"), "block", "chapter").dropDuplicates(["char3"])
+
+
+def term_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(term, vector): a text file, packed or not, of a term and its numbers, parted by tabs or spaces."""
+    parts = F.split(F.trim("value"), r"[\t ]+")
+    return spark.read.text(path).select(parts.alias("p")).where(F.size("p") > 2).select(F.col("p")[0].alias("term"), F.transform(F.slice("p", F.lit(2), F.size("p") - 1), lambda x: x.cast("double")).alias("vector"))
+
+
+def response_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(key, reply) of a JSON lines cache; the last of lines that repeat a key counts, broken lines are left out."""
+    rows = spark.read.schema("key string, reply string, at double").json(path).where("key is not null")
+    return rows.groupBy("key").agg(F.max_by("reply", F.coalesce("at", F.lit(0.0))).alias("reply"))
+
+
+def batch_records(spark: SparkSession, path: str) -> DataFrame:
+    """(recordId, body, error) of batch output files: each record has an output or an error."""
+    text = spark.read.text(path)
+    get = lambda x: F.get_json_object("value", x)
+    return text.select(get("$.recordId").alias("recordId"), get("$.modelOutput").alias("body"), get("$.error").alias("error")).where("recordId is not null")
+
+
+def write_leaderboard(board: DataFrame, path: str, columns: list[str]) -> None:
+    """The leaderboard as CSV and as a Markdown table, under path/csv and path/md."""
+    board.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    markdown(board, columns).coalesce(1).write.mode("overwrite").text(f"{path}/md")
+
+
+def append_usage(calls: DataFrame, path: str) -> None:
+    """Adds calls to the usage log, JSON lines by day."""
+    calls.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").json(path)

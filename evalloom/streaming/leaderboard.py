@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evalloom.operators.runs import leaderboard
@@ -11,15 +12,24 @@ RUN = "method string, cell string, seed int, prauc double"
 
 
 def incremental(spark: SparkSession, source: str, store: str, out: str, state: str, schema: str = RUN) -> StreamingQuery:
-    """Takes new run files (JSON) into `store` and rebuilds the leaderboard in `out`; ends when all that is there is read.
+    """Takes new run files (JSON) into `store` and adds a leaderboard to `out`; ends when all that is there is read.
 
-    A batch is written under its own number, so one that is repeated after a failure replaces itself.
+    A batch is written under its own number, in `store` and in `out`, so one that is repeated after a failure replaces
+    itself and no reader meets a half-written leaderboard. Of runs that repeat a method, cell and seed the last batch's
+    counts, and within a batch the highest value. `store` keeps a row a run; only seeds' means would be fewer.
     """
 
     def rebuild(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        runs = batch.sparkSession.read.parquet(store)
-        leaderboard(runs.dropDuplicates(["method", "cell", "seed"]), "method", "cell", "prauc").write.mode("overwrite").parquet(out)
+        runs = batch.sparkSession.read.parquet(store).where(F.col("batch") <= number)
+        last = runs.groupBy("method", "cell", "seed").agg(F.max(F.struct("batch", "prauc")).alias("r")).select("method", "cell", "seed", "r.prauc")
+        leaderboard(last, "method", "cell", "prauc").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     arrivals = spark.readStream.schema(schema).json(source)
     return arrivals.writeStream.foreachBatch(rebuild).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """The leaderboard of the last batch."""
+    boards = spark.read.parquet(out)
+    return boards.join(boards.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")

@@ -7,7 +7,7 @@ from evalloom.functions import scalars as C
 from evalloom.operators import bootstrap, ranking, runs, splits
 from evalloom.plans import methods
 from evalloom.sources import tables
-from evalloom.streaming.leaderboard import incremental
+from evalloom.streaming.leaderboard import incremental, latest
 
 
 def one(spark, column, **values):
@@ -29,12 +29,19 @@ def test_ties_and_missing_class(spark):
     df = spark.createDataFrame([("a", 0.9, 1), ("a", 0.5, 0), ("a", 0.5, 1), ("a", 0.5, 0), ("a", 0.1, 1), ("b", 0.3, 1)], "g string, s double, y int")
     got = {r["g"]: r for r in ranking.ranking_metrics(df, ["g"], "s", "y").collect()}
     assert got["a"]["ap"] == pytest.approx((1 + 2 / 4 + 3 / 5) / 3) and got["a"]["auroc"] == pytest.approx((2 + 1 + 0) / 6)
-    assert got["b"]["ap"] is None and got["b"]["auroc"] is None
+    assert got["b"]["ap"] == 1.0 and got["b"]["auroc"] is None
+
+
+def test_weights_of_billions_do_not_overflow(spark):
+    df = spark.createDataFrame([(0.9, 1, 4_000_000_000), (0.5, 0, 4_000_000_000), (0.4, 1, 4_000_000_000)], "s double, y int, w long")
+    for sections in (64, 0):
+        got = ranking.ranking_metrics(df.withColumn("g", F.lit("x")), ["g"], "s", "y", F.col("w"), sections).first()
+        assert got["ap"] == pytest.approx((1 + 2 / 3) / 2) and got["auroc"] == pytest.approx(0.5)
 
 
 def test_sectioned_totals_equal_one_window(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 613).cast("double").alias("s"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.lit(1).alias("g"))
-    a, b = ranking.ranking_metrics(df, [], "s", "y").first(), ranking.ranking_metrics(df, ["g"], "s", "y").first()
+    a, b = ranking.ranking_metrics(df, [], "s", "y").first(), ranking.ranking_metrics(df, ["g"], "s", "y", sections=0).first()
     assert a["ap"] == pytest.approx(b["ap"]) and a["auroc"] == pytest.approx(b["auroc"])
 
 
@@ -108,5 +115,5 @@ def test_incremental_leaderboard(spark, tmp_path):
     for k, (method, value) in enumerate([("a", 0.4), ("b", 0.6)]):
         (source / f"{k}.json").write_text(f'{{"method": "{method}", "cell": "c", "seed": 0, "prauc": {value}}}')
         incremental(spark, str(source), *paths).awaitTermination()
-    rows = spark.read.parquet(paths[1]).orderBy("place").collect()
+    rows = latest(spark, paths[1]).orderBy("place").collect()
     assert [(r["method"], r["mean"]) for r in rows] == [("b", 0.6), ("a", 0.4)]
