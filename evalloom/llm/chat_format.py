@@ -6,8 +6,8 @@ Control strings and backslashes inside a text get a backslash, which reading bac
 
 Defined cases: a null text or role is empty; a null conversation is one conversation, and null turns come first. Turns
 with the same number come in order of role, then text. Roles that the template doesn't name keep their name in a turn
-of the general form. A text of any length is one segment; only the turn at hand is in memory, however long the
-conversation. An empty table gives an empty result; other columns are ignored.
+of the general form. A text of any length is one segment. One conversation is read by one task, since its digest runs from
+turn to turn, but only the turn at hand is in memory, however long the conversation. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,9 +114,11 @@ def format_turns(rows: DataFrame, template: Template | None = None) -> DataFrame
     return turns_in_order(rows).mapInArrow(run, "conv_id long, place long, segments array<struct<text:string,loss:boolean>>, state string")
 
 
-def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
+def read_back(formatted: DataFrame, template: Template | None = None, in_order: bool = False) -> DataFrame:
     """What the formatted turns say, one row per conversation; digests are updated turn by turn.
 
+    Turns are brought together and in order first. in_order says that they are already, straight from `format_turns`.
+
     conv_id, n_turns, turns_sha256 (role, newline, text, newline of each turn), loss_chars and loss_sha256 (the unescaped
     text under the loss flags), formatted_chars, valid (the machine ended in an end state).
     """
@@ -151,5 +153,8 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
             done.append(closed(now))
         yield from pa.Table.from_batches(done, kind).combine_chunks().to_batches()
 
-    in_order = formatted.select("conv_id", "place", "segments", "state")
-    return in_order.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    turns = formatted.select("conv_id", "place", "segments", "state")
+    if not in_order:
+        small_batches(formatted.sparkSession)
+        turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    return turns.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

@@ -1,8 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds are runs of MIN_MATCH words that a document shares with a benchmark item, found by a rolling Karp-Rabin hash.
-Seeds on one diagonal join to maximal matches; the longest match of unmarked words is marked on both sides, again and
-again, until none of MIN_MATCH words is left. An item's coverage is the share of its words under tiles, so passages
+Seeds are runs of MIN_MATCH words that a document shares with a benchmark item, found by a rolling Karp-Rabin hash. Of the
+seeds on one diagonal only the first and last of each maximal match are kept, so words that repeat many times cost places,
+not pairs of places. The longest match of unmarked words is marked on both sides, again and again, until none of MIN_MATCH
+words is left; equally long ones go in order of their place in the document, then in the item. An item's coverage is the share of its words under tiles, so passages
 that were cut up and reordered count in full. A document is contaminated if an item's coverage reaches the threshold.
 
 The benchmark is dealt to blocks of at most about BLOCK_CHARS characters, and one block at a time is broadcast; a
@@ -16,8 +17,8 @@ that repeat count each. An empty benchmark finds nothing; an empty table gives a
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from evalloom.llm.shared import cut, free_name, small_batches
 MIN_MATCH = 5
 COVERAGE = 0.5
 BLOCK_CHARS = 16_000_000
+#: Pairs of equal seeds that are looked at at once.
+CHUNK = 1 << 20
 #: Entries in a worker's dictionary of words.
 CACHE = 400_000
 WORDS = re.compile(r"\w+").findall
@@ -53,29 +56,19 @@ def rolling(ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def tile(hits: list[tuple[int, int]], k: int, doc_words: int, item_words: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of seeds (doc place, item place): tiles (doc place, item place, words), longest first."""
-    diagonals = defaultdict(list)
-    for i, j in hits:
-        diagonals[i - j].append(i)
-    heap = []
-    for shift, places in diagonals.items():
-        places = sorted(set(places))
-        start = last = places[0]
-        for i in [*places[1:], -1]:
-            if i != last + 1:
-                heap.append((-(last - start + k), start, start - shift))
-                start = i
-            last = i
+def tile(matches: list[tuple[int, int, int]], k: int, doc_words: int, item_words: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of maximal matches (doc place, item place, words): disjoint tiles of k words or more, longest first."""
+    heap = [(-n, i, j) for i, j, n in matches]
     heapq.heapify(heap)
-    in_doc, in_item, tiles = bytearray(doc_words), bytearray(item_words), []
-    while heap:
+    in_doc, in_item, tiles, left = bytearray(doc_words), bytearray(item_words), [], item_words
+    while heap and left >= k:
         less, i, j = heapq.heappop(heap)
         length = -less
         free = [not (in_doc[i + t] or in_item[j + t]) for t in range(length)]
         if all(free):
             in_doc[i : i + length] = in_item[j : j + length] = b"\1" * length
             tiles.append((i, j, length))
+            left -= length
             continue
         start = None
         for t, ok in enumerate([*free, False]):
@@ -102,30 +95,48 @@ class Benchmark:
             place.append(np.arange(len(grams)))
             self.ids.append(item)
             self.lengths.append(len(ids))
-        seeds, owner, place = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (seeds, owner, place))
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owner, self.place = seeds[order], owner[order].astype(int), place[order].astype(int)
+        self.grams, owner, place = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (seeds, owner, place))
+        self.order = np.argsort(self.grams, kind="stable")
+        self.seeds, self.owner, self.place = self.grams[self.order], owner.astype(int), place.astype(int)
+        self.last = np.append(self.owner[1:] != self.owner[:-1], True) if len(self.owner) else np.zeros(0, bool)
+
+    def matches(self, grams: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(item, doc place, item place, words) of the maximal matches, in order of item, diagonal and place."""
+        at = np.searchsorted(self.seeds, grams)
+        found = np.flatnonzero(self.seeds[np.minimum(at, len(self.seeds) - 1)] == grams)
+        left, counts = at[found], np.searchsorted(self.seeds, grams[found], "right") - at[found]
+        upto, starts, ends, k = np.cumsum(counts), [], [], 0
+        while k < len(found):
+            e = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + CHUNK, "right")))
+            n = counts[k:e]
+            i = np.repeat(found[k:e], n)
+            seed = self.order[np.repeat(left[k:e], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+            first = (i == 0) | (self.place[seed] == 0) | (grams[i - 1] != self.grams[seed - 1])
+            final = (i == len(grams) - 1) | self.last[seed] | (grams[(i + 1) % len(grams)] != self.grams[(seed + 1) % len(self.grams)])
+            starts.append((i[first], seed[first]))
+            ends.append((i[final], seed[final]))
+            k = e
+        (i, seed), (stop, seed_stop) = (tuple(np.concatenate(x) for x in zip(*part, strict=True)) if part else (np.zeros(0, int),) * 2 for part in (starts, ends))
+        a, b = np.lexsort((i, i - self.place[seed], self.owner[seed])), np.lexsort((stop, stop - self.place[seed_stop], self.owner[seed_stop]))
+        return self.owner[seed[a]], i[a], self.place[seed[a]], stop[b] - i[a] + self.k
 
     def covered(self, text: str | None, words: WordIds, least: float) -> list[tuple[float, int]]:
         """(coverage, item) of the items that tiles cover by at least `least`."""
-        if not len(self.seeds):
-            return []
         ids = np.array(list(map(words.__getitem__, WORDS((text or "").lower()))), np.uint64)
         grams = rolling(ids, self.k)
-        at = np.searchsorted(self.seeds, grams)
-        found = np.flatnonzero(self.seeds[np.minimum(at, len(self.seeds) - 1)] == grams)
-        hits = defaultdict(list)
-        for i in found.tolist():
-            for s in range(at[i], int(np.searchsorted(self.seeds, grams[i], "right"))):
-                hits[self.owner[s]].append((i, int(self.place[s])))
-        out = []
-        for item, pairs in hits.items():
-            reach = np.zeros(self.lengths[item], bool)
-            for _, j in pairs:
-                reach[j : j + self.k] = True
-            if reach.sum() < least * self.lengths[item]:  # no tiling can cover more than the seeds do
+        if not len(self.seeds) or not len(grams):
+            return []
+        owner, i, j, n = self.matches(grams)
+        out, edges = [], np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
+        for s, e in itertools.pairwise(edges.tolist()):
+            item, words_in = int(owner[s]), self.lengths[owner[s]]
+            reach = np.zeros(words_in + 1, np.int64)
+            np.add.at(reach, j[s:e], 1)
+            np.add.at(reach, j[s:e] + n[s:e], -1)
+            if (np.cumsum(reach[:-1]) > 0).sum() < least * words_in:  # no tiling can cover more than the matches do
                 continue
-            coverage = sum(n for _, _, n in tile(pairs, self.k, len(ids), self.lengths[item])) / self.lengths[item]
+            tiles = tile(list(zip(i[s:e].tolist(), j[s:e].tolist(), n[s:e].tolist(), strict=True)), self.k, len(ids), words_in)
+            coverage = sum(x for _, _, x in tiles) / words_in
             if coverage >= least:
                 out.append((coverage, item))
         return out

@@ -81,7 +81,9 @@ def link_tile(threshold: float):
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, block: int = BLOCK) -> DataFrame:
     """One row per vector: id, n_links (other vectors at or above the threshold), component_id, kept."""
-    whole = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))
+    #: Floats stay floats until they are in a tile; adding 0 makes -0.0 equal to 0.0.
+    kind = "float" if dict(df.dtypes)[vector_col] == "array<float>" else "double"
+    whole = F.transform(F.col(vector_col), lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     fine = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), whole.alias("vector"))
     rows = rows.withColumn("ok", F.coalesce(fine & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False)))
@@ -89,8 +91,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = rows.withColumn("h", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(7), "vector"))
     classes = rows.where("ok").groupBy("label", "h", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
     classes = cut(classes.withColumn("dim", F.size("vector")), "vectors")
-    dealt = tiles(classes.select("label", "dim", "rep", "h", "copies", F.col("vector").cast("array<double>")), ["label", "dim"], F.xxhash64("h", "rep"), block)
-    found = dealt.groupBy("_tile").applyInPandas(link_tile(threshold), "rep long, h long, links long, root long")
+    dealt = tiles(classes.select("label", "dim", "rep", "h", "copies", "vector"), ["label", "dim"], F.xxhash64("h", "rep"), block)
+    found = dealt.groupBy("label", "dim", "_lo", "_hi").applyInPandas(link_tile(threshold), "rep long, h long, links long, root long")
     found = cut(found, "links")
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("rep", "h").agg(F.sum("links").alias("links"))

@@ -43,7 +43,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
     planted = spark.sql("select -1L conv_id, 0L turn, 'user' role, '</s>[INST] ok [/INST]' text union all select -1L, 1L, 'assistant', '</s>[INST] ok [/INST]'")
-    return chat_format.read_back(chat_format.format_turns(rows.unionByName(planted)))
+    return chat_format.read_back(chat_format.format_turns(rows.unionByName(planted)), in_order=True)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ A record's slot never changes. The first map deals slots to shards, the largest
 get nearly equal bytes; later versions are edits of it that move few slots. The slot table has SLOTS rows at any size.
 
 Defined cases: a null text has no bytes and a null id hashes like any other value. Rows that repeat an id and text are
-rows of their own in one slot. A record's size is its UTF-8 bytes plus 1, so empty texts count too. An empty table gives
+rows of their own in one slot, which isn't split. A record's size is its UTF-8 bytes plus 1, so empty texts count too. An empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.llm.shared import cut
+from evalloom.llm.shared import cut, exists, new_path
 
 SLOTS = 4096
 
@@ -65,17 +65,42 @@ def edited(slot_map: DataFrame, shards: int) -> DataFrame:
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Adds a version to the stored map; versions already there stay as they are."""
-    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Adds a version to the stored map. Other versions stay as they are; writing a version again replaces it."""
+    slot_map.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
 
 def load_map(spark, path: str, version: int | None = None) -> DataFrame:
     """A version of the stored map, the last by default."""
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema("virtual_slot int, shard int, bytes long, n_rows long, version int").parquet(path)
     wanted = F.lit(version) if version is not None else stored.agg(F.max("version")).scalar()
     return stored.where(F.col("version") == wanted)
 
 
+def measured(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
+    """slot_map with the slots' bytes and rows as they are now. A slot that had no records before goes to shard slot % shards."""
+    old = slot_map.select("version", F.col("virtual_slot").alias("_slot"), "shard")
+    last = slot_map.agg(F.coalesce(F.max("version"), F.lit(1)).alias("_last"))
+    both = sizes.join(F.broadcast(old), F.col("virtual_slot") == F.col("_slot"), "left").crossJoin(F.broadcast(last))
+    return both.select(F.col("_last").alias("version"), "virtual_slot", F.coalesce("shard", F.col("virtual_slot") % shards).cast("int").alias("shard"), "bytes", "n_rows")
+
+
+def current_map(sizes: DataFrame, shards: int, path: str) -> DataFrame:
+    """The map to assign by: the stored one, edited where shards were added, or a first one. What is new is stored."""
+    spark = sizes.sparkSession
+    if not exists(spark, path):
+        save_map(first_map(sizes, shards), path)
+        return load_map(spark, path)
+    stored = load_map(spark, path)
+    before = (stored.agg(F.max("shard")).first()[0] or 0) + 1
+    if before > shards:
+        raise ValueError(f"the stored map has {before} shards, {shards} are asked for")
+    now = measured(stored, sizes, before)
+    for n in range(before, shards):
+        now = cut(edited(now, n), "slots")
+        save_map(now, path)
+    return now
+
+
 def assign(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
     """recs with shard and slot, the record's place in its shard: 0, 1, ... without gaps.
 
@@ -89,9 +114,13 @@ def assign(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
     return out.withColumn("slot", (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_before", "_own")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """One row per document: id, size, text_crc32, shard, slot (place in the shard), virtual_slot. Shards are nearly equal in bytes."""
+def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """One row per document: id, size, text_crc32, shard, slot (place in the shard), virtual_slot. Shards are nearly equal in bytes.
+
+    map_path is where the versioned map is stored: documents added later go by the stored map, and added shards edit it.
+    Without one the map is new and stored in the shared folder.
+    """
     recs = cut(records(docs, id_col, text_col, slots), "records")
-    slot_map = cut(first_map(slot_sizes(recs), shards), "slots")
+    slot_map = cut(current_map(slot_sizes(recs), shards, map_path or new_path(docs.sparkSession, "map")), "slots")
     out = assign(recs, slot_map)
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot", "virtual_slot")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -114,6 +115,36 @@ def test_line_cases(spark, edge, empty):
     assert {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(edge).collect()}[None] == "no id here"
 
 
+def judged_by_brute_force(rows, num, den):
+    """(id, line_no, first_id, first_line_no, n_links, removed) of every line."""
+    first = {}
+    for i, x in rows:
+        for k, line in enumerate(y.strip(" \t") for y in x.split("\n")):
+            if line:
+                first[line] = min(first.get(line, (10**30, 0)), (i, k))
+    sets = {line: set(line.split()) for line in first}
+    n, late = collections.Counter(), set()
+    for a, b in itertools.combinations(first, 2):
+        if len(sets[a] & sets[b]) * (num + den) >= (len(sets[a]) + len(sets[b])) * num:
+            n[a] += 1
+            n[b] += 1
+            late.add(max(a, b, key=first.get))
+    lines = [(i, k, y.strip(" \t")) for i, x in rows for k, y in enumerate(x.split("\n"))]
+    return sorted([(i, k, *first[y], n[y], y in late or first[y] < (i, k)) if y else (i, k, None, None, 0, False) for i, k, y in lines], key=str)
+
+
+@pytest.mark.parametrize(("num", "den", "block"), [(4, 5, 3), (4, 5, 512), (1, 2, 4), (1, 2, 512)])
+def test_similar_lines_match_brute_force(spark, monkeypatch, num, den, block):
+    """Random sets of few words, negative ids, other blanks, tiles of a few lines some of which have an empty block."""
+    monkeypatch.setattr(line_dedup.similar_lines, "__defaults__", (block,))
+    rng, words = np.random.default_rng(8), [f"w{k}" for k in range(14)]
+    line = lambda: ("  " if rng.random() < 0.2 else " ").join(rng.choice(words, rng.integers(0, 12)))
+    rows = [(k - 20, "\n".join(line() for _ in range(8))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, line_dedup.judge_lines(df, similarity=(num, den)).collect()), key=str)
+    assert got == judged_by_brute_force(rows, num, den)
+
+
 # 3
 
 
@@ -144,6 +175,32 @@ def test_substring_runs_give_the_same(spark, batches):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in found.collect()} == {k: v[:2] for k, v in removed(rows, 7).items()}
 
 
+def test_batches_are_judged_against_history(spark, tmp_path):
+    """Batches one by one, with the index opened anew for the last, mark what all at once would; some text is longer than a pack."""
+    rng = np.random.default_rng(9)
+    rows = [(k, " ".join(rng.choice(list("abcd"), size=40))) for k in range(50)] + [(50, " ".join(rng.choice(list("abcdefgh"), size=4000)))]
+    docs = substring_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    path, marks = str(tmp_path / "index"), []
+    index = substring_dedup.FingerprintIndex(spark, 7, 3, path)
+    for b in range(4):
+        if b == 3:
+            index = substring_dedup.FingerprintIndex(spark, 7, 3, path, docs.where("key % 4 < 3"))
+            assert [level for level, _ in index.runs] == [1, 0]
+        marks.append(index.add(docs.where(f"key % 4 = {b}")))
+    covered = collections.defaultdict(set)
+    for r in (r for m in marks for r in m.collect()):
+        covered[r["key"]] |= set(range(r["span"] // 64, r["span"] // 64 + r["span"] % 64 + 6))
+    assert {k: len(covered[k]) for k, _ in rows} == {k: v[1] for k, v in removed(rows, 7).items()}
+    assert [level for level, _ in index.runs] == [2]
+    with pytest.raises(ValueError, match="width"):
+        substring_dedup.FingerprintIndex(spark, 8, 3, path)
+
+
+def test_packs_hold_one_long_text_or_some_short_ones(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PACK", 10)
+    assert [(p.start, p.stop) for p in substring_dedup.packs([b"x" * 4, None, b"x" * 7, b"x" * 30, b"", b"x"])] == [(0, 2), (2, 3), (3, 4), (4, 6)]
+
+
 def test_substring_cases(spark, edge, empty):
     got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(edge).collect())
     assert got[1, 0, 0] == got[2, 0, 0] == got[3, 0, 0] == 1 and got[4, 4, 0] == 2 and got[6, 120, 120] == 1 and got[5, 30_001, 30_000] == 1
@@ -276,7 +333,58 @@ def test_rows_with_null_or_repeated_ids_are_rows_of_their_own(spark):
 
 
 def test_tiling_is_greedy_and_disjoint():
-    assert decontaminate.tile([(0, 4), (1, 5), (6, 0), (7, 1), (8, 2)], 2, 12, 8) == [(6, 0, 4), (0, 4, 3)]
+    assert decontaminate.tile([(0, 4, 3), (6, 0, 4)], 2, 12, 8) == [(6, 0, 4), (0, 4, 3)]
+
+
+def tiled_by_brute_force(doc, item, k):
+    """Words of `item` under greedy tiles: the longest free match, the first in the document and then in the item, again and again."""
+    in_doc, in_item, total = [False] * len(doc), [False] * len(item), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and not in_doc[i + n] and not in_item[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < k:
+            return total
+        in_doc[i : i + n] = in_item[j : j + n] = [True] * n
+        total += n
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.lists(st.sampled_from("abc"), max_size=16), max_size=3), st.integers(1, 9))
+def test_coverage_matches_brute_force(doc, items, chunk):
+    decontaminate.CHUNK, before = chunk, decontaminate.CHUNK
+    try:
+        found = dict((i, c) for c, i in decontaminate.Benchmark([(k, " ".join(x)) for k, x in enumerate(items)], 3).covered(" ".join(doc), decontaminate.WordIds(), 0.01))
+    finally:
+        decontaminate.CHUNK = before
+    want = {k: tiled_by_brute_force(doc, x, 3) / len(x) for k, x in enumerate(items) if x}
+    assert found == pytest.approx({k: v for k, v in want.items() if v})
+
+
+def test_one_word_many_times_is_cheap():
+    benchmark = decontaminate.Benchmark([(1, "same " * 200)], 5)
+    assert benchmark.covered("same " * 20_000, decontaminate.WordIds(), 0.5) == [(1.0, 0)]
+
+
+def test_leaks_match_brute_force(spark, duck):
+    """Every document and item of the smallest table whose words overlap at all, by a plain tiling."""
+    flat = lambda x: re.findall(r"\w+", (x or "").lower())
+    items = [(k, flat(x)) for k, x in duck.execute("select item_id, text from benchmark order by item_id").fetchall()]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    wanted = {}
+    for doc, text in texts(duck):
+        w = flat(text)
+        own = grams(w)
+        hits = [(tiled_by_brute_force(w, x, 5) / len(x), -k) for k, x in items if len(own & grams(x)) * 9 >= len(x) / 2 and len(x) >= 5]
+        hits = [h for h in hits if h[0] >= 0.5]
+        wanted[doc] = (len(hits), -max(hits)[1], round(max(hits)[0], 9)) if hits else (0, None, 0.0)
+    got = {r["doc_id"]: (r["n_items"], r["item_id"], round(r["coverage"], 9)) for r in registry.op5_decontaminate(spark, SF).collect()}
+    assert got == wanted
 
 
 def test_reordered_passages_are_found(spark, edge, empty):
@@ -337,8 +445,18 @@ def test_chat_query(spark, duck):
     conv[-1] = [(r, "</s>[INST] ok [/INST]") for r in ("user", "assistant")]
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     loss = {c: "".join(x for r, x in v if r == "assistant") for c, v in conv.items()}
-    want = {c: (len(v), digest("".join(f"{r}\n{x}\n" for r, x in v)), len(loss[c]), digest(loss[c])) for c, v in conv.items()}
-    assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in registry.op7_chat_format(spark, SF).collect()} == want
+    form = chat_format.Formatter(chat_format.Template())
+    chars = {c: sum(len(t) for r, x in v for t, _ in form.segments(r, x)) for c, v in conv.items()}
+    want = {c: (len(v), digest("".join(f"{r}\n{x}\n" for r, x in v)), len(loss[c]), digest(loss[c]), chars[c]) for c, v in conv.items()}
+    assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) for r in registry.op7_chat_format(spark, SF).collect()} == want
+
+
+def test_stored_turns_are_brought_together(spark, tmp_path):
+    rows = [(c, k, "assistant" if k % 2 else "user", f"{c} says {k}") for c in range(5) for k in range(30)]
+    made = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    made.repartition(7, "place").write.parquet(str(tmp_path / "turns"))
+    back = lambda df, **how: sorted(map(tuple, chat_format.read_back(df, **how).collect()))
+    assert back(spark.read.parquet(str(tmp_path / "turns"))) == back(made, in_order=True) and len(back(made)) == 5
 
 
 def test_chat_cases(spark):
@@ -363,6 +481,10 @@ def test_sharding_law(spark, duck):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
+def duck_ids(spark, n):
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"))
+
+
 def test_shard_map_versions(spark, edge, empty, tmp_path):
     recs = sharding.records(spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text")), slots=256)
     first = sharding.first_map(sharding.slot_sizes(recs), 4)
@@ -372,6 +494,14 @@ def test_shard_map_versions(spark, edge, empty, tmp_path):
     assert set(new.values()) == set(range(5)) and all(new[s] in (old[s], 4) for s in old)
     loads = [r["b"] for r in sharding.load_map(spark, str(tmp_path / "map")).groupBy("shard").agg(F.sum("bytes").alias("b")).collect()]
     assert max(loads) < 1.2 * min(loads)
+    path = str(tmp_path / "own")
+    grown = [{r["doc_id"]: r["shard"] for r in sharding.shard_documents(df, n, map_path=path).collect()} for df, n in ((duck_ids(spark, 400), 4), (duck_ids(spark, 600), 4), (duck_ids(spark, 600), 5))]
+    assert all(grown[1][k] == grown[0][k] for k in grown[0]) and all(grown[2][k] in (grown[1][k], 4) for k in grown[1]) and 4 in grown[2].values()
+    assert sorted(r["version"] for r in spark.read.parquet(path).select("version").distinct().collect()) == [1, 2]
+    sharding.save_map(sharding.load_map(spark, path), path)
+    assert sharding.load_map(spark, path).count() == sharding.load_map(spark, path).select("virtual_slot").distinct().count()
+    with pytest.raises(ValueError, match="shards"):
+        sharding.shard_documents(duck_ids(spark, 10), 3, map_path=path)
     assert sharding.shard_documents(edge).count() == len(EDGE) and sharding.shard_documents(empty).count() == 0
 
 
@@ -409,6 +539,49 @@ def test_toxicity(spark, edge, empty):
     assert toxicity.drop_toxic(edge, own).columns == edge.columns and toxicity.score_documents(empty, own).count() == 0
 
 
+def plain_ftrl(texts, labels, alpha=1.0, beta=1.0, l1=toxicity.L1, l2=1.0):
+    """FTRL-proximal feature by feature, in dictionaries."""
+    z, n, bias, bias_n = collections.Counter(), collections.Counter(), 0.0, 0.0
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else (np.sign(z[k]) * l1 - z[k]) / ((beta + n[k] ** 0.5) / alpha + l2)
+    for _ in range(toxicity.PASSES):
+        loss = 0.0
+        for text, y in zip(texts, labels, strict=True):
+            own = {int(k): weight(int(k)) for k in set(toxicity.coordinates(text))}
+            p = 1 / (1 + np.exp(-max(-35.0, min(35.0, sum(own.values()) + bias))))
+            loss -= np.log(p if y else 1 - p)
+            g = p - y
+            for k, w in own.items():
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / alpha * w
+                n[k] += g * g
+            bias_n += g * g
+            bias -= alpha * g / (beta + bias_n**0.5)
+        if loss <= toxicity.LOSS * len(texts):
+            break
+    return {k: weight(k) for k in z if weight(k)}, bias
+
+
+def test_fit_matches_plain_ftrl(duck):
+    rows = duck.execute("select text, toxic from documents join labels using (doc_id) where toxic is not null order by doc_id").fetchall()
+    x, y = [r[0][:2000] for r in rows], [r[1] for r in rows]
+    place, weight, bias = toxicity.fit(x, y, l1=3.0)
+    want, want_bias = plain_ftrl(x, y, l1=3.0)
+    assert len(want) > 5 and bias == pytest.approx(want_bias) and dict(zip(place.tolist(), weight.tolist(), strict=True)) == pytest.approx(want)
+
+
+def test_rows_that_repeat_a_labelled_id_count_once(spark):
+    docs = spark.createDataFrame([(k, f"text {k} of {j}") for k in range(30) for j in range(20)], "doc_id long, text string")
+    labels = spark.range(30).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    seen = []
+    fit, toxicity.fit = toxicity.fit, None
+    try:
+        toxicity.fit = lambda x, y: (np.arange(len(x)), np.ones(len(x)), 0.0)
+        place, _, _ = toxicity.train(docs, labels, sample=10)
+        seen = place.tolist()
+    finally:
+        toxicity.fit = fit
+    assert len(seen) == 10
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
