@@ -1,8 +1,8 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame operations alone.
 
 A line's tokens are its distinct words. Tokens are ordered by rarity: how many tokens of all distinct lines share their
-hash bucket, of 2**18 buckets, so the table that is looked up has the same size at any scale and reaches the tasks as a
-literal of 16,384 numbers; ties keep a fixed order by hash. Lines that are similar share a token among their rarest, so only those prefixes
+hash bucket, of 2**17 buckets, so the table that is looked up has the same size at any scale and reaches the tasks as a
+literal of small numbers; ties keep a fixed order by hash. Lines that are similar share a token among their rarest, so only those prefixes
 meet. A semi join under a length, a positional and a bit filter leaves the lines that have a candidate at a token; it
 makes at most a row for each token of a prefix. These lines are dealt to tiles by token (a hot token to many tiles), and a
 tile counts each line's links in its own arrays: a pair is verified on its whole sets of words, at the first token that
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from evalloom.llm.shared import cut, free_name, tiles
 
 #: Buckets of the rarity table, as a power of two.
-BUCKET_BITS = 18
+BUCKET_BITS = 17
 #: The similarity as a fraction, so that bounds are whole numbers.
 SIMILARITY = (4, 5)
 BLANKS = " \t\x0b\x0c\r"
@@ -68,8 +68,7 @@ def bucket(h: Column) -> Column:
 
 
 def rarity_table(classes: DataFrame) -> Column:
-    """A literal array of longs with a level of 0 to 15 for each bucket, 16 to a long: how many words all distinct lines have in it,
-    on a scale of logarithms up to the fullest bucket.
+    """A literal array: for each bucket a level of 0 to 15 on a scale of logarithms, up to the fullest bucket's words of all distinct lines.
 
     Words are what single spaces part here; the few that other blanks part only lose their place in the order.
     """
@@ -80,16 +79,12 @@ def rarity_table(classes: DataFrame) -> Column:
     letters = full.agg(F.array_join(F.transform(in_order, lambda x: x["c"]), "").alias("t")).first()[0]
     sizes = [ord(c) - 33 for c in letters]
     top = max(sizes) + 1
-    levels = [x * 16 // top for x in sizes]
-    packed = [sum(x << 4 * k for k, x in enumerate(levels[at : at + 16])) for at in range(0, len(levels), 16)]
-    return F.from_json(F.lit("[" + ",".join(str(x - (x >> 63 << 64)) for x in packed) + "]"), "array<bigint>")
+    return F.from_json(F.lit("[" + ",".join(str(x * 16 // top) for x in sizes) + "]"), "array<bigint>")
 
 
 def order_key(table: Column, h: Column) -> Column:
     """A word's place in the order of rarity, from its hash: its bucket's level, then the hash."""
-    packed = F.get(table, F.shiftrightunsigned(h, 68 - BUCKET_BITS).cast("int"))
-    nibble = F.shiftrightunsigned(h, 62 - BUCKET_BITS).bitwiseAND(F.lit(60)).cast("int")
-    return F.shiftleft(F.call_function("shiftrightunsigned", packed, nibble).bitwiseAND(F.lit(15)), 59).bitwiseOR(F.shiftrightunsigned(h, 5))
+    return F.shiftleft(F.get(table, bucket(h)), 59).bitwiseOR(F.shiftrightunsigned(h, 5))
 
 
 def prefixes(classes: DataFrame, table: Column, similarity: tuple[int, int]) -> DataFrame:
@@ -113,28 +108,31 @@ def prefixes(classes: DataFrame, table: Column, similarity: tuple[int, int]) ->
     return out.select("key", F.coalesce("cid", F.lit(-1)).alias("cid"), F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("spot"), F.coalesce("parity", F.lit(0)).alias("parity"), prev.alias("prev"))
 
 
+def words_of(spot: Column) -> Column:
+    return F.shiftright(spot, 32)
+
+
 def place_of(spot: Column) -> Column:
     return spot.bitwiseAND(F.lit(2**32 - 1))
 
 
 def may_link(a: dict[str, Column], b: dict[str, Column], similarity: tuple[int, int]) -> Column:
-    """The filters of two lines that meet at a word: not met at the word before it in both, length, bits, position."""
+    """The filters of two lines that meet at a word: length, bits, not met at the word before it in both, position."""
     num, den = similarity
-    na, nb = F.shiftright(a["spot"], 32), F.shiftright(b["spot"], 32)
-    pa, pb = place_of(a["spot"]), place_of(b["spot"])
-    new = (a["prev"] != b["prev"]) | (pa == 0) | (pb == 0)
+    na, nb, pa, pb = a["n"], b["n"], a["place"], b["place"]
     lengths = (na * den >= nb * num) & (nb * den >= na * num)
     #: Each word that only one line has flips one bit, so lines that share many words differ in few bits.
     bits = (na + nb - F.bit_count(a["parity"].bitwiseXOR(b["parity"]))) * (num + den) >= (na + nb) * (2 * num)
+    new = (a["prev"] != b["prev"]) | (pa == 0) | (pb == 0)
     short = F.least(na, nb) * den < (F.least(na, nb) + 1) * num
-    return new & lengths & bits & ((F.least(na - pa, nb - pb) * (num + den) >= (na + nb) * num) | short)
+    return lengths & bits & new & ((F.least(na - pa, nb - pb) * (num + den) >= (na + nb) * num) | short)
 
 
 def with_candidates(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The rows of prefixes that another line's row passes all filters with, at the same key."""
     seat = ("cid", "spot", "parity", "prev")
     one, other = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in seat]) for side in "ab")
-    a, b = ({c: F.col(f"{c}_{side}") for c in seat} for side in "ab")
+    a, b = ({c: F.col(f"{c}_{side}") for c in ("cid", "parity", "prev")} | {"n": words_of(F.col(f"spot_{side}")), "place": place_of(F.col(f"spot_{side}"))} for side in "ab")
     found = one.join(other.hint("merge"), (one["key"] == other["key"]) & (a["cid"] != b["cid"]) & may_link(a, b, similarity), "left_semi")
     return found.select("key", *[F.col(f"{c}_a").alias(c) for c in seat])
 
@@ -174,16 +172,18 @@ def similar_lines(classes: DataFrame, similarity: tuple[int, int], block: int =
     live = cut(with_candidates(prefixes(classes, table, similarity), similarity), "candidates")
     dealt = tiles(live, ["key"], F.xxhash64("cid"), block).select("cid", F.struct("key", "spot", "parity", "prev", "_lo", "_hi", "_block").alias("seat"))
     seats = dealt.groupBy("cid").agg(F.collect_list("seat").alias("seats"))
-    asked = cut(seats.hint("merge").join(classes.select("cid", "line", "at"), "cid"), "asked", "zstd")
-    seats = asked.select("cid", "at", "line", F.explode("seats").alias("seat"), F.transform("seats", lambda x: x["key"]).alias("keys"))
+    #: A line as its distinct words, parted by single spaces.
+    lines = seats.hint("merge").join(classes.select("cid", "line", "at"), "cid")
+    asked = cut(lines.select("cid", "at", "seats", F.array_join(F.array_distinct(words(F.col("line"))), " ").alias("text")), "asked", "zstd")
+    seats = asked.select("cid", "at", "text", F.explode("seats").alias("seat"), F.transform("seats", lambda x: x["key"]).alias("keys"))
     #: A line's own rarer keys at which it has a candidate. A similar pair's first common key is among both lines' keys.
     before = F.filter("keys", lambda k: k < F.col("seat.key"))
-    seats = seats.select("seat.*", F.struct("cid", "at", "line", "seat.spot", "seat.parity", "seat.prev", before.alias("before")).alias("m"))
+    seats = seats.select("seat.*", F.struct("cid", "at", "text", "seat.spot", "seat.parity", "seat.prev", before.alias("before")).alias("m"))
     left, right = F.when(F.col("_block") == F.col("_lo"), F.col("m")), F.when((F.col("_block") == F.col("_hi")) & (F.col("_lo") < F.col("_hi")), F.col("m"))
     held = seats.groupBy("key", "_lo", "_hi").agg(F.collect_list(left).alias("left"), F.collect_list(right).alias("right"))
 
     def split(m: Column) -> Column:
-        return F.struct(*[m[c].alias(c) for c in ("cid", "at", "spot", "parity", "prev", "before")], F.array_distinct(words(m["line"])).alias("words"))
+        return F.struct(*[m[c].alias(c) for c in ("cid", "at", "parity", "prev", "before")], words_of(m["spot"]).alias("n"), place_of(m["spot"]).alias("place"), F.split(m["text"], " ").alias("words"))
 
     #: Bound once, so that each line is split once in a tile.
     tile = F.array(F.struct((F.col("_lo") < F.col("_hi")).alias("across"), F.transform("left", split).alias("a"), F.transform("right", split).alias("b")))
