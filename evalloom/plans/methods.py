@@ -60,7 +60,7 @@ def hist_gbm(weight: float):
 
 @register("svm_linear")
 def svm_linear(weight: float):
-    return LinearSVC(labelCol="y", weightCol="weight", regParam=1 / weight, maxIter=100)
+    return LinearSVC(labelCol="y", weightCol="weight", regParam=1 / weight, maxIter=100, tol=1e-4)
 
 
 for _absent in ("extra_trees", "xgboost", "lightgbm", "catboost", "tabnet", "ft_transformer", "tabpfn", "clinical_bert_finetuned", "clinical_embeddings"):
