@@ -52,3 +52,13 @@ def cut(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote and nothing reads any more. Other tables are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        own = f"/evalloom-{spark.sparkContext.applicationId}/"
+        for path in {f.rpartition("/")[0] for f in df.inputFiles() if own in f}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
