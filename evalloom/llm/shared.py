@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.storage import cut, exists, new_path, shared_dir
+from evalloom.storage import cut, discard, exists, new_path, shared_dir
 
-__all__ = ["components", "cut", "exists", "free_name", "has_repeated_ids", "new_path", "shared_dir", "small_batches", "tiles", "utf8"]
+__all__ = ["components", "cut", "discard", "exists", "free_name", "has_repeated_ids", "new_path", "shared_dir", "small_batches", "tiles", "utf8"]
 
 #: Rows that one Arrow batch may hold while texts are in it; bounds a Python worker's memory.
 TEXT_BATCH = 256
@@ -75,18 +75,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         while True:
             up = parent.select(F.col("id").alias("u"), F.col("p").alias("pp"))
             jumped = cut(parent.join(up, F.col("p") == F.col("u")).select("id", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "parents")
+            discard(parent)
             parent = jumped.select("id", "p")
             if not jumped.where("moved").limit(1).count():
                 break
+        left = parent.select(F.col("id").alias("a"), F.col("p").alias("pa"))
+        right = parent.select(F.col("id").alias("b"), F.col("p").alias("pb"))
+        rest = live.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+        rest = cut(rest, "edges")
+        discard(live)
+        live = rest
         if labels is None:
             labels = parent
         else:
             to = parent.select(F.col("id").alias("u"), F.col("p").alias("pp"))
-            labels = cut(labels.join(to, F.col("p") == F.col("u"), "left").select("id", F.coalesce("pp", "p").alias("p")), "labels")
-        left = parent.select(F.col("id").alias("a"), F.col("p").alias("pa"))
-        right = parent.select(F.col("id").alias("b"), F.col("p").alias("pb"))
-        live = live.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
-        live = cut(live, "edges")
+            later = cut(labels.join(to, F.col("p") == F.col("u"), "left").select("id", F.coalesce("pp", "p").alias("p")), "labels")
+            discard(labels, parent)
+            labels = later
     if labels is None:
         labels = live.select(F.col("a").alias("id"), F.col("b").alias("p"))
     return labels.select("id", F.col("p").alias("component"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.shared import cut, exists, has_repeated_ids, new_path, small_batches, utf8
+from evalloom.llm.shared import cut, discard, exists, has_repeated_ids, new_path, small_batches, utf8
 
 WIDTH = 35
 GRAM = 6
@@ -215,6 +215,7 @@ class FingerprintIndex:
         fresh = cut(merged(own.withColumn("n", F.lit(1).cast("long"))), "fresh")
         marks = self.judge(docs, own, fresh)
         self.write(fresh, 0)
+        discard(own, fresh)
         self.documents = docs if self.documents is None else self.documents.unionByName(docs)
         while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
             self.compact(2)
@@ -225,15 +226,15 @@ class FingerprintIndex:
         if self.runs:
             history = self.entries().select(*ENTRY, F.col("n").alias("old_n"), F.col("span").alias("old_span"), F.col("key").alias("old_key"))
             #: A full join, so that anchors of the batch see all that history has at them; other anchors of history go.
-            both = fresh.hint("merge").join(history, ENTRY, "full")
+            joined = fresh.hint("merge").join(history, ENTRY, "full")
+            both = cut(joined.join(fresh.select("a").distinct().hint("merge"), "a", "left_semi"), "matches")
         else:
             both = fresh.select("*", *[F.lit(None).cast("long").alias(c) for c in ("old_n", "old_span", "old_key")])
-        touched = fresh.select("a").distinct() if self.runs else None
-        both = cut(both if touched is None else both.hint("merge").join(touched, "a", "left_semi"), "matches")
         several = cut(both.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", F.lit(True).alias("several")), "anchors")
         known = both.hint("merge").join(several, "a", "left").withColumn("several", F.coalesce("several", F.lit(False)))
         known = known.withColumn("total", F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))).where("total > 1 or several")
         known = cut(known, "known")
+        discard(several, *([both] if self.runs else []))
         repeated = known.where("n is not null and total > 1").select(*ENTRY)
         marks = own.join(repeated.hint("merge"), ENTRY, "left_semi").select("key", "span")
         old = known.where("n is not null and old_n = 1").select(F.col("old_key").alias("key"), F.col("old_span").alias("span"))
@@ -244,7 +245,9 @@ class FingerprintIndex:
         windows = cut(chosen_windows(texts.join(asked.hint("merge"), "key"), self.width, self.gram), "windows")
         twice = cut(windows.groupBy(*ENTRY).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*ENTRY), "twice")
         found = windows.join(twice.hint("merge"), ENTRY, "left_semi").select("key", "span")
-        return cut(marks.union(old).union(found), "marks")
+        result = cut(marks.union(old).union(found), "marks")
+        discard(known, windows, twice)
+        return result
 
     def compact(self, last: int | None = None) -> None:
         """Merges the last runs, or all, to one. Older versions of the manifest still name the merged runs, so their files stay."""
@@ -282,6 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, index = keyed(docs, id_col, text_col), FingerprintIndex(spark, width, gram)
     marks = [index.add(rows.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == b)) for b in range(batches)]
     spans = cut(reduce(DataFrame.union, marks).groupBy("key").agg(F.collect_set("span").alias("spans")), "spans")
+    discard(*marks)
     result: Column = kept_udf(width)("text", "spans")
     out = rows.join(spans, "key", "left").select(F.col("id").alias(id_col), result.alias("r"))
     return out.select(id_col, "r.kept", "r.n_words", "r.n_removed")
