@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.shared import cut, free_name, tiles
+from evalloom.llm.shared import cut, discard, free_name, tiles
 
 #: Buckets of the rarity table, as a power of two.
 BUCKET_BITS = 17
@@ -175,6 +175,7 @@ def similar_lines(classes: DataFrame, similarity: tuple[int, int], block: int =
     #: A line as its distinct words, parted by single spaces.
     lines = seats.hint("merge").join(classes.select("cid", "line", "at"), "cid")
     asked = cut(lines.select("cid", "at", "seats", F.array_join(F.array_distinct(words(F.col("line"))), " ").alias("text")), "asked", "zstd")
+    discard(live)
     seats = asked.select("cid", "at", "text", F.explode("seats").alias("seat"), F.transform("seats", lambda x: x["key"]).alias("keys"))
     #: A line's own rarer keys at which it has a candidate. A similar pair's first common key is among both lines' keys.
     before = F.filter("keys", lambda k: k < F.col("seat.key"))
@@ -188,7 +189,9 @@ def similar_lines(classes: DataFrame, similarity: tuple[int, int], block: int =
     #: Bound once, so that each line is split once in a tile.
     tile = F.array(F.struct((F.col("_lo") < F.col("_hi")).alias("across"), F.transform("left", split).alias("a"), F.transform("right", split).alias("b")))
     found = held.select(F.explode(F.flatten(F.transform(tile, lambda t: count_links(t, similarity)))).alias("x")).select("x.*")
-    return found.groupBy("cid").agg(F.sum("n").cast("long").alias("n_links"), F.max("late").alias("late"))
+    linked = cut(found.groupBy("cid").agg(F.sum("n").cast("long").alias("n_links"), F.max("late").alias("late")), "linked", "zstd")
+    discard(asked)
+    return linked
 
 
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -199,9 +202,10 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = split_lines(docs, id_col, text_col)
     classes = lines.where("line <> ''").groupBy("line").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "lines", "zstd")
-    linked = cut(similar_lines(classes, similarity), "linked", "zstd")
+    linked = similar_lines(classes, similarity)
     known = classes.select("cid", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(9), "line").alias("h2"), "copies").join(linked, "cid", "left").where("copies > 1 or n_links is not null")
     known = cut(known.select("h1", "h2", F.col("at").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("late", F.lit(False)).alias("late")), "known")
+    discard(classes, linked)
     words = F.col("line") != ""
     plain = lines.select("id", "line_no", "at", "h1", "h2", words.alias("words"))
     out = plain.join(known, ["h1", "h2"], "left").withColumn("first", F.when(F.col("words"), F.coalesce("first", "at")))
