@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import chat_format, decontaminate, embedding_neardup, line_dedup, mixing, sharding, simhash, substring_dedup, token_counts, toxicity
+from evalloom.llm import bpe_codec, chat_format, decontaminate, embedding_neardup, line_dedup, mixing, sharding, simhash, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe_codec.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    said = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return bpe_codec.decode_ids(encoded, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_line_dedup": op2_line_dedup,
@@ -70,6 +77,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op13_bpe_codec": op13_bpe_codec,
 }
 
 ORACLES: dict[str, str] = {
