@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import bpe_codec, chat_format, decontaminate, embedding_neardup, line_dedup, mixing, sharding, simhash, substring_dedup, token_counts, toxicity
+from evalloom.llm import bpe_codec, chat_format, decontaminate, embedding_neardup, lexical_search, line_dedup, mixing, sharding, simhash, substring_dedup, token_counts, toxicity, turn_repair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(turn_repair.damaged(conversations), conversations)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     encoded = bpe_codec.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
@@ -77,6 +86,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_lexical_search": op12_lexical_search,
     "op13_bpe_codec": op13_bpe_codec,
 }
 
@@ -172,4 +183,54 @@ ORACLES: dict[str, str] = {
         FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source AND d.block = p.block
         WHERE p.epoch <= p.whole OR p.upto <= p.rest
     """,
+    "op11_turn_repair": r"""
+        WITH RECURSIVE crc AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS d
+            FROM conversations
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM crc, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(copy)
+        ), turns AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n, left(role, 1) AS i,
+                   rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail FROM damaged
+        ), seen AS (SELECT *, tail = '' AS blank, tail <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS dup FROM turns),
+        marked AS (
+            SELECT *, NOT blank AND NOT dup AS ok, (NOT blank AND NOT dup AND right(tail, 1) NOT IN ('.', '!', '?'))::BIGINT AS t,
+                   coalesce(lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i NOT IN ('su', 'ua', 'au'), false) AS bad FROM seen
+        ), walk AS (
+            SELECT DISTINCT conv_id, 0::BIGINT AS n, {'c': 0::BIGINT, 'a': '', 'o': ''} AS v, {'c': 1000000::BIGINT, 'a': '', 'o': ''} AS s, {'c': 1000000::BIGINT, 'a': '', 'o': ''} AS u, {'c': 1000000::BIGINT, 'a': '', 'o': ''} AS a FROM marked
+            UNION ALL
+            SELECT conv_id, n, {'c': v.c + 3, 'a': v.a || 'D', 'o': v.o}, list_min([{'c': s.c + 3, 'a': s.a || 'D', 'o': s.o}, {'c': v.c + CASE WHEN ok AND i = 's' THEN t ELSE 1000000 END, 'a': v.a || 'K', 'o': v.o || role || ':' || text || chr(10)}]),
+                   list_min([{'c': u2.c + 3, 'a': u2.a || 'D', 'o': u2.o}, {'c': v.c + CASE WHEN ok THEN 2 + t ELSE 1000000 END, 'a': v.a || 'R', 'o': v.o || 'user:' || text || chr(10)}, {'c': s.c + CASE WHEN ok THEN 2 + t ELSE 1000000 END, 'a': s.a || 'R', 'o': s.o || 'user:' || text || chr(10)}, {'c': a2.c + CASE WHEN ok THEN 2 + t ELSE 1000000 END, 'a': a2.a || 'R', 'o': a2.o || 'user:' || text || chr(10)}, {'c': v.c + CASE WHEN ok AND i = 'u' THEN t ELSE 1000000 END, 'a': v.a || 'K', 'o': v.o || role || ':' || text || chr(10)}, {'c': s.c + CASE WHEN ok AND i = 'u' THEN t ELSE 1000000 END, 'a': s.a || 'K', 'o': s.o || role || ':' || text || chr(10)}, {'c': a2.c + CASE WHEN ok AND i = 'u' THEN t ELSE 1000000 END, 'a': a2.a || 'K', 'o': a2.o || role || ':' || text || chr(10)}]),
+                   list_min([{'c': a2.c + 3, 'a': a2.a || 'D', 'o': a2.o}, {'c': u2.c + CASE WHEN ok THEN 2 + t ELSE 1000000 END, 'a': u2.a || 'R', 'o': u2.o || 'assistant:' || text || chr(10)}, {'c': u2.c + CASE WHEN ok AND i = 'a' THEN t ELSE 1000000 END, 'a': u2.a || 'K', 'o': u2.o || role || ':' || text || chr(10)}])
+            FROM (SELECT *, list_min([a, {'c': u2.c + 2, 'a': u2.a || 'I', 'o': u2.o || 'assistant:' || chr(10)}]) AS a2 FROM (
+                SELECT w.conv_id, m.n, m.role, m.text, m.i, m.ok, m.t, w.v, w.s, w.a, list_min([w.u, {'c': w.v.c + 2, 'a': w.v.a || 'I', 'o': w.v.o || 'user:' || chr(10)}, {'c': w.s.c + 2, 'a': w.s.a || 'I', 'o': w.s.o || 'user:' || chr(10)}, {'c': w.a.c + 2, 'a': w.a.a || 'I', 'o': w.a.o || 'user:' || chr(10)}]) AS u2
+                FROM walk w JOIN marked m ON w.conv_id IS NOT DISTINCT FROM m.conv_id AND m.n = w.n + 1))
+        ), ends AS (SELECT conv_id, v, a, list_min([u, {'c': v.c + 2, 'a': v.a || 'I', 'o': v.o || 'user:' || chr(10)}, {'c': s.c + 2, 'a': s.a || 'I', 'o': s.o || 'user:' || chr(10)}]) AS u FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+        best AS (SELECT conv_id, list_min([v, a, {'c': u.c + 2, 'a': u.a || 'I', 'o': u.o || 'assistant:' || chr(10)}]) AS e FROM ends),
+        sums AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, sum(t) AS truncated, count(*) FILTER (WHERE bad) AS illegal
+            FROM marked GROUP BY conv_id
+        )
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+               coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(left(e.o, greatest(length(e.o) - 1, 0)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON c.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+    """,
+    "op12_lexical_search": r"""
+        WITH found AS (
+            SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+        ), docs AS (SELECT d, doc_id, t, len(t)::BIGINT AS n FROM found WHERE len(t) > 0),
+        total AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM docs),
+        items AS (
+            SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+        ), tf AS (SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM items) GROUP BY d, term),
+        w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * (SELECT nn FROM total) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf GROUP BY term),
+        scores AS (
+            SELECT i.item_id, docs.doc_id, docs.d, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * docs.n * nn) // ll))))::BIGINT AS score
+            FROM items i JOIN tf USING (term) JOIN w USING (term) JOIN docs ON tf.d = docs.d, total GROUP BY i.item_id, docs.doc_id, docs.d
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }
