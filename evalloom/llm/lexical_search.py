@@ -110,7 +110,10 @@ class ShardBuilder:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_terms: int = SHARD_TERMS) -> DataFrame:
-    """(shard, term, n_docs, n_terms, postings): every document in one shard; a null term has the shard's documents."""
+    """(shard, term, n_docs, n_terms, postings): every document in one shard; a null term has the shard's documents.
+
+    Shards are named by the tasks that make them, so the index is written to the shared folder once, and read from there.
+    """
     small_batches(docs.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +128,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield building.rows(shard)
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return plain.where("text is not null").mapInArrow(build, INDEX)
+    return cut(plain.where("text is not null").mapInArrow(build, INDEX), "index")
 
 
 def item_terms(queries: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -236,8 +239,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, item_col: str = "i
 
 
 def rank_documents(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_terms: int = SHARD_TERMS) -> DataFrame:
-    """(item_id, rank, doc_id, score) of all documents for each item; the index is written to the shared folder and deleted at the end."""
-    index = cut(build_index(docs, id_col, text_col, shard_terms), "index")
+    """(item_id, rank, doc_id, score) of all documents for each item; the index is deleted at the end."""
+    index = build_index(docs, id_col, text_col, shard_terms)
     found = cut(search(index, queries, k), "ranked")
     discard(index)
     return found
