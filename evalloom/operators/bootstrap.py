@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions.scalars import hash_draw
-from evalloom.operators.ranking import ranking_metrics
+from evalloom.operators.ranking import ranking_metrics, score_edges
 from evalloom.operators.splits import hash_rank
 
 
@@ -25,11 +25,14 @@ def draw_weights(df: DataFrame, unit: str, draws: int, seed: str) -> DataFrame:
 
 
 def resampled(df: DataFrame, unit: str, score: str, label: str, draws: int, seed: str, by: list[str] | None = None) -> DataFrame:
-    """(by, draw, ap, auroc), null for draws of one class. Rows are counted by (unit, score, label) before the draws multiply them."""
+    """(by, draw, ap, auroc), null for draws of one class.
+
+    Rows are counted by (unit, score, label) before the draws multiply them; a draw is summed in the sections of the undrawn scores.
+    """
     by = by or []
     small = df.groupBy(*by, unit, score, label).agg(F.count(F.lit(1)).alias("c"))
     weighted = small.join(draw_weights(df, unit, draws, seed), unit)
-    found = ranking_metrics(weighted, [*by, "draw"], score, label, F.col("w") * F.col("c"), sections=0)
+    found = ranking_metrics(weighted, [*by, "draw"], score, label, F.col("w") * F.col("c"), edges=score_edges(df, by, score))
     return found.withColumn("ap", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("ap")))
 
 
@@ -79,11 +82,11 @@ def macro_paired(df: DataFrame, cell: str, unit: str, a: str, b: str, label: str
     arms = df.select(cell, unit, F.col(label).alias("_y"), F.explode(F.array(*[F.struct(F.lit(k).alias("arm"), F.col(s).cast("double").alias("_s")) for k, s in enumerate((a, b))])).alias("e")).select(cell, F.concat_ws("|", cell, unit).alias("_u"), "_y", "e.arm", "e._s")
     units = hash_rank(arms.select(cell, "_u").distinct(), [cell], "unit", "_u")
     sizes = units.groupBy(cell).agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
-    slots = units.join(F.broadcast(sizes), cell).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))  # a row a cell
+    slots = units.join(sizes, cell).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     drawn = slots.select(cell, "draw", (hash_draw(seed, F.col(cell), F.col("draw"), F.col("_rank"), n=F.col("_n")) + 1).alias("_rank")).groupBy(cell, "draw", "_rank").agg(F.count(F.lit(1)).alias("w"))
     weights = drawn.join(units, [cell, "_rank"]).select("draw", "_u", "w")
     small = arms.groupBy(cell, "arm", "_u", "_s", "_y").agg(F.count(F.lit(1)).alias("c")).join(weights, "_u")
-    found = ranking_metrics(small, [cell, "arm", "draw"], "_s", "_y", F.col("w") * F.col("c"), sections=0)
+    found = ranking_metrics(small, [cell, "arm", "draw"], "_s", "_y", F.col("w") * F.col("c"), edges=score_edges(arms, [cell, "arm"], "_s"))
     value = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col(metric))
     pick = lambda k: F.max(F.when(F.col("arm") == k, value))
     cells = found.groupBy(cell, "draw").agg((pick(0) - pick(1)).alias("d"))

@@ -1,26 +1,17 @@
-"""Closed-form tests on small counts, as columns, and rank tests whose ranks are relational algebra."""
+"""Closed-form tests on counts of any size, and rank tests whose ranks are relational algebra."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def log_choose(n: Column, k: Column) -> Column:
-    """ln of n over k, a sum of k logarithms."""
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.log((n - k + i) / i))
+from evalloom.functions import special
+from evalloom.operators.ranking import running
 
 
 def binomial_tail(n: Column, k: Column, p: Column) -> Column:
     """P(X >= k) for n trials with chance p."""
-    steps = F.when(k <= n, F.sequence(k.cast("long"), n.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    first = F.exp(log_choose(n, k) + F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log(1 - p)).otherwise(0.0))
-    start = F.struct(first.alias("term"), F.lit(0.0).alias("sum"))
-    walk = F.aggregate(steps, start, lambda acc, i: F.struct((acc["term"] * (n - i) / (i + 1) * p / (1 - p)).alias("term"), (acc["sum"] + acc["term"]).alias("sum")))
-    return F.when(k <= 0, 1.0).when(p <= 0, 0.0).when(p >= 1, 1.0).otherwise(F.least(F.lit(1.0), walk["sum"]))
+    return special.tail_of_binomial(n, k, p)
 
 
 def mcnemar(a_only: Column, b_only: Column) -> Column:
@@ -28,74 +19,63 @@ def mcnemar(a_only: Column, b_only: Column) -> Column:
     return binomial_tail(a_only + b_only, a_only, F.lit(0.5))
 
 
-def clopper_pearson(k: Column, n: Column, level: float = 0.95) -> tuple[Column, Column]:
-    """The exact interval of a share, each end by 50 bisections of the binomial tail."""
-    alpha = (1 - level) / 2
-
-    def bisected(at: Column, above) -> Column:
-        def step(acc: Column, _: Column) -> Column:
-            mid = (acc["lo"] + acc["hi"]) / 2
-            big = above(mid)
-            return F.struct(F.when(big, acc["lo"]).otherwise(mid).alias("lo"), F.when(big, mid).otherwise(acc["hi"]).alias("hi"))
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(50)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), step)["lo"]
-
-    low = F.when(k == 0, 0.0).otherwise(bisected(k, lambda p: binomial_tail(n, k, p) > alpha))
-    high = F.when(k == n, 1.0).otherwise(bisected(k, lambda p: binomial_tail(n, k + 1, p) > 1 - alpha))
-    return low, high
+def clopper_pearson(k: Column, n: Column, level: float = 0.95) -> Column:
+    """struct(lo, hi): the exact interval of a share; null without trials."""
+    return special.interval_of_share(k, n, level)
 
 
 def fisher(df: DataFrame, keys: list[str], a: str, b: str, c: str, d: str) -> DataFrame:
-    """(keys, two_sided, greater) of the 2 x 2 tables [[a, b], [c, d]]; tables with one margin are enumerated."""
-    n, row, col = F.col(a) + F.col(b) + F.col(c) + F.col(d), F.col(a) + F.col(b), F.col(a) + F.col(c)
-    plain = df.select(*keys, F.col(a).cast("long").alias("x"), row.cast("long").alias("row"), col.cast("long").alias("col"), n.cast("long").alias("n"))
-    each = plain.withColumn("i", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("row") + F.col("col") - F.col("n")), F.least("row", "col"))))
-    chance = lambda i: F.exp(log_choose(F.col("row"), i) + log_choose(F.col("n") - F.col("row"), F.col("col") - i) - log_choose(F.col("n"), F.col("col")))
-    each = each.withColumn("p", chance(F.col("i"))).withColumn("p0", chance(F.col("x")))
-    two = F.sum(F.when(F.col("p") <= F.col("p0") * (1 + 1e-7), F.col("p")))
-    return each.groupBy(*keys).agg(F.least(F.lit(1.0), two).alias("two_sided"), F.least(F.lit(1.0), F.sum(F.when(F.col("i") >= F.col("x"), F.col("p")))).alias("greater"))
+    """(keys, two_sided, greater) of the 2 x 2 tables [[a, b], [c, d]], with the margins as they are."""
+    return df.select(*keys, special.table_p(*map(F.col, (a, b, c, d))).alias("_p")).select(*keys, "_p.two_sided", "_p.greater")
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """df with rank (1 to n, ties share the mean) and ties (rows of the value). One window over the distinct values."""
-    groups = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("ties"))
-    before = F.sum("ties").over(Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = groups.select("_v", "ties", (F.coalesce(before, F.lit(0)) + (F.col("ties") + 1) / 2).alias("rank"))
+    """df with rank (1 to n, ties share the mean) and ties (rows of the value). Distinct values are ranked in sections."""
+    groups = df.groupBy(F.col(value).alias("score")).agg(F.count(F.lit(1)).cast("double").alias("pos")).withColumn("neg", F.lit(0.0))
+    everything = groups.agg(F.sum("pos").alias("_all"))
+    ranked = running(groups, []).crossJoin(F.broadcast(everything))  # one row
+    ranked = ranked.select(F.col("score").alias("_v"), F.col("pos").cast("long").alias("ties"), (F.col("_all") - F.col("tp") + (F.col("pos") + 1) / 2).alias("rank"))
     return df.join(ranked, F.col(value) == F.col("_v")).drop("_v")
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(h, df): the Kruskal-Wallis statistic with its correction for ties, and its degrees of freedom."""
+    """(h, df, p): the Kruskal-Wallis statistic with its correction for ties, its degrees of freedom and its tail."""
     ranked = average_ranks(df.where(F.col(value).isNotNull()), value)
     sums = ranked.groupBy(group).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("k"), F.sum(F.col("ties") * F.col("ties") - 1).alias("t"))
     n = F.sum("k").cast("double")
     h = 12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("k")) - 3 * (n + 1)
-    return sums.agg((h / (1 - F.sum("t") / (n * n * n - n))).alias("h"), (F.count(F.lit(1)) - 1).alias("df"))
-
-
-def chi2_tail(x: float, df: int) -> float:
-    """P(chi-squared with df degrees of freedom > x)."""
-    if x <= 0:
-        return 1.0
-    tail, term = (math.erfc(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi)) if df % 2 else (1.0, x / 2)
-    if df % 2:
-        total = sum_terms = 0.0
-        for k in range(1, df - 1, 2):
-            term = term if k == 1 else term * x / k
-            sum_terms += term
-        total = tail + math.exp(-x / 2) * sum_terms
-        return total
-    total, term = 1.0, 1.0
-    for k in range(1, df // 2):
-        term *= x / 2 / k
-        total += term
-    return math.exp(-x / 2) * total
+    found = sums.agg(F.try_divide(h, 1 - F.try_divide(F.sum("t"), n * n * n - n)).alias("h"), (F.count(F.lit(1)) - 1).alias("df"))
+    return found.withColumn("p", special.p_of_chi2(F.col("h"), F.col("df")))
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(w_plus, n, z) of the signed-rank test of a - b; differences of 0 are left out, z is corrected for ties."""
+    """(w_plus, n, z, p) of the signed-rank test of a - b; differences of 0 are left out, z is corrected for ties, p is two-sided."""
     d = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("size", F.abs("d"))
     ranked = average_ranks(d, "size")
     n = F.count(F.lit(1)).cast("double")
     w, spread = F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)), n * (n + 1) * (2 * n + 1) / 24 - F.sum(F.col("ties") * F.col("ties") - 1) / 48
-    return ranked.agg(w.alias("w_plus"), n.cast("long").alias("n"), F.try_divide(w - n * (n + 1) / 4, F.sqrt(spread)).alias("z"))
+    found = ranked.agg(w.alias("w_plus"), n.cast("long").alias("n"), F.try_divide(w - n * (n + 1) / 4, F.sqrt(spread)).alias("z"))
+    return found.withColumn("p", special.p_of_normal(F.col("z")))
+
+
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(n, rho, p): the correlation of average ranks over rows with both values, p two-sided by the t distribution."""
+    both = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a is not null and b is not null")
+    x = average_ranks(both, "a").select("b", F.col("rank").alias("ra"))
+    y = average_ranks(x, "b").select("ra", F.col("rank").alias("rb"))
+    found = y.agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho"))
+    return found.withColumn("p", special.p_of_correlation(F.col("rho"), F.col("n")))
+
+
+def accuracy_tests(df: DataFrame, by: str, said: str, truth: str, per_family: float = 0.05) -> DataFrame:
+    """(by, n, balanced_accuracy, p, significant): per task, the 2 x 2 table of what was said and what is true, Fisher's two-sided p
+    and whether it is below per_family shared by all tasks. A task of one class has neither value nor significance."""
+    s, t = F.col(said).cast("int"), F.col(truth).cast("int")
+    n = lambda x, y: F.sum(((s == x) & (t == y)).cast("long"))
+    counts = df.groupBy(by).agg(n(1, 1).alias("a"), n(1, 0).alias("b"), n(0, 1).alias("c"), n(0, 0).alias("d"))
+    tested = counts.join(fisher(counts, [by], "a", "b", "c", "d").select(by, F.col("two_sided").alias("p")), by)
+    tasks = counts.agg(F.count(F.lit(1)).alias("_tasks"))
+    accuracy = (F.try_divide("a", F.col("a") + F.col("c")) + F.try_divide("d", F.col("b") + F.col("d"))) / 2
+    p = F.when(accuracy.isNotNull(), F.col("p"))
+    all_n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
+    return tested.crossJoin(F.broadcast(tasks)).select(by, all_n.alias("n"), accuracy.alias("balanced_accuracy"), p.alias("p"), F.coalesce(p < per_family / F.col("_tasks"), F.lit(False)).alias("significant"))

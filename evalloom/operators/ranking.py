@@ -14,37 +14,44 @@ def tie_groups(df: DataFrame, by: list[str], score: str, label: str, weight: Col
     return df.groupBy(*by, F.col(score).alias("score")).agg(F.sum((w * F.col(label)).cast("double")).alias("pos"), F.sum((w * (1 - F.col(label))).cast("double")).alias("neg"))
 
 
-def running(groups: DataFrame, by: list[str], sections: int = 64) -> DataFrame:
-    """groups with tp and fp, running totals by falling score.
+def score_edges(df: DataFrame, by: list[str], score: str, sections: int = 64) -> DataFrame:
+    """(by, _edges): quantiles that cut each key's scores into about equal sections."""
+    at = [k / sections for k in range(1, sections)]
+    return df.groupBy(*by).agg(F.percentile_approx(F.col(score).cast("double"), at, 1000).alias("_edges"))
+
+
+def running(groups: DataFrame, by: list[str], sections: int = 64, edges: DataFrame | None = None) -> DataFrame:
+    """groups (by, score, pos, neg) with tp and fp, running totals by falling score.
 
     Each key's scores are cut at quantiles first: a section is summed by itself and starts from the totals of those above
-    it, so no task sorts all scores of a key. With sections = 0 a key is one task, for many keys with few scores each.
+    it, so no task sorts all scores of a key. `edges`, by some of the keys, saves finding them. With sections = 0 a key is
+    one task, for many keys with few scores each.
     """
     if not sections:
         down = Window.partitionBy(*by).orderBy(F.desc("score"))
         return groups.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    at = [k / sections for k in range(1, sections)]
-    edges = groups.groupBy(*by).agg(F.percentile_approx(F.col("score").cast("double"), at, 1000).alias("_edges"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e{k}")) for k, c in enumerate(by)], F.lit(True))
-    placed = groups.join(F.broadcast(edges.select(*[F.col(c).alias(f"_e{k}") for k, c in enumerate(by)], "_edges")), same)
+    edges = score_edges(groups, by, "score", sections) if edges is None else edges
+    keys = [c for c in edges.columns if c != "_edges"]
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e{k}")) for k, c in enumerate(keys)], F.lit(True))
+    named = edges.select(*[F.col(c).alias(f"_e{k}") for k, c in enumerate(keys)], "_edges")
+    placed = groups.join(named if keys else F.broadcast(named), same)  # one row without keys
     placed = placed.withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("score")))).select(*groups.columns, "_part")
-    above = Window.partitionBy(*by).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*by, "_part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    starts = totals.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(by)], F.col("_part").alias("_own"), F.coalesce(F.sum("p").over(above), F.lit(0.0)).alias("_p"), F.coalesce(F.sum("n").over(above), F.lit(0.0)).alias("_n"))
-    down = Window.partitionBy(*by, "_part").orderBy(F.desc("score"))
-    own = placed.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s{k}")) for k, c in enumerate(by)], F.col("_part") == F.col("_own"))
-    both = own.join(F.broadcast(starts), on)
-    return both.withColumn("tp", F.col("tp") + F.col("_p")).withColumn("fp", F.col("fp") + F.col("_n")).select(*groups.columns, "tp", "fp")
+    above = Window.partitionBy(*by).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # a row a section
+    totals = placed.groupBy(*by, "_part").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    starts = totals.select(*by, "_part", F.sum("_p").over(above).alias("pos"), F.sum("_n").over(above).alias("neg"), F.lit(True).alias("_start"))
+    rows = placed.withColumn("_start", F.lit(False)).unionByName(starts.where("pos is not null"), allowMissingColumns=True)
+    down = Window.partitionBy(*by, "_part").orderBy(F.desc("_start"), F.desc("score"))
+    own = rows.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    return own.where(~F.col("_start")).select(*groups.columns, "tp", "fp")
 
 
-def ranking_metrics(df: DataFrame, by: list[str], score: str, label: str, weight: Column | None = None, sections: int = 64) -> DataFrame:
+def ranking_metrics(df: DataFrame, by: list[str], score: str, label: str, weight: Column | None = None, sections: int = 64, edges: DataFrame | None = None) -> DataFrame:
     """(by, ap, auroc, n_pos, n_neg): step average precision and tie-aware AUROC.
 
-    Of one class alone AP is 1 (no negatives) or 0 (no positives) and AUROC is null. Sections are joined by broadcast,
-    64 rows a key: give sections = 0 where there are many keys.
+    Of one class alone AP is 1 (no negatives) or 0 (no positives) and AUROC is null. Give sections = 0 where there are many
+    keys with few scores each.
     """
-    walked = running(tie_groups(df, by, score, label, weight), by, sections)
+    walked = running(tie_groups(df, by, score, label, weight), by, sections, edges)
     sums = walked.groupBy(*by).agg(
         F.sum(F.try_divide(F.col("pos") * F.col("tp"), F.col("tp") + F.col("fp"))).alias("s"),
         F.sum(F.col("pos") * (F.col("neg") / 2 - F.col("fp"))).alias("u"),
@@ -74,11 +81,12 @@ def threshold_metrics(df: DataFrame, by: list[str], predicted: Column, label: st
 
 
 def rank_percentile(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """df with pct, the average rank from 0 to 1. Without `by` all rows are one ranking."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    groups = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = groups.select(*by, value, ((F.coalesce(before, F.lit(0)) + (F.col("_c") - 1) / 2) / F.greatest(F.sum("_c").over(w) - 1, F.lit(1))).alias("pct"))
+    """df with pct, the average rank from 0 to 1. Without `by` all rows are one ranking. Distinct values are ranked in sections."""
+    groups = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("score")).agg(F.count(F.lit(1)).cast("double").alias("pos")).withColumn("neg", F.lit(0.0))
+    sizes = groups.groupBy(*by).agg(F.sum("pos").alias("_all"))
+    walked = running(groups, by)
+    walked = walked.join(sizes, by) if by else walked.crossJoin(F.broadcast(sizes))  # one row
+    ranks = walked.select(*by, F.col("score").alias(value), ((F.col("_all") - F.col("tp") + (F.col("pos") - 1) / 2) / F.greatest(F.col("_all") - 1, F.lit(1.0))).alias("pct"))
     return df.join(ranks, [*by, value])
 
 

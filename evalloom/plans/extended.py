@@ -365,28 +365,46 @@ def equivalence_reading(spark, sf_dir):
 def permutation_null(spark, sf_dir):
     df = frames.scored(spark, sf_dir)
     drawn = bootstrap.permuted_labels(df, "id", "y", 19, "perm").join(df.select("id", "a"), "id")
-    null = ranking.ranking_metrics(drawn, ["draw"], "a", "permuted", sections=0).select(F.col("auroc").alias("x"))
+    null = ranking.ranking_metrics(drawn, ["draw"], "a", "permuted", edges=ranking.score_edges(df, [], "a")).select(F.col("auroc").alias("x"))
     seen = ranking.ranking_metrics(df, [], "a", "y").select("auroc")
     return null.crossJoin(F.broadcast(seen)).agg(F.round(bootstrap.permutation_p(F.col("auroc"), F.col("x")), 9).alias("p"))  # one row
 
 
 # Tests
 
+RANKS = "r AS (SELECT lang, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS rk, count(*) OVER (PARTITION BY a) AS t FROM scored), g AS (SELECT lang, sum(rk) AS r, count(*) AS k, sum(t * t - 1) AS t FROM r GROUP BY 1)"
 
-@query(f"""WITH {SCORED}, r AS (SELECT lang, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS rk, count(*) OVER (PARTITION BY a) AS t FROM scored), g AS (SELECT lang, sum(rk) AS r, count(*) AS k, sum(t * t - 1) AS t FROM r GROUP BY 1)
-    SELECT round((12 / (sum(k) * (sum(k) + 1)) * sum(r * r / k) - 3 * (sum(k) + 1)) / (1 - sum(t) / (sum(k)::DOUBLE * sum(k) * sum(k) - sum(k))), 6) AS h, count(*) - 1 AS df FROM g""")
+
+def simpson(f: str, low: str, width: str, steps: int = 20_000) -> str:
+    """A scalar subquery: the integral of f, in which x is the variable, from low over width."""
+    x = f"({low} + i * {width} / {steps})"
+    return f"(SELECT sum((CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({f.replace('@x', x)})) * {width} / {steps} / 3 FROM range(0, {steps + 1}) q(i))"
+
+
+@query(f"""WITH {SCORED}, {RANKS}, k AS (SELECT (12 / (sum(k) * (sum(k) + 1)) * sum(r * r / k) - 3 * (sum(k) + 1)) / (1 - sum(t) / (sum(k)::DOUBLE * sum(k) * sum(k) - sum(k))) AS h, count(*) - 1 AS df FROM g)
+    SELECT round(h, 6) AS h, df, round({simpson("pow(@x, df / 2 - 1) * exp(-@x / 2)", "h", "200")} / (pow(2, df / 2) * gamma(df / 2)), 6) AS p FROM k""")
 def kruskal_wallis(spark, sf_dir):
-    return exact_tests.kruskal(frames.scored(spark, sf_dir), "lang", "a").select(F.round("h", 6).alias("h"), "df")
+    return exact_tests.kruskal(frames.scored(spark, sf_dir), "lang", "a").select(F.round("h", 6).alias("h"), "df", F.round("p", 6).alias("p"))
 
 
-@query(f"""WITH {SCORED}, d AS (SELECT abs(a - 20 * b) AS s, sign(a - 20 * b) AS g FROM scored WHERE a <> 20 * b), r AS (SELECT g, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS rk, count(*) OVER (PARTITION BY s) AS t FROM d), n AS (SELECT sum(rk) FILTER (WHERE g > 0) AS w, count(*)::DOUBLE AS n, sum(t * t - 1) AS t FROM r)
-    SELECT w AS w_plus, n::BIGINT AS n, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48), 6) AS z FROM n""")
+@query(f"""WITH {SCORED}, d AS (SELECT abs(a - 20 * b) AS s, sign(a - 20 * b) AS g FROM scored WHERE a <> 20 * b), r AS (SELECT g, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS rk, count(*) OVER (PARTITION BY s) AS t FROM d), n AS (SELECT sum(rk) FILTER (WHERE g > 0) AS w, count(*)::DOUBLE AS n, sum(t * t - 1) AS t FROM r),
+    z AS (SELECT w AS w_plus, n::BIGINT AS n, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48) AS z FROM n)
+    SELECT w_plus, n, round(z, 6) AS z, round(2 * {simpson("exp(-@x * @x / 2)", "abs(z)", "40")} / sqrt(2 * pi()), 6) AS p FROM z""")
 def wilcoxon_signed(spark, sf_dir):
     df = frames.scored(spark, sf_dir).withColumn("b20", 20 * F.col("b"))
-    return exact_tests.wilcoxon(df, "a", "b20").select("w_plus", "n", F.round("z", 6).alias("z"))
+    return exact_tests.wilcoxon(df, "a", "b20").select("w_plus", "n", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
+
+
+@query(f"""WITH {SCORED}, r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM scored),
+    c AS (SELECT count(*) AS n, corr(ra, rb) AS rho FROM r), t AS (SELECT n, rho, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t, n - 2 AS v FROM c)
+    SELECT n, round(rho, 9) AS rho, round(1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * {simpson("pow(1 + @x * @x / v, -(v + 1) / 2)", "0", "t")}, 6) AS p FROM t""")
+def spearman_test(spark, sf_dir):
+    return exact_tests.spearman(frames.scored(spark, sf_dir), "a", "b").select("n", F.round("rho", 9).alias("rho"), F.round("p", 6).alias("p"))
 
 
 TWO = "t AS (SELECT lang, sum((a > 1500 AND y = 1)::INT)::BIGINT AS a, sum((a > 1500 AND y = 0)::INT)::BIGINT AS b, sum((a <= 1500 AND y = 1)::INT)::BIGINT AS c, sum((a <= 1500 AND y = 0)::INT)::BIGINT AS d FROM scored GROUP BY 1)"
+TABLES = """e AS (SELECT lang, i, a AS x, exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) + lgamma(c + d + 1) - lgamma(a + c - i + 1) - lgamma(d - a + i + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)) AS p FROM t, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) u(i)),
+    f AS (SELECT *, max(p) FILTER (WHERE i = x) OVER (PARTITION BY lang) AS p0 FROM e)"""
 
 
 def two_by_two(spark, sf_dir):
@@ -395,21 +413,32 @@ def two_by_two(spark, sf_dir):
     return df.groupBy("lang").agg(n(big & y).alias("a"), n(big & ~y).alias("b"), n(~big & y).alias("c"), n(~big & ~y).alias("d"))
 
 
-@query(f"""WITH {SCORED}, {TWO}, e AS (SELECT lang, i, a AS x, exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) + lgamma(c + d + 1) - lgamma(a + c - i + 1) - lgamma(d - a + i + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)) AS p FROM t, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) u(i)),
-    f AS (SELECT *, max(p) FILTER (WHERE i = x) OVER (PARTITION BY lang) AS p0 FROM e) SELECT lang, round(least(1, sum(p) FILTER (WHERE p <= p0 * (1 + 1e-7))), 6) AS two_sided, round(least(1, sum(p) FILTER (WHERE i >= x)), 6) AS greater FROM f GROUP BY 1""")
+@query(f"""WITH {SCORED}, {TWO}, {TABLES} SELECT lang, round(least(1, sum(p) FILTER (WHERE p <= p0 * (1 + 1e-7))), 6) AS two_sided, round(least(1, sum(p) FILTER (WHERE i >= x)), 6) AS greater FROM f GROUP BY 1""")
 def fisher_exact(spark, sf_dir):
     return exact_tests.fisher(two_by_two(spark, sf_dir), ["lang"], "a", "b", "c", "d").select("lang", *[F.round(c, 6).alias(c) for c in ("two_sided", "greater")])
 
 
+@query(f"""WITH {SCORED}, {TWO}, {TABLES}, p AS (SELECT lang, least(1, sum(p) FILTER (WHERE p <= p0 * (1 + 1e-7))) AS p FROM f GROUP BY 1), v AS (SELECT lang, a + b + c + d AS n, (a / nullif(a + c, 0) + d / nullif(b + d, 0)) / 2 AS acc FROM t)
+    SELECT lang, n, round(acc, 9) AS balanced_accuracy, round(CASE WHEN acc IS NOT NULL THEN p END, 6) AS p, coalesce(acc IS NOT NULL AND p < 0.05 / (SELECT count(*) FROM t), false) AS significant FROM v JOIN p USING (lang)""")
+def accuracy_tests(spark, sf_dir):
+    df = frames.scored(spark, sf_dir).withColumn("said", F.col("a") > 1500)
+    return exact_tests.accuracy_tests(df, "lang", "said", "y").select("lang", "n", F.round("balanced_accuracy", 9).alias("balanced_accuracy"), F.round("p", 6).alias("p"), "significant")
+
+
 @query(f"WITH {SCORED}, {TWO}, e AS (SELECT lang, b, i, exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)) AS p FROM t, unnest(range(0, b + c + 1)) u(i)) SELECT lang, round(coalesce(sum(p) FILTER (WHERE i >= b), 0), 6) AS p FROM e GROUP BY 1")
 def mcnemar_exact(spark, sf_dir):
     return two_by_two(spark, sf_dir).select("lang", F.round(exact_tests.mcnemar(F.col("b"), F.col("c")), 6).alias("p"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORED}, {TWO}, goal AS (SELECT lang, 'lo' AS side, a AS k, a + b AS n, 0.025 AS goal FROM t UNION ALL SELECT lang, 'hi', a + 1, a + b, 0.975 FROM t),
+    bis AS (SELECT lang, side, k, n, goal, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM goal WHERE n > 0 UNION ALL
+        SELECT lang, side, k, n, goal, CASE WHEN big THEN lo ELSE (lo + hi) / 2 END, CASE WHEN big THEN (lo + hi) / 2 ELSE hi END, step + 1
+        FROM (SELECT *, (SELECT coalesce(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2))), 0) FROM unnest(range(k, n + 1)) u(i)) > goal AS big FROM bis WHERE step < 40))
+    SELECT t.lang, round(CASE WHEN t.a + t.b = 0 THEN NULL WHEN t.a = 0 THEN 0 ELSE x.lo END, 6) AS lo, round(CASE WHEN t.a + t.b = 0 THEN NULL WHEN t.b = 0 THEN 1 ELSE y.lo END, 6) AS hi
+    FROM t LEFT JOIN bis x ON t.lang = x.lang AND x.side = 'lo' AND x.step = 40 LEFT JOIN bis y ON t.lang = y.lang AND y.side = 'hi' AND y.step = 40""")
 def clopper_pearson(spark, sf_dir):
-    lo, hi = exact_tests.clopper_pearson(F.col("a"), F.col("a") + F.col("b"))
-    return two_by_two(spark, sf_dir).select("lang", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+    ends = two_by_two(spark, sf_dir).select("lang", exact_tests.clopper_pearson(F.col("a"), F.col("a") + F.col("b")).alias("e"))
+    return ends.select("lang", F.round("e.lo", 6).alias("lo"), F.round("e.hi", 6).alias("hi"))
 
 
 # Splits

@@ -1,12 +1,15 @@
 """Operators whose results SQL doesn't state in the catalogue: guards, exact tests, sources and sinks."""
 
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evalloom.functions import scalars as C
+from evalloom.functions import special
 from evalloom.operators import audit, bootstrap, elicitation, exact_tests, features, runs, splits
 from evalloom.sources import tables
 
@@ -40,16 +43,61 @@ def test_arms(spark):
 
 def test_exact_tests(spark):
     one = spark.range(1)
-    lo, hi = exact_tests.clopper_pearson(F.lit(3), F.lit(10))
-    got = one.select(lo.alias("lo"), hi.alias("hi"), exact_tests.mcnemar(F.lit(8), F.lit(2)).alias("p"), exact_tests.mcnemar(F.lit(0), F.lit(0)).alias("none")).first()
+    share = exact_tests.clopper_pearson(F.lit(3), F.lit(10))
+    got = one.select(share["lo"].alias("lo"), share["hi"].alias("hi"), exact_tests.mcnemar(F.lit(8), F.lit(2)).alias("p"), exact_tests.mcnemar(F.lit(0), F.lit(0)).alias("none")).first()
     assert (got["lo"], got["hi"]) == pytest.approx((0.0667395, 0.6524529), abs=1e-6)
     assert got["p"] == pytest.approx(sum(math.comb(10, k) for k in (8, 9, 10)) / 1024) and got["none"] == 1.0
     ends = exact_tests.clopper_pearson(F.lit(0), F.lit(5)), exact_tests.clopper_pearson(F.lit(5), F.lit(5))
-    assert one.select(ends[0][0].alias("a"), ends[1][1].alias("b")).first() == (0.0, 1.0)
+    assert one.select(ends[0]["lo"].alias("a"), ends[1]["hi"].alias("b")).first() == (0.0, 1.0)
     table = spark.createDataFrame([(1, 8, 2, 1, 5)], "k int, a long, b long, c long, d long")
     found = exact_tests.fisher(table, ["k"], "a", "b", "c", "d").first()
     assert found["two_sided"] == pytest.approx(0.0349650, abs=1e-6) and found["greater"] == pytest.approx(0.0244755, abs=1e-6)
-    assert [exact_tests.chi2_tail(x, d) for x, d in ((3.841459, 1), (5.991465, 2), (7.814728, 3), (9.487729, 4), (11.070498, 5))] == pytest.approx([0.05] * 5, abs=1e-6)
+
+
+def binomial_by_fractions(n, k, p):
+    return float(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)))
+
+
+def fisher_by_fractions(a, b, c, d):
+    row, col, n = a + b, a + c, a + b + c + d
+    p = {x: Fraction(math.comb(row, x) * math.comb(n - row, col - x), math.comb(n, col)) for x in range(max(0, row + col - n), min(row, col) + 1)}
+    return float(min(1, sum(v for v in p.values() if v <= p[a] * Fraction(10**7 + 1, 10**7)))), float(sum(v for x, v in p.items() if x >= a))
+
+
+def test_tails_against_fractions():
+    rng = random.Random(5)
+    for n, k, p in [(10, 3, (1, 2)), (300, 140, (1, 2)), (1000, 20, (1, 50)), (1000, 0, (1, 3)), (1000, 1000, (9, 10)), (2000, 1100, (1, 2)), (7000, 3400, (1, 2)), (7000, 3600, (1, 2))]:
+        want = binomial_by_fractions(n, k, Fraction(*p))
+        assert special.binomial_tail(n, k, p[0] / p[1])[()] == pytest.approx(want, rel=1e-9)
+    for _ in range(400):
+        cells = [rng.randint(0, rng.choice([3, 12, 60])) for _ in range(4)]
+        assert special.fisher_p(*cells) == pytest.approx(fisher_by_fractions(*cells), abs=1e-9)
+
+
+def test_tails_at_large_counts(spark):
+    df = spark.createDataFrame([(100, 3000), (300, 3000), (50, 20_000), (1000, 10**6), (0, 0), (None, 5)], "k long, n long")
+    got = [tuple(r["e"]) if r["e"] else None for r in df.select(exact_tests.clopper_pearson(F.col("k"), F.col("n")).alias("e")).collect()]
+    assert got[4:] == [None, None]
+    assert [x for e in got[:4] for x in e] == pytest.approx([0.0272019, 0.0403953, 0.0894921, 0.1112951, 0.0018561, 0.0032946, 0.000939, 0.0010639], abs=1e-6)
+    pairs = spark.createDataFrame([(5000, 10_000), (10_000, 5000), (7500, 7500), (500_030_000, 499_970_000)], "a long, b long")
+    p = [r["p"] for r in pairs.select(exact_tests.mcnemar(F.col("a"), F.col("b")).alias("p")).collect()]
+    normal = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    assert p[0] == 1.0 and p[1] < 1e-300 and p[2:] == pytest.approx([0.5032573, normal((500_030_000 - 0.5 - 5e8) / math.sqrt(1e9 / 4))], rel=1e-6)
+    tables = spark.createDataFrame([(1, 10**6, 10**6 + 1500, 10**6, 10**6), (2, 2 * 10**8, 2 * 10**8 + 40_000, 2 * 10**8, 2 * 10**8), (3, 0, 0, 0, 0), (4, 3, 0, 0, 0)], "k int, a long, b long, c long, d long")
+    for r, x in zip(exact_tests.fisher(tables, ["k"], "a", "b", "c", "d").orderBy("k").collect(), tables.orderBy("k").collect(), strict=True):
+        if x["k"] > 2:
+            assert (r["two_sided"], r["greater"]) == (1.0, 1.0)
+            continue
+        n, row, col = x["a"] + x["b"] + x["c"] + x["d"], x["a"] + x["b"], x["a"] + x["c"]
+        sd = math.sqrt(row * col * (n - row) / n * ((n - col) / n) / (n - 1))
+        z = (row * col / n - x["a"] - 0.5) / sd
+        assert r["two_sided"] == pytest.approx(2 * normal(z), rel=1e-3) and r["greater"] == pytest.approx(1 - normal((row * col / n - x["a"] + 0.5) / sd), rel=1e-3)
+
+
+def test_tails_of_statistics():
+    assert [special.chi2_tail(x, d) for x, d in ((3.841459, 1), (5.991465, 2), (7.814728, 3), (9.487729, 4), (11.070498, 5), (0.0, 3))] == pytest.approx([0.05] * 5 + [1], abs=1e-6)
+    assert special.chi2_tail(2000, 1500) == pytest.approx(5.8099e-17, rel=1e-3)
+    assert [special.t_tail(2.228139, 10), special.t_tail(0.0, 3), special.t_tail(math.inf, 3)] == pytest.approx([0.05, 1, 0], abs=1e-6)
 
 
 def test_donors_lose_no_row(spark):
