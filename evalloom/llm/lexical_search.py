@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.shared import cut, discard, small_batches
 
-#: Terms, with repeats, that close a shard; characters of queries that are searched at once.
-SHARD_TERMS, BLOCK_CHARS = 2_000_000, 1_000_000
+#: Terms, with repeats, that close a shard; characters of queries that are searched at once; most tasks that search shards.
+SHARD_TERMS, BLOCK_CHARS, TASKS = 2_000_000, 1_000_000, 10_000
 #: Every ASCII character that isn't a letter or a digit becomes a space, and A-Z becomes a-z.
 LETTERS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
 INDEX = "shard long, term string, n_docs long, n_terms long, postings binary"
@@ -194,7 +194,7 @@ def best(lists: list[Postings], k: int) -> list[tuple[int, int]]:
     return found
 
 
-def search_block(index: DataFrame, wanted: DataFrame, n_docs: int, n_terms: int, k: int) -> DataFrame:
+def search_block(index: DataFrame, wanted: DataFrame, n_docs: int, n_terms: int, k: int, tasks: int) -> DataFrame:
     """(item_id, doc_id, score): each shard's k best documents of each item. `wanted` has (item_id, term, w) and is sent to all tasks."""
     items = defaultdict(list)
     for r in wanted.collect():
@@ -218,7 +218,8 @@ def search_block(index: DataFrame, wanted: DataFrame, n_docs: int, n_terms: int,
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("item_id", "doc_id", "score"), columns, strict=True)})
 
-    return needed.groupBy("shard").applyInArrow(shard_best, "item_id long, doc_id long, score long")
+    # a shard is few bytes and much work, so shards aren't brought together by their size
+    return needed.repartition(tasks, "shard").groupBy("shard").applyInArrow(shard_best, "item_id long, doc_id long, score long")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -227,12 +228,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, item_col: str = "i
     Items are dealt to blocks of about block_chars characters of distinct terms, which bounds what is sent to all tasks.
     """
     pairs = cut(item_terms(queries, item_col, text_col), "items")
-    n_docs, n_terms = index.where("term is null").agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(1))).first()
+    n_docs, n_terms, shards = index.where("term is null").agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(1)), F.count(F.lit(1))).first()
     blocks = -(-(pairs.agg(F.sum(F.length("term") + 1)).first()[0] or 0) // block_chars) or 1
     df = index.join(pairs.select("term").distinct(), "term").groupBy("term").agg(F.sum("n_docs").alias("df"))
     weight = F.floor(1000 * F.log((2.0 * n_docs + 2) / (2.0 * F.col("df") + 1))).cast("long")
     weighted = cut(pairs.join(df, "term").select("item_id", "term", weight.alias("w")), "items")
-    found = [search_block(index, weighted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), n_docs, n_terms, k) for b in range(blocks)]
+    found = [search_block(index, weighted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), n_docs, n_terms, k, min(max(shards, 1), TASKS)) for b in range(blocks)]
     down = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(down)).where(F.col("rank") <= k)
     return ranked.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
