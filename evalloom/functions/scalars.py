@@ -56,10 +56,11 @@ def mask_phrases(text: Column, phrases: list[str], mask: str = "[MASK]") -> Colu
 
 def mask_phrases_of(text: Column, phrases: Column, mask: str = "[MASK]") -> Column:
     """Every phrase of an array column replaced wherever it stands, in any case, the longest first."""
-    plain = F.array_distinct(F.filter(F.transform(phrases, lambda p: F.lower(F.trim(p))), lambda p: p != ""))
-    order = F.array_sort(F.transform(plain, lambda p: F.struct((-F.length(p)).alias("less"), p.alias("p"))))
+    given = F.coalesce(phrases, F.array().cast("array<string>"))
+    plain = F.array_distinct(F.filter(F.transform(given, lambda p: F.lower(F.trim(p))), lambda p: p != ""))
+    order = F.array_sort(F.transform(plain, lambda p: F.struct((-F.length(p)).alias("less"), p.alias("p")))).cast("array<struct<less:int,p:string>>")
     quoted = lambda p: F.concat(F.lit(r"(?iu)\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return F.aggregate(F.coalesce(order, F.array().cast("array<struct<less:int,p:string>>")), text, lambda acc, x: F.regexp_replace(acc, quoted(x["p"]), F.lit(mask)))
+    return F.aggregate(order, text, lambda acc, x: F.regexp_replace(acc, quoted(x["p"]), F.lit(mask)))
 
 
 def shown(value: Column) -> Column:
@@ -131,19 +132,30 @@ def hash_order(seed: str, key: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), key.cast("string")), 256)
 
 
+#: Texts that stand for no term.
+MISSING = ("", "None", "nan", "NaN")
+
+
 def parse_terms(value: object) -> list[str]:
-    """Texts of a list literal that may be nested or quoted again; a text that is no literal is a term itself."""
+    """Texts of a literal: a list or tuple, nested or quoted again, a quoted text or a number; what is no literal is a term itself.
+
+    Empty texts and MISSING marks are no terms.
+    """
     if value is None or value != value:
         return []
     if isinstance(value, (list, tuple)):
         return [t for x in value for t in parse_terms(x)]
     text = str(value).strip()
-    if text.startswith("[") and text.endswith("]"):
-        try:
-            return parse_terms(ast.literal_eval(text))
-        except (ValueError, SyntaxError, RecursionError):
-            pass
-    return [text] if text and text.lower() not in ("nan", "none") else []
+    if text in MISSING:
+        return []
+    try:
+        found = ast.literal_eval(text)
+    except (ValueError, SyntaxError, RecursionError, MemoryError):
+        return [text]
+    if isinstance(found, (list, tuple)):
+        return parse_terms(found)
+    inner = str(found).strip()
+    return [] if inner in MISSING else [inner]
 
 
 def nested_terms(text: Column) -> Column:

@@ -29,9 +29,9 @@ def slot(arm: str, names: Column, codes: Column, headings: Column, described: Co
     return {"L0": F.lit(masked), "L1": listed(names, masked), "L2": listed(codes, masked), "L3": listed(described, masked), "L4": listed(headings, masked), "L5": listed(categories, masked), "L7": text}[arm]
 
 
-def body(fields: dict[str, Column], scrubbed: set[str], phrases: Column, slot_label: str = "Condition") -> Column:
-    """"label: value" lines up to the slot, which comes last; the scrubbed fields have the record's own phrases masked."""
-    lines = [F.concat(F.lit(f"{label}: "), mask_phrases_of(shown(value), phrases) if label in scrubbed else shown(value)) for label, value in fields.items()]
+def body(fields: dict[str, Column], scrubbed: set[str], phrases: Column, slot_label: str = "Condition", mark: str = " ") -> Column:
+    """"label: value" lines up to the slot, which comes last; in the scrubbed fields `mark` replaces the record's own phrases."""
+    lines = [F.concat(F.lit(f"{label}: "), mask_phrases_of(shown(value), phrases, mark) if label in scrubbed else shown(value)) for label, value in fields.items()]
     return F.concat(F.concat_ws("\n", *lines), F.lit(f"\n{slot_label}: "))
 
 
@@ -54,9 +54,68 @@ def leaks(df: DataFrame, key: str, text: Column, terms: Column, generic: list[st
     return each.where((F.col("term") != "") & ~F.lower("term").isin(generic) & F.contains("_text", F.col("term"))).select(key, "term")
 
 
+#: Providers by what a model's id holds, in the order in which they are tried, and where their records have things.
+PROVIDERS = {"anthropic": ("anthropic",), "amazon_nova": ("nova",), "meta_llama": ("llama", "meta."), "deepseek": ("deepseek",)}
+USAGE = {"anthropic": ("$.usage.input_tokens", "$.usage.output_tokens"), "amazon_nova": ("$.usage.inputTokens", "$.usage.outputTokens"), "meta_llama": ("$.prompt_token_count", "$.generation_token_count"), "deepseek": ("$.usage.prompt_tokens", "$.usage.completion_tokens")}
+LLAMA = ("<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n\n", "<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n")
+
+
+def by_provider(provider: Column, cases: dict[str, Column]) -> Column:
+    out = F.when(F.lit(False), next(iter(cases.values())))
+    for name, value in cases.items():
+        out = out.when(provider == name, value)
+    return out
+
+
+def provider_of(model: Column) -> Column:
+    """The provider that a model's id names; an id that names none is an error."""
+    name, out = F.lower(model), F.when(F.lit(False), F.lit(""))
+    for provider, marks in PROVIDERS.items():
+        out = out.when(F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(name, m)), provider)
+    return out.otherwise(F.raise_error(F.concat(F.lit("no record format for model "), F.coalesce(model, F.lit("null")))))
+
+
+def request_body(provider: Column, prompt: Column, temperature: Column, max_tokens: Column) -> Column:
+    """The record's input as JSON: one user turn, in the provider's shape."""
+    temperature, most = temperature.cast("double"), max_tokens.cast("int")
+    turn = lambda content: F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("messages")
+    shapes = {
+        "anthropic": F.struct(F.lit("bedrock-2023-05-31").alias("anthropic_version"), most.alias("max_tokens"), temperature.alias("temperature"), turn(F.array(F.struct(F.lit("text").alias("type"), prompt.alias("text"))))),
+        "amazon_nova": F.struct(turn(F.array(F.struct(prompt.alias("text")))), F.struct(most.alias("maxTokens"), temperature.alias("temperature")).alias("inferenceConfig")),
+        "meta_llama": F.struct(F.concat(F.lit(LLAMA[0]), prompt, F.lit(LLAMA[1])).alias("prompt"), most.alias("max_gen_len"), temperature.alias("temperature")),
+        "deepseek": F.struct(turn(prompt), most.alias("max_tokens"), temperature.alias("temperature")),
+    }
+    return by_provider(provider, {name: F.to_json(shape) for name, shape in shapes.items()})
+
+
+def record_text(provider: Column, body: Column) -> Column:
+    """The text that a record's output holds, its parts put together; empty where the shape is another."""
+    part = "array<struct<type:string,text:string>>"
+    parts = lambda path, wanted: F.array_join(F.transform(F.filter(F.from_json(F.get_json_object(body, path), part), wanted), lambda x: F.coalesce(x["text"], F.lit(""))), "")
+    first = F.get_json_object(body, "$.choices[0].message.content")
+    cases = {
+        "anthropic": parts("$.content", lambda x: x["type"] == "text"),
+        "amazon_nova": parts("$.output.message.content", lambda x: F.lit(True)),
+        "meta_llama": F.get_json_object(body, "$.generation"),
+        "deepseek": F.coalesce(F.nullif(first, F.lit("")), F.get_json_object(body, "$.choices[0].text")),
+    }
+    return F.coalesce(by_provider(provider, cases), F.lit(""))
+
+
+def record_usage(provider: Column, body: Column) -> tuple[Column, Column]:
+    """Tokens in and out; 0 where a record doesn't say."""
+    at = lambda k: F.coalesce(by_provider(provider, {name: F.get_json_object(body, paths[k]) for name, paths in USAGE.items()}).try_cast("bigint"), F.lit(0).cast("bigint"))
+    return at(0), at(1)
+
+
 def reassembled(asked: DataFrame, records: DataFrame, key: str, body_col: str, error_col: str, fallback: float = 0.5) -> DataFrame:
-    """(key, status, proba): every asked row with its record's reply; a missing or failed record and a reply without a probability count as the fallback."""
-    joined = asked.select(key).join(records.select(key, body_col, error_col), key, "left")
+    """(key, status, proba): every asked row with its record's reply; a missing or failed record and a reply without a probability count as the fallback.
+
+    Of records that repeat a key one counts: one without an error before others, then the greatest body.
+    """
+    rank = F.struct(F.col(error_col).isNull().alias("fine"), F.col(body_col).alias("body"), F.col(error_col).alias("error"))
+    one = records.groupBy(key).agg(F.max(rank).alias("_r")).select(key, F.col("_r.body").alias(body_col), F.col("_r.error").alias(error_col))
+    joined = asked.select(key).join(one, key, "left")
     value = F.get_json_object(body_col, "$.probability").try_cast("double")
     fine = value.between(0, 100)
     status = F.when(F.col(error_col).isNotNull(), "error").when(F.col(body_col).isNull(), "missing").when(fine, "ok").otherwise("unparsed")
@@ -64,15 +123,21 @@ def reassembled(asked: DataFrame, records: DataFrame, key: str, body_col: str, e
 
 
 def cached_or_asked(prompts: DataFrame, cache: DataFrame, key: str) -> DataFrame:
-    """prompts with reply and cached: the cache's reply where it has the key; the others are what is left to ask."""
-    known = cache.select(key, F.col("reply")).dropDuplicates([key])
+    """prompts with reply and cached: the cache's reply where it has the key, the least of several; the others are what is left to ask."""
+    known = cache.groupBy(key).agg(F.min("reply").alias("reply"))
     return prompts.join(known, key, "left").withColumn("cached", F.col("reply").isNotNull())
 
 
-def unregistered(grid: DataFrame, plan: DataFrame, keys: list[str], repeats: str) -> DataFrame:
-    """Rows of the grid that the plan doesn't name, or that ask for more repeats than it allows. Empty if all is well."""
-    allowed = plan.select(*keys, F.col(repeats).alias("_allowed"))
-    return grid.join(allowed, keys, "left").where(F.col("_allowed").isNull() | (F.col(repeats) > F.col("_allowed"))).select(*grid.columns)
+def unregistered(grid: DataFrame, plan: DataFrame, keys: list[str], repeats: str, default: int | None = None) -> DataFrame:
+    """Rows of the grid whose number of repeats isn't exactly the plan's. Empty if all is well.
+
+    Cells that the plan doesn't name must have the default, and are breaches without one. A plan row that repeats is one; a cell
+    with several numbers may have any of them.
+    """
+    allowed = plan.groupBy(*keys).agg(F.collect_set(repeats).alias("_allowed"))
+    named = F.coalesce(F.col("_allowed"), F.array(F.lit(default)) if default is not None else F.array().cast("array<int>"))
+    fine = F.coalesce(F.exists(named, lambda x: x == F.col(repeats)), F.lit(False))
+    return grid.join(allowed, keys, "left").where(~fine).select(*grid.columns)
 
 
 def unattributed(calls: DataFrame, wanted: str, served: str) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from evalloom.functions.scalars import months, to_number, words
+from evalloom.storage import cut
 
 #: A null category is a level of its own.
 MISSING = "__nan__"
@@ -90,6 +95,35 @@ def gram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(both).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def numbered_terms(idf: DataFrame) -> DataFrame:
+    """idf with place, 0, 1, ... in order of the term; a fitted vocabulary has a bounded size."""
+    return idf.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1)
+
+
+class StackedView:
+    """Blocks of features side by side as one sparse vector: each block's features are numbered after those of the blocks before.
+
+    A block is (key, feature, value) rows. Features are numbered from the training rows, in order of their names; others fall out.
+    """
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def fit(self, blocks: dict[str, DataFrame]) -> StackedView:
+        self.places, self.size = {}, 0
+        for name, block in blocks.items():
+            own = cut(block.select("feature").distinct(), "features")
+            start = self.size
+            self.places[name] = own.select("feature", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("feature")) - 1 + start).alias("place"))
+            self.size += own.count()
+        return self
+
+    def transform(self, keys: DataFrame, blocks: dict[str, DataFrame]) -> DataFrame:
+        """(key, features) for all keys."""
+        long = [block.join(self.places[name], "feature").select(self.key, "place", "value") for name, block in blocks.items()]
+        return sparse_vectors(keys, reduce(DataFrame.unionByName, long), self.key, "place", "value", self.size)
+
+
 def fit_idf(counts: DataFrame, n_docs: int, min_df: int = 2, most: int | None = None) -> DataFrame:
     """(term, idf) with ln((1 + n) / (1 + df)) + 1; `most` keeps the most frequent terms of the corpus."""
     found = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
@@ -112,6 +146,41 @@ def pooled_vectors(df: DataFrame, by: str, vector: str, how: str = "mean") -> Da
     return each.groupBy(by, "pos").agg(value.alias("value"))
 
 
+def packed_bits(bits: list[Column]) -> list[Column]:
+    """Booleans as 64-bit words, the first in a word's lowest bit; a null is unset."""
+    one = lambda b, i: F.shiftleft(F.coalesce(b.cast("int"), F.lit(0)).cast("long"), i)
+    return [reduce(lambda x, y: x.bitwiseOR(y), [one(b, i) for i, b in enumerate(bits[k : k + 64])]) for k in range(0, len(bits), 64)]
+
+
+def packed_pool(df: DataFrame, by: str, words: list[str], bits: int, means: str | None = None, size: int = 0) -> DataFrame:
+    """(by, n, fingerprint, means): the bitwise or of each key's packed words, put together as an array of 0 and 1.
+
+    means is an array column of `size` numbers whose mean is taken place by place without nulls and NaN. Rows without words count
+    for nothing; a key without any has n 0 and an unset fingerprint. Words and places are columns of one aggregate, so neither bits
+    nor components are shuffled by themselves.
+    """
+    known = F.col(words[0]).isNotNull()
+    at = lambda k: F.get(F.col(means), F.lit(k)).cast("double")
+    places = [F.avg(F.when(known & ~F.isnan(at(k)), at(k))).alias(f"_c{k}") for k in range(size)] if means else []
+    pooled = df.groupBy(by).agg(F.count(words[0]).alias("n"), *[F.coalesce(F.bit_or(w), F.lit(0).cast("long")).alias(w) for w in words], *places)
+    bits_of = lambda w: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col(w), i).cast("int"))
+    shown = F.slice(F.flatten(F.array(*map(bits_of, words))), 1, bits)
+    return pooled.select(by, "n", shown.alias("fingerprint"), *([F.array(*[F.col(f"_c{k}") for k in range(size)]).alias("means")] if means else []))
+
+
+def sparse_vectors(keys: DataFrame, long: DataFrame, key: str, place: str, value: str, size: int) -> DataFrame:
+    """(key, features): a sparse vector of each key's (place, value) rows, empty where it has none.
+
+    Spark has no expression for a sparse vector, but stores one as (type, size, indices, values): that is written to the shared
+    folder and read back as vectors, without Python.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(place).cast("int").alias("p"), F.col(value).cast("double").alias("v"))))
+    none = F.array().cast("array<struct<p:int,v:double>>")
+    lists = keys.select(key).join(long.groupBy(key).agg(ordered.alias("w")), key, "left").select(key, F.coalesce("w", none).alias("w"))
+    plain = lists.select(key, F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.col("w.p").alias("indices"), F.col("w.v").alias("values")).alias("features"))
+    return cut(plain, "vectors", schema=StructType([plain.schema[key], StructField("features", VectorUDT())]))
+
+
 def column_scales(train: DataFrame, columns: list[str]) -> DataFrame:
     """(column, median, mean, std): the median, then mean and population deviation of the filled column; a deviation of 0 is 1."""
     fitted = medians(train, columns)
@@ -122,44 +191,53 @@ def column_scales(train: DataFrame, columns: list[str]) -> DataFrame:
 
 
 class Featurizer:
-    """Feature views fitted on training rows: durations in months, numbers with medians, multi-hot flags, small categories as
-    one-hot columns and large ones as smoothed target means. What is fitted stays a small frame; transform is one projection and
-    joins with the frames of large categories.
+    """Feature views fitted on training rows: durations in months, numbers with medians, multi-hot flags, and categories.
+
+    A binary task encodes every category by smoothed target means; a task of several classes has one-hot columns for categories
+    of at most most_levels levels and leaves larger ones out. Columns with more than half nulls are left out, flags too, as are
+    `raw` ones. What is fitted stays a small frame; transform is one projection and joins with the frames of categories.
     """
 
-    def __init__(self, key: str, label: str, durations: tuple[str, ...] = (), flags: str = "", most_levels: int = 40, smoothing: float = 20.0):
+    def __init__(self, key: str, label: str, durations: tuple[str, ...] = (), flags: str = "", most_levels: int = 40, smoothing: float = 20.0, binary: bool = True, raw: tuple[str, ...] = ()):
         self.key, self.label, self.durations, self.flags, self.most, self.smoothing = key, label, durations, flags, most_levels, smoothing
+        self.binary, self.raw = binary, raw
 
     def plain(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: months(F.col(c)) for c in self.durations})
 
     def fit(self, train: DataFrame) -> Featurizer:
         rows = self.plain(train)
-        columns = [c for c in rows.columns if c not in (self.key, self.label)]
+        columns = [c for c in rows.columns if c not in (self.key, self.label, *self.raw)]
+        kinds = {r["column"]: r["kind"] for r in column_kinds(rows, columns).collect()}
+        columns = [c for c in columns if kinds[c] != "dropped"]
         self.hot = [c for c in columns if self.flags and c.startswith(self.flags)]
-        kinds = {r["column"]: r["kind"] for r in column_kinds(rows, [c for c in columns if c not in self.hot]).collect()}
-        self.numbers = [c for c in columns if kinds.get(c) == "numeric"]
-        categories = [c for c in columns if kinds.get(c) == "categorical"]
+        self.numbers = [c for c in columns if c not in self.hot and kinds[c] == "numeric"]
+        self.categories = [c for c in columns if c not in self.hot and kinds[c] == "categorical"]
         numeric = rows.withColumns({c: to_number(F.col(c).cast("string")) for c in self.numbers})
         self.medians = medians(numeric, self.numbers).first().asDict() if self.numbers else {}
-        levels = onehot_levels(rows, categories, self.most).collect() if categories else []
-        self.levels = {c: sorted(r["level"] for r in levels if r["column"] == c) for c in categories}
-        self.encodings = {c: fit_target_encoding(rows, c, self.label, self.smoothing) for c in categories if not self.levels[c]}
-        self.mean = rows.agg(F.avg(self.label)).first()[0]
+        self.encodings, self.levels, self.mean = {}, {}, 0.0
+        if self.binary:
+            self.encodings = {c: fit_target_encoding(rows, c, self.label, self.smoothing) for c in self.categories}
+            self.mean = rows.agg(F.coalesce(F.avg(self.label), F.lit(0.0))).first()[0]
+        elif self.categories:
+            found = onehot_levels(rows, self.categories, self.most).collect()  # at most most_levels a column
+            self.levels = {c: levels for c in self.categories if (levels := sorted(r["level"] for r in found if r["column"] == c))}
         return self
 
+    def names(self) -> list[str]:
+        return [*self.numbers, *self.hot, *(f"{c}__te" for c in self.encodings), *(f"{c}__{x}" for c, known in self.levels.items() for x in known)]
+
     def transform(self, df: DataFrame) -> DataFrame:
-        """(key, one double column for each feature). An unseen level of a small category has no column set; of a large one, the mean."""
-        rows = self.plain(df)
-        out = [F.coalesce(to_number(F.col(c).cast("string")), F.lit(self.medians[c])).alias(c) for c in self.numbers]
-        out += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in self.hot]
-        for c, known in self.levels.items():
-            level = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-            out += [(level == x).cast("double").alias(f"{c}={x}") for x in known]
-        for c, fitted in self.encodings.items():
-            small = fitted.select(F.col("level").alias(f"_l_{c}"), F.col("encoding").alias(f"_e_{c}"))
-            rows = rows.join(small, F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) == F.col(f"_l_{c}"), "left")
-            out.append(F.coalesce(F.col(f"_e_{c}"), F.lit(self.mean)).alias(f"{c}_te"))
+        """(key, one double column for each feature). Columns that df lacks are null; an unseen level has no column set, or the mean."""
+        rows = self.plain(df.withColumns({c: F.lit(None).cast("string") for c in (*self.numbers, *self.hot, *self.categories) if c not in df.columns}))
+        finite = lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+        out = [finite(F.coalesce(to_number(F.col(f"`{c}`").cast("string")), F.lit(self.medians[c]))).alias(c) for c in self.numbers]
+        out += [finite(F.coalesce(to_number(F.col(f"`{c}`").cast("string")), F.lit(0.0))).alias(c) for c in self.hot]
+        level = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(MISSING))
+        for k, (c, fitted) in enumerate(self.encodings.items()):
+            rows = rows.join(fitted.select(F.col("level").alias(f"_l{k}"), F.col("encoding").alias(f"_e{k}")), level(c) == F.col(f"_l{k}"), "left")
+            out.append(F.coalesce(F.col(f"_e{k}"), F.lit(self.mean)).alias(f"{c}__te"))
+        out += [(level(c) == x).cast("double").alias(f"{c}__{x}") for c, known in self.levels.items() for x in known]
         return rows.select(self.key, *out)
 
 

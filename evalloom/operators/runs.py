@@ -100,3 +100,9 @@ def class_shares(df: DataFrame, klass: str) -> DataFrame:
     """(class, share) of the classes that rows have; their mean is the chance level of macro AP."""
     counts = df.groupBy(klass).agg(F.count(F.lit(1)).alias("_n"))
     return counts.select(klass, (F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(0)))).alias("share"))  # a row a class
+
+
+def keyed_pairs(first: DataFrame, second: DataFrame, keys: list[str], suffixes: tuple[str, str]) -> DataFrame:
+    """Rows of both frames that agree in all keys; their other columns carry a suffix for the frame they come from."""
+    a, b = (df.withColumnsRenamed({c: f"{c}_{s}" for c in df.columns if c not in keys}) for df, s in zip((first, second), suffixes, strict=True))
+    return a.join(b, keys)

@@ -10,6 +10,7 @@ from evalloom.operators import audit, bootstrap, features, ranking, registry_tab
 from evalloom.plans import (
     extended,  # noqa: F401  registers its queries
     frames,
+    further,  # noqa: F401 - registers its queries
     methods,
 )
 from evalloom.plans.frames import DRAWS, RUNS, SCORED, ranking_sql, table
@@ -117,9 +118,9 @@ def concat_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", C.concat_text(F.col("p_name"), F.nullif(F.col("p_brand"), F.lit("Brand#11")), F.col("p_type")).alias("txt"))
 
 
-@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, 'that', '[MASK]', 'gi'), 'the', '[MASK]', 'gi'), 'on', '[MASK]', 'gi')) AS masked FROM documents""")
+@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, 'that', ' ', 'gi'), 'the', ' ', 'gi'), 'on', ' ', 'gi')) AS masked FROM documents""")
 def mask_phrases(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(C.mask_phrases(F.col("text"), ["the", "On", "that"]).cast("binary")).alias("masked"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(C.mask_phrases(F.col("text"), ["the", "On", "that"], " ").cast("binary")).alias("masked"))
 
 
 @query("""SELECT p_partkey, 'Name: ' || trim(p_name) || chr(10) || 'Brand: ' || coalesce(nullif(p_brand, 'Brand#11'), 'unknown') || chr(10) || 'Size: ' || p_size AS body FROM part""")

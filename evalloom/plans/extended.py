@@ -47,28 +47,34 @@ def arm_slots(spark, sf_dir):
     return records(spark, sf_dir).select("p_partkey", *[x.alias(arm) for arm, x in slots_of().items()])
 
 
-@query("SELECT 0::BIGINT AS broken, count(*) AS n FROM part")
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS broken FROM part")
 def body_identity(spark, sf_dir):
-    df = records(spark, sf_dir)
-    slots = slots_of()
+    """Of every third part one arm's body isn't like the others'; the check must name just these, and that arm."""
+    df, slots = records(spark, sf_dir), slots_of()
     texts = {arm: F.concat(body_of(), s) for arm, s in slots.items()}
-    broken = elicitation.broken_bodies(df, "p_partkey", texts, slots)
-    return df.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(broken.agg(F.count(F.lit(1)).alias("broken"))))
+    texts["L2"] = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Brand: "), F.col("p_brand"), F.lit("\n"), texts["L2"])).otherwise(texts["L2"])
+    broken = elicitation.broken_bodies(df, "p_partkey", texts, slots).where(F.col("arms") == F.array(F.lit("L2"))).select(F.col("p_partkey").alias("_odd"))
+    return df.join(broken, F.col("p_partkey") == F.col("_odd"), "left").select("p_partkey", F.col("_odd").isNotNull().alias("broken"))
 
 
-@query(f"""WITH {RECORD}, t AS (SELECT p_partkey, unnest(names) AS term, p_name, p_size FROM rec) SELECT p_partkey, term FROM t WHERE contains('Name: ' || p_name || chr(10) || 'Size: ' || p_size || chr(10) || 'Condition: {MASK}', term)""")
+@query("""WITH t AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS term, p_name, p_brand FROM part) SELECT p_partkey, term FROM t
+    WHERE contains('Name: ' || (CASE WHEN p_partkey % 2 = 0 THEN regexp_replace(p_name, string_split(p_name, ' ')[1], ' ', 'gi') ELSE p_name END), term)""")
 def slot_leaks(spark, sf_dir):
-    plain = elicitation.body({"Name": F.col("p_name"), "Size": F.col("p_size")}, set(), F.col("names"))
-    return elicitation.leaks(records(spark, sf_dir), "p_partkey", F.concat(plain, F.lit(MASK)), F.col("names"))
+    """The first word of a part's name is its phrase; every other part's body is scrubbed of it, but never of the second word."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.split("p_name", " ").alias("names"))
+    scrubbed = elicitation.body({"Name": F.col("p_name")}, {"Name"}, F.slice("names", 1, 1))
+    plain = elicitation.body({"Name": F.col("p_name")}, set(), F.col("names"))
+    return elicitation.leaks(p, "p_partkey", F.concat(F.when(F.col("p_partkey") % 2 == 0, scrubbed).otherwise(plain), F.lit(MASK)), F.col("names"))
 
 
-@query(f"""WITH {RECORD}, d AS (SELECT *, lead(names, 1, ['none']) OVER (ORDER BY p_partkey) AS other FROM rec WHERE p_partkey <= 2000)
-    SELECT p_partkey, coalesce(nullif(array_to_string(other, '; '), ''), '{MASK}') AS slot FROM d""")
+@query(f"""WITH {RECORD}, d AS (SELECT rec.*, r2.names AS other FROM rec LEFT JOIN rec r2 ON r2.p_partkey = rec.p_partkey + 1)
+    SELECT p_partkey, 'Name: ' || CASE WHEN len(names) > 0 THEN regexp_replace(p_name, names[1], ' ', 'gi') ELSE p_name END || chr(10) || 'Size: ' || p_size || chr(10) || 'Condition: ' || coalesce(nullif(array_to_string(coalesce(other, ['none']), '; '), ''), '{MASK}') AS text FROM d""")
 def slot_override(spark, sf_dir):
-    df = records(spark, sf_dir).where("p_partkey <= 2000")
+    """A record's own scrubbed body with its neighbour's names in the slot."""
+    df = records(spark, sf_dir)
     donor = df.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("names").alias("other"))
     both = df.join(donor, "p_partkey", "left").withColumn("other", F.coalesce("other", F.array(F.lit("none"))))
-    return both.select("p_partkey", elicitation.listed(F.col("other")).alias("slot"))
+    return both.select("p_partkey", F.concat(body_of(), elicitation.listed(F.col("other"))).alias("text"))
 
 
 @query("""SELECT conv_id, turn, sha256('Will it end?' || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '{"probability": 0-100}') AS prompt_key FROM conversations WHERE role = 'user'""")
@@ -77,21 +83,26 @@ def prompt_keys(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.sha2(text, 256).alias("prompt_key"))
 
 
-@query("""SELECT role, count(*) AS n, sum((contains(lower(text), 'i cannot') OR contains(lower(text), 'i can''t') OR contains(lower(text), 'i''m unable') OR contains(lower(text), 'as an ai') OR contains(lower(text), 'i won''t') OR contains(lower(text), 'i will not'))::INT)::BIGINT AS refused FROM conversations GROUP BY 1""")
+@query("""WITH r AS (SELECT role, CASE turn % 3 WHEN 0 THEN 'Sorry, I CANNOT say: ' || coalesce(text, '') WHEN 1 THEN text ELSE 'I could, ' || coalesce(text, '') END AS reply FROM conversations)
+    SELECT role, count(*) AS n, sum((contains(lower(reply), 'i cannot') OR contains(lower(reply), 'i can''t') OR contains(lower(reply), 'i''m unable') OR contains(lower(reply), 'as an ai') OR contains(lower(reply), 'i won''t') OR contains(lower(reply), 'i will not'))::INT)::BIGINT AS refused FROM r GROUP BY 1""")
 def refusal_rate(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(C.refused(F.col("text"), elicitation.REFUSALS).cast("long")).alias("refused"))
+    text = F.coalesce("text", F.lit(""))
+    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Sorry, I CANNOT say: "), text)).when(F.col("turn") % 3 == 1, F.col("text")).otherwise(F.concat(F.lit("I could, "), text))
+    c = table(spark, sf_dir, "conversations").select("role", reply.alias("reply"))
+    return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(C.refused(F.col("reply"), elicitation.REFUSALS).cast("long")).alias("refused"))
 
 
 @query("""WITH r AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'error' ELSE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)::VARCHAR END AS v FROM events WHERE event_id % 10 < 8)
     SELECT e.event_id, CASE WHEN r.event_id IS NULL OR e.event_id % 4 = 0 THEN 'missing' WHEN e.event_id % 4 = 1 THEN 'error' WHEN TRY_CAST(v AS DOUBLE) BETWEEN 0 AND 100 THEN 'ok' ELSE 'unparsed' END AS status,
            CASE WHEN e.event_id % 4 > 1 AND TRY_CAST(v AS DOUBLE) BETWEEN 0 AND 100 THEN TRY_CAST(v AS DOUBLE) / 100 ELSE 0.5 END AS proba FROM events e LEFT JOIN r USING (event_id)""")
 def reassembled_records(spark, sf_dir):
+    """Every third record came twice, once as a failure that was tried again."""
     e = table(spark, sf_dir, "events").select("event_id", "props")
     i = F.col("event_id")
     body = F.when(i % 4 > 1, F.to_json(F.struct(F.get_json_object("props", "$.k").alias("probability"))))
     replies = e.where(i % 10 < 8).select("event_id", body.alias("body"), F.when(i % 4 == 1, "throttled").alias("error"))
-    return elicitation.reassembled(e, replies, "event_id", "body", "error")
+    again = replies.where(i % 3 == 0).select("event_id", F.lit(None).cast("string").alias("body"), F.lit("timeout").alias("error"))
+    return elicitation.reassembled(e, replies.unionByName(again), "event_id", "body", "error")
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE 'r' || event_id END AS reply FROM events""")
@@ -103,6 +114,32 @@ def provider_replies(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", C.reply_text(body, paths).alias("reply"))
 
 
+@query("""WITH e AS (SELECT event_id, event_id % 4 AS m, 'say "' || event_type || '" ' || event_id AS prompt, CASE WHEN event_id % 5 <> 0 THEN 'r' || event_id ELSE '' END AS reply FROM events)
+    SELECT event_id, CASE m WHEN 0 THEN 'anthropic' WHEN 1 THEN 'amazon_nova' WHEN 2 THEN 'meta_llama' ELSE 'deepseek' END AS provider, md5(CASE WHEN m = 2 THEN '<|begin_of_text|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || prompt || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) ELSE prompt END) AS prompt, 256 AS most,
+           CASE WHEN event_id % 7 = 0 THEN '' WHEN m = 0 THEN reply || '!' ELSE reply END AS reply, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 50 END::BIGINT AS tokens_in, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 9 END::BIGINT AS tokens_out FROM e""")
+def provider_records(spark, sf_dir):
+    """Each event asks one of four models and has its record's output read again; every seventh output is of another shape."""
+    i = F.col("event_id")
+    model = F.element_at(F.array(*map(F.lit, ("eu.anthropic.model-1", "us.amazon.nova-x", "us.meta.llama9", "deepseek.v9"))), (i % 4 + 1).cast("int"))
+    e = table(spark, sf_dir, "events").select("event_id", model.alias("model"), F.concat(F.lit('say "'), "event_type", F.lit('" '), i.cast("string")).alias("prompt"), F.when(i % 5 != 0, F.concat(F.lit("r"), i.cast("string"))).otherwise("").alias("r"))
+    e = e.withColumn("provider", elicitation.provider_of(F.col("model")))
+    asked = elicitation.request_body(F.col("provider"), F.col("prompt"), F.lit(0.0), F.lit(256))
+    said = lambda *paths: F.coalesce(*[F.get_json_object("asked", p) for p in paths])
+    text, a, b = F.col("r"), (i % 50).cast("int"), (i % 9).cast("int")
+    part = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    outputs = {
+        "anthropic": F.to_json(F.struct(F.array(part("text", text), part("note", F.lit("x")), part("text", F.lit("!"))).alias("content"), F.struct(a.alias("input_tokens"), b.alias("output_tokens")).alias("usage"))),
+        "amazon_nova": F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(text.alias("text"))).alias("content")).alias("message")).alias("output"), F.struct(a.alias("inputTokens"), b.alias("outputTokens")).alias("usage"))),
+        "meta_llama": F.to_json(F.struct(text.alias("generation"), a.alias("prompt_token_count"), b.alias("generation_token_count"))),
+        "deepseek": F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("").alias("content")).alias("message"), text.alias("text"))).alias("choices"), F.struct(a.alias("prompt_tokens"), b.alias("completion_tokens")).alias("usage"))),
+    }
+    e = e.withColumn("asked", asked).withColumn("body", F.when(i % 7 == 0, '{"content": 3}').otherwise(elicitation.by_provider(F.col("provider"), outputs)))
+    tokens_in, tokens_out = elicitation.record_usage(F.col("provider"), F.col("body"))
+    prompt = said("$.messages[0].content[0].text", "$.prompt", "$.messages[0].content")
+    most = said("$.max_tokens", "$.inferenceConfig.maxTokens", "$.max_gen_len").cast("int")
+    return e.select("event_id", "provider", F.md5(prompt.cast("binary")).alias("prompt"), most.alias("most"), elicitation.record_text(F.col("provider"), F.col("body")).alias("reply"), tokens_in.alias("tokens_in"), tokens_out.alias("tokens_out"))
+
+
 @query("""WITH p AS (SELECT conv_id, turn, sha256(coalesce(text, '')) AS key FROM conversations WHERE role = 'user'), c AS (SELECT DISTINCT key FROM p WHERE conv_id % 3 = 0)
     SELECT (c.key IS NOT NULL) AS cached, count(*) AS n FROM p LEFT JOIN c USING (key) GROUP BY 1""")
 def cache_split(spark, sf_dir):
@@ -111,17 +148,18 @@ def cache_split(spark, sf_dir):
     return elicitation.cached_or_asked(p, cache, "key").groupBy("cached").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {RUNS}, g AS (SELECT method, cell, count(*) AS repeats FROM runs GROUP BY 1, 2) SELECT * FROM g WHERE method IN ('m1', 'm2') OR repeats > 5")
+@query(f"WITH {RUNS}, g AS (SELECT method, cell, count(*) AS repeats FROM runs GROUP BY 1, 2) SELECT * FROM g WHERE repeats <> CASE WHEN method IN ('m1', 'm2') THEN 7 ELSE 5 END")
 def unregistered_cells(spark, sf_dir):
+    """Five repeats are registered, twice, for all but two methods; what isn't named must have seven."""
     grid = frames.runs(spark, sf_dir).groupBy("method", "cell").agg(F.count(F.lit(1)).alias("repeats"))
     plan = grid.where("method not in ('m1', 'm2')").select("method", "cell", F.lit(5).alias("repeats"))
-    return elicitation.unregistered(grid, plan, ["method", "cell"], "repeats")
+    return elicitation.unregistered(grid, plan.union(plan), ["method", "cell"], "repeats", default=7)
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> l_linestatus")
+@query("SELECT conv_id, turn FROM conversations WHERE role IS DISTINCT FROM CASE turn % 2 WHEN 0 THEN 'user' ELSE 'assistant' END")
 def attribution_check(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    return elicitation.unattributed(li, "l_returnflag", "l_linestatus").select("l_orderkey", "l_linenumber")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("served"), F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant").alias("wanted"))
+    return elicitation.unattributed(c, "wanted", "served").select("conv_id", "turn")
 
 
 @query("""WITH o AS (SELECT vec_id, k, abs(embedding[k + 1])::DOUBLE AS x FROM embeddings, range(0, 5) t(k)), r AS (SELECT vec_id, k, (k + r) % 5 AS at, x + ((k + r) % 5) * 0.01 AS p FROM o, range(0, 5) u(r)), m AS (SELECT vec_id, k, avg(p) AS p FROM r GROUP BY 1, 2)
@@ -135,11 +173,12 @@ def rotated_choice(spark, sf_dir):
 # Terms and codes
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_brand || '|' || p_type WHEN 1 THEN p_brand || '|' || p_type WHEN 2 THEN p_brand WHEN 3 THEN 'it''s ' || p_brand ELSE '' END AS terms FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN p_brand || '|' || p_type WHEN 1 THEN p_brand || '|' || p_type WHEN 2 THEN p_brand WHEN 3 THEN 'it''s ' || p_brand WHEN 4 THEN p_brand || '|' || p_type WHEN 5 THEN p_brand WHEN 6 THEN p_size::VARCHAR ELSE '' END AS terms FROM part""")
 def nested_terms_parse(spark, sf_dir):
-    k, b, t = F.col("p_partkey"), F.col("p_brand"), F.col("p_type")
+    k, b, t = F.col("p_partkey") % 9, F.col("p_brand"), F.col("p_type")
     flat = F.concat(F.lit("['"), b, F.lit("', '"), t, F.lit("']"))
-    text = F.when(k % 5 == 0, F.concat(F.lit('["'), flat, F.lit('"]'))).when(k % 5 == 1, F.concat(F.lit("["), flat, F.lit("]"))).when(k % 5 == 2, b).when(k % 5 == 3, F.concat(F.lit('["it\'s '), b, F.lit('"]')))
+    text = F.when(k == 0, F.concat(F.lit('["'), flat, F.lit('"]'))).when(k == 1, F.concat(F.lit("["), flat, F.lit("]"))).when(k == 2, b).when(k == 3, F.concat(F.lit('["it\'s '), b, F.lit('"]')))
+    text = text.when(k == 4, F.concat(F.lit("('"), b, F.lit("', ('None', '"), t, F.lit("'))"))).when(k == 5, F.concat(F.lit("'"), b, F.lit("'"))).when(k == 6, F.col("p_size").cast("string")).when(k == 7, "None")
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(C.nested_terms(text), "|").alias("terms"))
 
 
@@ -205,12 +244,10 @@ def coerced_dates(spark, sf_dir):
 # Joins and guards
 
 
-@query("""SELECT a.l_orderkey, a.l_partkey, a.l_suppkey, a.l_quantity AS first_qty, b.l_quantity AS second_qty FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey WHERE a.l_linenumber < b.l_linenumber""")
+@query("""SELECT a.l_orderkey, a.l_returnflag, a.l_linestatus, a.l_linenumber, a.l_quantity AS quantity_a, b.l_quantity AS quantity_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus WHERE b.l_linenumber = a.l_linenumber + 1""")
 def three_key_join(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    a = li.withColumnsRenamed({"l_linenumber": "n1", "l_quantity": "first_qty"})
-    b = li.withColumnsRenamed({"l_linenumber": "n2", "l_quantity": "second_qty"})
-    return a.join(b, ["l_orderkey", "l_partkey", "l_suppkey"]).where("n1 < n2").drop("n1", "n2")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")
+    return runs.keyed_pairs(li, li.withColumn("l_linenumber", F.col("l_linenumber") - 1), ["l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber"], ("a", "b")).withColumnsRenamed({"l_quantity_a": "quantity_a", "l_quantity_b": "quantity_b"})
 
 
 @query("""WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber = 3), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber = 5)
@@ -226,9 +263,13 @@ def shared_terms_guard(spark, sf_dir):
     return audit.overlapping(p.where("p_partkey % 5 = 0"), p.where("p_partkey % 97 = 1"), "p_partkey", "terms").select("p_partkey")
 
 
-@query("SELECT max(abs(l_discount - l_tax)) AS most FROM lineitem")
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice AS v FROM orders), l AS (SELECT l_orderkey AS o_orderkey, round(sum(l_extendedprice), 2) AS v FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1)
+    SELECT count(o.v) FILTER (WHERE l.v IS NOT NULL) AS n, count(*) FILTER (WHERE l.v IS NULL) AS only_first, count(*) FILTER (WHERE o.v IS NULL) AS only_second, round(max(abs(o.v - l.v)), 6) AS most, count(*) FILTER (WHERE abs(o.v - l.v) > 50000) AS apart FROM o FULL JOIN l USING (o_orderkey)""")
 def integrity_gap(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.max(F.abs(F.col("l_discount") - F.col("l_tax"))).alias("most"))
+    first = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"))
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 11 <> 0")
+    second = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
+    return audit.integrity(first, second, "o_orderkey", "v", 50_000.0).withColumn("most", F.round("most", 6))
 
 
 # Aggregates and features
@@ -274,14 +315,26 @@ def tfidf_pairs(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT o_orderkey, o_totalprice AS price, o_orderpriority AS pri, c_name AS cust, (o_orderstatus = 'F')::INT AS y FROM orders JOIN customer ON o_custkey = c_custkey), tr AS (SELECT * FROM t WHERE o_orderkey % 4 <> 0),
-    te AS (SELECT cust, (sum(y) + 20 * (SELECT avg(y) FROM tr)) / (count(*) + 20) AS e FROM tr GROUP BY 1)
-    SELECT o_orderkey, price, round(coalesce(e, (SELECT avg(y) FROM tr)), 9) AS cust_te, (pri = '1-URGENT')::INT::DOUBLE AS urgent FROM t LEFT JOIN te USING (cust) WHERE o_orderkey % 4 = 0""")
+    te AS (SELECT cust, (sum(y) + 20 * (SELECT avg(y) FROM tr)) / (count(*) + 20) AS e FROM tr GROUP BY 1), tp AS (SELECT pri, (sum(y) + 20 * (SELECT avg(y) FROM tr)) / (count(*) + 20) AS e FROM tr GROUP BY 1)
+    SELECT o_orderkey, price, round(coalesce(te.e, (SELECT avg(y) FROM tr)), 9) AS cust_te, round(coalesce(tp.e, (SELECT avg(y) FROM tr)), 9) AS pri_te FROM t LEFT JOIN te USING (cust) LEFT JOIN tp USING (pri) WHERE o_orderkey % 4 = 0""")
 def featurizer(spark, sf_dir):
+    df = priced_orders(spark, sf_dir).withColumn("y", (F.col("status") == "F").cast("int")).drop("status")
+    out = features.Featurizer("o_orderkey", "y").fit(df.where("o_orderkey % 4 <> 0")).transform(df.where("o_orderkey % 4 = 0"))
+    return out.select("o_orderkey", "price", F.round("cust__te", 9).alias("cust_te"), F.round("pri__te", 9).alias("pri_te"))
+
+
+def priced_orders(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("cust"))
-    df = table(spark, sf_dir, "orders").join(c, "o_custkey").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("pri"), "cust", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
-    fitted = features.Featurizer("o_orderkey", "y").fit(df.where("o_orderkey % 4 <> 0"))
+    return table(spark, sf_dir, "orders").join(c, "o_custkey").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("pri"), "cust", F.col("o_orderstatus").alias("status"))
+
+
+@query("""SELECT o_orderkey, o_totalprice AS price, (o_orderpriority = '1-URGENT')::INT::DOUBLE AS urgent, (o_orderpriority = '5-LOW')::INT::DOUBLE AS low, 1 + (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_orderkey % 4 <> 0) AS n_features FROM orders WHERE o_orderkey % 4 = 0 AND o_custkey IN (SELECT c_custkey FROM customer)""")
+def featurizer_classes(spark, sf_dir):
+    """Three classes: few levels are one-hot, the column of customers is left out."""
+    df = priced_orders(spark, sf_dir)
+    fitted = features.Featurizer("o_orderkey", "status", binary=False).fit(df.where("o_orderkey % 4 <> 0"))
     out = fitted.transform(df.where("o_orderkey % 4 = 0"))
-    return out.select("o_orderkey", "price", *r9("cust_te"), F.col("`pri=1-URGENT`").alias("urgent"))
+    return out.select("o_orderkey", "price", F.col("`pri__1-URGENT`").alias("urgent"), F.col("`pri__5-LOW`").alias("low"), F.lit(len(fitted.names())).cast("long").alias("n_features"))
 
 
 # Metrics
@@ -515,3 +568,30 @@ def missing_rates_compared(spark, sf_dir):
 def tfidf_logreg_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     return methods.text_scores(docs, "doc_id", "text", "quality")
+
+
+def phrased_documents(spark, sf_dir):
+    """A document's first two words stand for its condition's names."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return docs.withColumn("phrases", F.slice(F.split(F.coalesce("text", F.lit("")), " ", 3), 1, 2))
+
+
+@query()
+def disease_text_only_scores(spark, sf_dir):
+    return methods.text_scores(phrased_documents(spark, sf_dir), "doc_id", "text", "quality", "disease_text_only", "phrases")
+
+
+@query()
+def disease_blind_scores(spark, sf_dir):
+    return methods.text_scores(phrased_documents(spark, sf_dir), "doc_id", "text", "quality", "disease_blind", "phrases")
+
+
+@query(f"""WITH {SCORED}, m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM scored WHERE id % 5 <> 0), z AS (SELECT id, y, (a - ma) / sa AS za, (b - mb) / sb AS zb FROM scored, m),
+    d AS (SELECT t.id, r.y, row_number() OVER (PARTITION BY t.id ORDER BY round(pow(t.za - r.za, 2) + pow(t.zb - r.zb, 2), 9), r.id) AS k FROM z t JOIN z r ON t.id % 5 = 0 AND r.id % 5 <> 0) SELECT id, round(avg(y), 9) AS proba FROM d WHERE k <= 25 GROUP BY 1""")
+def knn_scores(spark, sf_dir):
+    return methods.knn_scores(frames.scored(spark, sf_dir)).select("id", F.round("proba", 9).alias("proba"))
+
+
+@query()
+def tuned_logreg_scores(spark, sf_dir):
+    return methods.tuned_scores(frames.scored(spark, sf_dir))

@@ -9,12 +9,15 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.operators.features import fit_idf, gram_counts, tfidf
+from evalloom.functions.scalars import mask_phrases_of
+from evalloom.operators.audit import nearest_euclidean
+from evalloom.operators.features import column_scales, fit_idf, gram_counts, numbered_terms, sparse_vectors, tfidf
+from evalloom.operators.probes import AveragePrecision, tuned
 from evalloom.operators.splits import hash_rank
+from evalloom.storage import cut
 
 METHODS: dict[str, Callable[[float], object]] = {}
 
@@ -107,18 +110,55 @@ def scores(name: str, df: DataFrame, inputs: tuple[str, ...] = ("a", "b")) -> Da
     return fitted.transform(margins(model.transform(test)).select("id", "m")).select("id", vector_to_array("p")[1].alias("proba"))
 
 
-def text_scores(df: DataFrame, key: str, text: str, label: str, terms: int = 50_000) -> DataFrame:
-    """(key, proba) of every fifth key by a balanced logistic fit on the others' word and word-pair weights."""
-    counts = gram_counts(df, key, text)
-    train = df.where(F.col(key) % 5 != 0).select(key, F.col(label).alias("y"))
-    idf = fit_idf(counts.where(F.col(key) % 5 != 0), train.count(), most=terms)
-    #: The vocabulary's size is bounded by `terms`; it is numbered once.
-    numbered = idf.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1)
-    weights = tfidf(counts, numbered.select("term", "idf"), key).join(F.broadcast(numbered.select("term", "place")), "term")
-    pairs = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("w"))
-    sparse = F.udf(lambda w: Vectors.sparse(terms, [x[0] for x in w or []], [x[1] for x in w or []]), VectorUDT())
-    rows = df.select(key).join(pairs, key, "left").select(key, sparse("w").alias("features"))
-    both = balanced(rows.join(train, key))
-    n = float(max(1, train.count()))
-    model = LogisticRegression(labelCol="y", weightCol="weight", elasticNetParam=0.0, regParam=1 / n, standardization=False).fit(both)
-    return model.transform(rows.where(F.col(key) % 5 == 0)).select(key, vector_to_array("probability")[1].alias("proba"))
+#: Which text a text learner reads, from a record's text and the phrases that name its condition.
+TEXT_VIEWS: dict[str, Callable[[Column, Column], Column]] = {
+    "tfidf_logreg": lambda text, phrases: text,
+    "disease_text_only": lambda text, phrases: F.concat_ws(" ", phrases),
+    "disease_blind": lambda text, phrases: mask_phrases_of(text, phrases, " "),
+}
+
+
+def text_scores(df: DataFrame, key: str, text: str, label: str, view: str = "tfidf_logreg", phrases: str | None = None, terms: int = 50_000, train: DataFrame | None = None) -> DataFrame:
+    """(key, proba) of every fifth key by a balanced logistic fit on the others' word and word-pair weights, in a view of the text.
+
+    train, with the same columns, is fitted on instead where it is given: one reference for several cells.
+    """
+    named = F.col(phrases) if phrases else F.array().cast("array<string>")
+    read = lambda d: d.select(key, F.col(label).alias("y"), TEXT_VIEWS[view](F.col(text), named).alias("_text"))
+    fitted_on, asked = read(df.where(F.col(key) % 5 != 0) if train is None else train), read(df.where(F.col(key) % 5 == 0) if train is None else df)
+    counts = cut(gram_counts(fitted_on, key, "_text"), "grams")
+    n = fitted_on.count()
+    vocabulary = cut(numbered_terms(fit_idf(counts, n, most=terms)), "terms")
+    places = F.broadcast(vocabulary.select("term", "place"))  # at most `terms` rows
+
+    def vectors(rows: DataFrame, grams: DataFrame) -> DataFrame:
+        weights = tfidf(grams, vocabulary.select("term", "idf"), key).join(places, "term")
+        return sparse_vectors(rows, weights, key, "place", "weight", terms)
+
+    both = balanced(vectors(fitted_on, counts).join(fitted_on.select(key, "y"), key))
+    model = LogisticRegression(labelCol="y", weightCol="weight", elasticNetParam=0.0, regParam=1 / float(max(1, n)), standardization=False).fit(both)
+    tested = vectors(asked, gram_counts(asked, key, "_text"))
+    return model.transform(tested).select(key, vector_to_array("probability")[1].alias("proba"))
+
+
+def knn_scores(df: DataFrame, inputs: tuple[str, ...] = ("a", "b"), k: int = 25) -> DataFrame:
+    """(id, proba): the share of class 1 among the k nearest training rows, inputs scaled by the training rows; ties go to the smaller id."""
+    train, test = df.where("id % 5 <> 0"), df.where("id % 5 = 0")
+    scales = {r["column"]: r for r in column_scales(train, list(inputs)).collect()}  # a row a column
+    scaled = lambda d: d.select("id", F.array(*[(F.coalesce(F.col(c).cast("double"), F.lit(scales[c]["median"])) - scales[c]["mean"]) / scales[c]["std"] for c in inputs]).alias("v"))
+    met = nearest_euclidean(scaled(test), scaled(train), "id", "v", k)
+    votes = met.join(train.select(F.col("id").alias("other"), "y"), "other")
+    return votes.groupBy("id").agg(F.avg("y").alias("proba"))
+
+
+def tuned_scores(df: DataFrame, inputs: tuple[str, ...] = ("a", "b"), strengths: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)) -> DataFrame:
+    """(id, proba) of every fifth id: a sparse logistic fit whose strength has the best AP on the next fifth."""
+    part = lambda k: df.where(F.col("id") % 5 == k)
+    train, valid, test = df.where("id % 5 > 1"), part(1), part(0)
+    prepare = Pipeline(stages=[VectorAssembler(inputCols=list(inputs), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]).fit(train)
+    ready = cut(prepare.transform(balanced(train)).select("y", "weight", "features"), "train")
+    n = float(max(1, ready.count()))
+    learner = LogisticRegression(labelCol="y", weightCol="weight", elasticNetParam=1.0, standardization=False)
+    grid = [{learner.regParam: 1 / (c * n)} for c in strengths]
+    model, _, _ = tuned(learner, grid, ready, cut(prepare.transform(valid).select("y", "features"), "valid"), AveragePrecision())
+    return model.transform(prepare.transform(test)).select("id", vector_to_array("probability")[1].alias("proba"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalloom.operators.codes import nested_rows
 from evalloom.operators.runs import markdown
 
 RUN_RECORD = """task string, phase string, method string, seed int, task_type string, num_classes int, n_train bigint, n_test bigint,
@@ -87,11 +90,39 @@ def subset_digest(df: DataFrame, key: str) -> str:
     return sums.select(F.sha2("s", 256)).first()[0]
 
 
-def hierarchy(spark: SparkSession, path: str, row_tag: str = "chapter") -> DataFrame:
-    """(char3, block, chapter) of an XML code list: chapters hold sections, sections hold diagnoses, each with a name or id."""
-    rows = spark.read.format("xml").option("rowTag", row_tag).schema("name string, section array<struct<_id:string,diag:array<struct<name:string>>>>").load(path)
-    blocks = rows.select(F.col("name").alias("chapter"), F.explode("section").alias("s")).select("chapter", F.col("s._id").alias("block"), F.explode("s.diag").alias("d"))
-    return blocks.select(F.upper(F.substring(F.trim("d.name"), 1, 3)).alias("char3"), "block", "chapter").dropDuplicates(["char3"])
+#: Fixed value: a chapter's description ends with its range of codes in brackets.
+RANGE = r"\(([A-Z0-9]+-[A-Z0-9]+)\)\s*$"
+
+
+def hierarchy(spark: SparkSession, path: str, chapters: int | None = 22) -> DataFrame:
+    """(char3, block, chapter) of an XML code list: chapters by the range in their description, sections by their id.
+
+    Only diagnoses whose code has three characters are taken, and only chapters with a range; `chapters` is how many of these
+    there must be.
+    """
+    rows = spark.read.format("xml").option("rowTag", "chapter").schema("desc string, section array<struct<_id:string,diag:array<struct<name:string>>>>").load(path)
+    ranged = rows.withColumn("chapter", F.regexp_extract(F.coalesce("desc", F.lit("")), RANGE, 1)).where("chapter <> ''")
+    found = ranged.count()
+    if chapters is not None and found != chapters:
+        raise ValueError(f"{path} has {found} chapters, there must be {chapters}")
+    blocks = ranged.select("chapter", F.explode("section").alias("s")).select("chapter", F.col("s._id").alias("block"), F.explode("s.diag").alias("d"))
+    named = blocks.select(F.upper(F.trim("d.name")).alias("char3"), "block", "chapter").where(F.length("char3") == 3)
+    return named.groupBy("char3").agg(F.min(F.struct("chapter", "block")).alias("p")).select("char3", "p.block", "p.chapter")
+
+
+def code_tree(spark: SparkSession, path: str) -> DataFrame:
+    """(parent, code, descriptor) of an XML code list, where codes nest in codes to any depth that the file has. A code's first parent in order counts."""
+    rows = spark.read.format("xml").option("rowTag", "section").load(path)
+    every = reduce(DataFrame.unionByName, nested_rows(rows, F.col("diag")))
+    return every.where("code <> ''").groupBy("code").agg(F.min("parent").alias("parent"), F.min("descriptor").alias("descriptor")).select("parent", "code", "descriptor")
+
+
+def category_names(spark: SparkSession, path: str, categories: list[int]) -> DataFrame:
+    """(category, name) of a crosswalk file: a category's name stands one column to its right; the last of several counts."""
+    df = spark.read.csv(path, header=True, quote='"').withColumn("_at", F.monotonically_increasing_id())
+    bare = lambda i: F.trim(F.regexp_replace(F.col(f"`{df.columns[i]}`"), "^'|'$", ""))
+    pairs = df.select("_at", F.posexplode(F.array(*[F.struct(bare(i).alias("category"), bare(i + 1).alias("name")) for i in categories])).alias("k", "e"))
+    return pairs.where("e.category <> ''").groupBy("e.category").agg(F.max_by("e.name", F.struct("_at", "k")).alias("name"))
 
 
 def term_vectors(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Spark's setting that removes a query's shuffle files at its end.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -34,10 +35,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/evalloom-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
+def cut(df: DataFrame, tag: str, compression: str = "snappy", schema: StructType | None = None) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends there and lost executors cost nothing.
 
-    Nothing reads the write's shuffle files once it has ended, so Spark is told to remove them then.
+    Nothing reads the write's shuffle files once it has ended, so Spark is told to remove them then. `schema` is what the table is
+    read as, where that isn't df's own.
     """
     spark = df.sparkSession
     path, before = new_path(spark, tag), spark.conf.get(SHUFFLE_CLEANUP, None)
@@ -46,7 +48,7 @@ def cut(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

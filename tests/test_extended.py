@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import scalars as C
 from evalloom.functions import special
-from evalloom.operators import audit, bootstrap, elicitation, exact_tests, features, runs, splits
+from evalloom.operators import audit, bootstrap, codes, elicitation, exact_tests, features, runs, splits
 from evalloom.sources import tables
 
 
@@ -153,7 +153,12 @@ def test_featurizer_on_unseen_rows(spark):
     train = spark.createDataFrame([(k, f"{k % 5} Years" if k % 4 else None, "ab"[k % 2], f"c{k}", k % 2, k % 3 == 0) for k in range(60)], "id int, age string, small string, big string, y int, flag_x boolean").withColumn("flag_x", F.col("flag_x").cast("int"))
     made = features.Featurizer("id", "y", durations=("age",), flags="flag_").fit(train)
     row = made.transform(spark.createDataFrame([(100, None, "z", "new", None, None)], "id int, age string, small string, big string, y int, flag_x int")).first().asDict()
-    assert row == {"id": 100, "age": 24.0, "flag_x": 0.0, "small=a": 0.0, "small=b": 0.0, "big_te": 0.5}
+    assert row == {"id": 100, "age": 24.0, "flag_x": 0.0, "small__te": 0.5, "big__te": 0.5}
+    classes = features.Featurizer("id", "y", durations=("age",), flags="flag_", binary=False).fit(train)
+    row = classes.transform(spark.createDataFrame([(100, None, "z", "new", None)], "id int, age string, small string, big string, y int")).first().asDict()
+    assert row == {"id": 100, "age": 24.0, "flag_x": 0.0, "small__a": 0.0, "small__b": 0.0}
+    empty = train.withColumn("flag_y", F.when(F.col("id") < 20, 1)).withColumn("gone", F.when(F.col("id") < 20, "x"))
+    assert features.Featurizer("id", "y", flags="flag_", raw=("big",)).fit(empty).names() == ["flag_x", "age__te", "small__te"]
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -162,9 +167,16 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r["id"] for r in ids.collect()] == ["N1", "N2"]
     digest = tables.write_subset(ids, "id", str(tmp_path / "subset"))
     assert digest == tables.subset_digest(ids.repartition(5), "id") != tables.subset_digest(ids.limit(1), "id")
-    (tmp_path / "codes.xml").write_text("<root><chapter><name>9</name><section id='I10-I1A'><diag><name>I10</name><diag><name>I10.1</name></diag></diag><diag><name>I11</name></diag></section></chapter></root>")
-    got = {(r["char3"], r["block"], r["chapter"]) for r in tables.hierarchy(spark, str(tmp_path / "codes.xml")).collect()}
-    assert got == {("I10", "I10-I1A", "9"), ("I11", "I10-I1A", "9")}
+    diags = "<diag><name>I10</name><desc>High</desc><diag><name>i10.1</name><desc>Higher</desc><diag><name>I10.11</name><desc>Highest</desc></diag></diag></diag><diag><name>I11</name><desc>Other</desc></diag><diag><name>I1</name><desc>Short</desc></diag>"
+    (tmp_path / "codes.xml").write_text(f"<root><chapter><desc>Of the heart (I00-I99)</desc><section id='I10-I1A'>{diags}</section></chapter><chapter><desc>No range</desc><section id='X'><diag><name>X10</name></diag></section></chapter></root>")
+    got = {(r["char3"], r["block"], r["chapter"]) for r in tables.hierarchy(spark, str(tmp_path / "codes.xml"), chapters=1).collect()}
+    assert got == {("I10", "I10-I1A", "I00-I99"), ("I11", "I10-I1A", "I00-I99")}
+    with pytest.raises(ValueError, match="1 chapters"):
+        tables.hierarchy(spark, str(tmp_path / "codes.xml"))
+    tree = tables.code_tree(spark, str(tmp_path / "codes.xml"))
+    assert {tuple(r) for r in tree.collect()} == {(None, "I10", "High"), ("I10", "I10.1", "Higher"), ("I10.1", "I10.11", "Highest"), (None, "I11", "Other"), (None, "I1", "Short"), (None, "X10", None)}
+    asked = spark.createDataFrame([("i10.11 ",), ("I.11",), ("Z9",)], "c string")
+    assert {r["c"]: r["descriptor"] for r in codes.described(asked, "c", tree).collect()} == {"i10.11 ": "Highest", "I.11": "Other", "Z9": None}
     (tmp_path / "v.txt").write_text("asthma 1 2.5\nbad\n")
     assert [tuple(r) for r in tables.term_vectors(spark, str(tmp_path / "v.txt")).collect()] == [("asthma", [1.0, 2.5])]
     (tmp_path / "cache.jsonl").write_text('{"key": "a", "reply": "old", "at": 1}\n{"key": "a", "reply": "new", "at": 2}\n{"key": \n')
@@ -185,3 +197,5 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "batches")).count() == 25
     (tmp_path / "cross.csv").write_text("code,label,c1,c1 name,c2\n'J45','x','RSP1','a',''\n'J45','x','RSP2','a','RSP1'\n")
     assert [tuple(r) for r in tables.crosswalk(spark, str(tmp_path / "cross.csv"), 0, [2, 4]).collect()] == [("J45", ["RSP1", "RSP2"])]
+    (tmp_path / "names.csv").write_text("code,label,c1,c1 name\n'A','x','END1','Old'\n'B','x','END1','New'\n'C','x','','None'\n")
+    assert [tuple(r) for r in tables.category_names(spark, str(tmp_path / "names.csv"), [2]).collect()] == [("END1", "New")]
