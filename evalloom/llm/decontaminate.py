@@ -10,8 +10,8 @@ The benchmark is dealt to blocks of at most about BLOCK_CHARS characters, and on
 benchmark beyond that takes more passes over the documents and loses nothing.
 
 Defined cases: words are runs of letters, digits and underscores, lower-cased. A null or empty text shares nothing.
-Items of fewer words than MIN_MATCH (null ones too) are never found. Ties in coverage go to the smallest item id; items
-that repeat count each. An empty benchmark finds nothing; an empty table gives an empty result; other columns pass.
+Items of fewer words than MIN_MATCH (null ones too) are never found. Ties in coverage go to the smallest item id, an item
+without an id comes last; items that repeat count each. Words are told apart by 64-bit digests (XXH64), runs by hashes of these. An empty benchmark finds nothing; an empty table gives an empty result; other columns pass.
 """
 
 from __future__ import annotations
@@ -176,7 +176,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         else:
             docs = cut(docs.withColumn(second, one), "leaks")
             old, new = F.col(into), F.col(second)
-            better = (new["coverage"] > old["coverage"]) | ((new["coverage"] == old["coverage"]) & (new["item_id"] < old["item_id"]))
+            smaller = new["item_id"].isNotNull() & (old["item_id"].isNull() | (new["item_id"] < old["item_id"]))
+            better = (new["coverage"] > old["coverage"]) | ((new["coverage"] == old["coverage"]) & smaller)
             best = F.when(better, new).otherwise(old)
             docs = docs.withColumn(into, F.struct((old["n_items"] + new["n_items"]).alias("n_items"), best["item_id"].alias("item_id"), best["coverage"].alias("coverage"))).drop(second)
     return docs

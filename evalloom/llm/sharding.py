@@ -1,7 +1,8 @@
 """Sharding by fixed virtual slots: records hash to slots, slots carry bytes, and a versioned map sends slots to shards.
 
 A record's slot never changes. The first map deals slots to shards, the largest first to the lightest shard, so shards
-get nearly equal bytes; later versions are edits of it that move few slots. The slot table has SLOTS rows at any size.
+get nearly equal bytes; later versions are edits of it that move few slots. The slot table has SLOTS rows at any size, and
+each version says how many shards it has.
 
 Defined cases: a null text has no bytes and a null id hashes like any other value. Rows that repeat an id and text are
 rows of their own in one slot, which isn't split. A record's size is its UTF-8 bytes plus 1, so empty texts count too. An empty table gives
@@ -10,7 +11,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.llm.shared import cut, exists, new_path
@@ -33,71 +34,112 @@ def slot_sizes(recs: DataFrame) -> DataFrame:
     return recs.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def first_map(sizes: DataFrame, shards: int) -> DataFrame:
-    """Version 1 of the map: (version, virtual_slot, shard, bytes, n_rows). One fold over the slots, largest first."""
-    ordered = sizes.agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "virtual_slot", "n_rows"))).alias("slots"))
-    empty = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"), F.array().cast("array<int>").alias("picks"))
-
-    def deal(acc: Column, slot: Column) -> Column:
-        lightest = (F.array_position(acc["loads"], F.array_min(acc["loads"])) - 1).cast("int")
-        loads = F.transform(acc["loads"], lambda x, i: F.when(i == lightest, x - slot["less"]).otherwise(x))
-        return F.struct(loads.alias("loads"), F.concat(acc["picks"], F.array(lightest)).alias("picks"))
-
-    dealt = ordered.select(F.arrays_zip("slots", F.aggregate("slots", empty, deal)["picks"].alias("shard")).alias("z")).select(F.explode("z").alias("z"))
-    return dealt.select(F.lit(1).alias("version"), F.col("z.slots.virtual_slot"), F.col("z.shard"), (-F.col("z.slots.less")).alias("bytes"), F.col("z.slots.n_rows"))
-
-
-def edited(slot_map: DataFrame, shards: int) -> DataFrame:
-    """The next version with one more shard (number `shards`): slots move only into it, from shards that are above the new mean."""
-    ordered = slot_map.agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "virtual_slot", "shard", "n_rows", "version"))).alias("slots"))
-    loads = F.transform(F.sequence(F.lit(0), F.lit(shards)), lambda k: F.aggregate("slots", F.lit(0).cast("long"), lambda acc, s: acc + F.when(s["shard"] == k, -s["less"]).otherwise(0)))
-    start = F.struct(loads.alias("loads"), F.array().cast("array<int>").alias("picks"))
-    mean = F.aggregate("slots", F.lit(0).cast("long"), lambda acc, s: acc - s["less"]) / (shards + 1)
-
-    def move(acc: Column, slot: Column) -> Column:
-        fits = (F.get(acc["loads"], F.lit(shards)) - slot["less"] <= mean) & (F.get(acc["loads"], slot["shard"]) + slot["less"] >= mean)
-        to = F.when(fits, F.lit(shards)).otherwise(slot["shard"])
-        after = F.transform(acc["loads"], lambda x, i: x + F.when(fits & (i == slot["shard"]), slot["less"]).when(fits & (i == shards), -slot["less"]).otherwise(0))
+def ordered_slots(slots: DataFrame) -> DataFrame:
+    """One row: all slots (virtual_slot, shard, bytes, n_rows) as an array, the largest first. The slot table has a fixed size."""
+    return slots.agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "virtual_slot", "shard", "n_rows"))).alias("slots"))
+
+
+def shard_loads(shards: int) -> Column:
+    """Bytes of each shard, of the slots that have one."""
+    return F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: F.aggregate("slots", F.lit(0).cast("long"), lambda acc, s: acc + F.when(s["shard"] == k, -s["less"]).otherwise(0)))
+
+
+def folded(slots: DataFrame, shards: int, pick) -> DataFrame:
+    """slots with the shard that `pick(loads, slot)` says, one slot after another, the largest first; loads are kept up to date."""
+    start = F.struct(shard_loads(shards).alias("loads"), F.array().cast("array<int>").alias("picks"))
+
+    def step(acc: Column, slot: Column) -> Column:
+        to = pick(acc["loads"], slot).cast("int")
+        after = F.transform(acc["loads"], lambda x, i: x + F.when(~slot["shard"].eqNullSafe(to) & (i == slot["shard"]), slot["less"]).otherwise(0) - F.when(~slot["shard"].eqNullSafe(to) & (i == to), slot["less"]).otherwise(0))
         return F.struct(after.alias("loads"), F.concat(acc["picks"], F.array(to)).alias("picks"))
 
-    dealt = ordered.select(F.arrays_zip("slots", F.aggregate("slots", start, move)["picks"].alias("to")).alias("z")).select(F.explode("z").alias("z"))
-    return dealt.select((F.col("z.slots.version") + 1).alias("version"), "z.slots.virtual_slot", F.col("z.to").alias("shard"), (-F.col("z.slots.less")).alias("bytes"), "z.slots.n_rows")
+    dealt = ordered_slots(slots).select(F.arrays_zip("slots", F.aggregate("slots", start, step)["picks"].alias("to")).alias("z")).select(F.explode("z").alias("z"))
+    return dealt.select("z.slots.virtual_slot", F.col("z.to").alias("shard"), (-F.col("z.slots.less")).alias("bytes"), "z.slots.n_rows")
 
 
-def save_map(slot_map: DataFrame, path: str) -> None:
-    """Adds a version to the stored map. Other versions stay as they are; writing a version again replaces it."""
-    slot_map.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+def lightest(loads: Column) -> Column:
+    return F.array_position(loads, F.array_min(loads)) - 1
+
+
+def placed(slots: DataFrame, shards: int) -> DataFrame:
+    """slots where those without a shard have got one: the largest first, each to the shard that is lightest by then."""
+    return folded(slots, shards, lambda loads, slot: F.coalesce(slot["shard"], lightest(loads)))
+
+
+def first_map(sizes: DataFrame, shards: int) -> DataFrame:
+    """(virtual_slot, shard, bytes, n_rows) of slots that have no shard yet."""
+    return placed(sizes.withColumn("shard", F.lit(None).cast("int")), shards)
+
 
+def edited(slots: DataFrame, shards: int) -> DataFrame:
+    """The map with one more shard (number `shards`): slots move only into it, from shards that are above the new mean."""
+    mean = F.aggregate(shard_loads(shards + 1), F.lit(0).cast("long"), lambda acc, x: acc + x) / (shards + 1)
 
-def load_map(spark, path: str, version: int | None = None) -> DataFrame:
+    def pick(loads: Column, slot: Column) -> Column:
+        fits = (F.get(loads, F.lit(shards)) - slot["less"] <= mean) & (F.get(loads, slot["shard"]) + slot["less"] >= mean)
+        return F.when(fits, F.lit(shards)).otherwise(slot["shard"])
+
+    return folded(slots, shards + 1, pick)
+
+
+def rebalanced(slots: DataFrame, shards: int, drift: float) -> DataFrame:
+    """The map after slots have moved from shards above (1 + drift) times the mean to the lightest, where that helps."""
+    mean = F.aggregate(shard_loads(shards), F.lit(0).cast("long"), lambda acc, x: acc + x) / shards
+
+    def pick(loads: Column, slot: Column) -> Column:
+        to = lightest(loads).cast("int")
+        helps = (F.get(loads, slot["shard"]) > mean * (1 + drift)) & (F.get(loads, to) - slot["less"] < F.get(loads, slot["shard"]))
+        return F.when(helps, to).otherwise(slot["shard"])
+
+    return folded(slots, shards, pick)
+
+
+def save_map(slots: DataFrame, path: str, version: int, shards: int) -> None:
+    """Adds a version, and the number of its shards, to the stored map. Other versions stay as they are; writing one again replaces it."""
+    rows = slots.select(F.lit(version).alias("version"), "virtual_slot", "shard", "bytes", "n_rows", F.lit(shards).alias("shards"))
+    rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A version of the stored map, the last by default."""
-    stored = spark.read.schema("virtual_slot int, shard int, bytes long, n_rows long, version int").parquet(path)
+    stored = spark.read.schema("virtual_slot int, shard int, bytes long, n_rows long, shards int, version int").parquet(path)
     wanted = F.lit(version) if version is not None else stored.agg(F.max("version")).scalar()
     return stored.where(F.col("version") == wanted)
 
 
-def measured(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
-    """slot_map with the slots' bytes and rows as they are now. A slot that had no records before goes to shard slot % shards."""
-    old = slot_map.select("version", F.col("virtual_slot").alias("_slot"), "shard")
-    last = slot_map.agg(F.coalesce(F.max("version"), F.lit(1)).alias("_last"))
-    both = sizes.join(F.broadcast(old), F.col("virtual_slot") == F.col("_slot"), "left").crossJoin(F.broadcast(last))
-    return both.select(F.col("_last").alias("version"), "virtual_slot", F.coalesce("shard", F.col("virtual_slot") % shards).cast("int").alias("shard"), "bytes", "n_rows")
+def measured(slot_map: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The map's slots with their bytes and rows as they are now, 0 where they have no records; slots that are new have no shard."""
+    old = slot_map.select(F.col("virtual_slot").alias("_slot"), F.col("shard").alias("_shard"))
+    both = sizes.join(old, F.col("virtual_slot") == F.col("_slot"), "full")
+    return both.select(F.coalesce("virtual_slot", "_slot").alias("virtual_slot"), F.col("_shard").alias("shard"), F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"), F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"))
 
 
-def current_map(sizes: DataFrame, shards: int, path: str) -> DataFrame:
-    """The map to assign by: the stored one, edited where shards were added, or a first one. What is new is stored."""
+def current_map(sizes: DataFrame, shards: int, path: str, drift: float | None = None) -> DataFrame:
+    """The map to assign by: the stored one, or an edit of it that is stored as the next version, or a first one.
+
+    A slot changes its shard only if shards were added, or if `drift` is given and the fullest shard is above (1 + drift) times
+    the mean. Slots that had no records before are dealt to the lightest shards. Fewer shards than the map has are refused.
+    """
     spark = sizes.sparkSession
     if not exists(spark, path):
-        save_map(first_map(sizes, shards), path)
-        return load_map(spark, path)
+        save_map(first_map(sizes, shards), path, 1, shards)
+        return measured(load_map(spark, path), sizes)
     stored = load_map(spark, path)
-    before = (stored.agg(F.max("shard")).first()[0] or 0) + 1
+    version, before = stored.agg(F.max("version"), F.max("shards")).first()
+    before = before or shards  # a map of an empty table says nothing
     if before > shards:
         raise ValueError(f"the stored map has {before} shards, {shards} are asked for")
-    now = measured(stored, sizes, before)
+    now = cut(measured(stored, sizes), "slots")
+    changed = before < shards or bool(now.where("shard is null").limit(1).count())
+    now = cut(placed(now, before), "slots")
     for n in range(before, shards):
         now = cut(edited(now, n), "slots")
-        save_map(now, path)
+    if drift is not None:
+        loads = now.groupBy("shard").agg(F.sum("bytes").alias("b")).agg(F.max("b"), F.sum("b")).first()
+        if (loads[0] or 0) > (1 + drift) * (loads[1] or 0) / shards:
+            now, changed = cut(rebalanced(now, shards, drift), "slots"), True
+    if changed:
+        save_map(now, path, (version or 0) + 1, shards)
     return now
 
 
@@ -114,13 +156,13 @@ def assign(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
     return out.withColumn("slot", (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_before", "_own")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None, drift: float | None = None) -> DataFrame:
     """One row per document: id, size, text_crc32, shard, slot (place in the shard), virtual_slot. Shards are nearly equal in bytes.
 
-    map_path is where the versioned map is stored: documents added later go by the stored map, and added shards edit it.
-    Without one the map is new and stored in the shared folder.
+    map_path is where the versioned map is stored: documents added later go by the stored map, and added shards, or loads that
+    have drifted apart, edit it. Without one the map is new and stored in the shared folder.
     """
     recs = cut(records(docs, id_col, text_col, slots), "records")
-    slot_map = cut(current_map(slot_sizes(recs), shards, map_path or new_path(docs.sparkSession, "map")), "slots")
+    slot_map = cut(current_map(slot_sizes(recs), shards, map_path or new_path(docs.sparkSession, "map"), drift), "slots")
     out = assign(recs, slot_map)
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot", "virtual_slot")

@@ -408,6 +408,16 @@ def test_leaks_match_plain_search(spark, duck):
     assert whole and whole <= got
 
 
+def test_an_item_without_an_id_comes_last_in_any_blocks(spark):
+    passage = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, f"so {passage} it goes")], "doc_id long, text string")
+    for order in ([(None, passage), (7, passage)], [(7, passage), (None, passage)]):
+        items = spark.createDataFrame(order, "item_id long, text string")
+        for chars in (10, 20, 30, 10_000):
+            row = decontaminate.find_leaks(docs, items, block_chars=chars).first()
+            assert (row["n_items"], row["item_id"], row["coverage"]) == (2, 7, 1.0)
+
+
 # 6
 
 
@@ -487,24 +497,57 @@ def duck_ids(spark, n):
 
 def test_shard_map_versions(spark, edge, empty, tmp_path):
     recs = sharding.records(spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text")), slots=256)
-    first = sharding.first_map(sharding.slot_sizes(recs), 4)
-    sharding.save_map(first, str(tmp_path / "map"))
-    sharding.save_map(sharding.edited(sharding.load_map(spark, str(tmp_path / "map")), 4), str(tmp_path / "map"))
-    old, new = ({r["virtual_slot"]: r["shard"] for r in sharding.load_map(spark, str(tmp_path / "map"), v).collect()} for v in (1, None))
+    path = str(tmp_path / "map")
+    sharding.save_map(sharding.first_map(sharding.slot_sizes(recs), 4), path, 1, 4)
+    sharding.save_map(sharding.edited(sharding.load_map(spark, path), 4), path, 2, 5)
+    old, new = ({r["virtual_slot"]: r["shard"] for r in sharding.load_map(spark, path, v).collect()} for v in (1, None))
     assert set(new.values()) == set(range(5)) and all(new[s] in (old[s], 4) for s in old)
-    loads = [r["b"] for r in sharding.load_map(spark, str(tmp_path / "map")).groupBy("shard").agg(F.sum("bytes").alias("b")).collect()]
+    loads = [r["b"] for r in sharding.load_map(spark, path).groupBy("shard").agg(F.sum("bytes").alias("b")).collect()]
     assert max(loads) < 1.2 * min(loads)
     path = str(tmp_path / "own")
     grown = [{r["doc_id"]: r["shard"] for r in sharding.shard_documents(df, n, map_path=path).collect()} for df, n in ((duck_ids(spark, 400), 4), (duck_ids(spark, 600), 4), (duck_ids(spark, 600), 5))]
     assert all(grown[1][k] == grown[0][k] for k in grown[0]) and all(grown[2][k] in (grown[1][k], 4) for k in grown[1]) and 4 in grown[2].values()
-    assert sorted(r["version"] for r in spark.read.parquet(path).select("version").distinct().collect()) == [1, 2]
-    sharding.save_map(sharding.load_map(spark, path), path)
+    assert versions(spark, path) == [1, 2, 3]  # records in new slots, then a shard
+    sharding.save_map(sharding.load_map(spark, path), path, 3, 5)
     assert sharding.load_map(spark, path).count() == sharding.load_map(spark, path).select("virtual_slot").distinct().count()
     with pytest.raises(ValueError, match="shards"):
         sharding.shard_documents(duck_ids(spark, 10), 3, map_path=path)
     assert sharding.shard_documents(edge).count() == len(EDGE) and sharding.shard_documents(empty).count() == 0
 
 
+def versions(spark, path):
+    return sorted(r["version"] for r in spark.read.parquet(path).select("version").distinct().collect())
+
+
+def test_a_map_of_few_records(spark, tmp_path):
+    """Shards without a slot are shards: nothing moves without an added one, no version is made for nothing, fewer are refused."""
+    path = str(tmp_path / "few")
+    shard_of = lambda n, shards=16, **how: {r["doc_id"]: r["shard"] for r in sharding.shard_documents(duck_ids(spark, n), shards, map_path=path, **how).collect()}
+    few, again, many = shard_of(8), shard_of(8), shard_of(600)
+    assert few == again and all(many[k] == few[k] for k in few) and versions(spark, path) == [1, 2]
+    assert set(many.values()) == set(range(16))
+    with pytest.raises(ValueError, match="16 shards"):
+        shard_of(8, 10)
+    grown = shard_of(600, 17)
+    assert all(grown[k] in (many[k], 16) for k in many) and 16 in grown.values() and versions(spark, path) == [1, 2, 3]
+
+
+def test_drifting_loads_are_rebalanced_when_asked(spark, empty, tmp_path):
+    path = str(tmp_path / "drift")
+    even = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x" * 20).alias("text"))
+    before = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(even, 4, map_path=path).collect()}
+    heavy = even.withColumn("text", F.when(F.col("doc_id").isin([k for k, s in before.items() if s == 0]), F.repeat(F.lit("x"), 200)).otherwise(F.col("text")))
+    recs = sharding.records(even).drop("size").join(sharding.records(heavy).select("id", "size"), "id")  # slots of the plain texts
+    loads = lambda m: sorted(r["b"] for r in m.groupBy("shard").agg(F.sum("bytes").alias("b")).collect())
+    kept = sharding.current_map(sharding.slot_sizes(recs), 4, path)
+    assert loads(kept)[-1] > 3 * loads(kept)[0] and versions(spark, path) == [1]
+    moved = sharding.current_map(sharding.slot_sizes(recs), 4, path, drift=0.05)
+    assert loads(moved)[-1] < 1.1 * loads(moved)[0] and versions(spark, path) == [1, 2]
+    assert loads(sharding.current_map(sharding.slot_sizes(recs), 4, path, drift=0.05)) == loads(moved) and versions(spark, path) == [1, 2]
+    nothing = str(tmp_path / "empty")
+    assert sharding.shard_documents(empty, 4, map_path=nothing).count() == 0 and sharding.shard_documents(even, 4, map_path=nothing).count() == 2000
+
+
 # 9
 
 
