@@ -88,11 +88,16 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def gram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf) of words of two characters or more and of their pairs, as the usual text vectoriser counts them."""
+    """(key, term, tf) of words of two characters or more and of their pairs, as the usual text vectoriser counts them.
+
+    Texts are dealt by key before they are cut up, so terms are counted where they are and only texts are shuffled.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
     pairs = lambda t: F.when(F.size(t) > 1, F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     both = F.flatten(F.transform(F.array(tokens), lambda t: F.concat(t, pairs(t))))
-    return df.select(key, F.explode(both).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return df.select(key, text).repartition(tasks, key).select(key, F.explode(both).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def numbered_terms(idf: DataFrame) -> DataFrame:
@@ -132,9 +137,9 @@ def fit_idf(counts: DataFrame, n_docs: int, min_df: int = 2, most: int | None =
     return found.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight): (1 + ln tf) * idf, rows scaled to length 1."""
-    raw = counts.join(idf, "term").withColumn("x", (1 + F.log("tf")) * F.col("idf"))
+def tfidf(counts: DataFrame, idf: DataFrame, key: str, bounded: bool = False) -> DataFrame:
+    """(key, term, weight): (1 + ln tf) * idf, rows scaled to length 1. A bounded vocabulary is sent to all tasks."""
+    raw = counts.join(F.broadcast(idf) if bounded else idf, "term").withColumn("x", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("x") / norm).alias("weight"))
 

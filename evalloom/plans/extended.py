@@ -9,6 +9,7 @@ from evalloom.operators import audit, bootstrap, codes, elicitation, exact_tests
 from evalloom.plans import frames, methods
 from evalloom.plans.frames import DRAWS, RUNS, SCORED, ranking_sql, table
 from evalloom.plans.registry import query
+from evalloom.storage import cut
 
 
 def r9(*names: str) -> list:
@@ -309,9 +310,9 @@ GRAMS = """toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N
 @query(f"WITH {GRAMS} SELECT doc_id, count(*) AS terms, round(max(weight), 9) AS top FROM w GROUP BY 1")
 def tfidf_pairs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    counts = features.gram_counts(docs, "doc_id", "text")
-    idf = features.fit_idf(counts.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 <> 0").count(), most=50_000)
-    return features.tfidf(counts, idf, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 9).alias("top"))
+    counts = cut(features.gram_counts(docs, "doc_id", "text"), "grams")
+    idf = cut(features.fit_idf(counts.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 <> 0").count(), most=50_000), "terms")
+    return features.tfidf(counts, idf, "doc_id", bounded=True).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 9).alias("top"))
 
 
 @query("""WITH t AS (SELECT o_orderkey, o_totalprice AS price, o_orderpriority AS pri, c_name AS cust, (o_orderstatus = 'F')::INT AS y FROM orders JOIN customer ON o_custkey = c_custkey), tr AS (SELECT * FROM t WHERE o_orderkey % 4 <> 0),

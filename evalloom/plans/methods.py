@@ -132,7 +132,7 @@ def text_scores(df: DataFrame, key: str, text: str, label: str, view: str = "tfi
     places = F.broadcast(vocabulary.select("term", "place"))  # at most `terms` rows
 
     def vectors(rows: DataFrame, grams: DataFrame) -> DataFrame:
-        weights = tfidf(grams, vocabulary.select("term", "idf"), key).join(places, "term")
+        weights = tfidf(grams, vocabulary.select("term", "idf"), key, bounded=True).join(places, "term")
         return sparse_vectors(rows, weights, key, "place", "weight", terms)
 
     both = balanced(vectors(fitted_on, counts).join(fitted_on.select(key, "y"), key))
