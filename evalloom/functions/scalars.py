@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -189,6 +190,11 @@ def refused(text: Column, marks: list[str]) -> Column:
     return out
 
 
+def path_safe_name(text: str) -> str:
+    """`path_safe` of a name on the driver."""
+    return re.sub(r"[^A-Za-z0-9._-]", "_", text)
+
+
 def path_safe(text: Column) -> Column:
     return F.regexp_replace(text, "[^A-Za-z0-9._-]", "_")
 

@@ -26,10 +26,11 @@ def encoded_labels(train: DataFrame, test: DataFrame, label: str, binary: bool)
     their text; test rows of another class are left out."""
     if binary:
         value = F.least(F.greatest(F.coalesce(F.col(label).cast("string").try_cast("double").cast("int"), F.lit(0)), F.lit(0)), F.lit(1))
-        return train.withColumn("y", value).drop(label), test.withColumn("y", value).drop(label), None
+        with_y = lambda df: df.withColumn("_y", value).drop(label).withColumnRenamed("_y", "y")
+        return with_y(train), with_y(test), None
     text = F.coalesce(F.col(label).cast("string"), F.lit("nan")).alias("_label")
     classes = class_codes(train.select(text), "_label", "y")
-    with_y = lambda df: df.withColumn("_label", text).join(classes, "_label").drop("_label", label)
+    with_y = lambda df: df.withColumn("_label", text).drop(label).join(classes, "_label").drop("_label")
     return with_y(train), with_y(test), classes.withColumnRenamed("_label", "label")
 
 

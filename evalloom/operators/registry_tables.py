@@ -78,3 +78,24 @@ def tie_profile(df: DataFrame, value: str) -> DataFrame:
 
 def crosstab(df: DataFrame, a: str, b: str, value: Column) -> DataFrame:
     return df.groupBy(a, b).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+
+
+def without(df: DataFrame, columns: list[str] = (), patterns: list[str] = ()) -> DataFrame:
+    """df without the named columns and those whose name holds one of the patterns; absent ones are no error."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in set(columns) and not any(p in c for p in patterns)])
+
+
+def with_missing(df: DataFrame, columns: list[str], kind: str = "string") -> DataFrame:
+    """df with the columns that it lacks as nulls."""
+    return df.withColumns({c: F.lit(None).cast(kind) for c in columns if c not in df.columns})
+
+
+def mapped(value: Column, to: dict[str, str]) -> Column:
+    """The value's counterpart; null where it has none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in to.items() for x in pair]), value)
+
+
+def empty_columns(df: DataFrame) -> list[str]:
+    """Columns without a value in any row."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
+    return [c for c in df.columns if counts[c] == 0]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalloom.operators import audit, cells, codes, decisions, features, probes, splits
-from evalloom.plans import frames
+from evalloom.operators import audit, cells, codes, decisions, features, probes, registry_tables, splits
+from evalloom.plans import frames, runner
 from evalloom.plans.frames import SCORED, ranking_sql, table
 from evalloom.plans.registry import query
 from evalloom.sources import stores
@@ -145,6 +145,40 @@ def reply_cache(spark, sf_dir):
     return stores.cache_get(p, path).select("doc_id", "reply")
 
 
+@query(f"""WITH {SCORED}, m AS (SELECT lang, count(*) AS n, sum((id % 4 = 0)::INT)::BIGINT AS n_test, avg(y) FILTER (WHERE id % 4 = 0) AS prevalence FROM scored WHERE lang IN ('en', 'de') GROUP BY 1)
+    SELECT lang AS phase, 'majority' AS method, 'ok' AS status, n_test, round(prevalence, 9) AS prauc FROM m UNION ALL SELECT lang, 'logreg_l2', 'ok', n_test, NULL FROM m UNION ALL SELECT lang, 'xgboost', 'skipped', NULL, NULL FROM m UNION ALL SELECT lang, 'broken', 'error', NULL, NULL FROM m
+    UNION ALL SELECT 'xx', method, 'no_data', NULL, NULL FROM (VALUES ('majority'), ('logreg_l2'), ('xgboost'), ('broken')) v(method)""")
+def grid_cells(spark, sf_dir):
+    """Three phases, of which one has no table, by four methods, of which one isn't installed and one isn't known; the grid is run twice."""
+    df, root = frames.scored(spark, sf_dir), new_path(spark, "grid")
+
+    def load(task, phase, seed):
+        if phase == "xx":
+            raise FileNotFoundError(f"no table for {phase}")
+        rows = df.where(F.col("lang") == phase).drop("lang")
+        return cells.load_cell(rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"), "id", "y", binary=True, seed=f"grid{seed}")
+
+    grid = runner.Grid(root, load, draws=20)
+    specs = [("quality", phase, method, 1) for phase in ("en", "de", "xx") for method in ("majority", "logreg_l2", "xgboost", "broken")]
+    for _ in range(2):
+        grid.run(spark, specs)
+    rec = grid.records(spark)
+    ap = F.when(F.col("method") == "majority", F.round(F.try_element_at("point", F.lit("prauc")), 9))
+    return rec.select("phase", "method", "status", "n_test", ap.alias("prauc"))
+
+
+SHAPED = """s AS (SELECT c_custkey, c_name AS "name/textblock", CASE c_mktsegment WHEN 'BUILDING' THEN 'Yes' WHEN 'FURNITURE' THEN 'No' END AS segment, NULL::VARCHAR AS added FROM customer)"""
+
+
+@query(f"WITH {SHAPED} SELECT * FROM s")
+def shaped_columns(spark, sf_dir):
+    """Columns left out by name and by pattern, renamed, mapped and added, as a slice's columns are made to be those of another table."""
+    c = table(spark, sf_dir, "customer").withColumn("smiles_a", F.lit(1)).withColumn("smiles_b", F.lit(2))
+    kept = registry_tables.without(c, ["c_nationkey", "absent"], patterns=["smiles_", "acctbal"])
+    named = kept.withColumnsRenamed({"c_name": "name/textblock"}).withColumn("segment", registry_tables.mapped(F.col("c_mktsegment"), {"BUILDING": "Yes", "FURNITURE": "No"})).drop("c_mktsegment")
+    return registry_tables.with_missing(named, ["added", "segment"])
+
+
 # Probes
 
 

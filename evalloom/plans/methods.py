@@ -96,18 +96,21 @@ def margins(df: DataFrame) -> DataFrame:
 def scores(name: str, df: DataFrame, inputs: tuple[str, ...] = ("a", "b")) -> DataFrame:
     """(id, proba) of the rows that aren't trained on: every fifth id. An SVM's margins are calibrated out of fold."""
     train, test = df.where("id % 5 <> 0"), df.where("id % 5 = 0")
-    make = METHODS[name]
-    learner = make(float(max(1, train.count())))
+    return fitted_scores(name, train, test, [VectorAssembler(inputCols=list(inputs), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)])
+
+
+def fitted_scores(name: str, train: DataFrame, rows: DataFrame, prepare: list) -> DataFrame:
+    """(id, proba) of `rows` by a learner that is fitted on `train` (id, y and what the prepare stages make `features` of)."""
+    learner = METHODS[name](float(max(1, train.count())))
     if learner is None:
         prior = train.agg(F.avg("y").alias("proba"))
-        return test.select("id").crossJoin(F.broadcast(prior))  # one row
-    stages = [VectorAssembler(inputCols=list(inputs), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), learner]
-    fit = Pipeline(stages=stages).fit
+        return rows.select("id").crossJoin(F.broadcast(prior))  # one row
+    fit = Pipeline(stages=[*prepare, learner]).fit
     model = fit(balanced(train))
     if name != "svm_linear":
-        return model.transform(test).select("id", vector_to_array("probability")[1].alias("proba"))
+        return model.transform(rows).select("id", vector_to_array("probability")[1].alias("proba"))
     fitted = platt(train, fit)
-    return fitted.transform(margins(model.transform(test)).select("id", "m")).select("id", vector_to_array("p")[1].alias("proba"))
+    return fitted.transform(margins(model.transform(rows)).select("id", "m")).select("id", vector_to_array("p")[1].alias("proba"))
 
 
 #: Which text a text learner reads, from a record's text and the phrases that name its condition.

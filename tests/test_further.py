@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from evalloom.functions import scalars as C
-from evalloom.operators import cells, codes, decisions, elicitation, features, probes
-from evalloom.plans import catalogue
+from evalloom.operators import cells, codes, decisions, elicitation, features, probes, registry_tables
+from evalloom.plans import catalogue, runner
 from evalloom.sources import stores
 
 DATA = "/root/testdata/sf0.001"
@@ -187,3 +187,34 @@ def test_providers(spark):
     assert [r[0] for r in models.select(elicitation.provider_of(F.col("m"))).collect()] == ["anthropic", "amazon_nova", "meta_llama", "meta_llama", "deepseek"]
     with pytest.raises(Exception, match="no record format for model other"):
         spark.range(1).select(elicitation.provider_of(F.lit("other"))).collect()
+
+
+def small_cell(rows):
+    df = rows.withColumn("label", (F.col("id") % 2).cast("string")).withColumn("kind", F.when(F.col("id") % 2 == 1, F.concat(F.lit("k"), F.col("id") % 3)).otherwise("z"))
+    return cells.load_cell(df.where("id % 4 < 2"), df.where("id % 4 >= 2"), "id", "label", binary=True)
+
+
+def test_a_grid_says_what_became_of_its_cells(spark, tmp_path):
+    def load(task, phase, seed):
+        if phase == "gone":
+            raise FileNotFoundError("no such phase")
+        return small_cell(spark.range(120))
+
+    terms = lambda df: df.select("id", F.lit("icd").alias("block"), F.col("kind").alias("term"))
+    grid = runner.Grid(f"file://{tmp_path}/grid", load, draws=3, view="tabular+codes", terms=terms, min_df=2)
+    specs = [("t", "one", "logreg_l2", 1), ("t", "one", "tabnet", 1), ("t", "gone", "majority", 1), ("t", "one", "nobody's", 1)]
+    assert grid.run(spark, specs) == ["ok", "skipped", "no_data", "error"] and grid.run(spark, specs) == []
+    rec = {(r["phase"], r["method"]): r for r in grid.records(spark).collect()}
+    good = rec["one", "logreg_l2"]
+    assert good["point"]["prauc"] > 0.99 and good["n_test"] == 60 and good["n_features"] > 4 and good["lo"] <= good["value"] <= good["hi"]
+    assert spark.read.parquet(f"{grid.root}/predictions").groupBy("split").count().count() == 2
+    with pytest.raises(ValueError, match="was made with"):
+        runner.Grid(grid.root, load, view="tabular").run(spark, specs)
+    with pytest.raises(ValueError, match="no view"):
+        runner.Grid(grid.root, load, view="all").vectors(small_cell(spark.range(40)))
+
+
+def test_column_shapes(spark):
+    df = spark.createDataFrame([(1, "t", None)], "a int, b string, c string")
+    assert registry_tables.without(df, ["a", "x"], ["c"]).columns == ["b"] and registry_tables.empty_columns(registry_tables.with_missing(df, ["d", "b"])) == ["c", "d"]
+    assert df.select(registry_tables.mapped(F.col("b"), {"t": "Yes"}), registry_tables.mapped(F.lit("u"), {"t": "Yes"})).first() == ("Yes", None)
