@@ -676,7 +676,7 @@ def grid_cross_resume(spark, sf_dir):
     SELECT p_partkey, other, gap, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY gap, other) AS rank FROM p WHERE of_title = 1) WHERE rank <= 5""")
 def nearest_by_number(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("num"), "p_name")
-    return audit.nearest_by_number(p, "p_partkey", "num", "p_name", 5, 8)
+    return audit.nearest_by_number(p, "p_partkey", "num", "p_name", 5)
 
 
 @query("""WITH a AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS j FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS j FROM orders WHERE o_orderstatus = 'O')

@@ -115,13 +115,28 @@ def test_donors_lose_no_row(spark):
 
 def test_neighbours_lie_beyond_any_first_width(spark):
     rows = [(1, 0, "a"), (2, 1, "A "), (3, 1000, "b"), (4, 1001, "b"), (5, 90_000, "c")]
-    got = audit.nearest_by_number(spark.createDataFrame(rows, "id int, x int, t string"), "id", "x", "t", 2, 2).collect()
+    got = audit.nearest_by_number(spark.createDataFrame(rows, "id int, x int, t string"), "id", "x", "t", 2).collect()
     near = {r["id"]: [] for r in got}
     for r in sorted(got, key=lambda r: r["rank"]):
         near[r["id"]].append(r["other"])
     assert near == {1: [3, 5], 2: [3, 5], 3: [2, 5], 4: [2, 5], 5: [4, 2]}
 
 
+def test_neighbours_with_a_title_and_a_number_that_many_rows_have(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice([rng.randint(0, 300), rng.randint(0, 20), 7, None]), rng.choice(["most"] * 6 + [f" T{rng.randint(0, 12)}", None])) for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, x int, t string").repartition(7)
+    got = sorted(tuple(r) for r in audit.nearest_by_number(df, "id", "x", "t", 3).collect())
+    title, want = lambda t: None if t is None else t.strip().lower(), []
+    for k, x, t in rows:
+        best = {}
+        for o, y, u in rows:
+            if x is not None and y is not None and title(u) != title(t):
+                best[title(u)] = min(best.get(title(u), (10**9, 0)), (abs(x - y), o))
+        want += [(k, o, gap, r) for r, (gap, o) in enumerate(sorted(best.values())[:3], 1)]
+    assert got == sorted(want)
+
+
 def test_floor_keeps_what_is_above_it(spark):
     rng = np.random.default_rng(0)
     rows = []
