@@ -49,6 +49,28 @@ def interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:
     )
 
 
+def with_point(df: DataFrame, unit: str, score: str, label: str, draws: int, seed: str, metric: str = "ap", level: float = 0.95) -> DataFrame:
+    """(point, mean, lo, hi, std, used, requested): the metric of the rows as they are beside its interval over drawn units."""
+    point = ranking_metrics(df, [], score, label).select(F.col(metric).alias("point"))
+    return interval(resampled(df, unit, score, label, draws, seed), metric, level).crossJoin(F.broadcast(point)).select("point", "mean", "lo", "hi", "std", "used", "requested")  # one row
+
+
+def share_of_gain(df: DataFrame, unit: str, base: str, part: str, full: str, label: str, draws: int, seed: str, level: float = 0.95) -> DataFrame:
+    """One row: the share (part - base) / (full - base) of three scores' AP, taken in each draw, with its interval.
+
+    mean_base, mean_part and mean_full are over the draws of both classes; draws in which full and base are equal have no share.
+    """
+    tail, names = (1 - level) / 2, {"base": base, "part": part, "full": full}
+    each = F.array(*[F.struct(F.lit(n).alias("arm"), F.col(s).cast("double").alias("_s")) for n, s in names.items()])
+    arms = df.select(unit, F.col(label).alias("_y"), F.explode(each).alias("e")).select(unit, "_y", "e.arm", "e._s")
+    found = resampled(arms, unit, "_s", "_y", draws, seed, ["arm"])
+    wide = found.groupBy("draw").agg(*[F.max(F.when(F.col("arm") == n, F.col("ap"))).alias(n) for n in names])
+    share = F.try_divide(F.col("part") - F.col("base"), F.nullif(F.col("full") - F.col("base"), F.lit(0.0)))
+    made = wide.withColumn("share", share).agg(*[F.avg(n).alias(f"mean_{n}") for n in names], F.avg("share").alias("share"), F.percentile("share", F.lit(tail)).alias("lo"), F.percentile("share", F.lit(1 - tail)).alias("hi"), F.count("share").alias("used"))
+    sizes = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(unit).alias("n_clusters"))
+    return made.withColumn("width", F.col("hi") - F.col("lo")).crossJoin(F.broadcast(sizes))  # one row
+
+
 def paired(df: DataFrame, unit: str, a: str, b: str, label: str, draws: int, seed: str, metric: str = "ap") -> DataFrame:
     """(draw, a, b, delta): both scores on the same draws, which are joined with the rows once."""
     arms = df.select(unit, F.col(label).alias("_y"), F.explode(F.array(*[F.struct(F.lit(k).alias("arm"), F.col(s).cast("double").alias("_s")) for k, s in enumerate((a, b))])).alias("e")).select(unit, "_y", "e.arm", "e._s")

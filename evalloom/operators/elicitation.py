@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions.scalars import mask_phrases_of, shown
+from evalloom.operators.ranking import ranking_metrics
 
 #: What a slot without content shows, terms that name no condition, and marks of a refusal.
 MASKED = "[condition withheld]"
@@ -122,6 +125,24 @@ def reassembled(asked: DataFrame, records: DataFrame, key: str, body_col: str, e
     return joined.select(key, status.alias("status"), F.when((status == "ok"), value / 100).otherwise(F.lit(fallback)).alias("proba"))
 
 
+def without_leaks(df: DataFrame, key: str, text: Column, terms: Column, generic: list[str] = GENERIC) -> DataFrame:
+    """df itself if no text holds a term of its record; else an error that names some, before anything is asked."""
+    found = leaks(df, key, text, terms, generic)
+    some = [tuple(r) for r in found.limit(3).collect()]
+    if some:
+        raise ValueError(f"{found.select(key).distinct().count()} texts hold what they should mask, such as {some}")
+    return df
+
+
+def masking_curve(df: DataFrame, texts: dict[str, Column], score: Callable[[Column], Column], label: str) -> DataFrame:
+    """(arm, place, ap, auroc, delta): each arm's texts scored and ranked, and its AP less that of the first arm."""
+    arms = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(a).alias("arm"), score(t).cast("double").alias("_s")) for k, (a, t) in enumerate(texts.items())])
+    long = df.select(F.col(label).alias("_y"), F.explode(arms).alias("e")).select("_y", "e.place", "e.arm", "e._s")
+    found = ranking_metrics(long, ["place", "arm"], "_s", "_y")
+    first = found.where("place = 0").select(F.col("ap").alias("_first"))
+    return found.crossJoin(F.broadcast(first)).select("arm", "place", "ap", "auroc", (F.col("ap") - F.col("_first")).alias("delta"))  # one row
+
+
 def cached_or_asked(prompts: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """prompts with reply and cached: the cache's reply where it has the key, the least of several; the others are what is left to ask."""
     known = cache.groupBy(key).agg(F.min("reply").alias("reply"))

@@ -253,6 +253,12 @@ def truncated(text: str, most: int = 256) -> tuple[Column, Column]:
     return F.array_join(F.slice(tokens, 1, most), " "), F.when(n > 0, F.least(n, F.lit(most)) / n).otherwise(1.0)
 
 
+def best_columns(scores: DataFrame, k: int = 500) -> DataFrame:
+    """(place, column, f): the k columns of the highest statistic, ties by name; a column without one comes last."""
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last(F.round("f", 9)), "column")  # a row a column
+    return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("place", "column", "f")
+
+
 def anova_f(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(column, f): between-class variance over within-class variance of each column; null where nothing varies within."""
     long = df.unpivot([label], columns, "column", "x")

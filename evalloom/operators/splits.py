@@ -105,3 +105,15 @@ def capped_sample(df: DataFrame, key: str, label: str, most: int, seed: str) ->
     quotas = counts.select("_label", F.greatest(F.lit(1), F.round(F.col("_c") * F.least(F.lit(1.0), most / total))).alias("_q"))
     placed = hash_rank(df, [label], seed, key).join(F.broadcast(quotas), F.col(label).eqNullSafe(F.col("_label")))
     return placed.where("_rank <= _q").drop("_label", "_q", "_rank")
+
+
+def arm_sample(pooled: DataFrame, key: str, endpoint: str, label: str, total: int | None, seed: str) -> DataFrame:
+    """(key, endpoint, label): rows with a label, all of them or `total` in proportion to the (endpoint, label) strata in hash order.
+
+    A key of several endpoints is a row of each, drawn by itself.
+    """
+    rows = pooled.select(key, endpoint, label).where(F.col(label).isNotNull())
+    if total is None:
+        return rows
+    named = rows.withColumn("_stratum", F.concat_ws("|", endpoint, label)).withColumn("_row", F.concat_ws("|", endpoint, key))
+    return named.join(stratified_subset(named, "_row", "_stratum", total, seed).select("_row"), "_row", "left_semi").select(key, endpoint, label)

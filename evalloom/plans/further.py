@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalloom.operators import audit, cells, codes, decisions, features, probes, registry_tables, splits
+from evalloom.operators import audit, bootstrap, cells, codes, decisions, elicitation, features, probes, registry_tables, splits
 from evalloom.plans import frames, runner
-from evalloom.plans.frames import SCORED, ranking_sql, table
+from evalloom.plans.frames import DRAWS, SCORED, ranking_sql, table
 from evalloom.plans.registry import query
 from evalloom.sources import stores
 from evalloom.storage import new_path
@@ -274,6 +274,60 @@ def packed_fingerprint_pool(spark, sf_dir):
     return found.select("label", "n", F.array_join(F.col("fingerprint").cast("array<string>"), "").alias("fingerprint"), F.round(total, 5).alias("mean_sum"))
 
 
+# Intervals, arms and choices
+
+
+@query(f"""WITH {SCORED}, {DRAWS.format(seed='point', draws=50)}, e AS (SELECT w.draw, w.w, s.a, s.y FROM scored s JOIN weights w USING (cluster)), {ranking_sql('e', 'draw', 'a', weight='w', name='r')}, {ranking_sql('scored', '', 'a', name='p')}
+    SELECT round((SELECT auroc FROM p), 9) AS point, round(avg(auroc), 9) AS mean, round(quantile_cont(auroc, 0.025), 9) AS lo, round(quantile_cont(auroc, 0.975), 9) AS hi, round(stddev_pop(auroc), 9) AS std, count(auroc) AS used, count(*) AS requested FROM r""")
+def cluster_ci_point(spark, sf_dir):
+    found = bootstrap.with_point(frames.scored(spark, sf_dir), "cluster", "a", "y", 50, "point", "auroc")
+    return found.select(*[F.round(c, 9).alias(c) for c in ("point", "mean", "lo", "hi", "std")], "used", "requested")
+
+
+@query(f"""WITH {SCORED}, {DRAWS.format(seed='share', draws=50)}, e AS (SELECT w.draw, w.w, (s.id % 13)::DOUBLE AS c, s.b, s.a, s.y FROM scored s JOIN weights w USING (cluster)), {ranking_sql('e', 'draw', 'c', weight='w', name='rc')}, {ranking_sql('e', 'draw', 'b', weight='w', name='rb')}, {ranking_sql('e', 'draw', 'a', weight='w', name='ra')},
+    d AS (SELECT rc.ap AS base, rb.ap AS part, ra.ap AS whole, (rb.ap - rc.ap) / nullif(ra.ap - rc.ap, 0) AS share FROM rc JOIN rb USING (draw) JOIN ra USING (draw))
+    SELECT round(avg(base), 9) AS mean_base, round(avg(part), 9) AS mean_part, round(avg(whole), 9) AS mean_full, round(avg(share), 6) AS share, round(quantile_cont(share, 0.025), 6) AS lo, round(quantile_cont(share, 0.975), 6) AS hi, count(share) AS used, (SELECT count(*) FROM scored) AS n_rows, (SELECT count(DISTINCT cluster) FROM scored) AS n_clusters FROM d""")
+def disease_share(spark, sf_dir):
+    df = frames.scored(spark, sf_dir).withColumn("c", (F.col("id") % 13).cast("double"))
+    found = bootstrap.share_of_gain(df, "cluster", "c", "b", "a", "y", 50, "share")
+    return found.select(*[F.round(c, 9).alias(c) for c in ("mean_base", "mean_part", "mean_full")], *[F.round(c, 6).alias(c) for c in ("share", "lo", "hi")], "used", "n_rows", "n_clusters")
+
+
+@query("""WITH p AS (SELECT o_orderkey, e AS endpoint, CASE e WHEN 'filled' THEN (o_orderstatus = 'F')::INT ELSE CASE WHEN o_totalprice > 50000 THEN (o_totalprice > 200000)::INT END END AS y FROM orders, (VALUES ('filled'), ('large')) v(e) WHERE o_orderdate < TIMESTAMP '1997-01-01'),
+    s AS (SELECT o_orderkey, endpoint, y, endpoint || '|' || y AS stratum FROM p WHERE y IS NOT NULL), c AS (SELECT stratum, count(*) AS n FROM s GROUP BY 1), x AS (SELECT *, n * 700 / sum(n) OVER () AS x FROM c), f AS (SELECT stratum, floor(x) AS f, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, stratum) AS r, 700 - sum(floor(x)) OVER () AS short FROM x), q AS (SELECT stratum, f + (r <= short)::INT AS quota FROM f),
+    r AS (SELECT s.*, row_number() OVER (PARTITION BY stratum ORDER BY sha256('arm|' || endpoint || '|' || o_orderkey), endpoint || '|' || o_orderkey) AS rk FROM s) SELECT o_orderkey, endpoint, y FROM r JOIN q USING (stratum) WHERE rk <= quota""")
+def arm_sample(spark, sf_dir):
+    """Two endpoints of orders before a cutoff; an order of either may be in both samples."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp"))
+    ends = F.array(F.struct(F.lit("filled").alias("endpoint"), (F.col("o_orderstatus") == "F").cast("int").alias("y")), F.struct(F.lit("large").alias("endpoint"), F.when(F.col("o_totalprice") > 50_000, (F.col("o_totalprice") > 200_000).cast("int")).alias("y")))
+    return splits.arm_sample(o.select("o_orderkey", F.inline(ends)), "o_orderkey", "endpoint", "y", 700, "arm")
+
+
+@query(f"""WITH {SCORED}, l AS (SELECT 'a' AS c, a AS x, y FROM scored UNION ALL SELECT 'b', b, y FROM scored UNION ALL SELECT 'c', (id % 13)::DOUBLE, y FROM scored UNION ALL SELECT 'flat', 1, y FROM scored), g AS (SELECT c, y, count(x) AS n, avg(x) AS m, var_pop(x) AS v FROM l GROUP BY 1, 2), h AS (SELECT *, sum(n * m) OVER (PARTITION BY c) / sum(n) OVER (PARTITION BY c) AS mean FROM g),
+    f AS (SELECT c, (sum(n * (m - mean) * (m - mean)) / (count(*) - 1)) / nullif(sum(n * v) / (sum(n) - count(*)), 0) AS f FROM h GROUP BY 1) SELECT row_number() OVER (ORDER BY round(f, 9) DESC NULLS LAST, c)::INT AS place, c AS "column" FROM f QUALIFY place <= 3""")
+def select_k_best(spark, sf_dir):
+    df = frames.scored(spark, sf_dir).withColumn("c", (F.col("id") % 13).cast("double")).withColumn("flat", F.lit(1.0))
+    return features.best_columns(features.anova_f(df.select("a", "b", "c", "flat", "y"), ["a", "b", "c", "flat"], "y"), 3).select("place", "column")
+
+
+CURVE = "r AS (SELECT p_partkey, (p_size > 25)::INT AS y, string_split(p_name, ' ') AS w, 'Size: ' || p_size || chr(10) || 'Condition: ' AS body, p_type FROM part), d AS (SELECT r.*, r2.p_type AS other FROM r LEFT JOIN r r2 ON r2.p_partkey = r.p_partkey + 1), t AS (SELECT p_partkey, y, 'L1' AS arm, 0 AS place, body || p_type AS text FROM d UNION ALL SELECT p_partkey, y, 'L0', 1, body || '[condition withheld]' FROM d UNION ALL SELECT p_partkey, y, 'swap', 2, body || coalesce(other, 'none') FROM d), c AS (SELECT arm || '#' || place AS g, ('0x' || substr(md5(text), 1, 6))::BIGINT::DOUBLE AS s, y FROM t)"
+
+
+@query(f"""WITH {CURVE}, {ranking_sql('c', 'g', 's', name='m')} SELECT split_part(g, '#', 1) AS arm, split_part(g, '#', 2)::INT AS place, round(ap, 9) AS ap, round(auroc, 9) AS auroc, round(ap - (SELECT ap FROM m WHERE g = 'L1#0'), 9) AS delta FROM m""")
+def masking_curve(spark, sf_dir):
+    """Named, masked and swapped texts, ranked by a digest of the text in place of a model; masked bodies are checked first."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type", (F.col("p_size") > 25).cast("int").alias("y"))
+    donor = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_type").alias("other"))
+    df = p.join(donor, "p_partkey", "left").withColumn("other", F.coalesce("other", F.lit("none")))
+    own = elicitation.body({"Size": F.col("p_size")}, set(), F.array("p_type"))
+    masked = F.concat(own, F.lit(elicitation.MASKED))
+    elicitation.without_leaks(df, "p_partkey", masked, F.array("p_type"))
+    texts = {"L1": F.concat(own, F.col("p_type")), "L0": masked, "swap": F.concat(own, F.col("other"))}
+    digest = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 6), 16, 10)
+    found = elicitation.masking_curve(df, texts, digest, "y")
+    return found.select("arm", "place", *[F.round(c, 9).alias(c) for c in ("ap", "auroc", "delta")])
+
+
 # Row sets
 
 KEPT = f"""k AS (SELECT lang, a, b, y, (a % 101)::INT / 100.0::DOUBLE AS sim FROM scored), t AS (SELECT * FROM (VALUES (0.8::DOUBLE), (0.9), (0.95), (0.99), (9)) v(t)),

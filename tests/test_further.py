@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from evalloom.functions import scalars as C
-from evalloom.operators import cells, codes, decisions, elicitation, features, probes, registry_tables
+from evalloom.operators import cells, codes, decisions, elicitation, features, probes, registry_tables, splits
 from evalloom.plans import catalogue, runner
 from evalloom.sources import stores
 
@@ -218,3 +218,17 @@ def test_column_shapes(spark):
     df = spark.createDataFrame([(1, "t", None)], "a int, b string, c string")
     assert registry_tables.without(df, ["a", "x"], ["c"]).columns == ["b"] and registry_tables.empty_columns(registry_tables.with_missing(df, ["d", "b"])) == ["c", "d"]
     assert df.select(registry_tables.mapped(F.col("b"), {"t": "Yes"}), registry_tables.mapped(F.lit("u"), {"t": "Yes"})).first() == ("Yes", None)
+
+
+def test_masked_texts_are_checked_before_anything_is_asked(spark):
+    df = spark.createDataFrame([(1, "Has Asthma", ["Asthma"]), (2, "Clean", ["Asthma"])], "id int, t string, terms array<string>")
+    with pytest.raises(ValueError, match="1 texts hold"):
+        elicitation.without_leaks(df, "id", F.col("t"), F.col("terms"))
+    assert elicitation.without_leaks(df.where("id = 2"), "id", F.col("t"), F.col("terms")).count() == 1
+
+
+def test_a_key_of_two_endpoints_is_drawn_by_each(spark):
+    pooled = spark.createDataFrame([(k, e, None if k == 0 else k % 2) for k in range(41) for e in ("x", "y")], "k int, e string, y int")
+    got = splits.arm_sample(pooled, "k", "e", "y", 40, "s").groupBy("e", "y").count().collect()
+    assert sorted((r["e"], r["y"], r["count"]) for r in got) == [("x", 0, 10), ("x", 1, 10), ("y", 0, 10), ("y", 1, 10)]
+    assert splits.arm_sample(pooled, "k", "e", "y", None, "s").count() == 80
