@@ -159,6 +159,8 @@ def chosen_windows(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 ENTRY = ["a", "d1", "d2"]
+#: Buckets of a run, by anchor; an index of many terabytes has some ten thousand.
+BUCKETS = 64
 
 
 def merged(entries: DataFrame) -> DataFrame:
@@ -166,18 +168,25 @@ def merged(entries: DataFrame) -> DataFrame:
     return entries.groupBy(*ENTRY).agg(F.sum("n").alias("n"), F.min_by("span", "key").alias("span"), F.min("key").alias("key"))
 
 
+def table_name(run: str) -> str:
+    return "evalloom_" + run.rsplit("/", 1)[1].replace("-", "_")
+
+
 class FingerprintIndex:
     """Immutable runs (a, d1, d2, n, span, key) in order of (a, d1, d2), listed in a manifest under `path`.
 
+    A run is a table in buckets by anchor, sorted inside, so a batch is met with history where history lies: only the batch's
+    anchors are shuffled, to the buckets, and what history has at others is passed over in the merge.
+
     An index is opened again by its path; `documents` must then give the keyed documents of history, whose windows are
     looked up where a new batch has an anchor of theirs in other words.
     """
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, path: str | None = None, documents: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, path: str | None = None, documents: DataFrame | None = None, buckets: int = BUCKETS):
         if width - gram + 1 > 63:
             raise ValueError("a segment may have at most 63 windows: width - gram must be below 63")
         self.spark, self.width, self.gram, self.path = spark, width, gram, path or new_path(spark, "index")
-        self.runs, self.version, self.documents = [], 0, documents
+        self.runs, self.version, self.documents, self.buckets = [], 0, documents, buckets
         if path and exists(spark, f"{path}/manifest"):
             stored = spark.read.parquet(f"{path}/manifest")
             self.version = stored.agg(F.max("version")).first()[0]
@@ -185,19 +194,32 @@ class FingerprintIndex:
             if any((r["width"], r["gram"]) != (width, gram) for r in rows):
                 raise ValueError("the stored index has another width or gram")
             self.runs = [(r["level"], r["run"]) for r in rows]
+            self.buckets = rows[0]["buckets"] if rows else buckets
 
     def save(self) -> None:
         """Adds a version of the manifest: which runs there are."""
         self.version += 1
-        rows = [(self.version, k, level, run, self.width, self.gram) for k, (level, run) in enumerate(self.runs)]
-        listed = self.spark.createDataFrame(rows, "version int, place int, level int, run string, width int, gram int")
+        rows = [(self.version, k, level, run, self.width, self.gram, self.buckets) for k, (level, run) in enumerate(self.runs)]
+        listed = self.spark.createDataFrame(rows, "version int, place int, level int, run string, width int, gram int, buckets int")
         listed.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def write(self, entries: DataFrame, level: int) -> None:
         run = f"{self.path}/run-{uuid.uuid4().hex}"
-        entries.select(*ENTRY, "n", "span", "key").sortWithinPartitions(*ENTRY).write.parquet(run)
+        dealt = entries.select(*ENTRY, "n", "span", "key").repartition(self.buckets, "a")
+        dealt.write.format("parquet").bucketBy(self.buckets, "a").sortBy(*ENTRY).option("path", run).saveAsTable(table_name(run))
         self.runs.append((level, run))
 
+    def table(self, run: str) -> DataFrame:
+        """A run as a bucketed table; one that another session has written is made known to this one."""
+        if not self.spark.catalog.tableExists(table_name(run)):
+            self.spark.sql(f"CREATE TABLE {table_name(run)} (a BIGINT, d1 BIGINT, d2 BIGINT, n BIGINT, span BIGINT, key BIGINT) USING parquet CLUSTERED BY (a) SORTED BY ({', '.join(ENTRY)}) INTO {self.buckets} BUCKETS LOCATION '{run}'")
+        return self.spark.table(table_name(run))
+
+    def at(self, anchors: DataFrame) -> DataFrame:
+        """Entries of history at the given anchors (a), each run met in its buckets; those of several runs are merged."""
+        near = [self.table(run).join(anchors.hint("merge"), "a", "left_semi") for _, run in self.runs]
+        return near[0] if len(near) == 1 else merged(reduce(DataFrame.unionByName, near))
+
     def entries(self) -> DataFrame:
         """All entries; those of several runs are merged."""
         if not self.runs:
@@ -224,10 +246,11 @@ class FingerprintIndex:
 
     def judge(self, docs: DataFrame, own: DataFrame, fresh: DataFrame) -> DataFrame:
         if self.runs:
-            history = self.entries().select(*ENTRY, F.col("n").alias("old_n"), F.col("span").alias("old_span"), F.col("key").alias("old_key"))
-            #: A full join, so that anchors of the batch see all that history has at them; other anchors of history go.
-            joined = fresh.hint("merge").join(history, ENTRY, "full")
-            both = cut(joined.join(fresh.select("a").distinct().hint("merge"), "a", "left_semi"), "matches")
+            near = cut(self.at(fresh.select("a").distinct()), "near")
+            history = near.select(*ENTRY, F.col("n").alias("old_n"), F.col("span").alias("old_span"), F.col("key").alias("old_key"))
+            #: A full join, so that anchors of the batch see all that history has at them.
+            both = cut(fresh.hint("merge").join(history, ENTRY, "full"), "matches")
+            discard(near)
         else:
             both = fresh.select("*", *[F.lit(None).cast("long").alias(c) for c in ("old_n", "old_span", "old_key")])
         several = cut(both.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", F.lit(True).alias("several")), "anchors")
@@ -255,7 +278,7 @@ class FingerprintIndex:
         if len(old) < 2:
             return
         self.runs = self.runs[: len(self.runs) - len(old)]
-        self.write(merged(self.spark.read.parquet(*[p for _, p in old])), max(level for level, _ in old) + 1)
+        self.write(merged(reduce(DataFrame.unionByName, [self.table(p) for _, p in old])), max(level for level, _ in old) + 1)
 
 
 def kept_udf(width: int):

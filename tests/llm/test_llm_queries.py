@@ -635,3 +635,18 @@ def test_pipeline(spark):
         assert kept.columns == docs.columns and kept.count() > 0
     got = sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect())
     assert got == sorted(r["doc_id"] for r in kept.collect())
+
+
+def test_history_is_met_where_it_lies(spark):
+    """The batch's anchors are shuffled to the buckets of a run; the run itself isn't, and merged runs give what they gave."""
+    docs = spark.range(40).select(F.col("id").alias("key"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(59)), lambda j: F.concat(F.lit("w"), ((F.col("id") * 7 + j) % 50).cast("string")))).cast("binary").alias("text"))
+    index = substring_dedup.FingerprintIndex(spark, 7, 3, buckets=8)
+    index.add(docs.where("key % 2 = 0"))
+    anchors = substring_dedup.cut(substring_dedup.segments(docs.where("key % 2 = 1"), 7, 3).select("a").distinct(), "anchors")
+    plan = index.at(anchors)._jdf.queryExecution().executedPlan().toString()
+    history, batch = plan.split("SortMergeJoin")[1].split("FileScan parquet spark_catalog")
+    assert "Bucketed: true" in batch and "Exchange" not in history and batch.count("Exchange") == 1
+    before = {tuple(r) for r in index.at(anchors).select("a", "d1", "d2", "n").collect()}
+    index.add(docs.where("key < 0"))
+    index.compact()
+    assert len(index.runs) == 1 and {tuple(r) for r in index.at(anchors).select("a", "d1", "d2", "n").collect()} == before and before
