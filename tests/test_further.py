@@ -17,7 +17,7 @@ from evalloom.sources import stores
 DATA = "/root/testdata/sf0.001"
 #: Booleans of which one value is right on any table of this kind, and learners, which take long.
 ONE_VALUE = {"wide_records"}
-SLOW = {"hist_gbm_scores", "random_forest_scores", "svm_linear_scores", "logreg_l1_scores", "logreg_l2_scores"}
+SLOW = {"hist_gbm_scores", "random_forest_scores", "svm_linear_scores", "logreg_l1_scores", "logreg_l2_scores", "grid_cells"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - SLOW))
