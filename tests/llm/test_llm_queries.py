@@ -522,7 +522,7 @@ def versions(spark, path):
 def test_a_map_of_few_records(spark, tmp_path):
     """Shards without a slot are shards: nothing moves without an added one, no version is made for nothing, fewer are refused."""
     path = str(tmp_path / "few")
-    shard_of = lambda n, shards=16, **how: {r["doc_id"]: r["shard"] for r in sharding.shard_documents(duck_ids(spark, n), shards, map_path=path, **how).collect()}
+    shard_of = lambda n, shards=16, **how: {r["doc_id"]: r["shard"] for r in sharding.shard_documents(duck_ids(spark, n), shards, slots=256, map_path=path, **how).collect()}
     few, again, many = shard_of(8), shard_of(8), shard_of(600)
     assert few == again and all(many[k] == few[k] for k in few) and versions(spark, path) == [1, 2]
     assert set(many.values()) == set(range(16))
