@@ -122,6 +122,19 @@ def retained(levels: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     return levels.join(known, ["level", "term"], "left").groupBy(key, "level").agg(F.count(F.lit(1)).alias("n"), F.count("_in").alias("kept"))
 
 
+def rare_common(train: DataFrame, test: DataFrame, keys: DataFrame, key: str, least: int = 20) -> DataFrame:
+    """(key, rarest, part) of every key: in how many training records its rarest term occurs, and whether that is rare or common.
+
+    train and test are (key, term) rows. Rare is up to the median of the keys with terms, common above it. part is null for a key
+    without terms, and for all keys where fewer than `least` have terms.
+    """
+    known = train.where("term is not null").groupBy("term").agg(F.countDistinct(key).alias("_df"))
+    own = test.where("term is not null").join(known, "term", "left").groupBy(key).agg(F.min(F.coalesce("_df", F.lit(0))).alias("rarest"))
+    middle = own.agg(F.when(F.count(F.lit(1)) >= least, F.percentile("rarest", 0.5)).alias("_m"))  # one row
+    part = F.when(F.col("rarest") <= F.col("_m"), "rare").when(F.col("rarest") > F.col("_m"), "common")
+    return keys.select(key).distinct().join(own, key, "left").crossJoin(F.broadcast(middle)).select(key, "rarest", part.alias("part"))
+
+
 def nested_rows(df: DataFrame, node: Column, child: str = "diag") -> list[DataFrame]:
     """(parent, code, descriptor) frames of a column of nested nodes, one for each level that its type has; a level may be a struct or an array of them."""
     out, level, parent = [], df.select(node.alias("n"), F.lit(None).cast("string").alias("parent")), None

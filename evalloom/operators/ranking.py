@@ -90,11 +90,11 @@ def rank_percentile(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.join(ranks, [*by, value])
 
 
-def blend_curve(df: DataFrame, a: str, b: str, label: str, steps: int = 100) -> DataFrame:
-    """(w, ap) of w * a + (1 - w) * b for w = 0, 1/steps, ..., 1. Equal rows are counted before the weights multiply them."""
-    each = df.groupBy(a, b, label).agg(F.count(F.lit(1)).alias("_c")).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+def blend_curve(df: DataFrame, a: str, b: str, label: str, steps: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, w, ap) of w * a + (1 - w) * b for w = 0, 1/steps, ..., 1. Equal rows are counted before the weights multiply them."""
+    each = df.groupBy(*by, a, b, label).agg(F.count(F.lit(1)).alias("_c")).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     blended = each.withColumn("blend", F.round((F.col("step") * F.col(a) + (steps - F.col("step")) * F.col(b)) / steps, 9))
-    return ranking_metrics(blended, ["step"], "blend", label, F.col("_c")).select((F.col("step") / steps).alias("w"), "ap")
+    return ranking_metrics(blended, [*by, "step"], "blend", label, F.col("_c")).select(*by, (F.col("step") / steps).alias("w"), "ap")
 
 
 def best_weight(valid: DataFrame, test: DataFrame, a: str, b: str, label: str, steps: int = 100, slack: float = 0.001) -> DataFrame:
@@ -108,6 +108,23 @@ def best_weight(valid: DataFrame, test: DataFrame, a: str, b: str, label: str, s
     return chosen.join(tested, F.col("best_w") == F.col("w")).select("best_w", "valid_ap", "width", "test_ap")
 
 
+def combiner_lifts(valid: DataFrame, test: DataFrame, by: tuple[str, ...], a: str, b: str, label: str, steps: int = 100, slack: float = 0.001) -> DataFrame:
+    """(by, source, fixed, tuned, oracle, width, captured): what blending adds to the better source's AP on `test`.
+
+    fixed is at equal weights, tuned at the smallest weight that is best on `valid`, oracle at the best weight on `test`. width is
+    the span of weights within `slack` of the best on `valid`, captured the percentage of tuned that fixed gives, null where tuned
+    is 0. `steps` is even. Groups without positives on either side are left out.
+    """
+    curve = lambda df, name: blend_curve(df, a, b, label, steps, by).select(*by, "w", F.round("ap", 9).alias(name)).where(F.col(name).isNotNull())
+    both = curve(valid, "v").join(curve(test, "t"), [*by, "w"])
+    at = lambda *ws: F.max(F.when(F.col("w").isin(*ws), F.col("t")))
+    top = F.max(F.struct("v", (-F.col("w")).alias("less"), "t"))
+    found = both.groupBy(*by).agg(at(0.0, 1.0).alias("source"), at(0.5).alias("half"), F.max("t").alias("most"), top.alias("top"), F.collect_list(F.struct("w", "v")).alias("points"))  # a point a step
+    near = F.filter("points", lambda x: x["v"] >= F.col("top.v") - slack)["w"]
+    lifts = found.select(*by, "source", (F.col("half") - F.col("source")).alias("fixed"), (F.col("top.t") - F.col("source")).alias("tuned"), (F.col("most") - F.col("source")).alias("oracle"), (F.array_max(near) - F.array_min(near)).alias("width"))
+    return lifts.withColumn("captured", 100 * F.col("fixed") / F.nullif(F.round("tuned", 9), F.lit(0.0)))
+
+
 def macro_ovr(df: DataFrame, klass: str, scores: list[str]) -> DataFrame:
     """Mean one-against-the-rest AUROC and AP over the classes 0, 1, ... that the score columns stand for.
 

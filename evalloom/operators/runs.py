@@ -50,6 +50,25 @@ def paired_gain(before: DataFrame, after: DataFrame, keys: list[str], metric: st
     return after.join(pre, keys).groupBy(by).agg(F.avg(F.col(metric) - F.col("_pre")).alias("gain"), F.count(F.lit(1)).alias("n"))
 
 
+def gain_by_cell(before: DataFrame, after: DataFrame, cell: list[str], method: str, seed: str, metric: str, floors: DataFrame) -> DataFrame:
+    """(cell, gain, n_methods, n_pairs, exceeds): seeds that both have are averaged by method, then methods by cell.
+
+    floors is (cell, floor); exceeds says whether the gain is beyond it in either direction, null for a cell without a floor.
+    Runs without a value aren't paired.
+    """
+    pre = before.select(*cell, method, seed, F.col(metric).alias("_pre"))
+    gain = F.col(metric) - F.col("_pre")
+    methods = after.join(pre, [*cell, method, seed]).where(gain.isNotNull()).groupBy(*cell, method).agg(F.avg(gain).alias("_g"), F.count(F.lit(1)).alias("_n"))
+    cells = methods.groupBy(*cell).agg(F.avg("_g").alias("gain"), F.count(F.lit(1)).alias("n_methods"), F.sum("_n").alias("n_pairs"))
+    return cells.join(floors.select(*cell, "floor"), cell, "left").withColumn("exceeds", F.abs("gain") > F.col("floor")).drop("floor")
+
+
+def scored_by_all(predictions: DataFrame, keys: list[str], method: str, score: str, methods: list[str]) -> DataFrame:
+    """keys and a column of scores for each of `methods`, for the rows that all of them scored; a repeated score counts with its mean."""
+    wide = predictions.where(F.col(method).isin(methods)).groupBy(*keys).pivot(method, methods).agg(F.avg(score))
+    return wide.dropna(subset=methods)
+
+
 def gap_closure(cells: DataFrame, base: str, better: str, top: str) -> DataFrame:
     """The median share of the gap from base to top that `better` closes; cells without a gap are left out."""
     ratio = F.try_divide(F.col(better) - F.col(base), F.nullif(F.col(top) - F.col(base), F.lit(0.0)))

@@ -13,13 +13,13 @@ from evalloom.functions.scalars import hash_order
 def hash_rank(df: DataFrame, by: list[str], seed: str, key: str) -> DataFrame:
     """df with _rank, 1 to n in hash order within `by`.
 
-    Rows are cut into 256 sections by the first byte of the hash, each numbered by itself from the count of those before
+    Rows are cut into 4,096 sections by the first digits of the hash, each numbered by itself from the count of those before
     it, so that neither all rows nor a hot stratum are one task. Rows that repeat a key are in no fixed order.
     """
     order = hash_order(seed, F.col(key))
-    cut = df.withColumn("_h", order).withColumn("_section", F.substring("_h", 1, 2))
+    cut = df.withColumn("_h", order).withColumn("_section", F.substring("_h", 1, 3))
     sizes = cut.groupBy(*by, "_section").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_section").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows a stratum
+    earlier = Window.partitionBy(*by).orderBy("_section").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows a stratum
     starts = sizes.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_section").alias("_own"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     on = F.col("_section") == F.col("_own")
     for k, c in enumerate(by):

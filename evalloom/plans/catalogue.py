@@ -11,6 +11,7 @@ from evalloom.plans import (
     extended,  # noqa: F401  registers its queries
     frames,
     further,  # noqa: F401 - registers its queries
+    mappings,  # noqa: F401 - registers its queries
     methods,
 )
 from evalloom.plans.frames import DRAWS, RUNS, SCORED, ranking_sql, table

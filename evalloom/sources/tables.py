@@ -150,6 +150,11 @@ def write_leaderboard(board: DataFrame, path: str, columns: list[str]) -> None:
     markdown(board, columns).coalesce(1).write.mode("overwrite").text(f"{path}/md")
 
 
+def write_adjudication(sample: DataFrame, path: str) -> None:
+    """A sample that people judge, as one CSV file in UTF-8 with an empty column for notes."""
+    sample.withColumn("adjudication_note", F.lit("")).coalesce(1).write.mode("overwrite").options(header=True, encoding="UTF-8", emptyValue="").csv(path)
+
+
 def append_usage(calls: DataFrame, path: str) -> None:
     """Adds calls to the usage log, JSON lines by day."""
     calls.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").json(path)
