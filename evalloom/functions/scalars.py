@@ -177,9 +177,17 @@ def code_set(codes: Column) -> Column:
     return sorted_set(F.filter(F.transform(codes, lambda c: F.upper(F.trim(c))), lambda c: c != ""))
 
 
+#: What counts as white space, and the marks that one of two copies writes after a backslash.
+WHITE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+ESCAPED = r"[\[\]()*_`<>#+.!^-]"
+
+
 def identity_text(text: Column) -> Column:
-    """A text for comparing two copies: line marks and runs of white space are one space, ends are bare, case goes."""
-    return F.lower(F.trim(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("~"), F.lit(" ")), r"\s+", " ")))
+    """A text for comparing two copies: a tilde is a space, a star between spaces a dash, marks lose their backslashes, double
+    quotes go, runs of white space are one space and ends are bare. Null is empty."""
+    t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("~"), F.lit(" ")), F.lit('"'), F.lit(""))
+    t = F.regexp_replace(F.replace(t, F.lit(" * "), F.lit(" - ")), rf"\\({ESCAPED})", "$1")
+    return F.trim(F.regexp_replace(t, f"[{WHITE}]+", " "))
 
 
 def refused(text: Column, marks: list[str]) -> Column:

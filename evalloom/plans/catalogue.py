@@ -13,6 +13,7 @@ from evalloom.plans import (
     further,  # noqa: F401 - registers its queries
     mappings,  # noqa: F401 - registers its queries
     methods,
+    preflights,  # noqa: F401 - registers its queries
 )
 from evalloom.plans.frames import DRAWS, RUNS, SCORED, ranking_sql, table
 from evalloom.plans.registry import ORACLES, QUERIES, query

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalloom.functions import scalars as C
 from evalloom.operators import audit, bootstrap, codes, elicitation, exact_tests, features, ranking, runs, splits
 from evalloom.plans import frames, methods
-from evalloom.plans.frames import DRAWS, RUNS, SCORED, ranking_sql, table
+from evalloom.plans.frames import DRAWS, RUNS, SCORED, identity_sql, ranking_sql, table
 from evalloom.plans.registry import query
 from evalloom.storage import cut
 
@@ -212,7 +212,7 @@ def code_retention(spark, sf_dir):
 # Scalars
 
 
-@query("SELECT page_id, md5(lower(trim(regexp_replace(replace(html, '~', ' '), '\\s+', ' ', 'g')))) AS plain FROM pages")
+@query(f"SELECT page_id, md5({identity_sql('html')}) AS plain FROM pages")
 def identity_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(C.identity_text(F.col("html")).cast("binary")).alias("plain"))
 

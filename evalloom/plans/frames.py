@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalloom.functions.scalars import ESCAPED, WHITE
+
 SCORED = """scored AS (
     SELECT d.doc_id AS id, d.lang, d.source AS cluster, d.n_chars::DOUBLE AS a, (d.n_chars % 97)::DOUBLE AS b, l.quality AS y
     FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
@@ -35,6 +37,12 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.agg(F.round(F.avg("l_discount") * 10, 9).alias("value"), F.round(F.avg("l_tax"), 9).alias("half"))
 
 
+def identity_sql(text: str) -> str:
+    """The text in which two copies are compared."""
+    bare = f"""replace(replace(replace(coalesce({text}, ''), '~', ' '), '"', ''), ' * ', ' - ')"""
+    return f"""trim(regexp_replace(regexp_replace({bare}, '\\\\({ESCAPED})', '\\1', 'g'), '[{WHITE}]+', ' ', 'g'))"""
+
+
 def ranking_sql(source: str, by: str, score: str, label: str = "y", weight: str = "1", name: str = "ranked") -> str:
     """CTE `name`: by, ap, auroc, n_pos, n_neg of the rows of `source`. Weighted rows are draws, where AP of one class is null."""
     keys = f"{by}, " if by else ""
