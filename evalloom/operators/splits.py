@@ -42,13 +42,13 @@ def stratified_subset(df: DataFrame, key: str, stratum: str, total: int, seed: s
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
     quotas = largest_remainder(counts, stratum, "n", total).select(stratum, "quota")
     placed = hash_rank(df.select(key, stratum), [stratum], seed, key)
-    return placed.join(F.broadcast(quotas), stratum).where("_rank <= quota").select(key, stratum)  # a row a stratum
+    return placed.join(quotas, stratum).where("_rank <= quota").select(key, stratum)  # a row a stratum
 
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float, seed: str) -> DataFrame:
     """df with split: the first share of each label in hash order, rounded up, is valid."""
     most = df.groupBy(F.col(label).alias("_label")).agg(F.ceil(F.count(F.lit(1)) * share).alias("_most"))
-    placed = hash_rank(df, [label], seed, key).join(F.broadcast(most), F.col(label).eqNullSafe(F.col("_label")))  # a row a label
+    placed = hash_rank(df, [label], seed, key).join(most, F.col(label).eqNullSafe(F.col("_label")))  # a row a label
     return placed.withColumn("split", F.when(F.col("_rank") <= F.col("_most"), "valid").otherwise("train")).drop("_label", "_most", "_rank")
 
 
@@ -103,7 +103,7 @@ def capped_sample(df: DataFrame, key: str, label: str, most: int, seed: str) ->
     counts = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_c"))
     total = F.sum("_c").over(Window.partitionBy(F.lit(0)))  # a row a label
     quotas = counts.select("_label", F.greatest(F.lit(1), F.round(F.col("_c") * F.least(F.lit(1.0), most / total))).alias("_q"))
-    placed = hash_rank(df, [label], seed, key).join(F.broadcast(quotas), F.col(label).eqNullSafe(F.col("_label")))
+    placed = hash_rank(df, [label], seed, key).join(quotas, F.col(label).eqNullSafe(F.col("_label")))
     return placed.where("_rank <= _q").drop("_label", "_q", "_rank")
 
 

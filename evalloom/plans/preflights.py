@@ -9,6 +9,7 @@ from evalloom.operators import audit, preflight
 from evalloom.plans import frames
 from evalloom.plans.frames import SCORED, identity_sql, ranking_sql, table
 from evalloom.plans.registry import query
+from evalloom.storage import cut
 
 COPY = """CASE page_id % 4 WHEN 0 THEN replace(html, ' ', '~') WHEN 1 THEN replace(replace(html, '.', chr(92) || '.'), ' ', chr(160) || chr(10)) WHEN 2 THEN html || ' x' ELSE html END"""
 
@@ -63,3 +64,19 @@ def confound_verdicts(spark, sf_dir):
     floors = df.groupBy("lang").agg((F.count(F.lit(1)) % 7 / 100).alias("floor"))
     found = preflight.confound_verdicts(binned, "lang", "bin", ("a", "b", "c"), "y", floors, least=5)
     return found.select("lang", *[F.round(c, 9).alias(c) for c in ("full", "rival", "confound", "margin", "pooled_margin")], F.round("shrinkage", 6).alias("shrinkage"), "verdict")
+
+
+@query("""WITH o AS (SELECT l_orderkey AS k, list_distinct(list(p_type)) AS terms, list_distinct(list(p_brand)) AS groups FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+    s AS (SELECT k, groups[1] AS g, terms[1] AS name, ('0x' || substr(sha256(lower(trim(terms[1]))), 1, 13))::BIGINT AS s FROM o WHERE len(groups) = 1 AND len(terms) = 1), seat AS (SELECT g, s, name, row_number() OVER (PARTITION BY g ORDER BY s DESC, sha256('swap|' || k), k) - 1 AS spot FROM s),
+    blk AS (SELECT g, s, min(spot) AS start, count(*) AS n FROM seat GROUP BY ALL), grp AS (SELECT g, sum(n)::BIGINT AS size FROM blk GROUP BY 1), r AS (SELECT k, CASE WHEN k % 11 = 0 THEN [] ELSE groups END AS groups, terms FROM o),
+    e AS (SELECT r.k, g, size, row_number() OVER (PARTITION BY r.k ORDER BY g) - 1 AS i, count(*) OVER (PARTITION BY r.k) AS c FROM r, grp WHERE len(groups) > 0 AND NOT list_contains(groups, g)),
+    goal AS (SELECT * FROM e WHERE i = ('0x' || substr(sha256('swap|group|' || k), 1, 8))::BIGINT % c), own AS (SELECT k, ('0x' || substr(sha256(lower(trim(t))), 1, 13))::BIGINT AS s FROM (SELECT k, unnest(terms) AS t FROM r)),
+    allowed AS (SELECT goal.k, goal.g, seat.name, row_number() OVER (PARTITION BY goal.k ORDER BY seat.spot) - 1 AS j, count(*) OVER (PARTITION BY goal.k) AS free FROM goal JOIN seat ON seat.g = goal.g WHERE (goal.k, seat.s) NOT IN (SELECT k, s FROM own))
+    SELECT o.k, a.g AS donor_group, a.name AS donor_name FROM o LEFT JOIN allowed a ON a.k = o.k AND a.j = ('0x' || substr(sha256('swap|row|' || o.k), 1, 8))::BIGINT % free""")
+def swap_donors(spark, sf_dir):
+    """Orders' part types are terms, brands groups; every eleventh order's groups are unknown. Orders of one type give theirs."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand")
+    both = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_partkey").join(p, "l_partkey")
+    o = cut(both.groupBy("k").agg(F.collect_set("p_type").alias("terms"), F.collect_set("p_brand").alias("groups")), "orders")
+    asked = o.withColumn("groups", F.when(F.col("k") % 11 != 0, F.col("groups")).otherwise(F.array().cast("array<string>")))
+    return audit.swap_donors(o, asked, "k", "groups", "terms", "swap")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalloom.functions import scalars as C
-from evalloom.operators import preflight
+from evalloom.operators import audit, preflight
 
 
 @pytest.mark.parametrize(
@@ -68,3 +68,14 @@ def test_confound_verdicts(spark):
     few = {r["cell"]: r for r in preflight.confound_verdicts(df, "cell", "s", ("model", "rival", "era"), "y", floors, least=21).collect()}
     assert few["soft"]["pooled_margin"] is None and few["soft"]["verdict"] == "CONFIRMED"
     assert found["soft"]["verdict"] == "SOFTENED" and found["soft"]["margin"] > found["soft"]["pooled_margin"]
+
+
+def test_swap_donors(spark):
+    pool = [(k, ["g1"], ["Asthma"]) for k in range(5)] + [(5, ["g2"], ["Flu "]), (6, ["g2"], ["Cold"]), (7, ["g2", "g1"], ["Both"]), (8, ["g3"], ["A", "B"]), (9, [], ["None"])]
+    rows = [(100 + k, ["g1"], ["flu", None]) for k in range(20)] + [(200, ["g1", "g2"], ["x"]), (201, None, ["x"]), (202, [], ["x"]), (203, ["g2"], ["ASTHMA"]), (204, ["g9"], None)]
+    kind = "k int, groups array<string>, terms array<string>"
+    found = {r["k"]: (r["donor_group"], r["donor_name"]) for r in audit.swap_donors(spark.createDataFrame(pool, kind), spark.createDataFrame(rows, kind), "k", "groups", "terms", "s").collect()}
+    assert len(found) == 25 and all(found[100 + k] == ("g2", "Cold") for k in range(20))  # its own name, spelled otherwise, is never drawn
+    assert found[200] == found[201] == found[202] == found[203] == (None, None) and found[204][0] in ("g1", "g2")
+    none = audit.swap_donors(spark.createDataFrame([], kind), spark.createDataFrame(rows, kind), "k", "groups", "terms", "s")
+    assert none.count() == 25 and none.where("donor_name is not null").count() == 0
