@@ -587,6 +587,14 @@ def disease_blind_scores(spark, sf_dir):
     return methods.text_scores(phrased_documents(spark, sf_dir), "doc_id", "text", "quality", "disease_blind", "phrases")
 
 
+@query()
+def frozen_reference_scores(spark, sf_dir):
+    """One reference, fitted on the labelled documents of all languages, scores benchmark items, another source, without being fitted again."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit(None).cast("int").alias("quality"))
+    return methods.text_scores(items, "doc_id", "text", "quality", train=docs).select(F.col("doc_id").alias("item_id"), "proba")
+
+
 @query(f"""WITH {SCORED}, m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM scored WHERE id % 5 <> 0), z AS (SELECT id, y, (a - ma) / sa AS za, (b - mb) / sb AS zb FROM scored, m),
     d AS (SELECT t.id, r.y, row_number() OVER (PARTITION BY t.id ORDER BY round(pow(t.za - r.za, 2) + pow(t.zb - r.zb, 2), 9), r.id) AS k FROM z t JOIN z r ON t.id % 5 = 0 AND r.id % 5 <> 0) SELECT id, round(avg(y), 9) AS proba FROM d WHERE k <= 25 GROUP BY 1""")
 def knn_scores(spark, sf_dir):

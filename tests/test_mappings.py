@@ -6,6 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from evalloom.operators import codes, mapping, ranking, runs, splits
+from evalloom.plans import methods
 from evalloom.sources import tables
 from evalloom.streaming.leaderboard import incremental, latest
 
@@ -96,3 +97,12 @@ def test_leaderboard_reads_touched_buckets_only(spark, tmp_path):
     (tmp_path / "store/runs/batch=0" / f"bucket={bucket['c']}" / "x.parquet").write_text("not to be read")
     assert arrive("1", ("a", "d", 0, 0.8), ("a", "d", 1, 0.4)) == {"a": (0.5, 2), "b": (0.55, 2)}
     assert arrive("2") == {"a": (0.5, 2), "b": (0.55, 2)}
+
+
+def test_a_reference_stays_as_it_was_fitted(spark):
+    """A text's score doesn't depend on which others are scored with it; texts of no known word are scored too."""
+    train = spark.createDataFrame([(k, "cell%d good words here" % (k % 3) if k % 2 else "cell%d bad signs there" % (k % 3), k % 2) for k in range(60)], "k int, text string, y int")
+    arms = spark.createDataFrame([(1, "good words", None), (2, "bad signs", None), (3, "unknown", None), (4, None, None)], "k int, text string, y int")
+    score = lambda df: {r["k"]: round(r["proba"], 9) for r in methods.text_scores(df, "k", "text", "y", train=train).collect()}
+    every, one = score(arms), score(arms.where("k = 1"))
+    assert set(every) == {1, 2, 3, 4} and every[1] == one[1] and every[1] > every[3] > every[2] and every[3] == every[4]
