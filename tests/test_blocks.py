@@ -42,8 +42,9 @@ def same_as_sql(spark, tables, name):
     assert sorted(tuple(plain(r[c]) for c in sorted(names)) for r in df.collect()) == theirs
 
 
-def test_topk_neighbors(many_tasks, tables):
-    same_as_sql(many_tasks, tables, "topk_neighbors")
+@pytest.mark.parametrize("name", ["topk_neighbors", "knn_vote"])
+def test_matches_sql_over_blocks(many_tasks, tables, name):
+    same_as_sql(many_tasks, tables, name)
 
 
 def test_rounded_by_its_multiple(spark):
