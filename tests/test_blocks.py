@@ -42,7 +42,7 @@ def same_as_sql(spark, tables, name):
     assert sorted(tuple(plain(r[c]) for c in sorted(names)) for r in df.collect()) == theirs
 
 
-@pytest.mark.parametrize("name", ["topk_neighbors", "knn_vote", "mapping_agreement", "remapped_codes"])
+@pytest.mark.parametrize("name", ["topk_neighbors", "knn_vote", "mapping_agreement", "remapped_codes", "disagreement_sample"])
 def test_matches_sql_over_blocks(many_tasks, tables, name):
     same_as_sql(many_tasks, tables, name)
 
