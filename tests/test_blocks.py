@@ -50,3 +50,9 @@ def test_matches_sql_over_blocks(many_tasks, tables, name):
 def test_rounded_by_its_multiple(spark):
     (row,) = spark.range(1).select(*[C.half_up(F.lit(x), 7).alias(n) for n, x in (("a", 0.40218075), ("b", 0.5), ("c", -0.00000015), ("d", None))]).collect()
     assert tuple(row) == (0.4021807, 0.5, *duckdb.sql("select round(-0.00000015::double, 7)").fetchall()[0], None)
+
+
+def test_reply_parse_beside_other_letters(spark, tmp_path):
+    said = ["Señor.\nNoñas", "ñno", "nó", "İno", "İ no", "NO x", "no_", "٣yes", "yes, nó", "yeſ", "know", "1no", "no‍", "No. 1,204.5", "", None]
+    pq.write_table(pa.table({"conv_id": range(len(said)), "turn": [1] * len(said), "text": said}), tmp_path / "conversations.parquet")
+    same_as_sql(spark, tmp_path, "reply_parse")
