@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_catalogue import plain
 
 from evalloom.functions import scalars as C
+from evalloom.operators import audit
 from evalloom.plans import catalogue
 
 TASKS = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
@@ -19,6 +20,8 @@ def tables(tmp_path_factory):
     rng, at = np.random.default_rng(4), tmp_path_factory.mktemp("blocks")
     n, ids = 5000, np.arange(5000)
     pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(list(rng.normal(size=(n, 8)).astype("float32"))), "label": pa.array(rng.integers(0, 10, n), pa.int32())}), at / "embeddings.parquet")
+    pq.write_table(pa.table({"doc_id": ids, "lang": ["en"] * n, "source": ["s"] * n, "n_chars": pa.array(np.exp(rng.normal(6, 1.5, n)).astype("int64"))}), at / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": ids, "quality": pa.array(rng.integers(0, 2, n), pa.int32())}), at / "labels.parquet")
     return at
 
 
@@ -56,3 +59,12 @@ def test_reply_parse_beside_other_letters(spark, tmp_path):
     said = ["Señor.\nNoñas", "ñno", "nó", "İno", "İ no", "NO x", "no_", "٣yes", "yes, nó", "yeſ", "know", "1no", "no‍", "No. 1,204.5", "", None]
     pq.write_table(pa.table({"conv_id": range(len(said)), "turn": [1] * len(said), "text": said}), tmp_path / "conversations.parquet")
     same_as_sql(spark, tmp_path, "reply_parse")
+
+
+def test_knn_scores(many_tasks, tables):
+    same_as_sql(many_tasks, tables, "knn_scores")
+
+
+def test_far_rows_keep_the_digits_of_their_distances():
+    a, b = np.array([[3e4 + 0.25, 1.0]]), np.array([[3e4, 1.0], [3e4 + 0.5, 1.0 + 1e-4], [3e4 + 0.25, 1.0]])
+    assert audit.less_distance(a, b)[0] == pytest.approx([-0.0625, -0.0625 - 1e-8, 0.0], abs=1e-11)
