@@ -49,7 +49,8 @@ def test_blocks_and_tables_of_few_rows(spark):
     assert sum(n for n, _ in sizes) == 120 and max(n for n, _ in sizes) <= 10 and all(e <= 60 or n == 1 for n, e in sizes)
 
 
-def test_no_pair_is_a_row(spark):
+@pytest.mark.parametrize("name", ["neardup_max_cosine", "dup_rate_by_threshold"])
+def test_no_pair_is_a_row(spark, name):
     """Terms aren't joined with themselves: on 0.1 GB that was 6.9 billion rows."""
-    plan = catalogue.QUERIES["neardup_max_cosine"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    plan = catalogue.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "Join [term" not in plan
