@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.storage import cut
+
 
 def tie_groups(df: DataFrame, by: list[str], score: str, label: str, weight: Column | None = None) -> DataFrame:
     """(by, score, pos, neg): weight of positives and negatives at each score."""
@@ -15,9 +17,13 @@ def tie_groups(df: DataFrame, by: list[str], score: str, label: str, weight: Col
 
 
 def score_edges(df: DataFrame, by: list[str], score: str, sections: int = 64) -> DataFrame:
-    """(by, _edges): quantiles that cut each key's scores into about equal sections."""
+    """(by, _edges): quantiles that cut each key's scores into about equal sections.
+
+    Approximate quantiles of many scores depend on the order in which tasks' parts arrive. They are written once, so that rows and
+    the totals of sections, which both are cut at them, have the same.
+    """
     at = [k / sections for k in range(1, sections)]
-    return df.groupBy(*by).agg(F.percentile_approx(F.col(score).cast("double"), at, 1000).alias("_edges"))
+    return cut(df.groupBy(*by).agg(F.percentile_approx(F.col(score).cast("double"), at, 1000).alias("_edges")), "edges")
 
 
 def running(groups: DataFrame, by: list[str], sections: int = 64, edges: DataFrame | None = None) -> DataFrame:
